@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemo.llm import decontamination, sharding
+from mnemo.llm import decontamination, matroska, minhash_dedup, packing, sharding, toxicity
 from mnemo.llm.common import table
 
 QUERIES: dict = {}
@@ -27,3 +27,24 @@ def op1(spark, sf_dir):
 @query("op8_decontamination", decontamination.SQL)
 def op8(spark, sf_dir):
     return decontamination.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op5_minhash_dedup")
+def op5(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_packing")
+def op6(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_matroska")
+def op10(spark, sf_dir):
+    return matroska.describe(matroska.to_media(table(spark, sf_dir, "documents")))
