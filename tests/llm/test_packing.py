@@ -30,7 +30,7 @@ def test_padding():
     assert [p.padded(n) for n in (1, 2, 3, 512, 513, 1024)] == [1, 2, 4, 512, 1024, 1024]
 
 
-texts = st.text(alphabet=st.sampled_from(list("ab Zé\n\t'.,0\0  漢<|>") + ["  ", "   ", "<|endoftext|>", " \n "]), max_size=80)
+texts = st.lists(st.sampled_from([*"ab Zé\n\t'.,0\0漢<|>", "  ", "   ", "<|endoftext|>", " \n "]), max_size=60).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
