@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mnemo.llm import decontamination, matroska, minhash_dedup, packing, sharding, toxicity
-from mnemo.llm.common import table
+from mnemo.llm import decontamination, matroska, minhash_dedup, packing, secrets, sharding, toxicity, warc
+from mnemo.llm.common import scratch_path, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -48,3 +48,15 @@ def op6(spark, sf_dir):
 @query("op10_matroska")
 def op10(spark, sf_dir):
     return matroska.describe(matroska.to_media(table(spark, sf_dir, "documents")))
+
+
+@query("op7_warc", warc.SQL)
+def op7(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).drop("url")
+
+
+@query("op9_secrets")
+def op9(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
