@@ -1,6 +1,6 @@
 """Secret scans: findings by pattern, false positives removed by a random forest.
 
-Findings are runs of token characters that hold a digit. The forest sees their length, character
+Findings are runs of token characters that hold a digit or start with sixteen capitals. The forest sees their length, character
 transitions, dictionary coverage, path and neighbouring words, and is trained from labelled findings;
 without labels of its own a corpus labels the findings that fixed rules are sure of.
 """
@@ -24,7 +24,7 @@ from mnemo.llm.common import saved
 
 #: Labelled findings used to fit the forest, at most; words of the dictionary; trees and their depth.
 FIT_FINDINGS, DICTIONARY, TREES, DEPTH = 50_000, 4000, 40, 8
-FINDING = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}")
+FINDING = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16})[A-Za-z0-9+/_\-]{12,}={0,2}")
 BEFORE = re.compile(r"([\w.\-]*)[\"']?\s*([=:]?)\s*[\"']?$")
 NEXT = re.compile(r"^[\"']?\s*([\w.\-]*)")
 #: Hashed places of the words before and after, and of the path.
