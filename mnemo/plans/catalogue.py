@@ -1,5 +1,574 @@
-"""All registered queries of the analytics library, with the SQL that gives the same rows."""
+"""All registered queries of the analytics library, with the SQL that gives the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Each query takes whole tables. Scores that order a cut are rounded in both engines, sums that could
+depend on order are of whole numbers or decimals, and each order ends in a unique key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mnemo.functions import text as T
+from mnemo.operators import clinical, frames, graph, maintain, portfolio, recall, research, resolve, search
+from mnemo.plans.roles import AS_OF_EVENTS, AS_OF_ORDERS, Tables, sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 FLAGSHIP = "associate"
+
+
+def at(ts: str, kind: str = "timestamp_ntz"):
+    return F.lit(ts).cast(kind)
+
+
+
+def query(name: str, oracle: str | None = None, *views: str):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if oracle:
+            SQL[name] = sql(oracle, *views) if views else oracle
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- activity and graph
+
+
+@query(
+    "recent_activity",
+    """WITH x AS (SELECT a.*, p.name, p.container, c.container_name, row_number() OVER (PARTITION BY p.container ORDER BY ts DESC, source_id) AS r
+      FROM activities a JOIN persons p USING (person) JOIN containers c USING (container) WHERE ts >= TIMESTAMP '2024-01-24' AND ts <= TIMESTAMP '2024-01-31'),
+    y AS (SELECT *, sum(length(snippet)) OVER (PARTITION BY container ORDER BY r) AS used FROM x WHERE r <= 20)
+    SELECT source_id, ts, kind, snippet, person, name, container, container_name FROM y WHERE used <= 150""",
+    "activities", "persons", "containers",
+)
+def _(t):
+    out = graph.recent_activity(t.activities(), t.persons(), t.containers(), "2024-01-24 00:00:00", AS_OF_EVENTS, limit=20, budget=150)
+    return out.select("source_id", "ts", "kind", "snippet", "person", "name", "container", "container_name")
+
+
+@query("activity_of_topics", "SELECT source_id, topic, name FROM activities JOIN persons USING (person) JOIN containers USING (container) WHERE topic IN (SELECT topic FROM activities GROUP BY topic HAVING count(*) >= 100)", "activities", "persons", "containers")
+def _(t):
+    topics = t.activities().groupBy("topic").count().where("count >= 100")
+    return graph.recent_activity(t.activities(), t.persons(), t.containers(), None, None, topics).select("source_id", "topic", "name")
+
+
+TOUCH_SQL = "touches AS (SELECT source_id AS activity, 'person' AS label, person::VARCHAR AS node FROM activities UNION ALL SELECT source_id, 'topic', topic FROM activities WHERE topic IS NOT NULL UNION ALL SELECT source_id, 'kind', kind FROM activities)"
+
+
+def touches(t: Tables) -> DataFrame:
+    a = t.activities()
+    one = lambda label, c: a.where(F.col(c).isNotNull()).select(F.col("source_id").alias("activity"), F.lit(label).alias("label"), F.col(c).cast("string").alias("node"))
+    return one("person", "person").union(one("topic", "topic")).union(one("kind", "kind"))
+
+
+@query(
+    "expand_facts",
+    f"""WITH {TOUCH_SQL}, c AS (SELECT node AS seed, count(DISTINCT activity) AS activities FROM touches WHERE label = 'kind' GROUP BY 1),
+    p AS (SELECT x.node AS seed, y.label, y.node AS other, count(*) AS paths FROM touches x JOIN touches y USING (activity) WHERE x.label = 'kind' AND NOT (x.node = y.node AND x.label = y.label) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY paths DESC, other) AS k FROM p), q AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY paths DESC, label, other) AS k2 FROM r WHERE k <= 3)
+    SELECT seed, activities, label, other, paths FROM c JOIN q USING (seed) WHERE k2 <= 3""",
+    "activities",
+)
+def _(t):
+    x = touches(t)
+    return graph.related(x, x.where("label = 'kind'").select("node", "label").distinct())
+
+
+@query(
+    "entity_summary",
+    f"""WITH {TOUCH_SQL}, c AS (SELECT node AS seed, count(DISTINCT activity) AS activities, max(ts) AS latest FROM touches JOIN (SELECT source_id, ts FROM activities) ON activity = source_id WHERE label = 'topic' GROUP BY 1),
+    p AS (SELECT x.node AS seed, y.label, y.node AS other, count(*) AS paths FROM touches x JOIN touches y USING (activity) WHERE x.label = 'topic' AND y.label <> 'topic' GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY paths DESC, other) AS k FROM p), q AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY paths DESC, label, other) AS k2 FROM r WHERE k <= 5)
+    SELECT seed, activities, label, other, paths, latest FROM c JOIN q USING (seed) WHERE k2 <= 10""",
+    "activities",
+)
+def _(t):
+    x = touches(t)
+    seeds = x.where("label = 'topic'").select("node", "label").distinct()
+    return graph.summary(x, t.activities().select(F.col("source_id").alias("activity"), "ts"), seeds)
+
+
+EDGES_SQL = "edges AS (SELECT person::VARCHAR AS src, 'DID' AS kind, 'kind:' || kind AS dst FROM activities UNION ALL SELECT person::VARCHAR, 'ABOUT', 'topic:' || topic FROM activities WHERE topic IS NOT NULL)"
+
+
+def typed_edges(t: Tables) -> DataFrame:
+    a = t.activities()
+    p = F.col("person").cast("string").alias("src")
+    return a.select(p, F.lit("DID").alias("kind"), F.concat(F.lit("kind:"), "kind").alias("dst")).union(a.where("topic is not null").select(p, F.lit("ABOUT").alias("kind"), F.concat(F.lit("topic:"), "topic").alias("dst")))
+
+
+@query("neighborhood", f"WITH {EDGES_SQL}, x AS (SELECT DISTINCT dst AS root, kind, src AS neighbour FROM edges WHERE kind = 'ABOUT') SELECT root, kind, neighbour FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY kind, neighbour) AS r FROM x) WHERE r <= 40", "activities")
+def _(t):
+    e = typed_edges(t)
+    return graph.neighborhood(e, e.select(F.col("dst").alias("root")), "in", ["ABOUT"])
+
+
+@query("graph_overview", f"WITH {EDGES_SQL}, r AS (SELECT dst AS root FROM (SELECT DISTINCT dst FROM edges WHERE kind = 'DID')), x AS (SELECT DISTINCT dst AS root, kind, src AS neighbour FROM edges WHERE dst IN (SELECT root FROM r)), y AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY kind, neighbour) AS n FROM x) SELECT DISTINCT least(root, neighbour) AS source, kind, greatest(root, neighbour) AS target FROM y WHERE n <= 40", "activities")
+def _(t):
+    e = typed_edges(t)
+    return graph.overview(e, e.where("kind = 'DID'").select(F.col("dst").alias("root"), F.lit("kind").alias("label")).distinct())
+
+
+@query(
+    "timeline_multi",
+    """WITH n AS (SELECT conv_id, turn, conv_id::VARCHAR || ':' || turn AS node FROM conversations), e AS (SELECT node AS src, 'conv:' || conv_id AS dst FROM n UNION SELECT node, conv_id::VARCHAR || ':' || (turn - 1) FROM n WHERE turn > 0),
+    h1 AS (SELECT DISTINCT dst AS root, src AS node FROM e WHERE dst LIKE 'conv:%'), h2 AS (SELECT DISTINCT root, src AS node FROM h1 JOIN e ON e.dst = h1.node), r AS (SELECT * FROM h1 UNION SELECT * FROM h2)
+    SELECT root, node, turn, role FROM r JOIN (SELECT conv_id::VARCHAR || ':' || turn AS node, turn, role FROM conversations) USING (node)""",
+)
+def _(t):
+    c = t.raw("conversations").select("conv_id", "turn", "role", F.concat_ws(":", "conv_id", "turn").alias("node"))
+    conv = F.concat(F.lit("conv:"), F.col("conv_id").cast("string"))
+    e = c.select(F.col("node").alias("src"), conv.alias("dst")).union(c.where("turn > 0").select(F.col("node").alias("src"), F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("dst")))
+    acts = c.select("node", "turn", "role", F.col("turn").alias("ts"))
+    return graph.timeline(e, c.select(conv.alias("root")).distinct(), acts).select("root", "node", "turn", "role")
+
+
+RED = "SELECT entity FROM entities WHERE name = 'red widget'"
+
+
+@query("mentioning_atoms", f"SELECT atom, sum(prominence)::DOUBLE AS score, count(DISTINCT entity) AS matches FROM mentions WHERE entity IN ({RED}) GROUP BY atom", "mentions", "entities")
+def _(t):
+    return graph.mentioning_atoms(t.mentions(), t.entities().where("name = 'red widget'"))
+
+
+SPREAD_SQL = """ways AS (SELECT a AS src, b AS dst, weight FROM assoc UNION ALL SELECT b, a, weight FROM assoc),
+    h1 AS (SELECT cue, dst AS entity, max(round(activation * (weight / (weight + 3.0::DOUBLE)) * 0.5::DOUBLE, 9)) AS activation FROM s JOIN ways ON s.entity = src GROUP BY ALL),
+    m1 AS (SELECT cue, entity, max(activation) AS activation FROM (SELECT * FROM s UNION ALL SELECT * FROM h1) GROUP BY ALL),
+    f1 AS (SELECT m1.* FROM m1 SEMI JOIN h1 USING (cue, entity)),
+    h2 AS (SELECT cue, dst AS entity, max(round(activation * (weight / (weight + 3.0::DOUBLE)) * 0.25::DOUBLE, 9)) AS activation FROM f1 JOIN ways ON f1.entity = src GROUP BY ALL),
+    m2 AS (SELECT cue, entity, max(activation) AS activation FROM (SELECT * FROM m1 UNION ALL SELECT * FROM h2) GROUP BY ALL),"""
+
+
+@query("spread_activation", f"WITH s AS (SELECT type AS cue, entity, 1.0::DOUBLE AS activation FROM entities WHERE entity < 20), {SPREAD_SQL} k AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY activation DESC, entity) AS r FROM m2) SELECT cue, entity, activation FROM k WHERE r <= 50", "mentions", "assoc", "entities")
+def _(t):
+    seeds = t.entities().where("entity < 20").select(F.col("type").alias("cue"), "entity", F.lit(1.0).alias("activation"))
+    return graph.spread_activation(t.assoc(), seeds)
+
+
+@query("activated_subgraph", f"WITH s AS (SELECT type AS cue, entity, 1.0::DOUBLE AS activation FROM entities WHERE entity < 20), {SPREAD_SQL} k AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY activation DESC, entity) AS r FROM m2), n AS (SELECT cue, entity FROM k WHERE r <= 50) SELECT x.cue, a, b, weight FROM assoc JOIN n x ON a = x.entity JOIN n y ON b = y.entity AND x.cue = y.cue", "mentions", "assoc", "entities")
+def _(t):
+    seeds = t.entities().where("entity < 20").select(F.col("type").alias("cue"), "entity", F.lit(1.0).alias("activation"))
+    e = t.assoc().cache()
+    return graph.induced(e, graph.spread_activation(e, seeds))
+
+
+CUES_SQL = "cues AS (SELECT row_number() OVER (ORDER BY name) AS cue, name AS text FROM (SELECT DISTINCT name FROM entities))"
+SEEDS_SQL = """words AS (SELECT cue, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS text FROM cues),
+    low AS (SELECT entity, lower(name) AS n FROM entities),
+    found AS (SELECT cue, min(entity) AS entity, 1.0::DOUBLE AS confidence FROM cues JOIN entities ON text = name GROUP BY cue
+      UNION ALL SELECT cue, entity, 1.0 FROM cues JOIN low ON n = lower(text) UNION ALL SELECT cue, entity, 0.85 FROM words JOIN low ON n = lower(text)
+      UNION ALL SELECT cue, entity, 0.7 FROM cues JOIN low ON contains(n, lower(text)) WHERE length(text) >= 2 UNION ALL SELECT cue, entity, 0.6 FROM words JOIN low ON contains(n, lower(text))),
+    best AS (SELECT cue, entity, max(confidence) AS confidence FROM found GROUP BY ALL),
+    seeds AS (SELECT cue, entity, confidence FROM (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY confidence DESC, entity) AS r FROM best) WHERE r <= 5),"""
+
+
+def cues(t: Tables) -> DataFrame:
+    """Every distinct entity name, numbered by name: a bounded list of product names."""
+    names = t.entities().select("name").distinct()
+    from pyspark.sql import Window
+
+    return names.select(F.row_number().over(Window.orderBy("name")).alias("cue"), F.col("name").alias("text"))
+
+
+@query("cue_seeds", f"WITH {CUES_SQL}, {SEEDS_SQL[:-1]} SELECT cue, entity, confidence FROM seeds", "entities")
+def _(t):
+    return search.seeds(t.entities(), cues(t))
+
+
+def scored_atoms(t: Tables) -> DataFrame:
+    n = t.accesses().groupBy("atom").agg(F.count("*").alias("reads"))
+    a = t.atoms().join(n, "atom", "left")
+    created = F.col("created_at").cast("timestamp")
+    return a.withColumn("created_at", created).withColumn("tier", recall.tier(created, F.coalesce("reads", F.lit(0)), at(AS_OF_ORDERS, "timestamp")))
+
+
+TIER_SQL = "CASE WHEN created_at >= TIMESTAMP '2001-01-01' - INTERVAL 7 DAY OR coalesce(reads, 0) >= 3 THEN 'hot' WHEN created_at < TIMESTAMP '2001-01-01' - INTERVAL 90 DAY AND coalesce(reads, 0) < 2 THEN 'cold' ELSE 'warm' END"
+
+
+@query(
+    "associate",
+    f"""WITH {CUES_SQL}, {SEEDS_SQL} s AS (SELECT cue, entity, confidence AS activation FROM seeds), {SPREAD_SQL}
+    act AS (SELECT cue, entity, activation FROM (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY activation DESC, entity) AS r FROM m2) WHERE r <= 30),
+    raw AS (SELECT cue, atom, sum(round(prominence * activation, 9)::DECIMAL(20, 9))::DOUBLE AS raw, count(DISTINCT entity) AS matches FROM mentions JOIN act USING (entity) GROUP BY ALL),
+    t AS (SELECT atom, created_at, salience, {TIER_SQL} AS tier FROM atoms LEFT JOIN (SELECT l_orderkey AS atom, count(*) AS reads FROM lineitem GROUP BY 1) USING (atom)),
+    sc AS (SELECT cue, atom, matches, round(raw * greatest(0.1::DOUBLE, 1 - ((epoch_us(TIMESTAMP '2001-01-01') - epoch_us(created_at)) / 86400000000.0::DOUBLE) / 90.0::DOUBLE) * CASE salience WHEN 'high' THEN 1.25::DOUBLE WHEN 'low' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END * CASE tier WHEN 'warm' THEN 0.7::DOUBLE WHEN 'cold' THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM raw JOIN t USING (atom))
+    SELECT cue, atom, score, matches FROM (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY score DESC, atom) AS r FROM sc) WHERE r <= 30""",
+    "mentions", "assoc", "entities", "atoms",
+)
+def _(t):
+    return recall.associate(cues(t), t.entities(), t.assoc(), t.mentions(), scored_atoms(t), at(AS_OF_ORDERS, "timestamp"))
+
+
+@query("working_memory", "SELECT cwd, atom, created_at FROM (SELECT *, row_number() OVER (PARTITION BY cwd ORDER BY created_at DESC, atom) AS r FROM atoms) WHERE r <= 5", "atoms")
+def _(t):
+    return recall.working_memory(t.atoms(), ["cwd"], "created_at", 5).select("cwd", "atom", "created_at")
+
+
+@query("recall_episode", "SELECT atom, created_at, kind, cwd FROM atoms WHERE kind IN ('O', 'F') AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1996-12-31' ORDER BY created_at, atom LIMIT 50", "atoms")
+def _(t):
+    return recall.recall_episode(t.atoms(), "1996-01-01 00:00:00", "1996-12-31 00:00:00", ["O", "F"]).select("atom", "created_at", "kind", "cwd")
+
+
+@query("tier_recompute", f"SELECT tier, count(*) AS n FROM (SELECT {TIER_SQL} AS tier FROM atoms LEFT JOIN (SELECT l_orderkey AS atom, count(*) AS reads FROM lineitem GROUP BY 1) USING (atom)) GROUP BY 1", "atoms")
+def _(t):
+    return scored_atoms(t).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("access_fold", """WITH x AS (SELECT l_orderkey AS atom, list(struct_pack(ts := l_shipdate, w := l_quantity / 50) ORDER BY l_shipdate, l_quantity) AS log FROM lineitem GROUP BY 1)
+  SELECT a.atom, coalesce(len(log), 0) AS reads, list_max(list_transform(log, lambda e: e.ts)) AS last_accessed, ['cold', 'warm', 'hot'][coalesce(list_reduce(list_transform(log, lambda e: e.w::DOUBLE), lambda s, w: CASE WHEN s = 0 AND w >= 0.3 THEN 1 WHEN s = 1 AND w >= 0.5 THEN 2 ELSE s END, 0.0::DOUBLE), 0)::INT + 1] AS tier FROM atoms a LEFT JOIN x ON a.atom = x.atom""", "atoms")
+def _(t):
+    return recall.fold_accesses(t.atoms().withColumn("tier", F.lit("cold")), t.accesses())
+
+
+@query("co_retrieval", "WITH n AS (SELECT l_orderkey AS atom, count(*) AS n FROM lineitem GROUP BY 1) SELECT x.entity AS a, y.entity AS b, sum(n)::BIGINT AS weight FROM mentions x JOIN mentions y ON x.atom = y.atom AND x.entity < y.entity JOIN n ON n.atom = x.atom GROUP BY ALL", "mentions")
+def _(t):
+    return recall.co_retrieval(t.accesses(), t.mentions())
+
+
+@query("entity_detail", """WITH ways AS (SELECT a AS entity, b AS other, weight FROM assoc UNION ALL SELECT b, a, weight FROM assoc),
+  x AS (SELECT entity, 'association' AS what, other, weight AS value, row_number() OVER (PARTITION BY entity ORDER BY weight DESC, other) AS rank FROM ways
+  UNION ALL SELECT entity, 'atom', atom, prominence, row_number() OVER (PARTITION BY entity ORDER BY created_at DESC, atom) FROM mentions JOIN atoms USING (atom)) SELECT * FROM x WHERE rank <= 15""", "mentions", "assoc", "atoms")
+def _(t):
+    return graph.entity_detail(t.assoc(), t.mentions(), t.atoms(), t.entities())
+
+
+@query("atom_detail", "SELECT atom, created_at, salience, kind, cwd, (SELECT string_agg(entity || ':' || prominence, ',' ORDER BY prominence DESC, entity) FROM mentions m WHERE m.atom = a.atom) AS mentions FROM atoms a WHERE kind = 'P'", "atoms", "mentions")
+def _(t):
+    return graph.atom_detail(t.mentions(), t.atoms(), t.atoms().where("kind = 'P'").select("atom"))
+
+
+@query("context_overlap", """WITH ways AS (SELECT a AS src, b AS dst FROM assoc UNION ALL SELECT b, a FROM assoc), cand AS (SELECT DISTINCT name AS mention, type, entity FROM entities),
+  k AS (SELECT c.mention, c.entity, count(DISTINCT dst) AS k FROM cand c JOIN ways ON c.entity = src JOIN entities e ON e.entity = dst WHERE e.name = c.mention GROUP BY ALL)
+  SELECT mention, entity, round(least(1.0::DOUBLE, coalesce(k, 0) / 3.0::DOUBLE), 6) AS overlap FROM (SELECT DISTINCT mention, entity FROM cand) LEFT JOIN k USING (mention, entity)""", "mentions", "assoc", "entities")
+def _(t):
+    e = t.entities()
+    out = graph.context_overlap(e.select(F.col("name").alias("mention"), "entity"), t.assoc(), e, e.select(F.col("name").alias("mention"), "name").distinct())
+    return out.withColumn("overlap", F.round("overlap", 6))
+
+
+@query("place_match", """WITH known AS (SELECT DISTINCT entity, cwd FROM mentions JOIN atoms USING (atom) WHERE created_at < TIMESTAMP '1998-01-01')
+  SELECT atom AS mention, m.entity, (k.cwd IS NOT NULL)::INT AS place FROM mentions m JOIN atoms USING (atom) LEFT JOIN known k ON k.entity = m.entity AND k.cwd = atoms.cwd WHERE created_at >= TIMESTAMP '1998-01-01'""", "mentions", "atoms")
+def _(t):
+    m, cut = t.mentions().join(t.atoms(), "atom"), F.lit("1998-01-01").cast("timestamp_ntz")
+    old = t.atoms().where(F.col("created_at") < cut)
+    return graph.place_match(m.where(F.col("created_at") >= cut).select(F.col("atom").alias("mention"), "entity", "cwd"), t.mentions(), old)
+
+
+@query("episode_sizes", "SELECT c.container AS episode, count(p.person) AS atoms FROM containers c LEFT JOIN persons p USING (container) GROUP BY 1", "containers", "persons")
+def _(t):
+    return graph.episode_sizes(t.containers().select(F.col("container").alias("episode")), t.persons().select(F.col("container").alias("episode"), F.col("person").alias("atom")))
+
+
+@query("engine_counts", "SELECT 'atoms' AS what, count(*) AS n FROM atoms UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'mentions', count(*) FROM mentions UNION ALL SELECT 'associations', count(*) FROM assoc", "atoms", "entities", "mentions", "assoc")
+def _(t):
+    return maintain.counts({"atoms": t.atoms(), "entities": t.entities(), "mentions": t.mentions(), "associations": t.assoc()})
+
+
+@query("supplier_network", """WITH w AS (SELECT src, dst FROM depends_on UNION SELECT dst, src FROM depends_on), d AS (SELECT src AS root, dst AS node, 1 AS depth FROM w WHERE src < 5 AND src <> dst UNION ALL SELECT DISTINCT src, src, 0 FROM w WHERE src < 5),
+  k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS r FROM d) SELECT root, node, depth FROM k WHERE r <= 50""", "depends_on")
+def _(t):
+    e = t.depends_on().select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(1).alias("weight")).distinct()
+    roots = t.depends_on().select(F.explode(F.array("src", "dst")).alias("root")).where("root < 5").distinct()
+    return graph.network(e, roots, 1)
+
+
+# ---------------------------------------------------------------- search
+
+BM25_SQL = """WITH tok AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+  len AS (SELECT id, len(w) AS n FROM tok), st AS (SELECT count(*) AS docs, sum(n) AS total FROM len), q AS ({q}),
+  post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+  part AS (SELECT query, id, round(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * n * docs / total)), 9)::DECIMAL(20, 9) AS p FROM post JOIN q USING (term) JOIN df USING (term) JOIN len USING (id), st),
+  sc AS (SELECT query, id, round(sum(p)::DOUBLE, 6) AS score FROM part GROUP BY ALL)
+  SELECT query, 'doc' AS label, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 10 AND score > 0"""
+BENCH_Q = "SELECT item_id AS query, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term FROM benchmark"
+
+
+@query("bm25_search", BM25_SQL.replace("{{", "{").replace("}}", "}").replace("{q}", BENCH_Q))
+def _(t):
+    idx = search.Index.build(t.raw("documents").select(F.lit("doc").alias("label"), F.col("doc_id").alias("id"), "text"))
+    return idx.search(t.raw("benchmark").select(F.col("item_id").alias("query"), "text"), 10)
+
+
+@query("search_entities", """WITH docs AS (SELECT 'part' AS label, p_partkey AS id, p_name AS text FROM part UNION ALL SELECT 'customer', c_custkey, c_mktsegment FROM customer), tok AS (SELECT label, id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM docs),
+  len AS (SELECT label, id, len(w) AS n FROM tok), st AS (SELECT label, count(*) AS docs, sum(n) AS total FROM len GROUP BY 1), q(query, term) AS (VALUES (1, 'red'), (1, 'widget'), (2, 'machinery'), (3, 'ring'), (3, 'building')),
+  post AS (SELECT label, id, term, count(*) AS tf FROM (SELECT label, id, unnest(w) AS term FROM tok) GROUP BY ALL), df AS (SELECT label, term, count(*) AS df FROM post GROUP BY ALL),
+  part AS (SELECT query, label, id, round(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * n * docs / total)), 9)::DECIMAL(20, 9) AS p FROM post JOIN q USING (term) JOIN df USING (label, term) JOIN len USING (label, id) JOIN st USING (label)),
+  sc AS (SELECT query, label, id, round(sum(p)::DOUBLE, 6) AS score FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, id) AS k FROM sc WHERE score > 0.05)
+  SELECT query, label, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, label, id) AS k2 FROM r WHERE k <= 10) WHERE k2 <= 12""")
+def _(t):
+    texts = t.raw("part").select(F.lit("part").alias("label"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text")).union(t.raw("customer").select(F.lit("customer"), "c_custkey", "c_mktsegment"))
+    q = t.spark.createDataFrame([(1, "red widget"), (2, "Machinery"), (3, "ring BUILDING")], "query int, text string")
+    return search.Index.build(texts).search(q, 10, 0.05, 12)
+
+
+@query("name_lookup", f"WITH {CUES_SQL} SELECT cue, entity FROM cues JOIN entities ON contains(lower(name), lower(text)) WHERE length(text) >= 2", "entities")
+def _(t):
+    return search.by_partial_name(t.entities(), cues(t))
+
+
+@query("vector_search", """WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
+  s AS (SELECT query, vec_id AS id, round(list_sum(list_transform(list_zip(embedding, v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS similarity FROM embeddings, q WHERE vec_id <> query)
+  SELECT query, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS r FROM s) WHERE r <= 5""")
+def _(t):
+    v = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search.nearest(v, v.where("id % 50 = 0").withColumnRenamed("id", "query"), 5, digits=5)
+
+
+@query("name_similarity", """WITH n AS (SELECT DISTINCT name FROM entities), f AS (SELECT name, list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS t, list_distinct(list_transform(range(1, length(name)), lambda i: substr(lower(name), i, 2))) AS b FROM n)
+  SELECT x.name AS a, y.name AS b, round(least(1.0::DOUBLE, 0.7::DOUBLE * len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) + 0.3::DOUBLE * len(list_intersect(x.b, y.b)) / len(list_distinct(list_concat(x.b, y.b)))), 6) AS similarity FROM f x JOIN f y ON x.name < y.name""", "entities")
+def _(t):
+    n = t.entities().select("name").distinct()
+    return n.toDF("a").join(n.toDF("b"), F.col("a") < F.col("b")).select("a", "b", F.round(T.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- text functions over whole tables
+
+
+@query("annotations", """SELECT page_id, list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(x, '(?:^|\\s)#(\\w{2,})', 1), lambda s: lower(s)))), 'string_agg', ',') AS tags, list_aggregate(list_sort(list_distinct(regexp_extract_all(x, '<@([A-Z0-9]+)>', 1))), 'string_agg', ',') AS mentions, list_aggregate(list_distinct(regexp_extract_all(x, 'https?://[^\\s>|]+')), 'string_agg', ',') AS urls
+  FROM (SELECT page_id, '#Tag' || (page_id % 7) || ' by <@U' || (page_id % 5) || '> see ' || url AS x FROM pages)""")
+def _(t):
+    x = F.concat(F.lit("#Tag"), F.col("page_id") % 7, F.lit(" by <@U"), F.col("page_id") % 5, F.lit("> see "), F.col("url"))
+    j = lambda c: F.array_join(F.array_sort(c), ",")
+    return t.raw("pages").select("page_id", x.alias("x")).select("page_id", j(T.hashtags(F.col("x"))).alias("tags"), j(T.user_mentions(F.col("x"))).alias("mentions"), j(T.urls(F.col("x"))).alias("urls"))
+
+
+@query("snippets", "SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '…' ELSE text END AS snippet, substr(sha256(text), 1, 12) AS content_id FROM documents")
+def _(t):
+    return t.raw("documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"), T.content_id(F.col("text")).alias("content_id"))
+
+
+@query("slugs", "SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(c_name || ' _ ' || c_mktsegment)), '[\\s_]+', '-', 'g'), '[^a-z0-9\\-]', '', 'g'), '-{2,}', '-', 'g'), '-') AS slug FROM customer")
+def _(t):
+    return t.raw("customer").select("c_custkey", T.slugify(F.concat_ws(" _ ", "c_name", "c_mktsegment")).alias("slug"))
+
+
+@query("page_slice", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 7 OFFSET 5")
+def _(t):
+    return frames.page(t.raw("nation").select("n_nationkey", "n_name"), ["n_nationkey"], 7, 5)
+
+
+# ---------------------------------------------------------------- clinical
+
+
+def members(t: Tables) -> DataFrame:
+    return clinical.cohort(t.patients(), t.diagnoses(), t.prescriptions(), ["econ"], ["brand#1"], "F", (30, 70), F.lit("2000-01-01").cast("date"))
+
+
+COHORT_SQL = "members AS (SELECT patient FROM patients p WHERE gender = 'F' AND (DATE '2000-01-01' - birth) / 365.25 BETWEEN 30 AND 70 AND EXISTS (SELECT 1 FROM diagnoses d WHERE d.patient = p.patient AND contains(lower(condition), 'econ')) AND EXISTS (SELECT 1 FROM prescriptions x WHERE x.patient = p.patient AND contains(lower(drug), 'brand#1')))"
+CLIN = ("patients", "diagnoses", "prescriptions", "labs")
+
+
+@query("find_cohort", f"WITH {COHORT_SQL} SELECT patient, name, birth, gender FROM patients JOIN members USING (patient)", *CLIN)
+def _(t):
+    return members(t)
+
+
+@query("count_cohort", f"WITH {COHORT_SQL} SELECT count(*) AS n FROM members", *CLIN)
+def _(t):
+    return clinical.count_cohort(members(t))
+
+
+@query("aggregate_observation", f"""WITH {COHORT_SQL}, v AS (SELECT code, arg_max(value, struct_pack(date, id)) AS value FROM labs JOIN members USING (patient) GROUP BY patient, code)
+  SELECT code, round(sum(value::DECIMAL(18,4))::DOUBLE / count(*), 2) AS avg, round(min(value), 2) AS min, round(max(value), 2) AS max, round(sum(value::DECIMAL(18,4))::DOUBLE, 2) AS sum, count(*) AS n, round(median(value), 2) AS median FROM v GROUP BY code""", *CLIN)
+def _(t):
+    return clinical.aggregate_observation(t.labs(), members(t))
+
+
+@query("observation_distribution", """WITH v AS (SELECT code, arg_max(value, struct_pack(date, id)) AS value FROM labs JOIN patients USING (patient) GROUP BY patient, code), l(bucket, label) AS (VALUES (0, '(-inf, 10]'), (1, '(10, 25]'), (2, '(25, 50]'), (3, '(50, 1000]'), (4, '(1000, inf)')),
+  n AS (SELECT code, (value > 10)::INT + (value > 25)::INT + (value > 50)::INT + (value > 1000)::INT AS bucket, count(*) AS n FROM v GROUP BY ALL) SELECT c.code, l.bucket, label, coalesce(n, 0) AS n FROM (SELECT DISTINCT code FROM v) c, l LEFT JOIN n ON n.code = c.code AND n.bucket = l.bucket""", *CLIN)
+def _(t):
+    return clinical.distribution(t.labs(), t.patients(), [10, 25, 50, 1000])
+
+
+@query("temporal_relation", "WITH a AS (SELECT patient, min(start) AS first FROM diagnoses WHERE condition = 'ECONOMY' GROUP BY 1), b AS (SELECT patient, min(start) AS second FROM prescriptions WHERE drug = 'Brand#1' GROUP BY 1) SELECT patient, first, second, CASE WHEN first < second THEN 'before' WHEN first > second THEN 'after' ELSE 'same_day' END AS relation FROM a JOIN b USING (patient)", *CLIN)
+def _(t):
+    return clinical.temporal_relation(t.diagnoses().where("condition = 'ECONOMY'").select("patient", F.col("start").alias("date")), t.prescriptions().where("drug = 'Brand#1'").select("patient", F.col("start").alias("date")))
+
+
+@query("medication_adherence", """WITH x AS (SELECT *, lead(start) OVER (PARTITION BY patient, drug ORDER BY start, encounter, line) AS nxt, coalesce(stop, DATE '2001-01-01') AS fin FROM prescriptions),
+  g AS (SELECT patient, drug, count(*) AS fills, sum(CASE WHEN stop IS NOT NULL AND nxt > stop THEN 1 ELSE 0 END)::BIGINT AS gaps, sum(CASE WHEN stop IS NOT NULL AND nxt > stop THEN nxt - stop ELSE 0 END)::BIGINT AS gap_days, sum(greatest(0, fin - start))::BIGINT AS days_covered, max(fin) - min(start) AS span_days FROM x GROUP BY 1, 2),
+  r AS (SELECT *, round(CASE WHEN span_days > 0 THEN least(1.0::DOUBLE, days_covered / span_days) ELSE 1.0::DOUBLE END, 6) AS ratio FROM g) SELECT *, CASE WHEN ratio >= 0.8 THEN 'adherent' WHEN ratio >= 0.5 THEN 'partial' ELSE 'poor' END AS label FROM r""", *CLIN)
+def _(t):
+    return clinical.adherence(t.prescriptions(), at("2001-01-01", "date"))
+
+
+@query("compare_observations", """WITH g AS (SELECT patient, code, arg_min(struct_pack(date, value), struct_pack(date, id)) AS x, arg_max(struct_pack(date, value), struct_pack(date, id)) AS y FROM labs GROUP BY ALL)
+  SELECT patient, code, x.value AS first, y.value AS last, round(y.value - x.value, 6) AS delta, CASE WHEN round(y.value - x.value, 6) > 1e-9 THEN 'rising' WHEN round(y.value - x.value, 6) < -1e-9 THEN 'falling' ELSE 'stable' END AS direction, y.date - x.date AS days FROM g""", *CLIN)
+def _(t):
+    return clinical.compare(t.labs())
+
+
+@query("treatments", "SELECT condition, drug, patients, prescriptions FROM (SELECT reason AS condition, drug, count(DISTINCT patient) AS patients, count(*) AS prescriptions, row_number() OVER (PARTITION BY reason ORDER BY count(DISTINCT patient) DESC, drug) AS r FROM prescriptions GROUP BY 1, 2) WHERE r <= 20", *CLIN)
+def _(t):
+    return clinical.treatments(t.prescriptions())
+
+
+@query("rank_conditions", f"WITH {COHORT_SQL} SELECT condition, count(DISTINCT patient) AS patients FROM diagnoses JOIN members USING (patient) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", *CLIN)
+def _(t):
+    return clinical.rank_conditions(t.diagnoses(), members(t))
+
+
+@query("patient_ages", "SELECT patient, date_diff('year', birth, DATE '2001-01-01') - (strftime(DATE '2001-01-01', '%m%d') < strftime(birth, '%m%d'))::INT AS age, false AS deceased FROM patients", *CLIN)
+def _(t):
+    return clinical.ages(t.patients(), at("2001-01-01", "date"))
+
+
+@query("active_diagnoses", "SELECT patient, condition, start, encounter FROM diagnoses WHERE stop IS NULL", *CLIN)
+def _(t):
+    return clinical.diagnoses(t.diagnoses(), status="active").select("patient", "condition", "start", "encounter")
+
+
+@query("medications", "SELECT patient, drug, start, encounter, line FROM prescriptions WHERE stop IS NULL AND contains(drug, '#2')", *CLIN)
+def _(t):
+    return clinical.medications(t.prescriptions(), None, True, "#2").select("patient", "drug", "start", "encounter", "line")
+
+
+@query("lab_results", "SELECT patient, code, date, value, id FROM labs WHERE code IN ('click', 'error') AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'", *CLIN)
+def _(t):
+    return clinical.labs(t.labs(), None, ["click", "error"], "2024-01-05", "2024-01-09")
+
+
+@query("encounter_detail", "WITH e AS (SELECT o_orderkey AS encounter, o_custkey AS patient FROM orders WHERE o_orderstatus = 'P') SELECT e.*, (SELECT string_agg(DISTINCT condition, ',' ORDER BY condition) FROM diagnoses d WHERE d.encounter = e.encounter) AS conditions, (SELECT string_agg(DISTINCT drug, ',' ORDER BY drug) FROM prescriptions p WHERE p.encounter = e.encounter) AS drugs FROM e", *CLIN)
+def _(t):
+    o = t.raw("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("encounter"), F.col("o_custkey").alias("patient"))
+    return clinical.encounter_detail(o, o.select("encounter"), {"conditions": (t.diagnoses(), F.col("condition")), "drugs": (t.prescriptions(), F.col("drug"))})
+
+
+@query("patient_summary", "SELECT p.*, coalesce(nd, 0) AS n_conditions, conditions, coalesce(nl, 0) AS n_labs, labs FROM patients p LEFT JOIN (SELECT patient, count(*) AS nd, list_aggregate(list_sort(list(DISTINCT condition))[1:10], 'string_agg', ',') AS conditions FROM diagnoses GROUP BY 1) USING (patient) LEFT JOIN (SELECT patient, count(*) AS nl, list_aggregate(list_sort(list(DISTINCT code))[1:10], 'string_agg', ',') AS labs FROM labs GROUP BY 1) USING (patient)", *CLIN)
+def _(t):
+    return clinical.patient_summary(t.patients(), {"conditions": (t.diagnoses(), F.col("condition")), "labs": (t.labs(), F.col("code"))})
+
+
+# ---------------------------------------------------------------- research and portfolio
+
+CUR, CMP = "2000-06-01", "1999-06-01"
+
+
+@query("trending_entities", "SELECT entity, domain, count(*) FILTER (date >= TIMESTAMP '2000-06-01') AS current, count(*) FILTER (date < TIMESTAMP '2000-06-01') AS previous, count(*) FILTER (date >= TIMESTAMP '2000-06-01') - count(*) FILTER (date < TIMESTAMP '2000-06-01') AS change FROM research WHERE date >= TIMESTAMP '1999-06-01' GROUP BY 1, 2 HAVING current > 0", "research")
+def _(t):
+    return research.trending(t.research(), ["entity", "domain"], at(CUR), at(CMP))
+
+
+@query("trending_trends", "SELECT trend, count(*) FILTER (date >= TIMESTAMP '2000-06-01') AS current, count(*) FILTER (date < TIMESTAMP '2000-06-01') AS previous, count(*) FILTER (date >= TIMESTAMP '2000-06-01') - count(*) FILTER (date < TIMESTAMP '2000-06-01') AS change FROM research WHERE date >= TIMESTAMP '1999-06-01' GROUP BY 1 HAVING current > 0", "research")
+def _(t):
+    return research.trending(t.research(), ["trend"], at(CUR), at(CMP))
+
+
+@query("landscape", """WITH w AS (SELECT * FROM research WHERE date >= TIMESTAMP '2000-06-01'), e AS (SELECT DISTINCT domain, entity FROM research),
+  x AS (SELECT e.domain, 'entity' AS what, e.entity AS name, count(w.event) AS value FROM e LEFT JOIN w ON w.domain = e.domain AND w.entity = e.entity GROUP BY ALL UNION ALL SELECT domain, 'event', event::VARCHAR, count(DISTINCT entity) FROM w GROUP BY ALL UNION ALL SELECT domain, 'trend', trend, (max(date)::DATE - DATE '1970-01-01')::BIGINT FROM research GROUP BY ALL)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, what ORDER BY value DESC, name) AS rank FROM x) WHERE rank <= 20""", "research")
+def _(t):
+    r = t.research()
+    return research.landscape(r, r.select("domain", "entity").distinct(), at(CUR))
+
+
+@query("entity_timeline", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC, event, role) AS rank FROM (SELECT DISTINCT entity, event, role, date FROM research)) WHERE rank <= 30", "research")
+def _(t):
+    return research.entity_timeline(t.research())
+
+
+@query("dependency_graph", "SELECT dep, count(DISTINCT project) AS users, string_agg(DISTINCT project || '@' || version, ',' ORDER BY project || '@' || version) AS projects, count(DISTINCT version) AS versions, count(DISTINCT version) > 1 AS mismatch FROM uses GROUP BY 1", "uses")
+def _(t):
+    return portfolio.dependency_graph(t.uses())
+
+
+def projects(t: Tables) -> DataFrame:
+    return t.raw("supplier").select(F.col("s_suppkey").alias("project"))
+
+
+def sessions(t: Tables) -> DataFrame:
+    return t.raw("orders").select((F.col("o_custkey") % 97).alias("project"), F.col("o_orderkey").alias("session"), F.col("o_orderdate").alias("ts"))
+
+
+@query("project_health", """WITH c AS (SELECT project, max(date) AS last, count(*) FILTER (date >= TIMESTAMP '2001-01-01' - INTERVAL 30 DAY) AS commits FROM commits GROUP BY 1), tp AS (SELECT dep, max(version) AS top FROM uses GROUP BY 1),
+  u AS (SELECT project, count(*) AS dependencies, count(*) FILTER (version < top) AS stale FROM (SELECT project, dep, max(version) AS version FROM uses GROUP BY 1, 2) JOIN tp USING (dep) GROUP BY 1),
+  s AS (SELECT o_custkey % 97 AS project, count(*) AS sessions FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' - INTERVAL 30 DAY GROUP BY 1), b AS (SELECT src AS project, count(*) AS branches FROM depends_on GROUP BY 1),
+  x AS (SELECT s_suppkey AS project, DATE '2001-01-01' - last::DATE AS days, coalesce(commits, 0) AS commits, coalesce(dependencies, 0) AS dependencies, coalesce(stale, 0) AS stale, coalesce(sessions, 0) AS sessions, coalesce(branches, 0) AS branches FROM supplier LEFT JOIN c ON c.project = s_suppkey LEFT JOIN u ON u.project = s_suppkey LEFT JOIN s ON s.project = s_suppkey LEFT JOIN b ON b.project = s_suppkey),
+  y AS (SELECT *, (CASE WHEN days <= 7 THEN 40 WHEN days <= 14 THEN 32 WHEN days <= 30 THEN 24 WHEN days <= 60 THEN 16 WHEN days <= 90 THEN 8 ELSE 0 END + CASE WHEN commits >= 20 THEN 10 WHEN commits >= 10 THEN 7 WHEN commits >= 5 THEN 4 WHEN commits >= 1 THEN 2 ELSE 0 END
+   + CASE WHEN dependencies = 0 THEN 15 WHEN stale = 0 THEN 30 WHEN stale / dependencies < 0.1 THEN 24 WHEN stale / dependencies < 0.25 THEN 18 WHEN stale / dependencies < 0.5 THEN 10 ELSE 4 END + CASE WHEN sessions >= 5 THEN 20 WHEN sessions >= 2 THEN 14 WHEN sessions >= 1 THEN 8 ELSE 0 END
+   + CASE WHEN branches <= 3 THEN 10 WHEN branches <= 8 THEN 6 WHEN branches <= 15 THEN 3 ELSE 0 END) AS score FROM x)
+  SELECT *, CASE WHEN days IS NULL AND commits = 0 THEN 'unknown' WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 35 THEN 'fair' ELSE 'poor' END AS label FROM y""", "uses", "commits", "depends_on")
+def _(t):
+    branches = t.depends_on().select(F.col("src").alias("project"))
+    return portfolio.health(projects(t), t.commits(), t.uses(), sessions(t), branches, F.lit("2001-01-01").cast("timestamp_ntz"))
+
+
+@query("project_activity", "WITH x AS (SELECT project, 'commit' AS what, sha AS id, date AS ts FROM commits WHERE date >= TIMESTAMP '1999-01-01' UNION ALL SELECT o_custkey % 97, 'session', o_orderkey::VARCHAR, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01') SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, what ORDER BY ts DESC, id) AS rank FROM x) WHERE rank <= 20", "commits")
+def _(t):
+    return portfolio.activity(t.commits(), sessions(t), F.lit("1999-01-01").cast("timestamp_ntz"))
+
+
+@query("stale_projects", "SELECT s_suppkey AS project, coalesce(DATE '2001-01-01' - last::DATE, 30) AS inactive_days FROM supplier LEFT JOIN (SELECT project, max(date) AS last FROM commits WHERE project % 3 > 0 AND date < TIMESTAMP '2000-12-01' GROUP BY 1) ON project = s_suppkey WHERE last IS NULL OR last < TIMESTAMP '2001-01-01' - INTERVAL 30 DAY", "commits")
+def _(t):
+    return portfolio.stale(projects(t), t.commits().where("project % 3 > 0 and date < timestamp_ntz'2000-12-01'"), F.lit("2001-01-01").cast("timestamp_ntz"))
+
+
+IMPACT_SQL = """WITH h1 AS (SELECT DISTINCT src AS root, dst AS node FROM depends_on WHERE src < 8), h2 AS (SELECT DISTINCT root, dst AS node FROM h1 JOIN depends_on ON src = node), d AS (SELECT root, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM h1 UNION ALL SELECT *, 2 FROM h2) WHERE root <> node GROUP BY 1, 2),
+  u AS (SELECT DISTINCT dst AS root, src AS node FROM depends_on WHERE dst < 8), x AS (SELECT root, node, depth, 'downstream' AS kind FROM d UNION ALL SELECT root, node, 1, 'dependent' FROM u ANTI JOIN d USING (root, node))
+  SELECT root, node, kind, depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, kind, node) AS r FROM x) WHERE r <= 50"""
+
+
+@query("cross_project_impact", IMPACT_SQL, "depends_on")
+def _(t):
+    return portfolio.cross_project_impact(t.depends_on(), projects(t).where("project < 8").withColumnRenamed("project", "root"), 2)
+
+
+@query("shared_packages", "WITH o AS (SELECT DISTINCT project, dep FROM uses), n AS (SELECT dep, count(*) AS users FROM o GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100) SELECT x.project AS a, y.project AS b, count(*) AS shared, max(users) AS users, CASE WHEN max(users) >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM o x JOIN o y ON x.dep = y.dep AND x.project < y.project JOIN n ON n.dep = x.dep GROUP BY 1, 2", "uses")
+def _(t):
+    return portfolio.shared_packages(t.uses())
+
+
+@query("portfolio_report", "SELECT 'projects' AS what, count(*) AS n FROM supplier UNION ALL SELECT 'dependencies', count(DISTINCT dep) FROM uses UNION ALL SELECT 'uses', count(*) FROM uses UNION ALL SELECT 'depends_on', count(*) FROM depends_on UNION ALL SELECT 'sessions', count(*) FROM orders UNION ALL SELECT 'shared_dependencies', count(*) FROM (SELECT dep FROM uses GROUP BY 1 HAVING count(DISTINCT project) > 1)", "uses", "depends_on")
+def _(t):
+    return portfolio.report(projects(t), t.uses(), t.depends_on(), sessions(t))
+
+
+# ---------------------------------------------------------------- sinks, resolution, maintenance
+
+
+@query("node_upsert", "WITH n AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0) SELECT o.o_orderkey AS id, CASE WHEN n.o_orderkey IS NULL THEN o.o_orderstatus ELSE 'X' END AS status, o.o_orderdate AS created_at FROM orders o LEFT JOIN n USING (o_orderkey)")
+def _(t):
+    old = t.raw("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    new = old.where("id % 2 = 0").select("id", F.lit("X").alias("status"), F.date_add("created_at", 9).cast("timestamp_ntz").alias("created_at"))
+    return frames.upsert_nodes(old, new, ["id"])
+
+
+@query("edge_upsert", "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, 'old' AS props FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT src, dst, 'new' FROM (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber <> 1 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25)) ANTI JOIN (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber = 1) USING (src, dst)")
+def _(t):
+    e = t.raw("lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber")
+    old = e.where("l_linenumber = 1").select("src", "dst", F.lit("old").alias("props")).distinct()
+    new = e.where("l_linenumber <> 1").select("src", "dst", F.lit("new").alias("props"))
+    return frames.upsert_edges(old, new, ["src", "dst"], [(t.raw("part").where("p_size < 25"), {"dst": "p_partkey"})])
+
+
+@query("cursors", "SELECT 'events' AS source, event_type AS container, max(ts) AS latest FROM events GROUP BY 2")
+def _(t):
+    return maintain.cursors(t.activities().select("source", F.col("kind").alias("container"), "ts"))
+
+
+@query("person_links", "WITH k AS (SELECT 'crm' AS source, c_mktsegment || (c_custkey % 40) AS username, 'crm:' || c_mktsegment || (c_custkey % 40) AS person_key, c_name AS display_name FROM customer UNION ALL SELECT 'erp', 'MACHINERY' || (s_suppkey % 40), 'erp:MACHINERY' || (s_suppkey % 40), s_name FROM supplier), g AS (SELECT username, min(display_name) AS display_name, count(DISTINCT person_key) AS n FROM k GROUP BY 1 HAVING n >= 2) SELECT DISTINCT 'person:' || username AS canonical, person_key, g.display_name FROM g JOIN k USING (username)")
+def _(t):
+    c = t.raw("customer").select(F.concat(F.lit("crm:"), "c_mktsegment", F.col("c_custkey") % 40).alias("person_key"), F.col("c_name").alias("display_name"))
+    s = t.raw("supplier").select(F.concat(F.lit("erp:MACHINERY"), F.col("s_suppkey") % 40).alias("person_key"), F.col("s_name").alias("display_name"))
+    return resolve.link_persons(c.union(s))
+
+
+@query("alias_collapse", """WITH r AS (SELECT entity, min(entity) OVER (PARTITION BY name, type) AS root FROM entities) SELECT atom, root AS entity, max(prominence) AS prominence FROM mentions JOIN r USING (entity) GROUP BY 1, 2""", "entities", "mentions")
+def _(t):
+    return maintain.collapse_mentions(t.mentions(), maintain.same_name_roots(t.entities()))
+
+
+@query("ingest_status", "SELECT 'orders' AS what, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")
+def _(t):
+    return maintain.counts({n: t.raw(n) for n in ("orders", "events", "documents")})
+
+
+@query("near_duplicate_atoms", """WITH e AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings) SELECT x.id AS a, y.id AS b, round(list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS similarity FROM e x JOIN e y ON x.id > y.id AND x.id % 50 = 0 WHERE round(list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) >= 0.4""")
+def _(t):
+    v = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return maintain.near_duplicates(v, v.where("id % 50 = 0"), 0.4)
