@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
 
+# Tables as schema texts.
 RESERVED = {"IN_EPISODE", "SUPERSEDES", "SUMMARIZES", "REINFORCED_BY", "ALIAS_OF", "IS_A"}
-ATOM = T.StructType.fromDDL("id string, content string, kind string, salience string, created_at timestamp, last_accessed timestamp, access_count bigint, source_instance string, cwd string, source_kind string, tier string, extracted boolean, superseded_by string, foreign_episode struct<instance: string, episode_id: string>, embedding array<float>")
-ENTITY = T.StructType.fromDDL("id string, name string, type string, first_seen timestamp, last_seen timestamp, mention_count bigint, aliases array<string>, status string, embedding array<float>")
-EPISODE = T.StructType.fromDDL("id string, start_time timestamp, end_time timestamp, source_instance string, cwd string, summary_memory_id string, message_count bigint, closed boolean")
-MENTION = T.StructType.fromDDL("atom_id string, entity_id string, kind string, prominence double, created_at timestamp")
-ASSOC = T.StructType.fromDDL("a string, b string, kind string, weight bigint, last_reinforced timestamp")
-CANONICAL = T.StructType.fromDDL(
+ATOM = ("id string, content string, kind string, salience string, created_at timestamp, last_accessed timestamp, access_count bigint, source_instance string, cwd string, source_kind string, tier string, extracted boolean, superseded_by string, foreign_episode struct<instance: string, episode_id: string>, embedding array<float>")
+ENTITY = ("id string, name string, type string, first_seen timestamp, last_seen timestamp, mention_count bigint, aliases array<string>, status string, embedding array<float>")
+EPISODE = ("id string, start_time timestamp, end_time timestamp, source_instance string, cwd string, summary_memory_id string, message_count bigint, closed boolean")
+MENTION = ("atom_id string, entity_id string, kind string, prominence double, created_at timestamp")
+ASSOC = ("a string, b string, kind string, weight bigint, last_reinforced timestamp")
+CANONICAL = (
     "activity struct<source: string, source_id: string, timestamp: timestamp, kind: string, snippet: string, url: string, thread_ts: string, parent_id: string, message_count: int>, "
     "person struct<person_key: string, display_name: string, source: string, source_id: string, avatar: string>, container struct<source: string, container_id: string, name: string, kind: string>, "
     "account struct<source: string, account_id: string, linked_person_key: string>, topics array<struct<name: string, tier: string>>, mentions array<string>, urls array<string>"
