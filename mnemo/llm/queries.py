@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemo.llm import decontamination, matroska, minhash_dedup, packing, secrets, sharding, toxicity, warc
+from mnemo.llm import decontamination, matroska, minhash_dedup, packing, secrets, sharding, suffix_dedup, toxicity, warc
 from mnemo.llm.common import scratch_path, table
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ def op7(spark, sf_dir):
 @query("op9_secrets")
 def op9(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
