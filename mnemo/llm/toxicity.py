@@ -2,8 +2,8 @@
 
 A document is toxic with probability 1 - (1 - leak) * prod(1 - p(sentence)); p(sentence) is a logistic
 score of the sentence's distinct indicative words, and 0 without any, so length alone convicts no
-text. Words are chosen over all training documents in
-Spark; the few weights are then fitted on a bounded sample of the labelled rows (FIT_DOCS).
+text. Words are
+chosen and weights fitted on a bounded sample of the labelled rows (FIT_DOCS).
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents used to fit weights, at most; word statistics always cover all of them.
-FIT_DOCS = 50_000
+from mnemo.llm.common import saved
+
+#: Labelled documents to learn from, at most.
+FIT_DOCS = 20_000
 #: Words kept, at most, and the least log-likelihood ratio and training documents of one.
 VOCABULARY, LEAST_LLR, LEAST_DOCS = 2048, 24.0, 5
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -88,11 +90,12 @@ class Model:
 def fit(bags: pd.DataFrame, index: dict[str, int], rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> Model:
     """Full-batch Adam on the noisy-or likelihood of the document labels; deterministic."""
     n, y = len(bags), bags["toxic"].to_numpy(dtype=float)
+    times = bags["n"].to_numpy(dtype=float)
     doc = np.repeat(np.arange(n), [len(b) for b in bags["bag"]])
     sizes = [len(s) for b in bags["bag"] for s in b]
     sentence = np.repeat(np.arange(len(sizes)), sizes)
     word = np.array([i for b in bags["bag"] for s in b for i in s], dtype=np.int64)
-    base = min(max(y.mean() if n else 0.01, 1e-3), 0.5)
+    base = min(max(np.average(y, weights=times) if n else 0.01, 1e-3), 0.5)
     theta = np.concatenate([np.zeros(len(index)), [-1.0, np.log(base / (1 - base)) - 1]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
@@ -102,9 +105,9 @@ def fit(bags: pd.DataFrame, index: dict[str, int], rounds: int = 400, rate: floa
         spill = 1 / (1 + np.exp(-leak))
         log_clean = np.bincount(doc, weights=-np.logaddexp(0, z), minlength=n) - np.logaddexp(0, leak)
         clean = np.exp(log_clean)
-        g = y * clean / np.maximum(1 - clean, 1e-9) - (1 - y)  # d likelihood / d (-log clean)
+        g = times * (y * clean / np.maximum(1 - clean, 1e-9) - (1 - y))  # d likelihood / d (-log clean)
         per = g[doc] * p
-        grad = np.concatenate([np.bincount(word, weights=per[sentence], minlength=len(index)), [per.sum(), g.sum() * spill]]) / max(n, 1)
+        grad = np.concatenate([np.bincount(word, weights=per[sentence], minlength=len(index)), [per.sum(), g.sum() * spill]]) / max(times.sum(), 1)
         grad[:-2] -= ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -113,13 +116,15 @@ def fit(bags: pd.DataFrame, index: dict[str, int], rounds: int = 400, rate: floa
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the labelled documents that are not held out. Without any, every text scores the leak."""
-    known = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    counts = rows.select("text", "toxic").mapInPandas(_word_counts, "word string, n long, n_toxic long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("k")).where(F.col("n") >= LEAST_DOCS)
-    total = known.where(~held_out(F.col("_id"))).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
-    n, k = max(total["n"], 1), total["k"]
+    """Learn from the labelled documents that are not held out, at most FIT_DOCS of them: those with the least
+    hashes of their ids. The bound makes the sample's labels small enough to broadcast, so no text is
+    shuffled. Without any labels every text scores the leak."""
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    sample = saved(known.orderBy(F.xxhash64("_id"), "_id").limit(FIT_DOCS), "sample")
+    rows = saved(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "toxic"), "train")
+    n, k = (rows.count(), rows.where("toxic > 0").count())
+    n = max(n, 1)
+    counts = rows.mapInPandas(_word_counts, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("k")).where(F.col("n") >= LEAST_DOCS)
     share, inside, outside = F.lit(k / n), F.col("k") / F.col("n"), (F.lit(k) - F.col("k")) / F.greatest(F.lit(n) - F.col("n"), F.lit(1))
 
     def likelihood(hits: Column, of: Column, p: Column) -> Column:
@@ -129,10 +134,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     llr = 2 * (likelihood(F.col("k"), F.col("n"), inside) + likelihood(F.lit(k) - F.col("k"), F.lit(n) - F.col("n"), outside) - likelihood(F.lit(k), F.lit(n), share))
     chosen = counts.withColumn("llr", llr).where((F.col("llr") >= LEAST_LLR) & (inside > share)).orderBy(F.desc("llr"), "word").limit(VOCABULARY)
     index = {r["word"]: i for i, r in enumerate(chosen.select("word").collect())}
-    if n > FIT_DOCS:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * FIT_DOCS / n))
-    bags = rows.select("text", "toxic").mapInPandas(lambda frames: _bags(frames, index), "toxic int, bag array<array<int>>").toPandas()
-    return fit(bags, index)
+    bags = rows.mapInPandas(lambda frames: _bags(frames, index), "toxic int, bag array<array<int>>")
+    # a text without any indicative word only counts
+    bags = bags.groupBy("toxic", "bag").agg(F.count("*").alias("n")).toPandas()
+    return fit(bags.sort_values(["toxic", "n"], kind="stable"), index)
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start int, length int, score double>>"

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from mnemo.llm import toxicity as t
@@ -6,9 +7,9 @@ BAD, GOOD = ["vile", "nasty"], ["sun", "rain", "tree", "bird", "stone", "cloud"]
 
 
 def corpus():
-    docs, labels = [], []
+    docs, labels, r = [], [], random.Random(2)
     for i in range(400):
-        w = [f"The {GOOD[i % 6]} and {GOOD[(i * 7) % 6]} met.", f"Some {GOOD[(i * 3) % 6]} fell!"]
+        w = [f"The {r.choice(GOOD)} and {r.choice(GOOD)} met.", f"Some {r.choice(GOOD)} fell!"]
         if i % 4 == 0:
             w.insert(1, f"You {BAD[i % 8 // 4]} thing.")
         docs.append((i, " ".join(w), "x", i))
