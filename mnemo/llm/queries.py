@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemo.llm import decontamination, matroska, minhash_dedup, packing, secrets, sharding, suffix_dedup, toxicity, warc
+from mnemo.llm import decontamination, matroska, minhash_dedup, packing, secrets, sharding, suffix_dedup, token_files, toxicity, warc
 from mnemo.llm.common import scratch_path, table
 
 QUERIES: dict = {}
@@ -65,3 +65,8 @@ def op9(spark, sf_dir):
 @query("op3_suffix_dedup")
 def op3(spark, sf_dir):
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_files")
+def op4(spark, sf_dir):
+    return token_files.through_files(table(spark, sf_dir, "documents"))
