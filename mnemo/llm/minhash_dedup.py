@@ -5,7 +5,7 @@ soon as the posterior probability of similarity >= the threshold falls under MIS
 verified on full shingle sets. Work on copies is linear: equal shingle sets are one class from the
 start, and a bucket first compares its members with its least member only. Only members of a bucket
 that still lie in different components afterwards are compared with each other, inside tasks and in
-blocks, so no pairs within a group are ever emitted but those that pass the Bayesian test.
+blocks, and a task gives back no more pairs than connect what it found.
 """
 
 from __future__ import annotations
@@ -131,17 +131,77 @@ def _surviving(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield f.loc[passes(_matrix(f["sig_a"]), _matrix(f["sig_b"])), ["a", "b"]]
 
 
-def _across(f: pd.DataFrame) -> pd.DataFrame:
-    """Survivors between the rows of two blocks of one bucket that lie in different components."""
-    left, right = f[f["side"] == 0], f[f["side"] == 1]
-    sig_l, sig_r, out = _matrix(left["sig"]), _matrix(right["sig"]), []
-    for i, (doc, label) in enumerate(zip(left["doc"], left["label"], strict=True)):
-        at = np.flatnonzero((right["label"].to_numpy() != label) & (right["doc"].to_numpy() > doc))
-        at = at[passes(np.broadcast_to(sig_l[i], (len(at), BANDS * ROWS)), sig_r[at])]
-        out.extend((doc, d) for d in right["doc"].to_numpy()[at])
+class _Groups:
+    """Union-find over whatever is named."""
+
+    def __init__(self):
+        self.up = {}
+
+    def top(self, x):
+        while (u := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(u, u)
+            x = u
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.up[x] = y
+        return x != y
+
+
+def _sides(f: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each row of the left block: its place, and the places of survivors of the right block in other
+    components. A block against itself looks at each pair once."""
+    left, right = np.flatnonzero(f["side"] != 1), np.flatnonzero(f["side"] != 0)
+    sig, label, alone = _matrix(f["sig"]), f["label"].to_numpy(), (f["side"] == 2).all()
+    for k, i in enumerate(left):
+        at = right[k + 1 :] if alone else right
+        at = at[label[at] != label[i]]
+        yield i, at[passes(np.broadcast_to(sig[i], (len(at), BANDS * ROWS)), sig[at])]
+
+
+def _suspects(f: pd.DataFrame) -> pd.DataFrame:
+    """Documents of one bucket that survive the test with one of another component, as few pairs as name
+    them all and connect their components."""
+    doc, label, groups, seen, out = f["doc"].to_numpy(), f["label"].to_numpy(), _Groups(), set(), []
+    for i, at in _sides(f):
+        for j in at:
+            if groups.join(label[i], label[j]) or i not in seen or j not in seen:
+                out.append((doc[i], label[i], doc[j], label[j]))
+                seen |= {i, j}
+    return pd.DataFrame(out, columns=["a", "label_a", "b", "label_b"], dtype="int64")
+
+
+def _settle(f: pd.DataFrame) -> pd.DataFrame:
+    """Exact links between the components of two blocks of one family, as few as connect what is linked."""
+    doc, label, groups, out = f["doc"].to_numpy(), f["label"].to_numpy(), _Groups(), []
+    ids = np.unique(np.concatenate(f["shingles"].to_list()), return_inverse=True)[1].ravel()
+    sizes = np.array([len(x) for x in f["shingles"]])
+    sets = np.split(ids, np.cumsum(sizes)[:-1])
+    own = np.zeros(ids.max() + 1, dtype=bool)
+    for i, at in _sides(f):
+        at = np.array([j for j in at if groups.top(label[i]) != groups.top(label[j])], dtype=np.int64)
+        if not len(at):
+            continue
+        own[sets[i]] = True
+        common = np.add.reduceat(own[np.concatenate([sets[j] for j in at])].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
+        own[sets[i]] = False
+        for j in at[DEN * common >= NUM * (sizes[i] + sizes[at] - common)]:
+            if groups.join(label[i], label[j]):
+                out.append(sorted((doc[i], doc[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def in_blocks(rows: DataFrame, group: str, size: str) -> DataFrame:
+    """Rows of a group dealt to every pair i <= j of its blocks of BLOCK rows: side 0 is block i, 1 block j, 2 both."""
+    k = F.ceil(F.col(size) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("k")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    x = rows.withColumn("k", k).withColumn("own", own).select("*", other)
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return x.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side")).drop("k", "own", "other", size)
+
+
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         yield pd.DataFrame({"doc": f["doc"], "shingles": [shingle_set(t).view(np.int64) for t in f["text"]]})
@@ -179,18 +239,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = members.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
     links = saved(verified(saved(_test(stars, sigs), "pairs"), docs), "links")
-    while True:
-        labels = components(links)
-        rest = _unsettled(members, labels, sigs).join(links, ["a", "b"], "left_anti")
-        rest = rest.join(stars, ["a", "b"], "left_anti")
-        rest = saved(rest, "rest")
-        if not rest.limit(1).count():
-            break
-        stars = stars.union(rest)
-        more = saved(verified(rest, docs), "links")
-        links = links.union(more)
-        if not more.limit(1).count():
-            break
+    labels = components(links)
+    labels = components(links.union(_across(members, labels, sigs, docs)))
     of_class = classes.join(labels.toDF("doc", "label"), "doc", "left").select(*same, F.coalesce("label", "doc").alias("component"))
     out = sketch.join(of_class, same, "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -203,19 +253,27 @@ def _test(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return with_a.join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInPandas(_surviving, "a long, b long")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Survivors of the Bayesian test among members of one bucket that lie in different components."""
+def _across(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between members of one bucket that lie in different components.
+
+    First each bucket names its suspects; suspects that hang together make a family, and the full sets of
+    a family are then compared block by block. Every pair that shares a bucket and survives the Bayesian
+    test is in one family, so no such link is lost.
+    """
     named = members.join(labels.toDF("doc", "label"), "doc", "left").select("bucket", "doc", "members", F.coalesce("label", "doc").alias("label"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    # buckets with the same members need one look only: name a bucket by what it holds
-    holds = named.join(split, "bucket").groupBy("bucket").agg(F.bit_xor(F.xxhash64("doc")).alias("x"), F.count("*").alias("m"), F.min("doc").alias("d"))
-    one = holds.groupBy("x", "m", "d").agg(F.min("bucket").alias("bucket")).select("bucket")
+    split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("doc").alias("d"), F.first("members").alias("m")).where("low < high")
+    # buckets with the same members need one look only
+    one = split.groupBy("x", "m", "d").agg(F.min("bucket").alias("bucket")).select("bucket")
     rows = named.join(one, "bucket").join(sigs, "doc")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
-    left = rows.select("bucket", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.lit(0).alias("side"), "doc", "label", "sig")
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "doc", "label", "sig")
-    return left.union(right).groupBy("bucket", "i", "j").applyInPandas(_across, "a long, b long").distinct()
+    suspects = saved(in_blocks(rows, "bucket", "members").groupBy("bucket", "i", "j").applyInPandas(_suspects, "a long, label_a long, b long, label_b long"), "suspects")
+    family = components(suspects.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), "family").toDF("label", "family")
+    named = suspects.select(F.col("a").alias("doc"), F.col("label_a").alias("label")).union(suspects.select("b", "label_b")).distinct().join(family, "label")
+    named = saved(named, "families")
+    sizes = named.groupBy("family").agg(F.count("*").alias("size"))
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(named.select("doc"), "doc", "left_semi")
+    sets = texts.mapInPandas(_sets, "doc long, shingles array<long>")
+    rows = in_blocks(named.join(sizes, "family"), "family", "size").join(sigs, "doc").join(sets, "doc")
+    return saved(rows.groupBy("family", "i", "j").applyInPandas(_settle, "a long, b long"), "links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
