@@ -98,11 +98,13 @@ def days_between(as_of: Column, ts: Column) -> Column:
 
 
 def linear_recency(as_of: Column, ts: Column, horizon: float = 365.0) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - days_between(as_of, ts) / horizon)), F.lit(0.0))
+    near = 1 - days_between(as_of, ts) / horizon  # greatest and least pass over nulls
+    return F.when(near.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), near))).otherwise(0.0)
 
 
 def recall_recency(as_of: Column, ts: Column, horizon: float = 90.0, floor: float = 0.1, unknown: float = 0.5) -> Column:
-    return F.coalesce(F.greatest(F.lit(floor), 1 - days_between(as_of, ts) / horizon), F.lit(unknown))
+    near = 1 - days_between(as_of, ts) / horizon
+    return F.when(near.isNotNull(), F.greatest(F.lit(floor), near)).otherwise(unknown)
 
 
 def type_match(a: Column, b: Column) -> Column:
@@ -164,7 +166,8 @@ def json_candidate(c: Column) -> Column:
     """JSON in a model's answer: the whole text, a fenced block, or the outermost object or array."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     embedded = F.regexp_extract(c, r"(?s)([\[{].*[\]}])", 1)
-    valid = lambda x: F.when(F.expr("true") & F.trim(x).rlike(r"^[\[{]") & F.try_parse_json(x).isNotNull(), F.trim(x))
+    clean = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    valid = lambda x: F.when(clean(x).rlike(r"^[\[{]") & F.try_parse_json(clean(x)).isNotNull(), clean(x))
     return F.coalesce(valid(c), valid(fenced), valid(embedded))
 
 
@@ -186,7 +189,7 @@ def round2(c: Column) -> Column:
 
 
 def last_part(c: Column) -> Column:
-    return F.element_at(F.filter(F.split(c, "-"), lambda x: x != ""), -1)
+    return F.try_element_at(F.filter(F.split(c, "-"), lambda x: x != ""), F.lit(-1))
 
 
 def direction(delta: Column, eps: float = 1e-9) -> Column:
