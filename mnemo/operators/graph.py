@@ -27,8 +27,9 @@ def recent_activity(activities: DataFrame, persons: DataFrame, containers: DataF
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Undirected (a, b, weight) as directed (src, dst, weight)."""
-    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+    """Undirected (a, b, weight) as directed (src, dst, weight), reading the edges once."""
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    return edges.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e"), "weight").select("e.src", "e.dst", "weight")
 
 
 def neighborhood(edges: DataFrame, roots: DataFrame, direction: str = "in", kinds: list | None = None, most: int = 40) -> DataFrame:
@@ -107,7 +108,6 @@ def spread_activation(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay:
     frontier and one map-side combined max; scores are rounded so that ties order alike everywhere.
     """
     ways = both_ways(edges)
-    # the union of both directions is grouped by nothing: it broadcasts or shuffles as its size asks
     score = seeds.groupBy("cue", "entity").agg(F.max("activation").alias("activation"))
     front = score
     for h in range(1, clamp(hops, 1, 2) + 1):
@@ -167,3 +167,20 @@ def atom_detail(mentions: DataFrame, atoms: DataFrame, wanted: DataFrame) -> Dat
     one = F.concat_ws(":", "entity", "prominence")
     m = mentions.join(wanted, "atom", "left_semi").groupBy("atom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("prominence")).alias("p"), "entity", one.alias("t")))), lambda x: x["t"]), ",").alias("mentions"))
     return atoms.join(wanted, "atom", "left_semi").join(m, "atom", "left")
+
+
+def node_view(tables: dict[str, tuple[DataFrame, list[str], str]]) -> DataFrame:
+    """One view (label, id, name) of labelled tables {label: (table, key columns, name column)}; keys of
+    several columns are joined by colons."""
+    out = None
+    for label, (df, keys, name) in tables.items():
+        one = df.select(F.lit(label).alias("label"), F.concat_ws(":", *keys).alias("id"), F.col(name).cast("string").alias("name"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def resolve_ids(ids: DataFrame, nodes: DataFrame, order: list[str]) -> DataFrame:
+    """(id, label, name): each id's node in the first label of `order` that has it."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("label"))
+    hit = ids.select("id").distinct().join(nodes.where(F.col("label").isin(order)), "id")
+    return hit.groupBy("id").agg(F.min_by(F.struct("label", "name"), F.struct(rank, "name")).alias("x")).select("id", "x.*")

@@ -104,3 +104,20 @@ def report(projects: DataFrame, uses: DataFrame, edges: DataFrame, sessions: Dat
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
         out = one if out is None else out.union(one)
     return out
+
+
+def build(spark, folder: str, frameworks: dict[str, str], as_of: Column) -> dict[str, DataFrame]:
+    """A portfolio from landed files under `folder`: trees/, logs/, branches/, sessions/. One job graph of
+    discovery, metadata, commits, dependencies, relations, sessions and health."""
+    from mnemo.sources import readers as R
+
+    deps = R.dependencies(spark, f"{folder}/trees")
+    found = R.projects(spark, f"{folder}/trees", frameworks, deps)
+    log = R.commits(spark, f"{folder}/logs").withColumn("project", F.regexp_replace("repo", r"\.\w+$", ""))
+    br = R.branches(spark, f"{folder}/branches").withColumn("project", F.regexp_replace("repo", r"\.\w+$", ""))
+    ses = R.session_metrics(R.sessions(spark, f"{folder}/sessions"))
+    last = R.sessions(spark, f"{folder}/sessions").select("session", F.col("last").alias("ts"))
+    ses = ses.join(last, "session")
+    uses = deps.select("project", F.concat_ws(":", "ecosystem", "name").alias("dep"), "version")
+    rel = shared_packages(uses).select("a", "b", F.lit("shared_package").alias("kind"), "confidence")
+    return {"projects": found, "commits": log, "branches": br, "dependencies": deps, "sessions": ses, "relations": relations(rel), "health": health(found, log, uses, ses, br, as_of)}

@@ -131,3 +131,26 @@ def children_for(queries: DataFrame, instances: DataFrame) -> DataFrame:
     hit = idx.search(queries, 50).select("query", F.col("id").alias("instance"))
     rest = queries.join(hit, "query", "left_anti").select("query").crossJoin(F.broadcast(act.select(F.col("name").alias("instance")).limit(1000)))
     return hit.union(rest)
+
+
+def answer(requests: DataFrame, by_type: dict) -> DataFrame:
+    """Requests (query, type, text) answered by type: {type: function of its requests} to one tagged union."""
+    out = None
+    for kind, run in by_type.items():
+        one = run(requests.where(F.col("type") == kind)).withColumn("type", F.lit(kind))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def collected(sources: dict) -> tuple[DataFrame | None, dict[str, str]]:
+    """The union of what several readers give, and the errors of those that failed."""
+    out, errors = None, {}
+    for name, read in sources.items():
+        try:
+            one = read()
+            one.schema
+        except Exception as e:  # noqa: BLE001  one failing source must not stop the others
+            errors[name] = str(e)[:300]
+            continue
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out, errors

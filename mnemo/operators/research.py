@@ -60,3 +60,13 @@ def extraction_tables(batches: DataFrame) -> dict[str, DataFrame]:
         "entity_mentions": acts.join(ent.select("batch", "entity_key"), "batch").select("activity", "entity_key").distinct(),
         "event_mentions": acts.join(ev.select("batch", "event_key"), "batch").select("activity", "event_key").distinct(),
     }
+
+
+def in_batches(df: DataFrame, key: str, size: int = 20, chunk: str | None = None) -> DataFrame:
+    """Rows with a batch number, `size` to a batch in order of key, within chunks so that no task counts all."""
+    from pyspark.sql import Window
+
+    c = F.col(chunk) if chunk else F.pmod(F.xxhash64(key), F.lit(64))
+    x = df.withColumn("_c", c)
+    n = F.row_number().over(Window.partitionBy("_c").orderBy(key))
+    return x.withColumn("batch", F.concat_ws("-", F.col("_c"), F.floor((n - 1) / size))).drop("_c")

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
-from mnemo.operators import clinical, frames, graph, maintain, portfolio, recall, research, resolve, search
+from mnemo.operators import clinical, frames, graph, maintain, portfolio, recall, research, resolve, search, sinks
 from mnemo.plans.roles import AS_OF_EVENTS, AS_OF_ORDERS, Tables, sql
+from mnemo.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -572,3 +573,147 @@ def _(t):
 def _(t):
     v = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return maintain.near_duplicates(v, v.where("id % 50 = 0"), 0.4)
+
+
+# ---------------------------------------------------------------- views, writes, episodes, rates
+
+
+@query("node_view", "SELECT 'Person' AS label, c_custkey::VARCHAR AS id, c_name AS name FROM customer UNION ALL SELECT 'Container', n_regionkey || ':' || n_nationkey, n_name FROM nation UNION ALL SELECT 'Entity', p_partkey::VARCHAR, p_name FROM part")
+def _(t):
+    return nodes(t)
+
+
+def nodes(t: Tables) -> DataFrame:
+    return graph.node_view({"Person": (t.raw("customer"), ["c_custkey"], "c_name"), "Container": (t.raw("nation"), ["n_regionkey", "n_nationkey"], "n_name"), "Entity": (t.raw("part"), ["p_partkey"], "p_name")})
+
+
+@query("resolve_ids", "WITH ids AS (SELECT DISTINCT l_partkey::VARCHAR AS id FROM lineitem) SELECT id, CASE WHEN c_custkey IS NOT NULL THEN 'Person' ELSE 'Entity' END AS label, coalesce(c_name, p_name) AS name FROM ids LEFT JOIN customer ON c_custkey::VARCHAR = id LEFT JOIN part ON p_partkey::VARCHAR = id WHERE c_custkey IS NOT NULL OR p_partkey IS NOT NULL")
+def _(t):
+    return graph.resolve_ids(t.raw("lineitem").select(F.col("l_partkey").cast("string").alias("id")), nodes(t), ["Person", "Entity", "Container"])
+
+
+def next_orders(t: Tables) -> DataFrame:
+    """Each order supersedes its customer's order before it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("cwd").orderBy("created_at", "atom")
+    return t.atoms().select("atom", F.lag("atom").over(w).alias("prior"), "created_at").where("prior is not null")
+
+
+@query("superseded", "SELECT atom, kind, lead(atom) OVER (PARTITION BY cwd ORDER BY created_at, atom) AS superseded_by FROM atoms", "atoms")
+def _(t):
+    return sinks.mark_superseded(t.atoms(), next_orders(t)).select("atom", "kind", "superseded_by")
+
+
+@query("current_atoms", "SELECT atom, cwd FROM (SELECT *, lead(atom) OVER (PARTITION BY cwd ORDER BY created_at, atom) AS s FROM atoms) WHERE s IS NULL", "atoms")
+def _(t):
+    return sinks.mark_superseded(t.atoms(), next_orders(t)).where("superseded_by is null").select("atom", "cwd")
+
+
+@query("association_bump", "WITH x AS (SELECT a, b, weight FROM assoc UNION ALL SELECT least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey), 1 FROM lineitem WHERE l_partkey <> l_suppkey) SELECT a, b, sum(weight)::BIGINT AS weight FROM x GROUP BY 1, 2", "mentions", "assoc")
+def _(t):
+    more = t.raw("lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit(1).cast("long").alias("weight"))
+    return recall.bump(t.assoc(), more)
+
+
+@query("mention_bump", "SELECT p_partkey AS entity, p_size + coalesce(n, 0) AS mention_count, greatest(TIMESTAMP '1995-01-01', coalesce(ts, TIMESTAMP '1995-01-01')) AS last_seen FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, max(l_shipdate) AS ts FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+def _(t):
+    e = t.raw("part").select(F.col("p_partkey").alias("entity"), F.col("p_size").cast("long").alias("mention_count"), at("1995-01-01").alias("last_seen"))
+    return sinks.bump_mentions(e, t.raw("lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_shipdate").alias("created_at")))
+
+
+@query("newer_than_cursor", "SELECT e.event_id AS source_id, e.event_type AS container FROM events e LEFT JOIN (SELECT event_type, max(ts) AS latest FROM events WHERE event_type <> 'click' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1) c USING (event_type) WHERE e.ts > coalesce(latest, TIMESTAMP '2024-01-31' - INTERVAL 7 DAY)")
+def _(t):
+    seen = t.activities().select("source", F.col("kind").alias("container"), "ts", "source_id")
+    cursor = maintain.cursors(seen.where(F.col("ts") < at("2024-01-20")).where("container <> 'click'").select("source", "container", "ts"))
+    return maintain.newer(seen, cursor, at(AS_OF_EVENTS)).select("source_id", "container")
+
+
+@query("retained_events", "SELECT event_id FROM events WHERE ts::DATE >= DATE '2024-01-24'")
+def _(t):
+    e = t.raw("events").withColumn("event_date", F.to_date("ts"))
+    return maintain.retained(e, at("2024-01-31", "date"), 7).select("event_id")
+
+
+@query("tier_changes", f"WITH x AS (SELECT CASE WHEN atom % 2 = 0 THEN 'warm' ELSE 'cold' END AS old, {TIER_SQL} AS new FROM atoms LEFT JOIN (SELECT l_orderkey AS atom, count(*) AS reads FROM lineitem GROUP BY 1) USING (atom)), b AS (SELECT old AS tier, count(*) AS before FROM x GROUP BY 1), a AS (SELECT new AS tier, count(*) AS after FROM x GROUP BY 1) SELECT tier, coalesce(before, 0) AS before, coalesce(after, 0) AS after, coalesce(after, 0) - coalesce(before, 0) AS delta FROM b FULL JOIN a USING (tier)", "atoms")
+def _(t):
+    x = scored_atoms(t).withColumnRenamed("tier", "new").withColumn("tier", F.when(F.col("atom") % 2 == 0, "warm").otherwise("cold"))
+    return maintain.tier_changes(x, F.col("new"))
+
+
+@query("episodes", """WITH e AS (SELECT user_id::VARCHAR AS instance, 'x' AS cwd, CASE WHEN event_type = 'error' THEN 'close' ELSE event_type END AS kind, ts AS timestamp, event_id FROM events), n AS (SELECT *, coalesce(sum((kind = 'close')::INT) OVER (PARTITION BY instance ORDER BY timestamp, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS number FROM e)
+  SELECT instance, cwd, number, count(*) FILTER (kind <> 'close') AS messages, min(timestamp) AS first, max(timestamp) AS last, bool_or(kind = 'close') AS closed FROM n GROUP BY 1, 2, 3""")
+def _(t):
+    e = t.raw("events").select(F.col("user_id").cast("string").alias("instance"), F.lit("x").alias("cwd"), F.when(F.col("event_type") == "error", "close").otherwise(F.col("event_type")).alias("kind"), F.col("ts").alias("timestamp"))
+    return streams.batch_episodes(e)
+
+
+@query("activity_rates", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
+def _(t):
+    e = t.raw("events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("kind"))
+    out = streams.rates(e, "1 day")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "kind", "n")
+
+
+@query("request_replies", "WITH q AS (SELECT * FROM events WHERE event_type = 'click'), r AS (SELECT * FROM events WHERE event_type = 'error') SELECT q.event_id AS request, r.event_id AS reply FROM q LEFT JOIN r ON r.user_id = q.user_id AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 1 HOUR")
+def _(t):
+    e = t.raw("events").select(F.col("event_id").alias("eid"), F.col("user_id").alias("id"), F.col("user_id").alias("replyTo"), F.col("ts").alias("timestamp"), F.col("props").alias("source"), "event_type")
+    q = e.where("event_type = 'click'").withColumn("data", F.col("eid"))
+    r = e.where("event_type = 'error'").withColumn("id", F.col("eid"))
+    return streams.correlate(q, r, "1 HOUR").select(F.col("query").alias("request"), "reply")
+
+
+@query("weekly_summaries_due", "SELECT date_trunc('week', created_at) AS week, x.entity AS a, y.entity AS b, count(*) AS atoms FROM mentions x JOIN mentions y ON x.atom = y.atom AND x.entity < y.entity JOIN atoms ON atoms.atom = x.atom GROUP BY ALL HAVING count(*) >= 2", "mentions", "atoms")
+def _(t):
+    out = maintain.summaries_due(t.mentions(), t.atoms(), 2)
+    return out.withColumn("week", F.col("week").cast("timestamp_ntz"))
+
+
+@query("archive_due", "SELECT l_partkey AS entity, count(*) AS mention_count, max(l_shipdate) AS last_seen FROM lineitem GROUP BY 1 HAVING max(l_shipdate) < TIMESTAMP '2001-06-01' - INTERVAL 100 DAY AND count(*) < 40")
+def _(t):
+    e = t.raw("lineitem").groupBy(F.col("l_partkey").alias("entity")).agg(F.count("*").alias("mention_count"), F.max("l_shipdate").alias("last_seen"))
+    return maintain.archive_due(e, at("2001-06-01"), 100, 40)
+
+
+@query("themes", None)
+def _(t):
+    return maintain.themes(t.assoc(), 2)
+
+
+@query("numbers_and_dates", "SELECT event_id, try_cast(regexp_extract(value || ' mg', '^\\s*([+-]?[0-9]+\\.?[0-9]*)', 1) AS DOUBLE) AS number, make_timestamp(epoch_us(ts)) AS at FROM events")
+def _(t):
+    e = t.raw("events")
+    ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("decimal(20,6)").cast("string")
+    return e.select("event_id", T.leading_number(F.concat(F.col("value").cast("string"), F.lit(" mg"))).alias("number"), T.epoch_seconds(ms).cast("timestamp_ntz").alias("at"))
+
+
+@query("session_history", "SELECT project, session, ts, rank FROM (SELECT o_custkey % 97 AS project, o_orderkey AS session, o_orderdate AS ts, row_number() OVER (PARTITION BY o_custkey % 97 ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01') WHERE rank <= 50")
+def _(t):
+    return frames.top(frames.between(sessions(t), "ts", "1999-01-01 00:00:00"), ["project"], [F.desc("ts"), "session"], 50, "rank")
+
+
+@query("recent_commits", "SELECT project, sha, date, rank FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY date DESC, sha) AS rank FROM commits) WHERE rank <= 10", "commits")
+def _(t):
+    return portfolio.health_report(projects(t), t.commits()).where("sha is not null").select("project", "sha", "date", "rank")
+
+
+@query("same_folder_pairs", "WITH o AS (SELECT s_suppkey AS project, s_nationkey AS org FROM supplier), h AS (SELECT org, min(project) AS a FROM o GROUP BY 1) SELECT a, project AS b, 'n' || org AS org FROM o JOIN h USING (org) WHERE a <> project")
+def _(t):
+    s = t.raw("supplier").select(F.col("s_suppkey").alias("project"), F.concat(F.lit("git@host:N"), "s_nationkey", F.lit("/r"), "s_suppkey", F.lit(".git")).alias("remote"))
+    return portfolio.same_org(s)
+
+
+@query("context_packet_evidence", """WITH x AS (SELECT kind AS query, source_id AS activity, ts, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, source_id) AS r, snippet FROM activities WHERE ts >= TIMESTAMP '2024-01-01'), y AS (SELECT *, sum(length(snippet)) OVER (PARTITION BY query ORDER BY r) AS used FROM x WHERE r <= 20) SELECT query, activity, ts FROM y WHERE used <= 150""", "activities")
+def _(t):
+    a = t.activities().select(F.col("source_id").alias("activity"), "ts", "snippet")
+    q = t.activities().select(F.col("kind").alias("query")).distinct().withColumn("text", F.col("query"))
+    idx = search.Index.build(q.select(F.lit("kind").alias("label"), F.col("query").alias("id"), "text"))
+    return recall.context_packet(q, idx, touches(t), a, typed_edges(t), "2024-01-01 00:00:00", None, budget=150)["evidence"].select("query", "activity", "ts")
+
+
+@query("people_context", """SELECT 'q' || c.c_custkey AS query, a.person, a.kind AS container, count(*) AS n, max(a.ts) AS latest FROM activities a JOIN customer c ON c.c_custkey = a.person WHERE c.c_custkey < 30 GROUP BY ALL""", "activities")
+def _(t):
+    p = t.raw("customer").where("c_custkey < 30").select(F.lit("p").alias("label"), F.col("c_custkey").alias("id"), F.regexp_extract("c_name", "#(.*)", 1).alias("text"))
+    q = p.select(F.concat(F.lit("q"), "id").alias("query"), "text")
+    a = t.activities().select("person", F.col("kind").alias("container"), "ts")
+    return recall.people_context(q, search.Index.build(p), a)
