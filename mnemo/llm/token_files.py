@@ -26,61 +26,57 @@ from mnemo.llm.tokens import encoder
 
 END = 2
 #: Ids of a block, and of a segment before it is closed; blocks coded side by side at most.
-BLOCK, SEGMENT, LANES = 4096, 2_000_000, 1024
-SLOTS = 4096
+BLOCK, SEGMENT, LANES = 1024, 2_000_000, 2048
+SLOTS = 1024
 TOP, LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 U = np.uint64
 
 
 class Model:
-    """Predictors of L blocks; all methods take the lanes that still have ids."""
+    """Predictors of n blocks; all methods take the lanes that still have ids. Tables are flat, so that one
+    index finds a lane's entry."""
 
     def __init__(self, n: int):
-        self.two, self.one = np.zeros((n, SLOTS), np.int32), np.zeros((n, SLOTS), np.int32)
-        self.sure2, self.sure1 = np.zeros((n, SLOTS), np.int8), np.zeros((n, SLOTS), np.int8)
+        self.two, self.one = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
+        self.sure2, self.sure1 = np.zeros(n * SLOTS, np.int8), np.zeros(n * SLOTS, np.int8)
         # counts of {order 2 holds, order 1 holds, neither} by trust in each guess, by their agreement, by the last outcome
-        self.hits = np.ones((n, 3, 16, 3), np.int32)
+        self.hits = np.ones((n * 48, 3), np.int32)
         self.weight = np.full((n, 3), 85, np.int32)
-        # order-0 counts of the upper 12 of 16 bits, as three choices of one in sixteen
-        self.tree = np.ones((n, 273, 16), np.uint16)
+        # order-0 counts of the upper 12 of 16 bits, as two choices of one in 64
+        self.tree = np.ones((n * 65, 64), np.uint16)
         self.before2, self.before1, self.last = (np.zeros(n, np.int64) for _ in range(3))
 
-    def guess(self, a: np.ndarray):
-        self.s2 = ((self.before2[a] * 40503 + self.before1[a] * 30011) >> 3) & (SLOTS - 1)
-        self.s1 = (self.before1[a] * 40503 >> 4) & (SLOTS - 1)
-        self.g2, self.g1 = self.two[a, self.s2], self.one[a, self.s1]
-        t2, t1 = self.sure2[a, self.s2], self.sure1[a, self.s1]
+    def guess(self, a: np.ndarray) -> np.ndarray:
+        b1, base = self.before1[a], a * SLOTS
+        self.s2 = base + (((self.before2[a] * 40503 + b1 * 30011) >> 3) & (SLOTS - 1))
+        self.s1 = base + ((b1 * 40503 >> 4) & (SLOTS - 1))
+        self.g2, self.g1 = self.two[self.s2], self.one[self.s1]
+        self.t2, self.t1 = self.sure2[self.s2], self.sure1[self.s1]
         same = self.g2 == self.g1
-        self.ctx = (t2 * 4 + t1, same * 8 + t2, self.last[a] * 4 + t1)
-        w, mix = self.weight[a], 0
-        self.parts = []
-        for k in range(3):
-            h = self.hits[a, k, self.ctx[k]]
-            p = (h << 12) // h.sum(axis=1, keepdims=True)
-            self.parts.append(p)
-            mix = mix + p * w[:, k : k + 1]
-        freq = (mix >> 8) + 1
+        lane = a * 48
+        self.at = np.stack([lane + self.t2 * 4 + self.t1, lane + 16 + same * 8 + self.t2, lane + 32 + self.last[a] * 4 + self.t1], axis=1)
+        self.counts = self.hits[self.at]
+        self.parts = (self.counts << 12) // self.counts.sum(axis=2, keepdims=True)
+        self.mix = self.weight[a]
+        freq = ((self.parts * self.mix[:, :, None]).sum(axis=1) >> 8) + 1
         freq[same, 1] = 0  # the second guess says nothing new
         return freq
 
     def learn(self, a: np.ndarray, outcome: np.ndarray, ids: np.ndarray) -> None:
         row = np.arange(len(a))
-        got = np.stack([p[row, outcome] for p in self.parts], axis=1)
-        best = got.argmax(axis=1)
-        w = self.weight[a]
-        w -= w >> 5
+        best = self.parts[row, :, outcome].argmax(axis=1)
+        w = self.mix - (self.mix >> 5)
         w[row, best] += 255 - w.sum(axis=1)
         self.weight[a] = w
-        for k in range(3):
-            h = self.hits[a, k, self.ctx[k]]
-            h[row, outcome] += 24
-            big = h.sum(axis=1) > 2000
-            h[big] = (h[big] >> 1) + 1
-            self.hits[a, k, self.ctx[k]] = h
-        for table, sure, slot, guess in ((self.two, self.sure2, self.s2, self.g2), (self.one, self.sure1, self.s1, self.g1)):
-            right, trust = guess == ids, sure[a, slot]
-            sure[a, slot] = np.where(right, np.minimum(trust + 1, 3), 0)
-            table[a, slot] = ids
+        h = self.counts
+        h[row, :, outcome] += 24
+        if h.max() > 2000:
+            h[h.max(axis=2) > 2000] >>= 1
+            np.maximum(h, 1, out=h)
+        self.hits[self.at] = h
+        for table, sure, slot, guess, trust in ((self.two, self.sure2, self.s2, self.g2, self.t2), (self.one, self.sure1, self.s1, self.g1, self.t1)):
+            sure[slot] = np.minimum(trust + 1, 3) * (guess == ids)
+            table[slot] = ids
         self.before2[a], self.before1[a], self.last[a] = self.before1[a], ids, outcome
 
 
@@ -136,15 +132,11 @@ class Coder:
         return [w[: n + 4].astype("<u2").tobytes() for w, n in zip(self.words, self.at, strict=True)]
 
 
-_LEVELS = ((12, 0), (8, 1), (4, 17))  # shift of the choice, first node of the level
-
-
-def _bump(tree: np.ndarray, a: np.ndarray, node: np.ndarray, pick: np.ndarray) -> None:
-    tree[a, node, pick] += 32
-    rows = tree[a, node]
-    big = rows.sum(axis=1, dtype=np.int64) > 60_000
-    if big.any():
-        tree[a[big], node[big]] = (rows[big] >> 1) | 1
+def _bump(tree: np.ndarray, node: np.ndarray, pick: np.ndarray, total: np.ndarray) -> None:
+    tree[node, pick] += 32
+    if total.max(initial=0) > 60_000:
+        big = node[total > 60_000]
+        tree[big] = (tree[big] >> 1) | 1
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -167,15 +159,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         c.encode(a, cum[row, outcome] - size, size, cum[:, 2])
         miss = outcome == 2
         b, y = a[miss], x[miss]
-        for shift, base in _LEVELS:
-            node, pick = base + (y >> shift + 4), y >> shift & 15
-            rows = np.cumsum(m.tree[b, node], axis=1, dtype=np.int64)
-            r = np.arange(len(b))
-            size = m.tree[b, node, pick].astype(np.int64)
-            c.encode(b, rows[r, pick] - size, size, rows[:, 15])
-            _bump(m.tree, b, node, pick)
         if len(b):
-            c.encode(b, y & 15, np.ones(len(b), np.int64), np.full(len(b), 16))
+            r, top, mid, flat = np.arange(len(b)), y >> 10, y >> 4 & 63, y & 15
+            for node, pick, ways, tail in ((b * 65, top, 1, 0), (b * 65 + 1 + top, mid, 16, flat)):
+                rows = m.tree[node]
+                size = rows[r, pick].astype(np.int64)
+                rows = np.cumsum(rows, axis=1, dtype=np.int64)
+                c.encode(b, (rows[r, pick] - size) * ways + tail * size, size, rows[:, 63] * ways)
+                _bump(m.tree, node, pick, rows[:, 63])
         m.learn(a, outcome, x)
     return [zlib.crc32(b.astype("<u4").tobytes()).to_bytes(4, "little") + len(b).to_bytes(4, "little") + w for b, w in zip(blocks, c.finish(), strict=True)]
 
@@ -203,20 +194,20 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         x = np.where(outcome == 0, m.g2, m.g1).astype(np.int64)
         miss = np.flatnonzero(outcome == 2)
         b, y = a[miss], np.zeros(len(miss), np.int64)
-        for _, base in _LEVELS:
-            node = base + y
-            rows = np.cumsum(m.tree[b, node], axis=1, dtype=np.int64)
-            want = c.target(b, rows[:, 15])
-            pick = (want[:, None] >= rows).sum(axis=1)
-            r = np.arange(len(b))
-            start = np.where(pick > 0, rows[r, np.maximum(pick - 1, 0)], 0)
-            c.decode(b, start, rows[r, pick] - start)
-            _bump(m.tree, b, node, pick)
-            y = y << 4 | pick
         if len(b):
-            flat = c.target(b, np.full(len(b), 16))
-            c.decode(b, flat, np.ones(len(b), np.int64))
-            x[miss] = y << 4 | flat
+            r = np.arange(len(b))
+            for ways in (1, 16):  # the last four bits are even and ride on the second choice
+                node = b * 65 if ways == 1 else b * 65 + 1 + y
+                rows = np.cumsum(m.tree[node], axis=1, dtype=np.int64)
+                want = c.target(b, rows[:, 63] * ways)
+                pick = ((want // ways)[:, None] >= rows).sum(axis=1)
+                start = np.where(pick > 0, rows[r, np.maximum(pick - 1, 0)], 0)
+                size = rows[r, pick] - start
+                tail = (want - start * ways) // size
+                c.decode(b, start * ways + tail * size, size)
+                _bump(m.tree, node, pick, rows[:, 63])
+                y = (y << 6 | pick) * ways | tail
+            x[miss] = y
         m.learn(a, outcome, x)
         ids[a, t] = x
     out = [row[:n] for row, n in zip(ids, lengths, strict=True)]
