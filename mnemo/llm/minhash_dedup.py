@@ -209,8 +209,9 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= 75 * union."""
+    # texts meet ids by a merge join at every size: the number of ids grows with the corpus
     needed = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(needed, "doc")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(needed.hint("merge"), "doc")
     sets = saved(texts.mapInPandas(_sets, "doc long, shingles array<long>"), "sets")
     a, b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
     both = pairs.join(b, "b").join(a, "a").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
@@ -270,7 +271,7 @@ def _across(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFr
     named = suspects.select(F.col("a").alias("doc"), F.col("label_a").alias("label")).union(suspects.select("b", "label_b")).distinct().join(family, "label")
     named = saved(named, "families")
     sizes = named.groupBy("family").agg(F.count("*").alias("size"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(named.select("doc"), "doc", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(named.select("doc").hint("merge"), "doc", "left_semi")
     sets = texts.mapInPandas(_sets, "doc long, shingles array<long>")
     rows = in_blocks(named.join(sizes, "family"), "family", "size").join(sigs, "doc").join(sets, "doc")
     return saved(rows.groupBy("family", "i", "j").applyInPandas(_settle, "a long, b long"), "links")
