@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import saved
+from mnemo.llm.common import drop_path, freed, saved, scratch_path
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-#: Bytes of contexts in one transform, about; owners are dealt to so many that this holds.
-TRANSFORM = 4_000_000
+#: Bytes of contexts in one transform, about, so that its arrays stay in a core's cache.
+TRANSFORM = 400_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,8 +137,8 @@ def expand(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     map. Only pairs that are still together are looked at on the next level.
     """
     n = len(order)
-    place = np.empty(n + 1, dtype=np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n + 1, dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     place[n] = -1  # the empty suffix sorts before all
     first = text[order]
     apart = np.ones(n, dtype=bool)
@@ -148,7 +148,7 @@ def expand(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     for _ in range(length - 1):
         if not len(live):
             break
-        interval = np.cumsum(apart)
+        interval = np.cumsum(apart, dtype=np.int32)
         split = (left < 0) | (right < 0) | (interval[left] != interval[right])
         apart[live[split]] = True
         live, left, right = live[~split], left[~split], right[~split]
@@ -198,13 +198,20 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, first, count): runs of starts of strings that also start earlier. Runs may touch or overlap."""
-    occ = saved(docs.select("doc_id", "text").where(F.octet_length("text") >= LENGTH).mapInPandas(_occurrences, "owner long, context long, doc_id long, first long, count int"), "owners")
-    runs = occ.groupBy("owner", "context").agg(F.min(F.struct("doc_id", "first", "count")).alias("lead"), F.count("*").alias("n"))
-    runs = saved(runs.select("owner", "context", "lead.*", "n").withColumnRenamed("doc_id", "lead_doc").withColumnRenamed("first", "lead_first"), "runs")
-    again = runs.where("n > 1").select("owner", "context", "lead_doc", "lead_first")
-    repeats = occ.join(again, ["owner", "context"]).where("doc_id <> lead_doc or first <> lead_first").select("doc_id", "first", F.col("count").cast("long").alias("count"))
-    several = runs.groupBy("owner").agg(F.count("*").alias("contexts")).where("contexts > 1").select("owner")
-    asked = saved(runs.join(several, "owner").select("owner", F.col("lead_doc").alias("doc_id"), F.col("lead_first").alias("first"), "count"), "asked")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "owners")
+    long = docs.select("doc_id", "text").where(F.octet_length("text") >= LENGTH)
+    long.mapInPandas(_occurrences, "owner long, context long, doc_id long, first long, count int").write.parquet(path)
+    occ = spark.read.schema("owner long, context long, doc_id long, first long, count int").parquet(path)
+    again = occ.groupBy("owner").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
+    again = saved(again.select("owner", (F.col("low") != F.col("high")).alias("several")), "again")
+    freed(spark)
+    occ = saved(occ.join(again, "owner"), "repeated")
+    drop_path(spark, path)  # what follows reads the repeated owners only
+    freed(spark)
+    runs = saved(occ.groupBy("owner", "context", "several").agg(F.min(F.struct("doc_id", "first", "count")).alias("lead"), F.count("*").alias("n")).select("owner", "context", "several", "lead", "n"), "runs")
+    twice = runs.where("n > 1").select("owner", "context", F.col("lead.doc_id").alias("lead_doc"), F.col("lead.first").alias("lead_first"))
+    repeats = occ.join(twice, ["owner", "context"]).where("doc_id <> lead_doc or first <> lead_first").select("doc_id", "first", F.col("count").cast("long").alias("count"))
+    asked = runs.where("several").select("owner", "lead.*")
     total = asked.agg(F.sum(F.col("count") + LENGTH)).first()[0]
     if not total:
         return repeats
@@ -245,6 +252,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc_id and text are read.
     """
     known = docs.where("doc_id is not null")
-    runs = covered(known).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    found = saved(covered(known), "covered")
+    freed(docs.sparkSession)
+    runs = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     joined = docs.select("doc_id", "text").join(runs, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "runs")
     return joined.mapInPandas(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
