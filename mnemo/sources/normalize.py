@@ -115,7 +115,7 @@ def session(df: DataFrame, allow: list[str] = ()) -> DataFrame:
     text = fallback_summary()
     sem = F.array_union(T.topics_line(text), T.allowed_topics(text, allow))
     eph = F.array_compact(F.array(F.lower(T.last_part(F.coalesce("slug", F.lit("")))), F.lower("branch")))
-    return record(df, "claude-code", "session", "last", "session", text, None, F.lit("me"), F.lit("me"), F.coalesce("cwd", F.lit("unknown")), T.last_part(F.coalesce("cwd", F.lit(""))), "project", topics(sem, eph), count=F.size("user_texts") + F.size("assistant_texts"))
+    return record(df, "assistant", "session", "last", "session", text, None, F.lit("me"), F.lit("me"), F.coalesce("cwd", F.lit("unknown")), T.last_part(F.coalesce("cwd", F.lit(""))), "project", topics(sem, eph), count=F.size("user_texts") + F.size("assistant_texts"))
 
 
 KINDS = ["decision", "insight", "bug_fix", "preference", "session_summary"]
