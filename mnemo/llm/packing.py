@@ -79,10 +79,10 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(vocabulary).encode, END.to_bytes(4, "little")
+        encode, end = encoder(vocabulary).encode_many, END.to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 40
         for f in frames:
-            ids = [encode(t) + end for t in f["text"]]
+            ids = [x + end for x in encode(f["text"])]
             pieces = pack([len(x) // 4 for x in ids])
             if not pieces:
                 continue

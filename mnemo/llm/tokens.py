@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 
 import public_tokenizers
 
@@ -48,19 +49,31 @@ class Encoder:
             at = end
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "\0" in text or _WIDE.search(text):
-            return self.whole(text)
-        head, *chunks = text.replace(" ", "\0 ").split("\0")
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of texts, in groups so that new chunks are learned together."""
+        texts, out = list(texts), []
+        for at in range(0, len(texts), 32):
+            out.extend(self._group(texts[at : at + 32]))
+        return out
+
+    def _group(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, cut, new = self.known, [], {}
+        for t in texts:
+            if not t or "\0" in t or _WIDE.search(t):
+                cut.append((self.whole(t) if t else b"", [], []))
+                continue
+            head, *chunks = t.replace(" ", "\0 ").split("\0")
+            ids = list(map(known.get, chunks))
+            if None in ids:
+                new |= dict.fromkeys(c for c, i in zip(chunks, ids, strict=True) if i is None)
+            cut.append((self.whole(head) if head else b"", chunks, ids))
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            self.learn(new)
-        return (self.whole(head) if head else b"") + b"".join([known[c] for c in chunks])
+            self.learn(list(new))
+        return [head + b"".join(map(known.__getitem__, chunks) if None in ids else ids) for head, chunks, ids in cut]
 
 
 _encoders: dict[str, Encoder] = {}
