@@ -717,3 +717,53 @@ def _(t):
     q = p.select(F.concat(F.lit("q"), "id").alias("query"), "text")
     a = t.activities().select("person", F.col("kind").alias("container"), "ts")
     return recall.people_context(q, search.Index.build(p), a)
+
+
+# ---------------------------------------------------------------- whole key sets
+# The queries of the same names without _all keep their stated subsets of keys, as their SQL does.
+
+
+def all_seeds(t: Tables) -> DataFrame:
+    """Every entity is a seed of its type."""
+    return t.entities().select(F.col("type").alias("cue"), "entity", F.lit(1.0).alias("activation"))
+
+
+ALL_SPREAD_SQL = f"WITH s AS (SELECT type AS cue, entity, 1.0::DOUBLE AS activation FROM entities), {SPREAD_SQL} k AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY activation DESC, entity) AS r FROM m2)"
+
+
+@query("spread_activation_all", f"{ALL_SPREAD_SQL} SELECT cue, entity, activation FROM k WHERE r <= 50", "mentions", "assoc", "entities")
+def _(t):
+    return graph.spread_activation(t.assoc(), all_seeds(t))
+
+
+@query("activated_subgraph_all", f"{ALL_SPREAD_SQL}, n AS (SELECT cue, entity FROM k WHERE r <= 50) SELECT x.cue, a, b, weight FROM assoc JOIN n x ON a = x.entity JOIN n y ON b = y.entity AND x.cue = y.cue", "mentions", "assoc", "entities")
+def _(t):
+    e = t.assoc().cache()
+    return graph.induced(e, graph.spread_activation(e, all_seeds(t)))
+
+
+@query("supplier_network_all", """WITH w AS (SELECT src, dst FROM depends_on UNION SELECT dst, src FROM depends_on), d AS (SELECT src AS root, dst AS node, 1 AS depth FROM w UNION ALL SELECT s_suppkey, s_suppkey, 0 FROM supplier),
+  k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS r FROM d) SELECT root, node, depth FROM k WHERE r <= 50""", "depends_on")
+def _(t):
+    e = t.depends_on().select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(1).alias("weight")).distinct()
+    return graph.network(e, projects(t).withColumnRenamed("project", "root"), 1)
+
+
+@query("stale_projects_all", "SELECT s_suppkey AS project, coalesce(DATE '2001-01-01' - last::DATE, 30) AS inactive_days FROM supplier LEFT JOIN (SELECT project, max(date) AS last FROM commits GROUP BY 1) ON project = s_suppkey WHERE last IS NULL OR last < TIMESTAMP '2001-01-01' - INTERVAL 30 DAY", "commits")
+def _(t):
+    return portfolio.stale(projects(t), t.commits(), at(AS_OF_ORDERS))
+
+
+@query("cross_project_impact_all", """WITH h1 AS (SELECT DISTINCT src AS root, dst AS node FROM depends_on), h2 AS (SELECT DISTINCT root, dst AS node FROM h1 JOIN depends_on ON src = node), d AS (SELECT root, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM h1 UNION ALL SELECT *, 2 FROM h2) WHERE root <> node GROUP BY 1, 2),
+    u AS (SELECT DISTINCT dst AS root, src AS node FROM depends_on), x AS (SELECT root, node, depth, 'downstream' AS kind FROM d UNION ALL SELECT root, node, 1, 'dependent' FROM u ANTI JOIN d USING (root, node))
+  SELECT root, node, kind, depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, kind, node) AS r FROM x) WHERE r <= 50""", "depends_on")
+def _(t):
+    return portfolio.cross_project_impact(t.depends_on(), projects(t).withColumnRenamed("project", "root"), 2)
+
+
+@query("people_context_all", "SELECT 'q' || c.c_custkey AS query, a.person, a.kind AS container, count(*) AS n, max(a.ts) AS latest FROM activities a JOIN customer c ON c.c_custkey = a.person GROUP BY ALL", "activities")
+def _(t):
+    p = t.raw("customer").select(F.lit("p").alias("label"), F.col("c_custkey").alias("id"), F.regexp_extract("c_name", "#(.*)", 1).alias("text"))
+    q = p.select(F.concat(F.lit("q"), "id").alias("query"), "text")
+    a = t.activities().select("person", F.col("kind").alias("container"), "ts")
+    return recall.people_context(q, search.Index.build(p), a)
