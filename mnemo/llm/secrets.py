@@ -1,8 +1,11 @@
 """Secret scans: findings by pattern, false positives removed by a random forest.
 
-Findings are runs of token characters that hold a digit or start with sixteen capitals. The forest sees their length, character
-transitions, dictionary coverage, path and neighbouring words, and is trained from labelled findings;
-without labels of its own a corpus labels the findings that fixed rules are sure of.
+Findings are all values assigned to a secret's name, whatever their length and characters, and all other
+runs of twelve token characters or more. A quoted value ends at its closing quote before the next blank
+line; an unquoted one starts on the line of its name and ends at white space or the next `name=`, without
+closing punctuation. The forest sees their length, character transitions, dictionary coverage, path and
+neighbouring words, and is trained from labelled findings; without labels of its own a corpus labels the
+findings that fixed rules are sure of.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -24,7 +28,7 @@ from mnemo.llm.common import saved
 
 #: Labelled findings used to fit the forest, at most; words of the dictionary; trees and their depth.
 FIT_FINDINGS, DICTIONARY, TREES, DEPTH = 50_000, 4000, 40, 8
-FINDING = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16})[A-Za-z0-9+/_\-]{12,}={0,2}")
+FINDING = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![^\s\"'`,;)\]}<]))?")
 BEFORE = re.compile(r"([\w.\-]*)[\"']?\s*([=:]?)\s*[\"']?$")
 NEXT = re.compile(r"^[\"']?\s*([\w.\-]*)")
 #: Hashed places of the words before and after, and of the path.
@@ -32,6 +36,13 @@ WORDS, PATHS = 16, 8
 
 # Names that values are assigned to, and the shape of a provider's key id.
 NAMES = re.compile(r"(?i)pass(word|wd)?|secret|token|api_?key|credential")
+ASSIGNED = re.compile(
+    f"(?i)(?:{NAMES.pattern[4:]})" + r"""[\w.\-]*+(?P<name>)[\"'`\]\\]*\s*(?P<by>:[ \t]*[\w.\[\]|]+[ \t]+=|[=:]+>?)"""
+    r"""(?:\s*[bru]{0,2}(?P<q>\"{3}|'{3}|\\?[\"'`])(?P<quoted>(?:(?!(?P=q))(?:\\.|[^\\\n]|\n(?![ \t]*\n)))*)(?P=q)"""
+    r"""|[ \t]*(?P<plain>(?:(?![&,;][\w.\-\"']+[=:])\S)+))"""
+)
+#: Words of one case, joined as in names and paths; no word of a language is much longer.
+PROSE = re.compile(r"[-_/+]*(?:(?:[A-Z]?[a-z]{1,19}|[A-Z]{1,20})(?:[-_/+]+|$))+")
 PROVIDER = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}")
 
 FOUND = "doc_id long, version long, start int, length int, digest string, kind string, labelled int, features array<double>"
@@ -72,16 +83,38 @@ def features(value: str, before: str, assigned: bool, after: str, path: str, kno
     return [float(len(value)), entropy, *counts, *turns, coverage(value, known), *words, *near, *tail, *at]
 
 
-def rule_label(value: str, before: str, assigned: bool) -> int:
+def rule_label(value: str, before: str, assigned: bool, told: bool = False) -> int:
     """1 or 0 where fixed rules are sure, else -1: a provider's shape or a value assigned to a secret's
-    name is a secret, a plain number or a value of few different characters is none."""
-    if PROVIDER.fullmatch(value) or (assigned and NAMES.search(before) and len(set(value)) > 6):
+    name is a secret; a plain number, a value of few different characters or words that are not assigned
+    are none. told: the value stands unquoted after a colon, where words may as well be prose."""
+    named = assigned and bool(NAMES.search(before))
+    words = bool(PROSE.fullmatch(value))
+    if PROVIDER.fullmatch(value) or (named and len(set(value)) > 6 and not (told and words)):
         return 1
-    if value.strip("+-=/_").isdigit() or len(set(value)) <= 4:
+    if value.strip("+-=/_").isdigit() or len(set(value)) <= 4 or (words and not assigned):
         return 0
     return -1
 
 
+def assigned_values(text: str) -> list[list]:
+    """[start, end, end of the name, unquoted after a colon] of non-blank values assigned to a NAMES word,
+    in order and apart from each other. A value may hold an assignment itself, so the search goes on at its start."""
+    out, at = [], 0
+    while m := ASSIGNED.search(text, at):
+        start, end = m.span("plain" if m["plain"] is not None else "quoted")
+        at = max(start, m.start() + 1)
+        if m["plain"] is not None:
+            v = m["plain"].lstrip("\"'`\\([{<")
+            start, end = end - len(v), end - len(v) + len(v.rstrip("\"'`\\)]}>,;."))
+        if not text[start:end].strip():
+            continue
+        if out and start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end, m.start("name"), m["plain"] is not None and m["by"] == ":"])
+    return out
+
+
 def findings(docs: DataFrame, known: list[str]) -> DataFrame:
     """Every finding of whole texts with its place in characters, digest, rule label and features."""
     known = set(known)
@@ -90,16 +123,20 @@ def findings(docs: DataFrame, known: list[str]) -> DataFrame:
         for f in frames:
             out = []
             for i, version, text, path in zip(f["doc_id"].array, f["version"], f["text"], f["path"], strict=True):
+                own = assigned_values(text or "")
+                ends = [end for _, end, _, _ in own]
                 for m in FINDING.finditer(text or ""):
-                    value, at = m[0], m.start()
-                    eq = value.rfind("=", 0, len(value.rstrip("=")))
-                    if 0 < eq:  # kept for values that hold their own name
-                        value, at = value[eq + 1 :], at + eq + 1
-                    b = BEFORE.search(text, max(0, at - 60), at)
-                    before, assigned = (b[1], bool(b[2])) if b else ("", False)
-                    after = NEXT.search(text[m.end() : m.end() + 40])[1]
+                    k = bisect_right(ends, m.start())
+                    if k == len(own) or own[k][0] >= m.end():  # else it is a part of an assigned value
+                        own.append([m.start(), m.end(), None, False])
+                for at, end, name, told in own:
+                    value = text[at:end]
+                    b = BEFORE.search(text, max(0, (name or at) - 60), name or at)
+                    before, assigned = (b[1], name is not None or bool(b[2])) if b else ("", False)
+                    after = NEXT.search(text[end : end + 40])[1]
                     kind = "provider" if PROVIDER.fullmatch(value) else "assigned" if assigned else "bare"
-                    out.append((i, version, at, len(value), hashlib.sha256(value.encode()).hexdigest(), kind, rule_label(value, before, assigned), features(value, before, assigned, after, path, known)))
+                    digest = hashlib.sha256(value.encode(errors="surrogatepass")).hexdigest()
+                    out.append((i, version, at, len(value), digest, kind, rule_label(value, before, assigned, told), features(value, before, assigned, after, path, known)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
