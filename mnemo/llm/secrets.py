@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from mnemo.llm.common import saved
 
-#: Labelled findings used to fit the forest, at most; words of the dictionary; trees and their depth.
+#: Labelled findings used to fit the forest, half of them of each label at most (all of a rarer label); words
+#: of the dictionary; trees and their depth.
 FIT_FINDINGS, DICTIONARY, TREES, DEPTH = 50_000, 4000, 40, 8
 FINDING = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![^\s\"'`,;)\]}<]))?")
 BEFORE = re.compile(r"([\w.\-]*)[\"']?\s*([=:]?)\s*[\"']?$")
@@ -144,16 +145,25 @@ def findings(docs: DataFrame, known: list[str]) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
-    """A forest from rows (label 0 or 1, features); None if they do not hold both labels."""
-    seen = labelled.groupBy("label").count().collect()
-    n = sum(r["count"] for r in seen)
+    """A forest from rows (label 0 or 1, features and, to tell equal rows apart, key); None if the rows to
+    learn from do not hold both labels. Each label is sampled by itself, by a hash of the row."""
+    most = FIT_FINDINGS // 2
+    seen = {r["label"]: r["count"] for r in labelled.where("label in (0, 1)").groupBy(F.col("label").cast("int").alias("label")).count().collect()}
     if len(seen) < 2:
         return None
-    if n > FIT_FINDINGS:
-        labelled = labelled.where(F.pmod(F.xxhash64("features"), F.lit(1_000_000)) < int(1_000_000 * FIT_FINDINGS / n))
-    rows = labelled.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("vector")).orderBy(F.xxhash64("label", vector_to_array("vector"))).limit(FIT_FINDINGS)
+    key = F.col("key") if "key" in labelled.columns else F.monotonically_increasing_id()
+    keyed = labelled.select(F.col("label").cast("double").alias("label"), "features", F.xxhash64("features", key).alias("_k"))
+    parts = []
+    for label, n in sorted(seen.items()):
+        part = keyed.where(F.col("label") == label)
+        if n > most:  # a fifth more than the bound, so that the cut below has enough rows
+            part = part.where(F.pmod("_k", F.lit(1_000_000)) < int(1_200_000 * most / n)).orderBy(F.pmod("_k", F.lit(999_983)), "_k").limit(most)
+        parts.append(part)
+    rows = saved(parts[0].union(parts[1]).select("label", array_to_vector("features").alias("vector"), "_k").orderBy("_k").limit(2 * most), "fit")
+    if rows.select("label").distinct().count() < 2:
+        return None
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7)
-    return forest.fit(rows)
+    return forest.fit(rows.select("label", "vector"))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -167,7 +177,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """
     known = dictionary(docs)
     found = saved(findings(docs, known), "findings")  # the fit reads it several times
-    sure = labelled if labelled is not None else found.where("labelled >= 0").select(F.col("labelled").alias("label"), "features")
+    sure = labelled if labelled is not None else found.where("labelled >= 0").select(F.col("labelled").alias("label"), "features", F.xxhash64("doc_id", "version", "start").alias("key"))
     model = train(sure)
     keep = ["doc_id", "version", "start", "length", "digest", "kind"]
     if model is None:

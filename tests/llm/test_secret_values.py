@@ -38,3 +38,15 @@ def test_short_and_digit_free_secrets_go(spark):
     for i, text in rows[:200]:
         assert clean[i] == text[: text.index('"') + 1] + "[secret]" + text[text.rindex('"') :]
     assert {d.doc_id for d in s.scan(docs).where("doc_id = 2000").collect()} == {2000}
+
+
+def test_a_rare_label_is_learned_whole(spark, monkeypatch):
+    monkeypatch.setattr(s, "FIT_FINDINGS", 40)
+    flat = [0.0] * 3
+    rows = [(0, flat) for _ in range(3000)] + [(1, [1.0, float(i), 1.0]) for i in range(5)]
+    labelled = spark.createDataFrame(rows, "label int, features array<double>")
+    fitted = []
+    fit = s.RandomForestClassifier.fit
+    monkeypatch.setattr(s.RandomForestClassifier, "fit", lambda self, df: fitted.append({r["label"]: r["count"] for r in df.groupBy("label").count().collect()}) or fit(self, df))
+    assert s.train(labelled).numClasses == 2
+    assert fitted == [{0.0: 20, 1.0: 5}]
