@@ -53,15 +53,23 @@ def stale(projects: DataFrame, commits: DataFrame, as_of: Column, days: int = 30
     return x.where(F.col("last").isNull() | (F.col("last") < as_of - F.expr(f"INTERVAL {int(days)} DAYS"))).select("project", F.coalesce(gap, F.lit(int(days))).alias("inactive_days"))
 
 
-def shared_packages(uses: DataFrame, notable: DataFrame | None = None, most: int = 100) -> DataFrame:
+def notable_name(name: Column) -> Column:
+    """Packages that tell of a relation by their name: scoped ones, SDKs, clients and APIs."""
+    return name.startswith("@") | name.contains("sdk") | name.contains("client") | name.contains("api")
+
+
+def shared_packages(uses: DataFrame, notable: DataFrame | None = None, block: int = 1000) -> DataFrame:
     """Project pairs a < b that share notable packages: shared count and confidence (high from three users
-    of one package). Notable are given packages, by default those of at most `most` projects: a package
-    that everybody uses relates nobody, and bounds the pairs a package can make."""
+    of one package). Notable are given packages, by default all. Every pair of a package's users is given,
+    so a package of n users makes n * (n - 1) / 2; one of more than `block` users is dealt by blocks of
+    them, each of which meets all its users."""
     own = uses.select("project", "dep").distinct()
-    n = own.groupBy("dep").agg(F.count("*").alias("users"))
-    n = n.where(f"users between 2 and {int(most)}") if notable is None else n.join(notable, "dep", "left_semi")
-    x = own.join(n, "dep")
-    pairs = x.select("dep", "users", F.col("project").alias("a")).join(x.select("dep", F.col("project").alias("b")), "dep").where("a < b")
+    n = own.groupBy("dep").agg(F.count("*").alias("users")).where("users >= 2")
+    n = n if notable is None else n.join(notable, "dep", "left_semi")
+    x = own.join(n, "dep").withColumn("blocks", F.ceil(F.col("users") / F.lit(int(block))))
+    a = x.select("dep", "users", F.pmod(F.xxhash64("project"), "blocks").alias("block"), F.col("project").alias("a"))
+    b = x.select("dep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("project").alias("b"))
+    pairs = a.join(b, ["dep", "block"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("users").alias("users")).withColumn("confidence", F.when(F.col("users") >= 3, "high").otherwise("medium"))
 
 
@@ -119,5 +127,6 @@ def build(spark, folder: str, frameworks: dict[str, str], as_of: Column) -> dict
     last = R.sessions(spark, f"{folder}/sessions").select("session", F.col("last").alias("ts"))
     ses = ses.join(last, "session")
     uses = deps.select("project", F.concat_ws(":", "ecosystem", "name").alias("dep"), "version")
-    rel = shared_packages(uses).select("a", "b", F.lit("shared_package").alias("kind"), "confidence")
+    main = deps.where(~F.col("is_dev") & notable_name(F.col("name"))).select("project", F.concat_ws(":", "ecosystem", "name").alias("dep"))
+    rel = shared_packages(main).select("a", "b", F.lit("shared_package").alias("kind"), "confidence")
     return {"projects": found, "commits": log, "branches": br, "dependencies": deps, "sessions": ses, "relations": relations(rel), "health": health(found, log, uses, ses, br, as_of)}
