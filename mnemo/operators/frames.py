@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -9,6 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """Written to the folder all executors see and read back: cuts lineage. Only a session without such a
+    folder (tests) gets a local one."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="mnemo-")
+        spark.sparkContext.setCheckpointDir(found)
+    path = f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def only(df: DataFrame, keys: DataFrame | None, *cols: str) -> DataFrame:
     """Rows whose key columns occur in keys; all without keys."""
     return df if keys is None else df.join(keys.select(*cols).distinct(), list(cols), "left_semi")

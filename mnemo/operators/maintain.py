@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions.text import dot
-from mnemo.operators.frames import top
+from mnemo.operators.frames import saved, top
 from mnemo.operators.search import nearest
 
 
@@ -49,15 +49,21 @@ def evidence(mentions: DataFrame, atoms: DataFrame, entities: DataFrame, n: int
     return top(x, ["entity"], [F.desc("created_at"), "atom"], n, "rank").withColumn("content", F.substring("content", 1, chars))
 
 
-def roots(confirmed: DataFrame, rounds: int = 6) -> DataFrame:
-    """(entity, root) of confirmed alias pairs (a, b): chains resolve to their least member. Pointers double
-    each round, so 6 rounds follow chains of 64; decisions of one run are few and lineage stays short."""
-    both = confirmed.select(F.col("a").alias("entity"), F.col("b").alias("other")).union(confirmed.select("b", "a")).distinct()
+def roots(confirmed: DataFrame) -> DataFrame:
+    """(entity, root) of confirmed alias pairs (a, b): chains of any length resolve to their least member.
+
+    Each round hooks every entity to the least root of its neighbours and then follows that root's own
+    root, until nothing moves. State stays in tables, which cut lineage; only a count comes to the driver."""
+    both = saved(confirmed.select(F.col("a").alias("entity"), F.col("b").alias("other")).union(confirmed.select("b", "a")).distinct(), "alias-edges")
     label = both.groupBy("entity").agg(F.least(F.min("other"), F.first("entity")).alias("root"))
-    for _ in range(rounds):
+    while True:
+        label = saved(label, "alias")
         near = both.join(label.toDF("other", "near"), "other").groupBy("entity").agg(F.min("near").alias("near"))
-        label = label.join(near, "entity").select("entity", F.least("root", "near").alias("root")).checkpoint() if label.sparkSession.sparkContext.getCheckpointDir() else label.join(near, "entity").select("entity", F.least("root", "near").alias("root"))
-    return label
+        hooked = label.join(near, "entity").select("entity", "root", F.least("root", "near").alias("low"))
+        step = saved(hooked.join(label.toDF("low", "top"), "low", "left").select("entity", "root", F.least("low", "top").alias("next")), "alias")
+        label = step.select("entity", F.col("next").alias("root"))
+        if not step.where("next <> root").limit(1).count():
+            return label
 
 
 def same_name_roots(entities: DataFrame) -> DataFrame:
