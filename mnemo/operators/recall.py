@@ -125,12 +125,15 @@ def across_instances(run, tables: dict, **args) -> DataFrame:
 
 
 def children_for(queries: DataFrame, instances: DataFrame) -> DataFrame:
-    """(query, instance): active instances whose description matches, else all active ones."""
+    """(query, instance): active instances whose description matches, else all active ones. Every query
+    without a match meets every active instance, in one pass over the instances: those queries are counted
+    and broadcast up to 10,000."""
     act = instances.where("status = 'active'")
     idx = search.Index.build(act.select(F.lit("instance").alias("label"), F.col("name").alias("id"), F.col("description").alias("text")))
-    hit = idx.search(queries, 50).select("query", F.col("id").alias("instance"))
-    rest = queries.join(hit, "query", "left_anti").select("query").crossJoin(F.broadcast(act.select(F.col("name").alias("instance")).limit(1000)))
-    return hit.union(rest)
+    hit = idx.search(queries, 2**31 - 1).select("query", F.col("id").alias("instance"))
+    rest = queries.join(hit, "query", "left_anti").select("query", F.lit("active").alias("status"))
+    rest = F.broadcast(rest) if rest.count() <= 10_000 else rest
+    return hit.union(act.join(rest, "status").select("query", F.col("name").alias("instance")))
 
 
 def answer(requests: DataFrame, by_type: dict) -> DataFrame:
