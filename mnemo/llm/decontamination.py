@@ -38,6 +38,9 @@ def containment(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Data
     """Pairs of documents and test items with at least `share` of the item's distinct shingles in the
     document: doc_id, item_id, item_shingles, shared_shingles, containment.
 
+    Limit: an item of fewer than WIDTH words is one shingle of its whole sequence, so it is found only in
+    documents of the same words and never inside a longer one.
+
     Null, empty and blank texts on either side match nothing; ties do not arise; repeated rows give one
     pair; empty tables give no rows; only doc_id, item_id and text are read of either table.
     """
