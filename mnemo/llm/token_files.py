@@ -1,14 +1,17 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Three predictors guess each id: order 2 and order 1 name the id that last followed the same two ids or
-the same one id, order 0 counts ids so far. How far the two guesses are to be trusted is learned in
-three contexts whose counts are mixed with weights that follow their success; the mixed counts drive the
-range coder to say which guess holds, or that the id follows by its order-0 counts. All arithmetic is on
-integers, so every machine decodes alike. Blocks start afresh, and a task codes its blocks side by side:
-step t of all blocks is one set of array operations.
-
-A file's rows are segments of whole documents: (part, segment, n_docs, doc_ids, lengths, crc32, n_ids,
-blocks), blocks a list of coded blocks of BLOCK ids (the last one shorter), each with its own crc32.
+Order 2 and order 1 name the id that last followed the same two ids or the same one id; order 0 knows how
+often ids occur. An id is coded as an outcome (order 2 is right, order 1 is right, neither) and, if
+neither, as the class of its order-0 rank, a power of two, by adaptive counts; its place inside the class
+is near uniform and goes out as plain bits. The outcome's probabilities are mixed from two adaptive
+contexts (how far both guesses were right before, and the last outcomes) with a weight that moves to the
+context that did better. All arithmetic is exact, so every machine decodes alike. Blocks start afresh, and
+a task codes its blocks side by side: step t of all blocks is one set of array operations.
+
+A file's rows are segments of whole documents: (part, segment, doc_ids, lengths, n_ids, crc32, ranks,
+blocks). crc32 is that of the segment's ids as little-endian unsigned 32-bit integers, ranks the segment's
+distinct ids by falling count (the same form), blocks a list of coded blocks of BLOCK ids (the last one
+shorter): crc32 of the rest, number of ids, number of coder words, coder words, plain bits.
 """
 
 from __future__ import annotations
@@ -18,271 +21,374 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import saved
-from mnemo.llm.tokens import encoder
+from mnemo.llm.common import broadcast_if_small, saved
+from mnemo.llm.tokens import encoder, with_end
 
 END = 2
-#: Ids of a block, and of a segment before it is closed; blocks coded side by side at most.
-BLOCK, SEGMENT, LANES = 1024, 2_000_000, 2048
-SLOTS = 1024
-TOP, LOW = np.uint64(1 << 48), np.uint64(1 << 32)
+#: Ids of a block; blocks coded side by side, at most; ids of a segment before it is closed.
+BLOCK, LANES = 512, 8192
+SEGMENT = BLOCK * LANES
+#: Bits of a lane's order-1 and order-2 tables, of a probability, and steps between updates of the class counts.
+SLOT_BITS, T_BITS, EVERY = 8, 12, 16
+T = 1 << T_BITS
 U = np.uint64
+#: Cumulative probabilities that an outcome pulls to.
+_GOAL = np.array([[T - 2, T - 1], [1, T - 1], [1, 2]], np.int16).view(np.int32).ravel()
+_PLAIN = ((1 << np.arange(32, dtype=np.int64)) - 1).astype(np.uint32)
 
 
 class Model:
-    """Predictors of n blocks; all methods take the lanes that still have ids. Tables are flat, so that one
-    index finds a lane's entry."""
-
-    def __init__(self, n: int):
-        self.two, self.one = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
-        self.sure2, self.sure1 = np.zeros(n * SLOTS, np.int8), np.zeros(n * SLOTS, np.int8)
-        # counts of {order 2 holds, order 1 holds, neither} by trust in each guess, by their agreement, by the last outcome
-        self.hits = np.ones((n * 48, 3), np.int32)
-        self.weight = np.full((n, 3), 85, np.int32)
-        # order-0 counts of the upper 12 of 16 bits, as two choices of one in 64
-        self.tree = np.ones((n * 65, 64), np.uint16)
-        self.before2, self.before1, self.last = (np.zeros(n, np.int64) for _ in range(3))
-
-    def guess(self, a: np.ndarray) -> np.ndarray:
-        b1, base = self.before1[a], a * SLOTS
-        self.s2 = base + (((self.before2[a] * 40503 + b1 * 30011) >> 3) & (SLOTS - 1))
-        self.s1 = base + ((b1 * 40503 >> 4) & (SLOTS - 1))
-        self.g2, self.g1 = self.two[self.s2], self.one[self.s1]
-        self.t2, self.t1 = self.sure2[self.s2], self.sure1[self.s1]
-        same = self.g2 == self.g1
-        lane = a * 48
-        self.at = np.stack([lane + self.t2 * 4 + self.t1, lane + 16 + same * 8 + self.t2, lane + 32 + self.last[a] * 4 + self.t1], axis=1)
-        self.counts = self.hits[self.at]
-        self.parts = (self.counts << 12) // self.counts.sum(axis=2, keepdims=True)
-        self.mix = self.weight[a]
-        freq = ((self.parts * self.mix[:, :, None]).sum(axis=1) >> 8) + 1
-        freq[same, 1] = 0  # the second guess says nothing new
-        return freq
-
-    def learn(self, a: np.ndarray, outcome: np.ndarray, ids: np.ndarray) -> None:
-        row = np.arange(len(a))
-        best = self.parts[row, :, outcome].argmax(axis=1)
-        w = self.mix - (self.mix >> 5)
-        w[row, best] += 255 - w.sum(axis=1)
-        self.weight[a] = w
-        h = self.counts
-        h[row, :, outcome] += 24
-        if h.max() > 2000:
-            h[h.max(axis=2) > 2000] >>= 1
-            np.maximum(h, 1, out=h)
-        self.hits[self.at] = h
-        for table, sure, slot, guess, trust in ((self.two, self.sure2, self.s2, self.g2, self.t2), (self.one, self.sure1, self.s1, self.g1, self.t1)):
-            sure[slot] = np.minimum(trust + 1, 3) * (guess == ids)
-            table[slot] = ids
-        self.before2[a], self.before1[a], self.last[a] = self.before1[a], ids, outcome
-
-
-class Coder:
-    """Range coders of L blocks with 64-bit bounds that give out 16 bits at a time."""
+    """Predictors of n blocks. Tables are laid out entry by entry with the blocks side by side, so that what
+    all blocks use often lies together."""
+
+    def __init__(self, n: int, classes: int):
+        self.n, self.stride, self.k = n, n, classes
+        self.lane = np.arange(n, dtype=np.int64)
+        # entries: a rank and how often in a row it was right (0 to 3)
+        self.two, self.one = np.zeros(n << SLOT_BITS, np.int32), np.zeros(n << SLOT_BITS, np.int32)
+        even = int(np.array([T // 8, T // 4], np.int16).view(np.int32)[0])
+        self.a, self.b = np.full(n << 7, even, np.int32), np.full(n << 7, even, np.int32)
+        self.weight, self.past = np.full(n, 128, np.int32), np.zeros(n, np.int32)
+        self.x1, self.x2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.seen, self.n_seen = np.empty((EVERY, n), np.int32), 0
+        self.counts = np.ones((classes, n), np.int32)
+        self._tally()
+
+    def _tally(self) -> None:
+        total = np.zeros((self.k + 1, self.n), np.int32)
+        np.cumsum(self.counts, axis=0, out=total[1:])
+        share = (T - self.k) * total.astype(np.int64) // total[-1]
+        self.cum = share.astype(np.int16) + np.arange(self.k + 1, dtype=np.int16)[:, None]
+        self.flat = self.cum.ravel()
+
+    def shrink(self, n: int) -> None:
+        """The first n blocks have ids left."""
+        for k in ("lane", "weight", "past", "x1", "x2"):
+            setattr(self, k, getattr(self, k)[:n])
+        for k in ("seen", "counts", "cum"):
+            setattr(self, k, np.ascontiguousarray(getattr(self, k)[:, :n]))
+        self.flat, self.n = self.cum.ravel(), n
+
+    def guess(self) -> None:
+        h1 = self.x1 * np.uint32(0x9E3779B1)
+        h2 = self.x2 * np.uint32(0x85EBCA77) ^ h1
+        cut = np.uint32(32 - SLOT_BITS)
+        self.s2 = (h2 >> cut).view(np.int32) * self.stride + self.lane
+        self.s1 = (h1 >> cut).view(np.int32) * self.stride + self.lane
+        e2, e1 = self.two[self.s2], self.one[self.s1]
+        self.g2, self.g1, self.t2, self.t1 = e2 >> 2, e1 >> 2, e2 & 3, e1 & 3
+        near = (self.t2 << 1) | (self.g2 == self.g1)
+        self.ia = ((self.t1 << 3) | near) * self.stride + self.lane
+        self.ib = ((self.past << 3) | near) * self.stride + self.lane
+        self.pa, self.pb = self.a[self.ia], self.b[self.ib]
+        a1, a2, b1, b2 = self.pa & 65535, self.pa >> 16, self.pb & 65535, self.pb >> 16
+        self.lead = a2 - b2
+        self.c1, self.c2 = b1 + ((a1 - b1) * self.weight >> 8), b2 + (self.lead * self.weight >> 8)
+
+    def bounds(self, not2: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the outcome, from 1 where order 2 is wrong and 1 where both are."""
+        d = self.c2 - self.c1
+        return self.c1 * not2 + d * miss, self.c1 + (d - self.c1) * not2 + (T - self.c2 - d) * miss
+
+    def within(self, start: np.ndarray, size: np.ndarray, cls: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with the class where both are wrong."""
+        at = cls * self.n + self.lane
+        low = self.flat[at]
+        wide = (self.flat[at + self.n] - low - T).astype(np.int32)
+        return (start << T_BITS) + size * (low * miss), size * (wide * miss + T)
+
+    def learn(self, out: np.ndarray, miss: np.ndarray, x: np.ndarray, cls: np.ndarray) -> None:
+        w = self.weight
+        w += (self.lead - (miss << 1) * self.lead) >> 5
+        np.minimum(np.maximum(w, 8, out=w), 248, out=w)
+        goal = _GOAL[out].view(np.int16)
+        for table, at, p in ((self.a, self.ia, self.pa), (self.b, self.ib, self.pb)):
+            p = p.view(np.int16)
+            table[at] = (p + ((goal - p) >> 4)).view(np.int32)
+        named = x << 2
+        self.two[self.s2] = named | ((np.minimum(self.t2, 2) + 1) * (self.g2 == x))
+        self.one[self.s1] = named | ((np.minimum(self.t1, 2) + 1) * (self.g1 == x))
+        self.past = ((self.past << 2) | out) & 15
+        self.x2, self.x1 = self.x1, x.view(np.uint32)
+        self.seen[self.n_seen] = cls
+        self.n_seen += 1
+        if self.n_seen == EVERY:
+            found = np.bincount((self.seen * self.n + self.lane).ravel(), minlength=self.k * self.n)
+            self.counts += found.reshape(self.k, self.n).astype(np.int32) * 2
+            self.n_seen = 0
+            self._tally()
+
+
+class Writer:
+    """Range coders of n blocks. The range stays over 2**32 and gives out 16 bits at a time; the low end is
+    under 2**48 but for a carry, which goes into what was given out before."""
 
     def __init__(self, n: int, words: int):
-        self.low, self.range = np.zeros(n, U), np.full(n, U(0xFFFFFFFFFFFFFFFF))
-        self.words, self.at = np.zeros((n, words), np.uint16), np.zeros(n, np.int64)
-        self.code = np.zeros(n, U)
-
-    def start(self, words: np.ndarray) -> None:
-        self.words = words
-        self.at[:] = 4
-        for k in range(4):
-            self.code = (self.code << U(16)) | words[:, k].astype(U)
-
-    def _shift(self, a: np.ndarray, decode: bool) -> None:
-        while len(a):
-            low, rng = self.low[a], self.range[a]
-            same, small = (low ^ (low + rng)) < TOP, rng < LOW
-            # a small range across a boundary is cut at it
-            rng = np.where(small & ~same, (U(0) - low) & (LOW - U(1)), rng)
-            move = same | small
-            a, low, rng = a[move], low[move], rng[move]
-            if not len(a):
-                return
-            if decode:
-                self.code[a] = (self.code[a] << U(16)) | self.words[a, np.minimum(self.at[a], self.words.shape[1] - 1)].astype(U)
-            else:
-                self.words[a, self.at[a]] = (low >> U(48)).astype(np.uint16)
-            self.at[a] += 1
-            self.low[a], self.range[a] = low << U(16), rng << U(16)
-
-    def encode(self, a: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[a] // total.astype(U)
-        self.low[a] += r * start.astype(U)
-        self.range[a] = r * size.astype(U)
-        self._shift(a, False)
-
-    def target(self, a: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.r = self.range[a] // total.astype(U)
-        return np.minimum((self.code[a] - self.low[a]) // self.r, total.astype(U) - U(1)).astype(np.int64)
-
-    def decode(self, a: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[a] += self.r * start.astype(U)
-        self.range[a] = self.r * size.astype(U)
-        self._shift(a, True)
-
-    def finish(self) -> list[bytes]:
-        for k in range(4):
-            self.words[np.arange(len(self.at)), self.at + k] = (self.low >> U(48 - 16 * k)).astype(np.uint16)
-        return [w[: n + 4].astype("<u2").tobytes() for w, n in zip(self.words, self.at, strict=True)]
-
-
-def _bump(tree: np.ndarray, node: np.ndarray, pick: np.ndarray, total: np.ndarray) -> None:
-    tree[node, pick] += 32
-    if total.max(initial=0) > 60_000:
-        big = node[total > 60_000]
-        tree[big] = (tree[big] >> 1) | 1
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids below 65536 coded by itself: crc32, number of ids, words."""
-    if not blocks:
-        return []
-    lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((len(blocks), lengths.max()), np.int32)
-    for k, b in enumerate(blocks):
-        ids[k, : len(b)] = b
-    m, c = Model(len(blocks)), Coder(len(blocks), int(lengths.max()) * 2 + 64)
-    for t in range(ids.shape[1]):
-        a = np.flatnonzero(lengths > t)
-        x = ids[a, t].astype(np.int64)
-        freq = m.guess(a)
-        outcome = np.where(x == m.g2, 0, np.where(x == m.g1, 1, 2))
-        cum = np.cumsum(freq, axis=1)
-        row = np.arange(len(a))
-        size = freq[row, outcome]
-        c.encode(a, cum[row, outcome] - size, size, cum[:, 2])
-        miss = outcome == 2
-        b, y = a[miss], x[miss]
-        if len(b):
-            r, top, mid, flat = np.arange(len(b)), y >> 10, y >> 4 & 63, y & 15
-            for node, pick, ways, tail in ((b * 65, top, 1, 0), (b * 65 + 1 + top, mid, 16, flat)):
-                rows = m.tree[node]
-                size = rows[r, pick].astype(np.int64)
-                rows = np.cumsum(rows, axis=1, dtype=np.int64)
-                c.encode(b, (rows[r, pick] - size) * ways + tail * size, size, rows[:, 63] * ways)
-                _bump(m.tree, node, pick, rows[:, 63])
-        m.learn(a, outcome, x)
-    return [zlib.crc32(b.astype("<u4").tobytes()).to_bytes(4, "little") + len(b).to_bytes(4, "little") + w for b, w in zip(blocks, c.finish(), strict=True)]
-
-
-def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
-    """The ids of coded blocks; raises ValueError if one does not match its crc32."""
-    if not coded:
-        return []
-    lengths = np.array([int.from_bytes(b[4:8], "little") for b in coded])
-    words = np.zeros((len(coded), max(len(b) for b in coded) // 2), np.uint16)
+        self.low, self.range = np.zeros(n, U), np.full(n, U(1 << 48))
+        self.out, self.n = np.zeros((words, n), np.uint16), n
+        self.flat, self.at = self.out.ravel(), np.arange(n, dtype=np.int64)
+
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
+        low, r = self.low[: len(start)], self.range[: len(start)]
+        r >>= U(2 * T_BITS)
+        low += r * start.astype(U)
+        r *= size.astype(U)
+        i = np.flatnonzero(r < U(1 << 32))
+        while len(i):
+            self._emit(i)
+            r = self.range[i] << U(16)
+            self.range[i] = r
+            i = i[r < U(1 << 32)]
+
+    def _emit(self, i: np.ndarray) -> None:
+        low, at = self.low[i], self.at[i]
+        full = low >> U(48)
+        if full.any():
+            back = at[full > 0] - self.n
+            while len(back):
+                self.flat[back] += np.uint16(1)
+                back = back[self.flat[back] == 0] - self.n
+            low &= U((1 << 48) - 1)
+        self.flat[at] = low >> U(32)
+        self.at[i] = at + self.n
+        self.low[i] = (low << U(16)) & U((1 << 48) - 1)
+
+    def finish(self) -> list[np.ndarray]:
+        for _ in range(3):
+            self._emit(np.arange(self.n))
+        return [w[:e] for w, e in zip(np.ascontiguousarray(self.out.T), (self.at // self.n).tolist(), strict=True)]
+
+
+class Reader:
+    def __init__(self, words: np.ndarray):
+        self.n, w = len(words), words.astype(U)
+        self.words = np.ascontiguousarray(words.T).ravel()
+        self.code = w[:, 0] << U(32) | w[:, 1] << U(16) | w[:, 2]
+        self.range = np.full(self.n, U(1 << 48))
+        self.at = np.arange(self.n, dtype=np.int64) + 3 * self.n
+
+    def target(self, n: int) -> np.ndarray:
+        r = self.range[:n]
+        r >>= U(2 * T_BITS)
+        # exact in floating point: the code is under 2**48 and the divisor 2**8 or more
+        return np.minimum((self.code[:n].astype(np.float64) / r.astype(np.float64)).astype(np.int32), (1 << 2 * T_BITS) - 1)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        code, r = self.code[: len(start)], self.range[: len(start)]
+        code -= r * start.astype(U)
+        r *= size.astype(U)
+        i = np.flatnonzero(r < U(1 << 32))
+        while len(i):
+            at = self.at[i]
+            self.code[i] = (self.code[i] << U(16)) | self.words[at]
+            self.at[i] = at + self.n
+            r = self.range[i] << U(16)
+            self.range[i] = r
+            i = i[r < U(1 << 32)]
+
+
+def classes_of(n: int) -> np.ndarray:
+    """The class of each of n ranks: rank + 1 lies in [2**class, 2**(class + 1))."""
+    return (np.frexp(np.arange(1, n + 1, dtype=np.float64))[1] - 1).astype(np.int32)
+
+
+def _packed(values: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    """The low `bits` bits of the values of each row, one after another, in words of 16 bits."""
+    total = np.cumsum(bits, axis=1, dtype=np.int32)
+    words = (total[:, -1] + 15) // 16
+    ends = np.cumsum(words)
+    at = (total - bits).astype(np.int64) + ((ends - words) * 16)[:, None]
+    part = (values & ((1 << bits) - 1)).astype(np.int64) << (at & 15)
+    at, part, n = (at >> 4).ravel(), part.ravel(), int(ends[-1]) + 2
+    # bits of different values never overlap, so a sum is a union
+    out = np.bincount(at, part & 65535, n)
+    out[1:] += np.bincount(at, part >> 16, n)[:-1]
+    return np.split(out[:-2].astype("<u2"), ends[:-1])
+
+
+def _lanes(lengths: np.ndarray, t: int) -> int:
+    """Blocks with an id at step t; only the last block may be shorter."""
+    return len(lengths) - (t >= lengths[-1])
+
+
+def _encoded(ranks: np.ndarray, lengths: np.ndarray, classes: np.ndarray) -> list[bytes]:
+    """Blocks of one group, from their ranks: a row a block."""
+    n, steps = ranks.shape
+    ranks, k = np.ascontiguousarray(ranks.T), int(classes[-1]) + 1
+    m, w, missed = Model(n, k), Writer(n, steps * 3 + 8), np.zeros((steps, n), bool)
+    for t in range(steps):
+        live = _lanes(lengths, t)
+        if live < m.n:
+            m.shrink(live)
+        x = ranks[t, :live]
+        cls = classes[x]
+        m.guess()
+        not2 = x != m.g2
+        missed[t, :live] = both = not2 & (x != m.g1)
+        not2, miss = not2.astype(np.int32), both.astype(np.int32)
+        w.put(*m.within(*m.bounds(not2, miss), cls, miss))
+        m.learn(not2 + miss, miss, x, cls)
+    out, words = [], w.finish()
+    for at in range(0, n, 512):  # in parts that a cache holds
+        own = np.ascontiguousarray(ranks[:, at : at + 512].T)
+        out += _packed(own + 1, classes[own] * np.ascontiguousarray(missed[:, at : at + 512].T))
+    coded = []
+    for size, own, plain in zip(lengths.tolist(), words, out, strict=True):
+        body = size.to_bytes(4, "little") + len(own).to_bytes(4, "little") + own.astype("<u2").tobytes() + plain.tobytes()
+        coded.append(zlib.crc32(body).to_bytes(4, "little") + body)
+    return coded
+
+
+def encode_ids(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """The ranks and the coded blocks of ids; each block can be decoded by itself."""
+    if not len(ids):
+        return b"", []
+    if ids.max() < 1 << 24:
+        count = np.bincount(ids)
+        named, place = np.flatnonzero(count), ids
+        count = count[named]
+    else:
+        named, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.zeros(len(named) if place is not ids else int(named[-1]) + 1, np.int32)
+    rank[order if place is not ids else named[order]] = np.arange(len(named), dtype=np.int32)
+    ranks, classes, coded = rank[place], classes_of(len(named)), []
+    for at in range(0, len(ids), BLOCK * LANES):
+        own = ranks[at : at + BLOCK * LANES]
+        width = min(BLOCK, len(own))
+        n = -(-len(own) // width)
+        lengths = np.full(n, width)
+        lengths[-1] = len(own) - width * (n - 1)
+        coded += _encoded(np.pad(own, (0, n * width - len(own))).reshape(n, width), lengths, classes)
+    return named[order].astype("<u4").tobytes(), coded
+
+
+def _decoded(blocks: list[np.ndarray], lengths: np.ndarray, words: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    n, steps = len(blocks), int(lengths[0])
+    coder = np.zeros((n, int(words.max()) + 4), np.uint16)
+    plain = np.zeros((n, max(len(b) - w for b, w in zip(blocks, words.tolist(), strict=True)) + 4), np.uint16)
+    for k, (b, w) in enumerate(zip(blocks, words.tolist(), strict=True)):
+        coder[k, :w] = b[:w]
+        plain[k, : len(b) - w] = b[w:]
+    both = np.ascontiguousarray((plain[:, :-1].astype(np.uint32) | plain[:, 1:].astype(np.uint32) << np.uint32(16)).T).ravel()
+    m, c, at = Model(n, int(classes[-1]) + 1), Reader(coder), np.zeros(n, np.int32)
+    ranks = np.zeros((steps, n), np.int32)
+    for t in range(steps):
+        live = _lanes(lengths, t)
+        if live < m.n:
+            m.shrink(live)
+            at = at[:live]
+        m.guess()
+        v = c.target(live)
+        u = v >> T_BITS
+        not2, miss = (u >= m.c1).astype(np.int32), (u >= m.c2).astype(np.int32)
+        start, size = m.bounds(not2, miss)
+        inner = ((v - (start << T_BITS)) / size).astype(np.int16)
+        cls = (m.cum[1:-1] <= inner).view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int32)
+        c.take(*m.within(start, size, cls, miss))
+        bits = cls * miss
+        low = (both[(at >> 4) * n + m.lane] >> (at & 15).view(np.uint32)) & _PLAIN[bits]
+        at += bits
+        hit = m.g2 + (m.g1 - m.g2) * not2
+        x = hit + ((low.view(np.int32) | (1 << cls)) - 1 - hit) * miss
+        m.learn(not2 + miss, miss, x, classes[x])
+        ranks[t, :live] = x
+    return np.ascontiguousarray(ranks.T).ravel()[: int(lengths.sum())]
+
+
+def decode_ids(ranks: bytes, coded: list[bytes]) -> np.ndarray:
+    """The ids of coded blocks in their order, any of a segment; raises ValueError if one is damaged."""
     for k, b in enumerate(coded):
-        w = np.frombuffer(b, "<u2", offset=8)
-        words[k, : len(w)] = w
-    m, c = Model(len(coded)), Coder(len(coded), 0)
-    c.start(words)
-    ids = np.zeros((len(coded), lengths.max()), np.int32)
-    for t in range(ids.shape[1]):
-        a = np.flatnonzero(lengths > t)
-        row = np.arange(len(a))
-        cum = np.cumsum(m.guess(a), axis=1)
-        want = c.target(a, cum[:, 2])
-        outcome = (want[:, None] >= cum).sum(axis=1)
-        start = np.where(outcome > 0, cum[row, np.maximum(outcome - 1, 0)], 0)
-        c.decode(a, start, cum[row, outcome] - start)
-        x = np.where(outcome == 0, m.g2, m.g1).astype(np.int64)
-        miss = np.flatnonzero(outcome == 2)
-        b, y = a[miss], np.zeros(len(miss), np.int64)
-        if len(b):
-            r = np.arange(len(b))
-            for ways in (1, 16):  # the last four bits are even and ride on the second choice
-                node = b * 65 if ways == 1 else b * 65 + 1 + y
-                rows = np.cumsum(m.tree[node], axis=1, dtype=np.int64)
-                want = c.target(b, rows[:, 63] * ways)
-                pick = ((want // ways)[:, None] >= rows).sum(axis=1)
-                start = np.where(pick > 0, rows[r, np.maximum(pick - 1, 0)], 0)
-                size = rows[r, pick] - start
-                tail = (want - start * ways) // size
-                c.decode(b, start * ways + tail * size, size)
-                _bump(m.tree, node, pick, rows[:, 63])
-                y = (y << 6 | pick) * ways | tail
-            x[miss] = y
-        m.learn(a, outcome, x)
-        ids[a, t] = x
-    out = [row[:n] for row, n in zip(ids, lengths, strict=True)]
-    for k, (b, o) in enumerate(zip(coded, out, strict=True)):
-        if zlib.crc32(o.astype("<u4").tobytes()) != int.from_bytes(b[:4], "little"):
+        if zlib.crc32(b[4:]) != int.from_bytes(b[:4], "little"):
             raise ValueError(f"block {k} is damaged")
-    return out
-
-
-def coded_segment(ids: np.ndarray) -> list[bytes]:
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    return [x for i in range(0, len(blocks), LANES) for x in encode_blocks(blocks[i : i + LANES])]
+    if not coded:
+        return np.zeros(0, np.uint32)
+    named = np.frombuffer(ranks, "<u4")
+    classes, heads = classes_of(len(named)), np.array([np.frombuffer(b, "<u4", 2, 4) for b in coded], dtype=np.int64)
+    out, at = [], 0
+    while at < len(coded):  # groups of equal lengths, of which only the last block may be shorter
+        end = at + 1
+        while end < len(coded) and end - at < LANES and heads[end - 1, 0] == heads[at, 0] >= heads[end, 0]:
+            end += 1
+        out.append(_decoded([np.frombuffer(b, "<u2", offset=12) for b in coded[at:end]], heads[at:end, 0], heads[at:end, 1], classes))
+        at = end
+    return named[np.concatenate(out)]
 
 
-FILE = "part int, segment int, doc_ids array<long>, lengths array<long>, n_ids long, blocks array<binary>"
+FILE = "part int, segment int, doc_ids array<long>, lengths array<long>, n_ids long, crc32 long, ranks binary, blocks array<binary>"
+_FILE = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("crc32", pa.int64()), ("ranks", pa.binary()), ("blocks", pa.list_(pa.binary()))])
 
 
 def write_ids(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
     """The files' rows of all documents in ascending doc_id order (null ids first): ids plus an end id.
 
-    Documents are range-partitioned by doc_id, so part numbers and segment numbers follow the order; a
-    task holds one segment at a time.
+    Documents are range-partitioned by doc_id and, among rows that repeat an id, a hash of the text, so
+    part numbers and segment numbers follow the order; a task holds one segment at a time.
     """
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, last, segment = encoder(vocabulary).encode_many, end.to_bytes(4, "little"), 0
-        names, lengths, held, n, part = [], [], [], 0, 0
-
-        def close() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(held), dtype="<u4").astype(np.int32)
-            return pd.DataFrame({"part": [part], "segment": [segment], "doc_ids": [list(names)], "lengths": [list(lengths)], "n_ids": [len(ids)], "blocks": [coded_segment(ids)]})
-
-        for f in frames:
-            for at in range(0, len(f), 256):
-                g = f.iloc[at : at + 256]
-                for i, x in zip(g["doc_id"], encode(g["text"]), strict=True):
-                    part = int(g["part"].iloc[0])
-                    names.append(None if pd.isna(i) else int(i))
-                    lengths.append(len(x) // 4 + 1)
-                    held.append(x + last)
-                    n += lengths[-1]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, segment, part, names, lengths, held, n = encoder(vocabulary).encode, 0, 0, [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            ids, own = np.concatenate(held), np.concatenate(lengths).tolist()
+            ranks, blocks = encode_ids(ids)
+            row = {"part": part, "segment": segment, "doc_ids": list(names), "lengths": own, "n_ids": len(ids), "crc32": zlib.crc32(ids.astype("<u4").tobytes()), "ranks": ranks, "blocks": blocks}
+            return pa.RecordBatch.from_pylist([row], _FILE)
+
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                own = b.slice(at, 512)
+                part = own.column("part")[0].as_py()
+                ids, counts = with_end(*encode(own.column("text")), end)
+                done, first, ends = 0, 0, np.cumsum(counts)
+                while done < len(counts):
+                    # documents up to the one that fills the segment
+                    last = min(len(counts), int(np.searchsorted(ends, first + SEGMENT - n)) + 1)
+                    names += own.column("doc_id").slice(done, last - done).to_pylist()
+                    lengths.append(counts[done:last])
+                    held.append(ids[first : ends[last - 1]])
+                    n += int(ends[last - 1]) - first
+                    done, first = last, int(ends[last - 1])
                     if n >= SEGMENT:
                         yield close()
                         segment, n = segment + 1, 0
                         names.clear(), lengths.clear(), held.clear()
-        if held:
+        if n:
             yield close()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.withColumn("part", F.spark_partition_id()).mapInPandas(rows, FILE)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    return dealt.withColumn("part", F.spark_partition_id()).mapInArrow(rows, FILE)
 
 
 def read_ids(files: DataFrame) -> DataFrame:
     """One row a document of the files: doc_id, start, n_tokens, ids_crc32; start counts all ids before it.
 
     Null and empty texts have the end id alone; repeated rows are documents of their own, in the order of
-    their texts; an empty table gives no rows.
+    their texts; an empty table gives no rows. A damaged block or segment raises ValueError.
     """
+    # counts only: one row a part in the first window, and the coded blocks stay where they are
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     w = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    # positions move without the coded blocks
-    starts = files.select("part", "segment", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("_within")).join(F.broadcast(parts), "part").select("part", "segment", (F.col("_before") + F.col("_within")).alias("base"))
+    within = files.select("part", "segment", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("_within"))
+    starts = within.join(parts, "part").select("part", "segment", (F.col("_before") + F.col("_within")).alias("base"))
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for part, segment, names, lengths, blocks in zip(f["part"], f["segment"], f["doc_ids"], f["lengths"], f["blocks"], strict=True):
-                blocks = list(blocks)
-                ids = np.concatenate([x for i in range(0, len(blocks), LANES) for x in decode_blocks(blocks[i : i + LANES])])
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
-                at = ends - np.asarray(lengths)
-                yield pd.DataFrame({"part": part, "segment": segment, "doc_id": pd.array([None if pd.isna(i) else int(i) for i in names], dtype="Int64"), "at": at, "n_tokens": lengths, "ids_crc32": [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, ends, strict=True)]})
+            for part, segment, names, lengths, crc32, ranks, blocks in zip(f["part"], f["segment"], f["doc_ids"], f["lengths"], f["crc32"], f["ranks"], f["blocks"], strict=True):
+                raw, ends = decode_ids(ranks, list(blocks)).astype("<u4").tobytes(), np.cumsum(lengths)
+                if zlib.crc32(raw) != crc32:
+                    raise ValueError(f"segment {segment} of part {part} is damaged")
+                at, view = ends - np.asarray(lengths), memoryview(raw)
+                yield pd.DataFrame({"part": part, "segment": segment, "doc_id": pd.array([None if pd.isna(i) else int(i) for i in names], dtype="Int64"), "at": at, "n_tokens": lengths, "ids_crc32": [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]})
 
     out = files.mapInPandas(rows, "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return out.join(F.broadcast(starts), ["part", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return out.join(broadcast_if_small(starts, files.count()), ["part", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def through_files(docs: DataFrame) -> DataFrame:

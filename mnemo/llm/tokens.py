@@ -1,87 +1,189 @@
-"""Token ids of texts by a public byte-level BPE vocabulary, as little-endian unsigned 32-bit integers."""
+"""Token ids of texts by a public byte-level BPE vocabulary, as unsigned 32-bit integers.
+
+Texts are cut into chunks where the vocabulary's split pattern always starts a new piece, so the ids of
+a text are those of its chunks. A chunk that occurs again is not encoded again: Arrow numbers the
+distinct chunks of a batch, and the tokenizer sees only those that a worker does not remember.
+"""
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Chunks whose ids are remembered in a worker, at most.
-REMEMBERED = 1_000_000
-#: White space next to a space: the only case in which a cut before a space can change how the text is split.
-_WIDE = re.compile(r" \s|\s ")
+#: Chunks whose ids are remembered in a worker, at most, and the bytes of one.
+REMEMBERED, LONGEST = 1_000_000, 64
+#: Bytes of texts that are cut and numbered together, about; one longer text goes alone.
+TOGETHER = 8_000_000
+
+
+def _marked(*parts: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    for p in parts:
+        out[list(p)] = True
+    return out
+
+
+#: ASCII white space; visible ASCII; punctuation that no piece shares with a letter before it.
+_WHITE, _VISIBLE, _POINT = _marked(range(9, 14), [32]), _marked(range(33, 127)), _marked(b",.;:!?")
+_LETTER = _marked(range(65, 91), range(97, 123))
+#: First bytes of characters that are no white space (the others may be).
+_SURE = _marked(range(33, 256)) & ~_marked([0x7F, 0xC2, 0xE1, 0xE2, 0xE3])
+_MAYBE = _WHITE | _POINT
+
+
+def edges(raw: np.ndarray, offsets: np.ndarray, sure: np.ndarray = _SURE) -> np.ndarray:
+    """Where chunks of texts begin, and the end: at every text, before a space that a visible character
+    (by its first byte, of those in sure) follows, before white space after visible ASCII, and before a
+    point after a letter."""
+    cut = np.zeros(len(raw) + 1, dtype=bool)
+    at = np.flatnonzero(_MAYBE[raw])
+    if len(at):
+        this, last = raw[at], len(raw) - 1
+        after, before, second = raw[np.minimum(at + 1, last)], raw[np.maximum(at - 1, 0)], raw[np.maximum(at - 2, 0)]
+        ends = np.zeros(len(raw) + 1, dtype=bool)
+        ends[offsets] = True
+        inner = ~ends[at + 1]  # what follows is of the same text
+        # letters of two bytes: U+00C0 to U+00FF but for two signs, and Cyrillic
+        wide = (before >= 0x80) & (before < 0xC0) & (((second == 0xC3) & (before != 0x97) & (before != 0xB7)) | (second == 0xD0) | (second == 0xD1))
+        cut[at] = ((this == 32) & inner & sure[after]) | (_WHITE[this] & _VISIBLE[before]) | (_POINT[this] & (_LETTER[before] | wide))
+    cut[offsets] = True
+    cut[len(raw)] = True
+    return np.flatnonzero(cut)
+
+
+def taken(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
-    """Encodes whole texts. The vocabulary's split pattern always starts a new piece at a single space
-    before a visible character, so texts are cut there and the ids of each chunk are remembered; texts
-    with wider white space go through the tokenizer in one piece. Ids are those of the tokenizer."""
+    """Encodes whole texts; ids are those of the tokenizers library with add_special_tokens=False.
+
+    As in the library, a text that spells a special token gets that token's id; with specials_as_text it
+    is encoded like other text. Special tokens must not hold white space or points.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # a token of a byte-level vocabulary is written with one character a byte
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.n_bytes = numpy.zeros(max(vocabulary.values()) + 1, dtype=numpy.int64)
-        for token, i in vocabulary.items():
-            self.n_bytes[i] = len(token)
-        self.numpy = numpy
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return self.numpy.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks in one call and cut the ids where the chunks' bytes end."""
-        np = self.numpy
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(c.encode()) for c in chunks])) + 1
-        raw, at = ids.tobytes(), 0
-        for c, end in zip(chunks, (ends * 4).tolist(), strict=True):
-            self.known[c] = raw[at:end]
-            at = end
-
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of texts, in groups so that new chunks are learned together."""
-        texts, out = list(texts), []
-        for at in range(0, len(texts), 32):
-            out.extend(self._group(texts[at : at + 32]))
-        return out
-
-    def _group(self, texts: list[str | None]) -> list[bytes]:
+        self.tokenizer.encode_special_tokens = specials_as_text
+        # a token of a byte-level vocabulary is written with one character a byte, an added one as it is
+        own, every = self.tokenizer.get_vocab(with_added_tokens=False), self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(every.values()) + 1, dtype=np.int64)
+        for token, i in every.items():
+            self.n_bytes[i] = len(token) if token in own else len(token.encode())
+        # a special token ends the text before it, and so a run of white space that no cut may part
+        self.sure = _SURE & ~_marked([t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values()])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.starts, self.lengths, self.ids, self.n_ids = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32), 0
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learned(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each chunk. Chunks of a space and visible ASCII go to the tokenizer in one
+        text, since pieces begin where they do; its ids are cut where the chunks' bytes end."""
+        raw, off = np.frombuffer(chunks.buffers()[2] or b"", dtype=np.uint8), np.frombuffer(chunks.buffers()[1], dtype=np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
+        size = np.diff(off)
+        whole = (size > 1) & (size <= LONGEST)
+        whole[whole] = (raw[off[:-1][whole]] == 32) & _VISIBLE[raw[off[:-1][whole] + 1]] & ~_WHITE[raw[off[1:][whole] - 1]]
+        counts, parts = np.zeros(len(chunks), dtype=np.int64), [np.zeros(0, np.uint32)]
+        joined, single = np.flatnonzero(whole), np.flatnonzero(~whole)
+        if len(joined):
+            text = raw[taken(off[joined], size[joined])].tobytes().decode()
+            ids = self._encoded([text])[0]
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(size[joined])) + 1
+            counts[joined] = np.diff(ends, prepend=0)
+            parts.append(ids)
+        if len(single):
+            found = self._encoded([c.decode() for c in chunks.take(pa.array(single)).to_pylist()])
+            counts[single] = [len(x) for x in found]
+            parts.extend(found)
+        ids, order = np.concatenate(parts), np.concatenate([joined, single])
+        starts = np.zeros(len(chunks), dtype=np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return ids[taken(starts, counts)], counts
+
+    def _remember(self, chunks: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(max(len(ids), self.n_ids), np.uint32)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, self.n_ids + np.cumsum(counts) - counts])
+        self.lengths = np.concatenate([self.lengths, counts])
+        self.known = pa.concat_arrays([self.known, chunks])
+        self.n_ids += len(ids)
+
+    def _group(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie one after another in raw, and the number of ids of each."""
+        at = edges(raw, offsets, self.sure)
+        if len(at) < 2:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, dtype=np.int64)
+        cut = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, cut, new = self.known, [], {}
-        for t in texts:
-            if not t or "\0" in t or _WIDE.search(t):
-                cut.append((self.whole(t) if t else b"", [], []))
-                continue
-            head, *chunks = t.replace(" ", "\0 ").split("\0")
-            ids = list(map(known.get, chunks))
-            if None in ids:
-                new |= dict.fromkeys(c for c, i in zip(chunks, ids, strict=True) if i is None)
-            cut.append((self.whole(head) if head else b"", chunks, ids))
-        if new:
-            self.learn(list(new))
-        return [head + b"".join(map(known.__getitem__, chunks) if None in ids else ids) for head, chunks, ids in cut]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str | None = None) -> Encoder:
+            self.forget()
+        place = pc.index_in(cut.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        chunks = cut.dictionary.take(pa.array(new))
+        short = pc.less_equal(pc.binary_length(chunks), LONGEST).to_numpy(zero_copy_only=False)
+        fresh = chunks.filter(pa.array(short))
+        if len(fresh):
+            ids, counts = self._learned(fresh)
+            place[new[short]] = np.arange(len(self.starts), len(self.starts) + len(counts))
+            self._remember(fresh, ids, counts)
+        flat, starts, lengths = self.ids, self.starts, self.lengths
+        if len(fresh) < len(chunks):  # long chunks are not remembered
+            ids, counts = self._learned(chunks.filter(pa.array(~short)))
+            place[new[~short]] = np.arange(len(starts), len(starts) + len(counts))
+            flat = np.concatenate([flat[: self.n_ids], ids])
+            starts, lengths = np.concatenate([starts, self.n_ids + np.cumsum(counts) - counts]), np.concatenate([lengths, counts])
+        row = place[cut.indices.to_numpy()]
+        n = lengths[row]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return flat[taken(starts[row], n)], np.diff(ends[np.searchsorted(at, offsets)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the number of ids of each; null texts have none."""
+        texts = texts.fill_null("")
+        groups = list(_groups(texts))
+        found = [self._group(raw, off) for raw, off in groups]
+        if not found:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of runs of texts of about TOGETHER bytes."""
+    wide = pa.types.is_large_string(texts.type)
+    off = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw, at = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(off, off[at] + TOGETHER, side="right")) - 1)
+        yield raw[off[at] : off[end]], off[at : end + 1] - off[at]
+        at = end
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with one more id at the end of each text."""
+    return np.insert(ids, np.cumsum(counts), end).astype(np.uint32, copy=False), counts + 1
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str | None = None, specials_as_text: bool = False) -> Encoder:
     """One encoder a worker process and vocabulary."""
-    path = path or public_tokenizers.path(VOCABULARY)
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path or public_tokenizers.path(VOCABULARY), specials_as_text)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
