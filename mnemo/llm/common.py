@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only a session without one (tests) gets a local folder."""
+    """The folder all executors see. Only a session in one process (tests) gets a local one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="mnemo-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -56,6 +59,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SPACES), lambda w: w != "")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once a row: inside another lambda Spark would repeat it for each element."""
     return F.get(F.transform(F.array(value), use), 0)

@@ -4,8 +4,9 @@ Test items are short and documents long, so the Jaccard similarity of the two is
 complete the leak is, and banded MinHash signatures of whole documents cannot find it. Here the items
 are the partitioned side: items are classed by size (powers of two of their shingle count), each item
 is sketched by its min-wise hashes (its SKETCH smallest shingle hashes), and each class has the hash
-bound that its sketches stay under. A document is probed with those of its own shingles that stay
-under the bound of the classes it is large enough to contain: a document holding a share c of an
+bound that its sketches stay under. For each class that it is large enough to contain, a document is
+probed with those of its own shingles that stay under the class's bound, and meets that class's sketches
+only: a document holding a share c of an
 item's shingles misses the whole sketch with a probability of at most (1 - c) ** SKETCH, 4e-6 at
 c = 0.75. Hits are then verified on full shingle sets. DataFrame functions only.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import broadcast_if_small, let, words
+from mnemo.llm.common import broadcast_if_small, let, saved, unused, words
 
 WIDTH, SHARE, SKETCH = 5, 0.75, 9
 
@@ -52,16 +53,29 @@ def containment(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Data
     bounds = sketch.groupBy("klass").agg(F.max("h").alias("bound"), F.min("q").alias("least"), F.count("*").alias("n")).orderBy("klass").collect()
     n_sketch = sum(r["n"] for r in bounds)
 
-    def bound(h: Column) -> Column:
-        """The highest hash to probe with: null for a document too small for every class."""
-        top = F.lit(None).cast("long")
-        for r in bounds:
-            top = F.greatest(top, F.when(F.size(h) >= F.lit(share) * F.lit(r["least"]), F.lit(r["bound"])))
-        return top
+    def fits(n: Column, r) -> Column:
+        """Whether a document of n shingles may hold an item of the class."""
+        return n >= F.lit(share) * F.lit(r["least"])
 
-    probes = docs.select("doc_id", let(shingle_hashes(text), lambda h: let(bound(h), lambda top: F.filter(h, lambda x: x <= top))).alias("h"))
-    hits = probes.select("doc_id", F.explode("h").alias("h")).join(broadcast_if_small(sketch.select("item_id", "h"), n_sketch), "h")
-    pairs = hits.select("doc_id", "item_id").distinct()
+    def top(n: Column) -> Column:
+        """The highest hash that any class asks for: null for a document too small for every class."""
+        return F.greatest(*[F.when(fits(n, r), F.lit(r["bound"])) for r in bounds], F.lit(None).cast("long"), F.lit(None).cast("long"))
+
+    none = F.array().cast("array<struct<klass:int,h:bigint>>")
+
+    def of_class(h: Column, n: Column, r) -> Column:
+        named = F.transform(F.filter(h, lambda x: x <= r["bound"]), lambda x: F.struct(F.lit(r["klass"]).alias("klass"), x.alias("h")))
+        return F.when(fits(n, r), named).otherwise(none)
+
+    def probes(h: Column, n: Column) -> Column:
+        return F.flatten(F.array(*[of_class(h, n, r) for r in bounds])) if bounds else none
+
+    low = let(shingle_hashes(text), lambda h: F.struct(F.size(h).alias("n"), let(top(F.size(h)), lambda t: F.array_distinct(F.filter(h, lambda x: x <= t))).alias("h")))
+    asked = docs.select("doc_id", low.alias("low")).select("doc_id", F.explode(probes(F.col("low.h"), F.col("low.n"))).alias("p")).select("doc_id", "p.*")
+    hits = asked.join(broadcast_if_small(sketch.select("item_id", "klass", "h"), n_sketch), ["klass", "h"])
+    pairs = saved(hits.select("doc_id", "item_id").distinct(), "pairs")
+    # few pairs go to the texts; only many make texts and pairs meet in a shuffle
+    pairs = broadcast_if_small(pairs, pairs.count())
     sets = broadcast_if_small(item.select("item_id", "item_set"), n_sketch)
     found = docs.select("doc_id", "text").join(pairs, "doc_id").join(sets, "item_id").select("doc_id", "item_id", "item_set", shingle_texts(text).alias("doc_set"))
     exact = found.select("doc_id", "item_id", F.size("item_set").cast("long").alias("item_shingles"), F.size(F.array_intersect("doc_set", "item_set")).cast("long").alias("shared_shingles"))
@@ -70,9 +84,11 @@ def containment(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Data
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """The documents that contain no test item; rows with a null id are kept."""
-    leaks = containment(docs, items, share).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col("_leak"), "left_anti")
+    """The documents that contain no test item, with their own columns. Rows with a null id, a null or an empty
+    text are kept; of rows that repeat an id all go if one of them holds an item; an empty table stays empty."""
+    leak = unused(docs, "_leak")
+    leaks = containment(docs, items, share).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, docs["doc_id"] == F.col(leak), "left_anti")
 
 
 _SHINGLES = """

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ FRAME, LACE, BLOCKS, RATE = 192, 8, 32, 8000
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
-DOCTYPE, DOCTYPE_VERSION, SCALE, ENTRY, NUMBER, UID, KIND, CODEC = 0x4282, 0x4287, 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
+DOCTYPE, DOCTYPE_VERSION, SCALE, ENTRY, NUMBER, UID, KIND, CODEC, DURATION = 0x4282, 0x4287, 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE, GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -59,7 +59,7 @@ def write(payload: bytes) -> bytes:
     ms = FRAME * 1000 // RATE
     head = element(EBML, element(DOCTYPE, b"matroska") + number(DOCTYPE_VERSION, 4))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))
-    track = element(ENTRY, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio)
+    track = element(ENTRY, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(DURATION, ms * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + audio)
     body = bytearray(element(INFO, number(SCALE, 1_000_000)) + element(TRACKS, track))
     cues, frames = b"", [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     for c in range(0, len(frames), LACE * BLOCKS):
@@ -85,14 +85,17 @@ def _vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
     return (raw if keep else raw ^ 1 << 7 * w), w, at + w
 
 
-_MASTER = {SEGMENT, CLUSTER, CUES, POINT, POSITIONS, GROUP, INFO}
+_MASTER = {SEGMENT, CLUSTER, CUES, POINT, POSITIONS, GROUP, INFO, TRACKS, ENTRY, AUDIO}
+_WHOLE = {NUMBER: "number", KIND: "kind", DURATION: "duration", CHANNELS: "channels", DEPTH: "depth"}
 
 
-def parse(data: bytes) -> tuple[list[tuple], list[tuple], int]:
+def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, list[dict]]:
     """Packets (track, timestamp in ms, byte offset, length, key frame), cues (time, track, byte offset of
-    the cluster) and the number of clusters. Laced frames share their block's timestamp. Raises ValueError
-    on damaged structure."""
-    packets, cues, clusters, scale, base, time, segment, cue = [], [], 0, 1_000_000, 0, 0, 0, {}
+    the cluster), the number of clusters, and tracks (number, kind, codec, rate, channels, depth, duration of
+    a frame in ns). Frames of a lace follow each other by their track's frame duration; without one they
+    share their block's timestamp. Raises ValueError on damaged structure."""
+    packets, cues, tracks, clusters, scale, base, time, segment, cue = [], [], [], 0, 1_000_000, 0, 0, 0, {}
+    lasts = {}
     at, end = 0, len(data)
     first, _, _ = _vint(data, 0, True) if data else (0, 0, 0)
     if first != EBML:
@@ -108,6 +111,8 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int]:
             segment = at
         elif i == CLUSTER:
             clusters += 1
+        elif i == ENTRY:
+            tracks.append({})
         if i in _MASTER:
             continue
         if i in (SIMPLE, BLOCK):
@@ -137,9 +142,16 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int]:
                 sizes.append(stop - p - sum(sizes))
             if min(sizes) < 0 or p + sum(sizes) != stop:
                 raise ValueError("a lace does not fill its block")
-            for s in sizes:
-                packets.append((track, time * scale // 1_000_000, p, s, bool(flags & 0x80) or i == BLOCK))
+            lasts = lasts or {t.get("number"): t.get("duration", 0) for t in tracks}
+            for k, s in enumerate(sizes):
+                packets.append((track, (time * scale + k * lasts.get(track, 0)) // 1_000_000, p, s, bool(flags & 0x80) or i == BLOCK))
                 p += s
+        elif tracks and i in _WHOLE:
+            tracks[-1][_WHOLE[i]] = int.from_bytes(data[at : at + n], "big")
+        elif tracks and i == CODEC:
+            tracks[-1]["codec"] = data[at : at + n].decode("ascii", "replace")
+        elif tracks and i == SAMPLING:
+            tracks[-1]["rate"] = struct.unpack(">d" if n == 8 else ">f", data[at : at + n])[0]
         elif i == TIMESTAMP:
             base = int.from_bytes(data[at : at + n], "big")
         elif i == SCALE:
@@ -149,26 +161,42 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int]:
         elif i == CUE_CLUSTER:
             cues.append((cue.get(CUE_TIME, 0) * scale // 1_000_000, cue.get(CUE_TRACK, 0), segment + int.from_bytes(data[at : at + n], "big")))
         at += n
-    return packets, cues, clusters
+    return packets, cues, clusters, tracks
 
 
 PACKETS = "doc_id long, track int, timestamp_ms long, byte_offset long, length int, keyframe boolean"
 
 
-def packet_table(media: DataFrame) -> DataFrame:
-    """A row a packet of each media column (doc_id, media binary); null or damaged media give none."""
+TRACK_FIELDS = "doc_id long, track int, kind int, codec string, rate double, channels int, depth int, frame_ns long"
+
+
+def _table(media: DataFrame, schema: str, rows_of: Callable[[bytes], list[tuple]]) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PACKETS.split(", ")]
         for f in frames:
-            for i, m in zip(f["doc_id"], f["media"], strict=True):
+            for i, m in zip(f["doc_id"].array, f["media"], strict=True):
                 try:
-                    found = parse(m)[0] if m else []
+                    found = rows_of(m) if m else []
                 except (ValueError, IndexError, struct.error):
                     found = []
-                yield pd.DataFrame([(i, *x) for x in found], columns=names)
+                if found:
+                    out = pd.DataFrame(found, columns=names[1:])
+                    out.insert(0, "doc_id", pd.array([None if pd.isna(i) else i] * len(out), dtype="Int64"))
+                    yield out
+
+    return media.select("doc_id", "media").mapInPandas(rows, schema)
+
+
+def packet_table(media: DataFrame) -> DataFrame:
+    """A row a packet of each media column (doc_id, media binary). Null, empty or damaged media give none,
+    repeated rows repeat their packets, an empty table gives no rows; other columns are not read."""
+    return _table(media, PACKETS, lambda m: parse(m)[0])
+
 
-    return media.select("doc_id", "media").mapInPandas(rows, PACKETS)
+def track_table(media: DataFrame) -> DataFrame:
+    """A row a track of each media column, with the same rules."""
+    return _table(media, TRACK_FIELDS, lambda m: [tuple(t.get(k) for k in ("number", "kind", "codec", "rate", "channels", "depth", "duration")) for t in parse(m)[3]])
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -190,8 +218,8 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def describe(media: DataFrame) -> DataFrame:
     """Digests and features of media columns (doc_id, n_bytes, media), from the packets' bytes alone.
 
-    feature: counts of packets, clusters and cues that point at a cluster, the end in ms, and mean and
-    peak of the samples. Null and empty texts are one packet of spaces; repeated rows and null ids are
+    feature: codec, counts of packets, clusters and cues that point at a cluster, the end of the last packet
+    in ms, and mean and peak of the samples. Null and empty texts are one packet of spaces; repeated rows and null ids are
     kept; an empty table gives no rows.
     """
 
@@ -199,11 +227,12 @@ def describe(media: DataFrame) -> DataFrame:
         for f in frames:
             out = []
             for i, n, m in zip(f["doc_id"].array, f["n_bytes"], f["media"], strict=True):
-                packets, cues, clusters = parse(m)
+                packets, cues, clusters, tracks = parse(m)
                 payload = b"".join([m[at : at + size] for _, _, at, size, _ in packets])
                 samples = np.frombuffer(payload, dtype=np.uint8)
                 good = sum(m[at : at + 4] == CLUSTER.to_bytes(4, "big") for _, _, at in cues)
-                feature = f"packets={len(packets)};clusters={clusters};cues={good};end_ms={len(samples) * 1000 // RATE};mean={int(samples.sum(dtype=np.int64)) * 1000 // len(samples)};peak={int(samples.max())}"
+                last = tracks[0]["duration"] // 1_000_000
+                feature = f"codec={tracks[0]['codec']};packets={len(packets)};clusters={clusters};cues={good};end_ms={packets[-1][1] + last};mean={int(samples.sum(dtype=np.int64)) * 1000 // len(samples)};peak={int(samples.max())}"
                 out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGEST.split(", ")])
 

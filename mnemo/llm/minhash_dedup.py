@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import components, saved
+from mnemo.llm.common import components, saved, unused
 
 WIDTH = 5
 #: Similarity as a ratio of integers, so that the exact test has no rounding.
@@ -35,7 +35,9 @@ _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _WORD = _rng.integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+#: Powers for places of bytes in a word: of the lower 16 bits of a place, and of what is above.
 _POW = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64))
+_FAR = np.cumprod(np.full(1 << 15, _POW[-1], dtype=np.uint64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -61,6 +63,8 @@ def shingle_set(text: str | None) -> np.ndarray:
     if place is None:
         place = np.arange(len(raw)) - np.concatenate([np.zeros(starts[0], dtype=np.int64), np.repeat(starts, np.diff(np.append(starts, len(raw))))])
     value = np.where(gap, np.uint64(0), _BYTE[raw] * _POW[place & 0xFFFF])
+    if place.max() > 0xFFFF:
+        value *= np.where(place > 0xFFFF, _FAR[np.maximum(place >> 16, 1) - 1], np.uint64(1))
     word = _mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
     n = len(word)
     if n < WIDTH:
@@ -225,13 +229,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty and blank texts have no shingles, are linked with nothing and kept. Rows with a null doc_id are
     linked with nothing either: component_id null, kept. Repeated rows give a row each and are equal
     copies; rows that repeat a doc_id with different texts count as different texts of that document.
-    Texts are read whole; columns other than doc_id and text are not read.
+    Texts are read whole; columns other than doc_id and text are not read. Shingles are compared by 64-bit
+    hashes: two different ones are equal with a probability of 5e-20.
     """
     spark = docs.sparkSession
     sketch = saved(docs.select("doc_id", "text").mapInPandas(_sketches, "doc_id long, n long, set_a long, set_b long, sig binary"), "sketch")
     same = ["n", "set_a", "set_b"]
     linked = sketch.where("n > 0 and doc_id is not null")
-    classes = linked.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
+    # as a table of its own, so that a join with many copies of one class can be split
+    classes = saved(linked.groupBy(*same).agg(F.min("doc_id").alias("doc")), "classes")
     # a class whose least id also names another class (a repeated id) still gets its own row here
     sigs = saved(linked.groupBy("doc_id", *same).agg(F.first("sig").alias("sig")).join(classes.select(*[F.col(c).alias("_" + c) for c in same], "doc"), (F.col("doc_id") == F.col("doc")) & (F.col("n") == F.col("_n")) & (F.col("set_a") == F.col("_set_a")) & (F.col("set_b") == F.col("_set_b"))).select("doc", "sig"), "sigs")
     buckets = sigs.mapInPandas(_bands, "bucket long, doc long")
@@ -278,6 +284,8 @@ def _across(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFr
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents kept by near_duplicates, with their own columns; of rows that repeat a kept id, all."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The documents kept by near_duplicates, with their own columns; of rows that repeat a kept id, all. Rows
+    with a null id, a null or an empty text stay; an empty table stays empty."""
+    name = unused(docs, "_gone")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import saved
+from mnemo.llm.common import saved, unused
 
 #: Labelled findings used to fit the forest, half of them of each label at most (all of a rarer label); words
 #: of the dictionary; trees and their depth.
@@ -190,12 +190,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every secret replaced by a mark and, if there is one, n_chars set anew; texts
-    without secrets stay as they are and all columns and rows are kept."""
-    spans = scan(docs).where("secret").groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.sort_array(F.collect_set(F.struct("start", "length")), asc=False).alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left")
+    without secrets (null and empty ones too) stay as they are and all columns and rows are kept, repeated
+    rows as often as they occur; an empty table stays empty."""
+    i, version, found = (unused(docs, c) for c in ("_id", "_version", "_spans"))
+    spans = scan(docs).where("secret").groupBy(F.col("doc_id").alias(i), F.col("version").alias(version)).agg(F.sort_array(F.collect_set(F.struct("start", "length")), asc=False).alias(found))
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(version)), "left")
     cut = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mark), F.substring(t, s["start"] + s["length"] + 1, F.length(t)))
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.aggregate(F.col("_spans"), docs["text"], cut))
+    text = F.when(F.col(found).isNull(), docs["text"]).otherwise(F.aggregate(F.col(found), docs["text"], cut))
     out = {c: docs[c] for c in docs.columns} | {"text": text}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_spans").isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col(found).isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[c.alias(k) for k, c in out.items()])

@@ -7,25 +7,35 @@ of strings in one short context. Occurrences whose whole contexts are equal repe
 need no comparison. What is left are owners with several different contexts: the distinct contexts of a
 bucket of owners are joined, their transform is built, and intervals of common prefixes are expanded
 backward, breadth-first, one byte a level, until LENGTH: suffixes that are still together then share
-LENGTH bytes, and all but the earliest are covered.
+LENGTH bytes, and all but the earliest are covered. Contexts that are equal are told by 128 bits of hashes
+and not compared by bytes; two different ones pass for equal with a probability of 3e-39.
+
+An owner with many different contexts is no bucket of its own: its strings are dealt further by what
+stands beside it. A string reaches far beyond the owner on its left or on its right, so equal strings have
+the same bytes on that side, and the same holds again for the stretch so known.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import drop_path, freed, saved, scratch_path
+from mnemo.llm.common import broadcast_if_small, drop_path, freed, saved, scratch_path
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes of contexts in one transform, about, so that its arrays stay in a core's cache.
 TRANSFORM = 400_000
+#: Different contexts from which an owner's strings are dealt further, and how often.
+HOT, LEVELS = 500, 3
+#: A run of strings is one number: which of the texts of its id, first string, number of strings (69 at most).
+TWIN, FIRST = 38, 7
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,11 +85,12 @@ def owners(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (owner, context, doc_id, first, count): context hashes the run's bytes and where in it the owner is."""
+    """Rows (owner, context, doc_id, span): context hashes the run's bytes and where in it the owner is."""
     for f in frames:
         for at in range(0, len(f), 200):
-            own, ctx, doc, start, count = [], [], [], [], []
-            for i, text in zip(f["doc_id"].iloc[at : at + 200].array, f["text"].iloc[at : at + 200], strict=True):
+            own, ctx, doc, span = [], [], [], []
+            g = f.iloc[at : at + 200]
+            for i, twin, text in zip(g["doc_id"].array, g["twin"].array, g["text"], strict=True):
                 raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
                 g, place, first, n = owners(raw)
                 if not len(g):
@@ -88,11 +99,10 @@ def _occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 c = _stretch(raw, first, size)
                 own.append(g)
                 ctx.append(_mix(c + (size * 131 + (place - first)).astype(np.uint64)))
-                start.append(first)
-                count.append(n)
+                span.append((twin << TWIN) + (first << FIRST) + n)
                 doc.append(np.full(len(g), i, dtype=np.int64))
             if own:
-                yield pd.DataFrame({"owner": np.concatenate(own).view(np.int64), "context": np.concatenate(ctx).view(np.int64), "doc_id": np.concatenate(doc), "first": np.concatenate(start), "count": np.concatenate(count).astype(np.int32)})
+                yield pd.DataFrame({"owner": np.concatenate(own).view(np.int64), "context": np.concatenate(ctx).view(np.int64), "doc_id": np.concatenate(doc), "span": np.concatenate(span)})
 
 
 _INVERSE = pow(int(_B), -1, 2**64)
@@ -156,9 +166,11 @@ def expand(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
 
 
 def _covered(f: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket's contexts: strings that equal an earlier one, as runs (doc_id, first, count)."""
-    f = f.sort_values(["doc_id", "first"], kind="stable")
-    size = (f["count"] + LENGTH - 1).to_numpy()
+    """Of one bucket's contexts: strings that equal an earlier one, as runs (doc_id, span)."""
+    f = f.sort_values(["doc_id", "span"], kind="stable")
+    span = f["span"].to_numpy()
+    count = span & ((1 << FIRST) - 1)
+    size = count + LENGTH - 1
     ends = np.cumsum(size + 1)
     text = np.zeros(int(ends[-1]), dtype=np.int64)
     inside = np.ones(len(text), dtype=bool)
@@ -169,56 +181,96 @@ def _covered(f: pd.DataFrame) -> pd.DataFrame:
     # separators are equal symbols; a string that meets one starts too late in its context to be a string
     row = np.repeat(np.arange(len(f)), size + 1)
     at = np.arange(len(text)) - np.repeat(ends - size - 1, size + 1)
-    whole = at < f["count"].to_numpy()[row]
+    whole = at < count[row]
     group = np.cumsum(~together)
-    doc, start = f["doc_id"].to_numpy()[row], f["first"].to_numpy()[row] + at
+    doc, place = f["doc_id"].to_numpy()[row], (span >> FIRST)[row] + at  # place: text of the id, then start
     use = whole[order]
     o, g = order[use], group[use]
-    # contexts are sorted by (doc_id, first), but runs of one text overlap: the earliest is by place, not by row
-    by = np.lexsort((start[o], doc[o], g))
+    # contexts are sorted, but runs of one text overlap: the earliest is by place, not by row
+    by = np.lexsort((place[o], doc[o], g))
     o, g = o[by], g[by]
-    same = (np.diff(g, prepend=-1) == 0) & ~((np.diff(doc[o], prepend=-1) == 0) & (np.diff(start[o], prepend=-1) == 0))
+    same = (np.diff(g, prepend=-1) == 0) & ~((np.diff(doc[o], prepend=-1) == 0) & (np.diff(place[o], prepend=-1) == 0))
     hit = np.sort(o[same])
-    if not len(hit):
-        return pd.DataFrame({"doc_id": [], "first": [], "count": []}).astype("int64")
     new = (np.diff(hit, prepend=-9) != 1) | (np.diff(row[hit], prepend=-1) != 0)
     head = np.flatnonzero(new)
-    return pd.DataFrame({"doc_id": doc[hit[head]], "first": start[hit[head]], "count": np.diff(head, append=len(hit))}).astype("int64")
-
-
-def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return pd.DataFrame({"doc_id": doc[hit[head]], "span": (place[hit[head]] << FIRST) + np.diff(head, append=len(hit))}).astype("int64")
+
+
+def _dealt(raw: bytes, at: int, count: int) -> Iterator[tuple[int, int, int]]:
+    """The strings of a context whose owner stands at a place, dealt by what is beside it: key, first, count."""
+    parts = [(0, count, at, at + GRAM, zlib.crc32(raw[at : at + GRAM]))]
+    for _ in range(LEVELS):
+        finer = []
+        for low, high, a, b, key in parts:  # strings from low to before high all hold the bytes from a to b
+            half = (LENGTH - (b - a)) // 2
+            cut = min(max(a - half + 1, low), high)
+            if low < cut:
+                finer.append((low, cut, a - half, b, zlib.crc32(raw[a - half : a], key)))
+            if cut < high:
+                finer.append((cut, high, a, b + half, zlib.crc32(raw[b : b + half], key ^ 1)))
+        parts = finer
+    for low, high, _, _, key in parts:
+        yield key, low, high - low
+
+
+def _cut(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for i, text, runs in zip(f["doc_id"].array, f["text"], f["asked"], strict=True):
             raw = (text or "").encode()
             for r in runs:
-                out.append((r["bucket"], i, r["first"], r["count"], raw[r["first"] : r["first"] + r["count"] + LENGTH - 1]))
-        yield pd.DataFrame(out, columns=["bucket", "doc_id", "first", "count", "bytes"])
+                span = r["span"]
+                first, count = span >> FIRST & (1 << TWIN - FIRST) - 1, span & (1 << FIRST) - 1
+                own = raw[first : first + count + LENGTH - 1]
+                if not r["hot"]:
+                    out.append((r["bucket"], i, span, own))
+                    continue
+                at = int(np.argmin(_grams(np.frombuffer(own, dtype=np.uint8), GRAM)[:SPAN]))
+                for key, low, n in _dealt(own, at, count):
+                    out.append((key % buckets, i, span + (low << FIRST) + n - count, own[low : low + n + LENGTH - 1]))
+        yield pd.DataFrame(out, columns=["bucket", "doc_id", "span", "bytes"])
+
+
+OWNERS = "owner long, context long, doc_id long, span long"
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, count): runs of starts of strings that also start earlier. Runs may touch or overlap."""
+    """(doc_id, span): runs of strings of docs (doc_id, twin, text) that also start earlier. Runs may touch or overlap."""
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "owners")
-    long = docs.select("doc_id", "text").where(F.octet_length("text") >= LENGTH)
-    long.mapInPandas(_occurrences, "owner long, context long, doc_id long, first long, count int").write.parquet(path)
-    occ = spark.read.schema("owner long, context long, doc_id long, first long, count int").parquet(path)
+    docs.where(F.octet_length("text") >= LENGTH).mapInPandas(_occurrences, OWNERS).write.parquet(path)
+    occ = spark.read.schema(OWNERS).parquet(path)
     again = occ.groupBy("owner").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
     again = saved(again.select("owner", (F.col("low") != F.col("high")).alias("several")), "again")
     freed(spark)
     occ = saved(occ.join(again, "owner"), "repeated")
     drop_path(spark, path)  # what follows reads the repeated owners only
     freed(spark)
-    runs = saved(occ.groupBy("owner", "context", "several").agg(F.min(F.struct("doc_id", "first", "count")).alias("lead"), F.count("*").alias("n")).select("owner", "context", "several", "lead", "n"), "runs")
-    twice = runs.where("n > 1").select("owner", "context", F.col("lead.doc_id").alias("lead_doc"), F.col("lead.first").alias("lead_first"))
-    repeats = occ.join(twice, ["owner", "context"]).where("doc_id <> lead_doc or first <> lead_first").select("doc_id", "first", F.col("count").cast("long").alias("count"))
+    runs = saved(occ.groupBy("owner", "context", "several").agg(F.min(F.struct("doc_id", "span")).alias("lead"), F.count("*").alias("n")).select("owner", "context", "several", "lead", "n"), "runs")
+    twice = runs.where("n > 1").select("owner", "context", F.col("lead.doc_id").alias("lead_doc"), F.col("lead.span").alias("lead_span"))
+    repeats = occ.join(twice, ["owner", "context"]).where("doc_id <> lead_doc or span <> lead_span").select("doc_id", "span")
     asked = runs.where("several").select("owner", "lead.*")
-    total = asked.agg(F.sum(F.col("count") + LENGTH)).first()[0]
+    total = asked.agg(F.sum(F.col("span").bitwiseAND(F.lit((1 << FIRST) - 1)) + LENGTH)).first()[0]
     if not total:
         return repeats
     buckets = max(1, -(-total // TRANSFORM))
-    lists = asked.withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(buckets))).groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "first", F.col("count").cast("long").alias("count"))).alias("asked"))
-    contexts = docs.select("doc_id", "text").join(lists, "doc_id").mapInPandas(_cut, "bucket long, doc_id long, first long, count long, bytes binary")
-    return repeats.unionByName(contexts.groupBy("bucket").applyInPandas(_covered, "doc_id long, first long, count long"))
+    hot = saved(asked.groupBy("owner").count().where(F.col("count") >= HOT).select("owner", F.lit(True).alias("hot")), "hot")
+    asked = asked.join(broadcast_if_small(hot, hot.count()), "owner", "left")
+    own = F.struct(F.pmod(F.xxhash64("owner"), F.lit(buckets)).alias("bucket"), "span", F.coalesce("hot", F.lit(False)).alias("hot"))
+    lists = asked.groupBy("doc_id", F.shiftright("span", TWIN).alias("twin")).agg(F.collect_list(own).alias("asked"))
+    contexts = docs.join(lists, ["doc_id", "twin"]).select("doc_id", "text", "asked").mapInPandas(lambda frames: _cut(frames, buckets), "bucket long, doc_id long, span long, bytes binary")
+    return repeats.unionByName(contexts.groupBy("bucket").applyInPandas(_covered, "doc_id long, span long"))
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, twin, text: twin numbers the different texts of one id, by their hashes; equal rows share it."""
+    text = docs.select("doc_id", "text").withColumn("_v", F.xxhash64("text"))
+    versions = text.where("doc_id is not null").select("doc_id", "_v").distinct()
+    twins = versions.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twins.limit(1).count():
+        return docs.select("doc_id", F.lit(0).cast("long").alias("twin"), "text")
+    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("_v")) - 1).cast("long")
+    numbers = saved(versions.join(twins, "doc_id").select("doc_id", "_v", number.alias("twin")), "twins")
+    return text.join(numbers, ["doc_id", "_v"], "left").select("doc_id", F.coalesce("twin", F.lit(0)).alias("twin"), "text")
 
 
 def _strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +281,8 @@ def _strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept, at, removed, spans = hashlib.sha256(), 0, 0, 0
             if runs is not None:
                 end = -1
-                for r in sorted((r["first"], r["first"] + r["count"] + LENGTH - 1) for r in runs):
+                firsts = ((r >> FIRST & (1 << TWIN - FIRST) - 1, r & (1 << FIRST) - 1) for r in runs)
+                for r in sorted((first, first + count + LENGTH - 1) for first, count in firsts):
                     if r[0] > end:  # touching runs are one
                         kept.update(raw[at : r[0]])
                         spans += 1
@@ -247,13 +300,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Whole texts count as UTF-8 bytes; null and empty texts have no bytes and keep the digest of nothing;
-    matches never cross documents. Rows that repeat a doc_id are one document with the same strings, so
-    neither covers the other and each is returned; rows with a null id are compared with nothing. Only
-    doc_id and text are read.
+    matches never cross documents. Rows that repeat a doc_id and a text are one document with the same
+    strings, so neither covers the other and each is returned; different texts of one doc_id are different
+    documents, in the order of a hash of their text; rows with a null id are compared with nothing. Only
+    doc_id and text are read. A task holds a text with some 100 bytes for each of its bytes.
     """
-    known = docs.where("doc_id is not null")
-    found = saved(covered(known), "covered")
+    docs = told_apart(docs)
+    found = saved(covered(docs.where("doc_id is not null")), "covered")
     freed(docs.sparkSession)
-    runs = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "count")).alias("runs"))
-    joined = docs.select("doc_id", "text").join(runs, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "runs")
+    runs = found.groupBy("doc_id", F.shiftright("span", TWIN).alias("twin")).agg(F.collect_list("span").alias("runs"))
+    joined = docs.join(runs, ["doc_id", "twin"], "left").select("doc_id", "text", "runs")
     return joined.mapInPandas(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

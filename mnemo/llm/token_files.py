@@ -33,8 +33,10 @@ END = 2
 BLOCK, LANES = 512, 8192
 SEGMENT = BLOCK * LANES
 #: Bits of a lane's order-1 and order-2 tables, of a probability, and steps between updates of the class counts.
-SLOT_BITS, T_BITS, EVERY = 8, 12, 16
+SLOT_BITS, T_BITS, EVERY = 7, 12, 32
 T = 1 << T_BITS
+#: Ranks that orders 1 and 2 can name.
+GUESSED = 1 << 14
 U = np.uint64
 #: Cumulative probabilities that an outcome pulls to.
 _GOAL = np.array([[T - 2, T - 1], [1, T - 1], [1, 2]], np.int16).view(np.int32).ravel()
@@ -48,8 +50,8 @@ class Model:
     def __init__(self, n: int, classes: int):
         self.n, self.stride, self.k = n, n, classes
         self.lane = np.arange(n, dtype=np.int64)
-        # entries: a rank and how often in a row it was right (0 to 3)
-        self.two, self.one = np.zeros(n << SLOT_BITS, np.int32), np.zeros(n << SLOT_BITS, np.int32)
+        # entries: a rank and how often in a row it was right (0 to 3); only ranks that fit are guessed
+        self.two, self.one = np.zeros(n << SLOT_BITS, np.uint16), np.zeros(n << SLOT_BITS, np.uint16)
         even = int(np.array([T // 8, T // 4], np.int16).view(np.int32)[0])
         self.a, self.b = np.full(n << 7, even, np.int32), np.full(n << 7, even, np.int32)
         self.weight, self.past = np.full(n, 128, np.int32), np.zeros(n, np.int32)
@@ -79,7 +81,7 @@ class Model:
         cut = np.uint32(32 - SLOT_BITS)
         self.s2 = (h2 >> cut).view(np.int32) * self.stride + self.lane
         self.s1 = (h1 >> cut).view(np.int32) * self.stride + self.lane
-        e2, e1 = self.two[self.s2], self.one[self.s1]
+        e2, e1 = self.two[self.s2].astype(np.int32), self.one[self.s1].astype(np.int32)
         self.g2, self.g1, self.t2, self.t1 = e2 >> 2, e1 >> 2, e2 & 3, e1 & 3
         near = (self.t2 << 1) | (self.g2 == self.g1)
         self.ia = ((self.t1 << 3) | near) * self.stride + self.lane
@@ -109,7 +111,7 @@ class Model:
         for table, at, p in ((self.a, self.ia, self.pa), (self.b, self.ib, self.pb)):
             p = p.view(np.int16)
             table[at] = (p + ((goal - p) >> 4)).view(np.int32)
-        named = x << 2
+        named = (x << 2) * (x < GUESSED)
         self.two[self.s2] = named | ((np.minimum(self.t2, 2) + 1) * (self.g2 == x))
         self.one[self.s1] = named | ((np.minimum(self.t1, 2) + 1) * (self.g1 == x))
         self.past = ((self.past << 2) | out) & 15
@@ -340,23 +342,23 @@ def write_ids(docs: DataFrame, vocabulary: str | None = None, end: int = END) ->
             return pa.RecordBatch.from_pylist([row], _FILE)
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                own = b.slice(at, 512)
-                part = own.column("part")[0].as_py()
-                ids, counts = with_end(*encode(own.column("text")), end)
-                done, first, ends = 0, 0, np.cumsum(counts)
-                while done < len(counts):
-                    # documents up to the one that fills the segment
-                    last = min(len(counts), int(np.searchsorted(ends, first + SEGMENT - n)) + 1)
-                    names += own.column("doc_id").slice(done, last - done).to_pylist()
-                    lengths.append(counts[done:last])
-                    held.append(ids[first : ends[last - 1]])
-                    n += int(ends[last - 1]) - first
-                    done, first = last, int(ends[last - 1])
-                    if n >= SEGMENT:
-                        yield close()
-                        segment, n = segment + 1, 0
-                        names.clear(), lengths.clear(), held.clear()
+            if not b.num_rows:
+                continue
+            part, ids_of = b.column("part")[0].as_py(), b.column("doc_id")
+            ids, counts = with_end(*encode(b.column("text")), end)
+            done, first, ends = 0, 0, np.cumsum(counts)
+            while done < len(counts):
+                # documents up to the one that fills the segment
+                last = min(len(counts), int(np.searchsorted(ends, first + SEGMENT - n)) + 1)
+                names += ids_of.slice(done, last - done).to_pylist()
+                lengths.append(counts[done:last])
+                held.append(ids[first : ends[last - 1]])
+                n += int(ends[last - 1]) - first
+                done, first = last, int(ends[last - 1])
+                if n >= SEGMENT:
+                    yield close()
+                    segment, n = segment + 1, 0
+                    names.clear(), lengths.clear(), held.clear()
         if n:
             yield close()
 

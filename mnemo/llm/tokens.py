@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks whose ids are remembered in a worker, at most, and the bytes of one.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 1_500_000, 64
 #: Bytes of texts that are cut and numbered together, about; one longer text goes alone.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 
 
 def _marked(*parts: Iterable[int]) -> np.ndarray:
@@ -124,17 +124,13 @@ class Encoder:
         self.known = pa.concat_arrays([self.known, chunks])
         self.n_ids += len(ids)
 
-    def _group(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts that lie one after another in raw, and the number of ids of each."""
-        at = edges(raw, offsets, self.sure)
-        if len(at) < 2:
-            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, dtype=np.int64)
-        cut = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+    def _places(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each distinct chunk start and how many they are."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        place = pc.index_in(cut.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        place = pc.index_in(chunks, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
         new = np.flatnonzero(place < 0)
-        chunks = cut.dictionary.take(pa.array(new))
+        chunks = chunks.take(pa.array(new))
         short = pc.less_equal(pc.binary_length(chunks), LONGEST).to_numpy(zero_copy_only=False)
         fresh = chunks.filter(pa.array(short))
         if len(fresh):
@@ -147,19 +143,29 @@ class Encoder:
             place[new[~short]] = np.arange(len(starts), len(starts) + len(counts))
             flat = np.concatenate([flat[: self.n_ids], ids])
             starts, lengths = np.concatenate([starts, self.n_ids + np.cumsum(counts) - counts]), np.concatenate([lengths, counts])
-        row = place[cut.indices.to_numpy()]
-        n = lengths[row]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return flat[taken(starts[row], n)], np.diff(ends[np.searchsorted(at, offsets)])
+        return flat, starts[place], lengths[place]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each; null texts have none."""
-        texts = texts.fill_null("")
-        groups = list(_groups(texts))
-        found = [self._group(raw, off) for raw, off in groups]
-        if not found:
+        cut, firsts = [], []
+        for raw, offsets in _groups(texts.fill_null("")):
+            at = edges(raw, offsets, self.sure)
+            cut.append(pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode())
+            firsts.append(np.searchsorted(at, offsets).astype(np.int32))
+        if not cut:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+        # the groups' distinct chunks are made one list, so that what is known is looked up once
+        every = pa.concat_arrays([c.dictionary for c in cut]).dictionary_encode()
+        flat, starts, lengths = self._places(every.dictionary)
+        own = np.split(every.indices.to_numpy(), np.cumsum([len(c.dictionary) for c in cut])[:-1])
+        ids, counts = [], []
+        for c, first, place in zip(cut, firsts, own, strict=True):
+            row = place[c.indices.to_numpy()]
+            n = lengths[row]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids.append(flat[taken(starts[row], n)])
+            counts.append(np.diff(ends[first]))
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

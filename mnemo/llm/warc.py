@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from mnemo.llm.common import saved
 
-MAGIC, GAP = b"WARC/1.0\r\n", "\r\n\r\n"
+MAGIC, GAP = re.compile(rb"WARC/1\.\d\r\n"), "\r\n\r\n"
 #: Payloads from this size on are stored once.
 LEAST_REVISIT = 1000
 RECORDS_A_FILE = 1000
@@ -62,7 +62,7 @@ def write(pages: DataFrame, path: str) -> None:
     p.select(record.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-CANDIDATES = "file string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+CANDIDATES = "file long, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 _ID = re.compile(r"<urn:page:(-?\d+)>")
 
 
@@ -78,10 +78,12 @@ def header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return {k.strip().lower(): v.strip() for k, v in pairs}, end + 4
 
 
-def candidates(name: str, data: bytes) -> list[tuple]:
-    """Every place with the magic and a header with a length that ends in the file."""
-    out, at = [], data.find(MAGIC)
-    while at >= 0:
+def candidates(name: int, data: bytes, path: str = "") -> list[tuple]:
+    """Every place with the magic and a header with a length that ends in the file, and the end of the file
+    (record type "end", with its path), which the chain of a whole file reaches."""
+    out = [(name, len(data), -1, None, None, "", "end", None, path)]
+    for m in MAGIC.finditer(data):
+        at = m.start()
         found = header(data, at)
         if found and found[0].get("content-length", "").isdigit():
             h, start = found
@@ -97,16 +99,26 @@ def candidates(name: str, data: bytes) -> list[tuple]:
                     payload = data[head + 4 if head >= 0 else start : stop]
                     n, digest = len(payload), hashlib.sha1(payload).hexdigest()
                 out.append((name, at, stop + 4, number("warc-record-id"), n, digest, kind, number("warc-refers-to"), h.get("warc-target-uri", "")))
-        at = data.find(MAGIC, at + 1)
     return out
 
 
+def unpacked(content: bytes) -> bytes:
+    """The bytes of a file: gzip files are read member by member, as most archives have one a record."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        out += [d.decompress(content), d.flush()]
+        content = d.unused_data
+    return b"".join(out)
+
+
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in CANDIDATES.split(", ")]
     for f in frames:
-        for path, content in zip(f["path"], f["content"], strict=True):
-            data = zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else bytes(content)
-            out = pd.DataFrame(candidates(path.rsplit("/", 1)[-1], data), columns=names)
+        for name, path, content in zip(f["file"], f["path"], f["content"], strict=True):
+            out = pd.DataFrame(candidates(name, unpacked(bytes(content)), path), columns=names)
             yield out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
 
@@ -130,11 +142,18 @@ def reachable(links: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url: the records of the archives in a folder.
 
-    Payload facts of responses are taken from the payload bytes, those of revisits from their header.
+    Payload facts of responses are taken from the payload bytes, those of revisits from their header. A page_id
+    is null where the record's id is not one of this library's. Raises ValueError if the chain of a file
+    breaks off before its end: the records after a damaged one cannot be told from payloads. A file is read
+    by one task, so files should be small, as those of write() are.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "path", "content")
     found = saved(files.mapInPandas(_scan, CANDIDATES), "candidates")
-    return found.join(reachable(found), ["file", "at"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    records = saved(found.join(reachable(found), ["file", "at"]), "records")
+    broken = found.where("record_type = 'end'").join(records.where("record_type = 'end'").select("file"), "file", "left_anti").limit(5).collect()
+    if broken:
+        raise ValueError(f"damaged archives: {', '.join(r['url'] for r in broken)}")
+    return records.where("record_type <> 'end'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 SQL = """

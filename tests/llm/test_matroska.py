@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -12,7 +13,9 @@ from mnemo.llm import matroska as m
 def test_round_trip(frames, seed):
     payload = bytes((i * 7 + seed) % 256 for i in range(frames * m.FRAME))
     data = m.write(payload)
-    packets, cues, clusters = m.parse(data)
+    packets, cues, clusters, tracks = m.parse(data)
+    assert [x[1] for x in packets] == [24 * k for k in range(frames)]
+    assert tracks == [{"number": 1, "kind": 2, "duration": 24_000_000, "codec": "A_PCM/INT/LIT", "rate": 8000.0, "channels": 1, "depth": 8}]
     assert b"".join(data[a : a + n] for _, _, a, n, _ in packets) == payload
     assert len(cues) == clusters == -(-frames // (m.LACE * m.BLOCKS))
     assert all(data[at : at + 4] == m.CLUSTER.to_bytes(4, "big") for _, _, at in cues)
@@ -27,7 +30,7 @@ def test_uneven_laces(sizes, kind, unknown):
     head = m.element(m.EBML, m.element(m.DOCTYPE, b"matroska"))
     tail = m.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + cluster if unknown else m.element(m.CLUSTER, cluster)
     data = head + m.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + tail
-    packets, _, _ = m.parse(data)
+    packets, _, _, _ = m.parse(data)
     assert [data[a : a + n] for _, _, a, n, _ in packets] == frames
     assert {(t, ts) for t, ts, *_ in packets} == {(2, 105)}
 
@@ -47,4 +50,14 @@ def test_table(spark):
     assert (out[1].n_bytes, out[1].payload_bytes, out[1].payload_sha256) == (200, 384, hashlib.sha256(want).hexdigest())
     assert (out[2].n_bytes, out[2].payload_bytes) == (0, 192) and out[None].payload_bytes == 100_032
     assert m.packet_table(media).count() == 2 + 1 + 1 + 1 + 521
+    assert {(r.codec, r.rate, r.depth) for r in m.track_table(media).collect()} == {("A_PCM/INT/LIT", 8000.0, 8)} and m.track_table(media).count() == 5
+    damaged = spark.createDataFrame([(1, b"RIFF", 0), (2, None, 0), (3, b"", 0)], "doc_id long, media binary, track int")
+    assert m.packet_table(damaged).count() == 0 and m.track_table(damaged).count() == 0
+    for i, text, _ in rows:  # every column against a plain computation
+        raw = (text or "").encode()
+        raw = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        n, stored = len(raw) // 192, m.write(raw)
+        mean, peak = sum(raw) * 1000 // len(raw), max(raw)
+        assert out[i].tail_crc32 == zlib.crc32(raw[-16:]) and out[i].media_sha256 == hashlib.sha256(stored).hexdigest() and out[i].media_bytes == len(stored)
+        assert out[i].feature == f"codec=A_PCM/INT/LIT;packets={n};clusters={-(-n // 256)};cues={-(-n // 256)};end_ms={24 * n};mean={mean};peak={peak}"
     assert m.describe(m.to_media(spark.createDataFrame([], "doc_id long, text string"))).count() == 0

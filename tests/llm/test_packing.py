@@ -51,13 +51,15 @@ def test_ids_are_the_tokenizers(text):
 def test_groups_and_long_chunks_give_the_same_ids(monkeypatch):
     t = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
     rows = ["x" * 500 + f" {i} " + "漢字" * 90 + f" river {i}, hills. " * i for i in range(40)] * 2
-    want = [i for x in rows for i in t.encode(x, add_special_tokens=False).ids]
+    rows[3:5] = ["", None]
+    want = [i for x in rows for i in t.encode(x or "", add_special_tokens=False).ids]
     for together, remembered in ((1, 5), (3000, 100), (8_000_000, 1_000_000)):
         monkeypatch.setattr(tokens, "TOGETHER", together)
         monkeypatch.setattr(tokens, "REMEMBERED", remembered)
         e = tokens.Encoder(public_tokenizers.path(VOCABULARY))
-        assert e.encode(pa.array(rows).slice(1))[0].tolist() == [i for x in rows[1:] for i in t.encode(x, add_special_tokens=False).ids]
+        assert e.encode(pa.array(rows).slice(1))[0].tolist() == [i for x in rows[1:] for i in t.encode(x or "", add_special_tokens=False).ids]
         assert e.encode(pa.array(rows, pa.large_string()))[0].tolist() == want
+        assert [x.tolist() for x in e.encode(pa.array(["", None]))] == [[], [0, 0]] and e.encode(pa.array([], pa.string()))[1].tolist() == []
 
 
 @settings(max_examples=40, deadline=None)

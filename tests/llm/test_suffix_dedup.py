@@ -57,6 +57,29 @@ def test_odd_tables(spark):
     t = "xyz" * 5 + "".join(chr(97 + i * 7 % 26) for i in range(200))
     out = s.dedup(spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string")).collect()
     assert len(out) == 3 and len({x.n_removed for x in out if x.doc_id == 1}) == 1
+    # different texts of one id are documents of their own, in the order of their hashes
+    rows = [(1, t), (1, "q" + t), (1, t + "w" * 30), (0, "v" + t[20:160]), (2, t), (1, t)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    twin = {(r.doc_id, r.text): (r.doc_id, r.twin) for r in s.told_apart(d).collect()}
+    want = brute([(twin[x], x[1]) for x in dict.fromkeys(rows)])
+    got = {tuple(x) for x in s.dedup(d).collect()}
+    assert got == {(i[0], *rest) for i, *rest in want} and s.dedup(d).count() == 6
+
+
+def test_an_owner_in_many_contexts(spark, monkeypatch):
+    """One line inside many different neighbours is dealt further, with the same result."""
+    monkeypatch.setattr(s, "HOT", 5)
+    monkeypatch.setattr(s, "TRANSFORM", 3000)
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, near = some(60), [some(30) for _ in range(4)]
+    rows = [(i, some(r.randrange(90)) + r.choice(near) + line + r.choice(near) + some(r.randrange(90))) for i in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in s.dedup(d).collect()) == brute(rows)
+    raw = rows[0][1].encode()
+    for at in (0, 10, 34, 68):
+        parts = list(s._dealt(raw[:168], at, min(69, at + 1)))
+        assert sorted(x for _, low, n in parts for x in range(low, low + n)) == list(range(min(69, at + 1)))
 
 
 @settings(max_examples=60, deadline=None)
