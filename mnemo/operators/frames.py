@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Written to the folder all executors see and read back: cuts lineage. Only a session without such a
-    folder (tests) gets a local one."""
+    """Written to the folder all executors see and read back: cuts lineage. Only a session in one process
+    (tests) gets a local one where none is set."""
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="mnemo-")
         spark.sparkContext.setCheckpointDir(found)
     path = f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

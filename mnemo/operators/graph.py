@@ -85,9 +85,11 @@ def summary(touches: DataFrame, activities: DataFrame, seeds: DataFrame, n: int
     return related(touches, seeds, n, per_label, False).join(last, "seed", "left")
 
 
-def mentioning_atoms(mentions: DataFrame, wanted: DataFrame, by: list | None = None) -> DataFrame:
-    """Atoms that mention wanted entities: summed prominence (a missing one counts 0.5) and distinct matches."""
+def mentioning_atoms(mentions: DataFrame, wanted: DataFrame, by: list | None = None, least: float | None = None) -> DataFrame:
+    """Atoms that mention wanted entities: summed prominence (a missing one counts 0.5) and distinct matches;
+    `least` leaves out mentions of less prominence."""
     by = by or []
+    mentions = mentions if least is None else mentions.where(F.coalesce(F.col("prominence").cast("double"), F.lit(0.5)) >= least)
     p = F.coalesce(F.col("prominence").cast("double"), F.lit(0.5))
     return mentions.join(wanted.select(*by, "entity").distinct(), "entity").groupBy(*by, "atom").agg(F.sum(p).alias("score"), F.count_distinct("entity").alias("matches"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemo.functions.text import dot
@@ -29,7 +30,7 @@ def cursors(seen: DataFrame, old: DataFrame | None = None) -> DataFrame:
 def newer(df: DataFrame, cursor: DataFrame, as_of: Column, backfill_days: int = 7) -> DataFrame:
     """Rows after their container's cursor; a container without one starts backfill_days before as_of."""
     since = F.coalesce("latest", as_of - F.expr(f"INTERVAL {int(backfill_days)} DAYS"))
-    return df.join(F.broadcast(cursor), ["source", "container"], "left").where(F.col("ts") > since).drop("latest")
+    return df.join(cursor, ["source", "container"], "left").where(F.col("ts") > since).drop("latest")
 
 
 def retained(events: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
@@ -98,20 +99,39 @@ def tier_changes(atoms: DataFrame, new_tier: Column) -> DataFrame:
     return b.join(a, "tier", "full").fillna(0).withColumn("delta", F.col("after") - F.col("before"))
 
 
-def run_passes(names: list[str], registry: dict[str, Callable], **config) -> list[dict]:
-    """Runs named passes one after another; an unknown or failing pass is reported and the rest go on."""
+def run_passes(names: list[str], registry: dict[str, Callable], timeout: float | None = None, spark: SparkSession | None = None, **config) -> list[dict]:
+    """Runs named passes one after another; an unknown, failing or (given a session) late pass is reported and
+    the rest go on. After `timeout` seconds a pass's Spark jobs are cancelled, so it ends with an error."""
     out = []
     for name in names:
         if name not in registry:
             out.append({"pass": name, "ok": False, "error": "unknown pass"})
             continue
+        timer, late = None, threading.Event()
+        if spark is not None and timeout is not None:
+            spark.sparkContext.addJobTag(f"pass-{name}")
+            timer = threading.Timer(timeout, lambda tag=f"pass-{name}", late=late: (late.set(), spark.sparkContext.cancelJobsWithTag(tag)))
+            timer.start()
         try:
             out.append({"pass": name, "ok": True, "stats": registry[name](**config)})
         except Exception as e:  # noqa: BLE001  isolation of passes is the contract
-            out.append({"pass": name, "ok": False, "error": str(e)[:300]})
+            out.append({"pass": name, "ok": False, "error": f"timed out after {timeout} s" if late.is_set() else str(e)[:300]})
+        finally:
+            if timer is not None:
+                timer.cancel()
+                spark.sparkContext.removeJobTag(f"pass-{name}")
     return out
 
 
+def reinforced(pairs: DataFrame, atoms: DataFrame, days: int = 30) -> DataFrame:
+    """REINFORCED_BY edges (older, newer, similarity) of near-duplicate pairs (a, b) written within some days."""
+    t = atoms.select("atom", "created_at")
+    x = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")
+    gap = F.abs(F.unix_micros(F.col("ta").cast("timestamp")) - F.unix_micros(F.col("tb").cast("timestamp"))) <= days * 86_400_000_000
+    first = (F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")))
+    return x.where(gap).select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("older"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("newer"), "similarity")
+
+
 def near_duplicates(vectors: DataFrame, queries: DataFrame, least: float = 0.92) -> DataFrame:
     """(a, b, similarity): stated query vectors against all, each pair once from its larger id."""
     q = queries.select(F.col("id").alias("a"), F.col("vector").alias("_q"))
@@ -128,10 +148,21 @@ def summaries_due(mentions: DataFrame, atoms: DataFrame, least_atoms: int = 5) -
     return p.groupBy("week", "a", "b").agg(F.count("*").alias("atoms")).where(F.col("atoms") >= least_atoms)
 
 
+def summarizes(mentions: DataFrame, atoms: DataFrame, due: DataFrame) -> DataFrame:
+    """SUMMARIZES edges (week, a, b, atom) of summaries that are due to the atoms they sum up."""
+    m = mentions.select("atom", "entity").distinct().join(atoms.select("atom", F.date_trunc("week", "created_at").alias("week")), "atom")
+    return due.select("week", "a", "b").join(m.withColumnRenamed("entity", "a"), ["week", "a"]).join(m.withColumnRenamed("entity", "b"), ["week", "b", "atom"]).select("week", "a", "b", "atom")
+
+
 def archive_due(entities: DataFrame, as_of: Column, days: int = 365, least: int = 3) -> DataFrame:
     return entities.where((F.col("last_seen") < as_of - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col("mention_count") < least))
 
 
+def theme_edges(themes: DataFrame) -> DataFrame:
+    """IS_A edges (src, dst) from each node to the node that names its theme."""
+    return themes.where("node <> theme").select(F.col("node").alias("src"), F.col("theme").alias("dst"))
+
+
 def themes(edges: DataFrame, rounds: int = 3, least_weight: int = 2) -> DataFrame:
     """(node, theme): a few rounds of weighted label propagation over strong associations; ties to the least label."""
     e = edges.where(F.col("weight") >= least_weight)

@@ -49,13 +49,23 @@ def recall_episode(atoms: DataFrame, start=None, end=None, kinds: list | None =
 
 def fold_accesses(atoms: DataFrame, accesses: DataFrame, warm: float = 0.3, hot: float = 0.5) -> DataFrame:
     """Reads of atoms folded in time order: access_count, last_accessed and tier, promoted one step a read
-    (cold to warm from weight `warm`, warm to hot from `hot`). One bounded array an atom, no UDF."""
-    log = accesses.groupBy("atom").agg(F.count("*").alias("reads"), F.max("ts").alias("last_accessed"), F.array_sort(F.collect_list(F.struct("ts", "weight"))).alias("log"))
-    start = F.when(F.col("tier") == "hot", 2).when(F.col("tier") == "warm", 1).otherwise(0)
-    step = lambda s, x: F.when((s == 0) & (x["weight"] >= warm), 1).when((s == 1) & (x["weight"] >= hot), 2).otherwise(s)
-    level = F.aggregate(F.col("log"), start, step)
+    (cold to warm from weight `warm`, warm to hot from `hot`, which is no less).
+
+    A cold atom is hot if a read of `hot` follows its first read of `warm`: if there are two reads of `hot`, or
+    one that is not the first of `warm`. So minima, maxima and counts say it, and a hot atom's reads are
+    combined before the shuffle."""
+    at = F.struct("ts", "weight")
+    log = accesses.groupBy("atom").agg(
+        F.count("*").alias("reads"),
+        F.max("ts").alias("last_accessed"),
+        F.min(F.when(F.col("weight") >= warm, at)).alias("_warm"),
+        F.max(F.when(F.col("weight") >= hot, at)).alias("_hot"),
+        F.count_if(F.col("weight") >= hot).alias("_n"),
+    )
     out = atoms.join(log, "atom", "left")
-    return out.select("atom", F.coalesce("reads", F.lit(0)).alias("reads"), "last_accessed", F.element_at(F.array(F.lit("cold"), F.lit("warm"), F.lit("hot")), F.coalesce(level, start) + 1).alias("tier"))
+    cold = F.when((F.col("_n") >= 2) | (F.col("_hot") > F.col("_warm")), "hot").when(F.col("_warm").isNotNull(), "warm").otherwise("cold")
+    tier = F.when(F.col("tier") == "hot", "hot").when(F.col("tier") == "warm", F.when(F.col("_n") > 0, "hot").otherwise("warm")).otherwise(cold)
+    return out.select("atom", F.coalesce("reads", F.lit(0)).alias("reads"), "last_accessed", tier.alias("tier"))
 
 
 def co_retrieval(accesses: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -36,6 +36,14 @@ def events_by_text(hits: DataFrame, mentions: DataFrame, domain: str | None = No
     return hits.join(m.select(F.col("event").alias("id")), "id", "left_semi")
 
 
+def domain_profile(mentions: DataFrame, since: Column, n: int = 5) -> DataFrame:
+    """(domain, mentions, entities, events, topics) since a time; topics are the n most mentioned trends."""
+    x = mentions.where(F.col("date") >= since)
+    best = top(x.groupBy("domain", "trend").agg(F.count("*").alias("n")), ["domain"], [F.desc("n"), "trend"], n, "rank")
+    names = best.groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "trend"))), lambda t: t["trend"]), ",").alias("topics"))
+    return x.groupBy("domain").agg(F.count("*").alias("mentions"), F.count_distinct("entity").alias("entities"), F.count_distinct("event").alias("events")).join(names, "domain")
+
+
 network = graph.network
 
 

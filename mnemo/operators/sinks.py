@@ -39,8 +39,9 @@ def bump_mentions(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return x.withColumn("mention_count", F.col("mention_count") + F.coalesce("_n", F.lit(0))).withColumn("last_seen", F.greatest("last_seen", F.coalesce("_t", F.col("last_seen")))).drop("_e", "_n", "_t")
 
 
-def cleared(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def cleared(nodes: DataFrame, edges: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """nodes (label, id) and edges (src_label, src, dst_label, dst) without some labels and all edges at them."""
+    return nodes.where(~F.col("label").isin(labels)), edges.where(~F.col("src_label").isin(labels) & ~F.col("dst_label").isin(labels))
 
 
 def register(instances: DataFrame, new: DataFrame) -> DataFrame:

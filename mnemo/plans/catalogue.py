@@ -129,33 +129,17 @@ def _(t):
     return graph.timeline(e, c.select(conv.alias("root")).distinct(), acts).select("root", "node", "turn", "role")
 
 
-RED = "SELECT entity FROM entities WHERE name = 'red widget'"
-
-
-@query("mentioning_atoms", f"SELECT atom, sum(prominence)::DOUBLE AS score, count(DISTINCT entity) AS matches FROM mentions WHERE entity IN ({RED}) GROUP BY atom", "mentions", "entities")
-def _(t):
-    return graph.mentioning_atoms(t.mentions(), t.entities().where("name = 'red widget'"))
-
-
-SPREAD_SQL = """ways AS (SELECT a AS src, b AS dst, weight FROM assoc UNION ALL SELECT b, a, weight FROM assoc),
-    h1 AS (SELECT cue, dst AS entity, max(round(activation * (weight / (weight + 3.0::DOUBLE)) * 0.5::DOUBLE, 9)) AS activation FROM s JOIN ways ON s.entity = src GROUP BY ALL),
-    m1 AS (SELECT cue, entity, max(activation) AS activation FROM (SELECT * FROM s UNION ALL SELECT * FROM h1) GROUP BY ALL),
-    f1 AS (SELECT m1.* FROM m1 SEMI JOIN h1 USING (cue, entity)),
-    h2 AS (SELECT cue, dst AS entity, max(round(activation * (weight / (weight + 3.0::DOUBLE)) * 0.25::DOUBLE, 9)) AS activation FROM f1 JOIN ways ON f1.entity = src GROUP BY ALL),
-    m2 AS (SELECT cue, entity, max(activation) AS activation FROM (SELECT * FROM m1 UNION ALL SELECT * FROM h2) GROUP BY ALL),"""
-
-
-@query("spread_activation", f"WITH s AS (SELECT type AS cue, entity, 1.0::DOUBLE AS activation FROM entities WHERE entity < 20), {SPREAD_SQL} k AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY activation DESC, entity) AS r FROM m2) SELECT cue, entity, activation FROM k WHERE r <= 50", "mentions", "assoc", "entities")
+@query("mentioning_atoms", "SELECT name, atom, sum(prominence)::DOUBLE AS score, count(DISTINCT entity) AS matches FROM mentions JOIN entities USING (entity) GROUP BY ALL", "mentions", "entities")
 def _(t):
-    seeds = t.entities().where("entity < 20").select(F.col("type").alias("cue"), "entity", F.lit(1.0).alias("activation"))
-    return graph.spread_activation(t.assoc(), seeds)
+    return graph.mentioning_atoms(t.mentions(), t.entities(), ["name"])
 
 
-@query("activated_subgraph", f"WITH s AS (SELECT type AS cue, entity, 1.0::DOUBLE AS activation FROM entities WHERE entity < 20), {SPREAD_SQL} k AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY activation DESC, entity) AS r FROM m2), n AS (SELECT cue, entity FROM k WHERE r <= 50) SELECT x.cue, a, b, weight FROM assoc JOIN n x ON a = x.entity JOIN n y ON b = y.entity AND x.cue = y.cue", "mentions", "assoc", "entities")
-def _(t):
-    seeds = t.entities().where("entity < 20").select(F.col("type").alias("cue"), "entity", F.lit(1.0).alias("activation"))
-    e = t.assoc().cache()
-    return graph.induced(e, graph.spread_activation(e, seeds))
+SPREAD_SQL = """ways AS MATERIALIZED (SELECT a AS src, b AS dst, weight FROM assoc UNION ALL SELECT b, a, weight FROM assoc),
+    h1 AS MATERIALIZED (SELECT cue, dst AS entity, max(round(activation * (weight / (weight + 3.0::DOUBLE)) * 0.5::DOUBLE, 9)) AS activation FROM s JOIN ways ON s.entity = src GROUP BY ALL),
+    m1 AS MATERIALIZED (SELECT cue, entity, max(activation) AS activation FROM (SELECT * FROM s UNION ALL SELECT * FROM h1) GROUP BY ALL),
+    f1 AS MATERIALIZED (SELECT m1.* FROM m1 SEMI JOIN h1 USING (cue, entity)),
+    h2 AS MATERIALIZED (SELECT cue, dst AS entity, max(round(activation * (weight / (weight + 3.0::DOUBLE)) * 0.25::DOUBLE, 9)) AS activation FROM f1 JOIN ways ON f1.entity = src GROUP BY ALL),
+    m2 AS MATERIALIZED (SELECT cue, entity, max(activation) AS activation FROM (SELECT * FROM m1 UNION ALL SELECT * FROM h2) GROUP BY ALL),"""
 
 
 CUES_SQL = "cues AS (SELECT row_number() OVER (ORDER BY name) AS cue, name AS text FROM (SELECT DISTINCT name FROM entities))"
@@ -270,14 +254,6 @@ def _(t):
     return maintain.counts({"atoms": t.atoms(), "entities": t.entities(), "mentions": t.mentions(), "associations": t.assoc()})
 
 
-@query("supplier_network", """WITH w AS (SELECT src, dst FROM depends_on UNION SELECT dst, src FROM depends_on), d AS (SELECT src AS root, dst AS node, 1 AS depth FROM w WHERE src < 5 AND src <> dst UNION ALL SELECT DISTINCT src, src, 0 FROM w WHERE src < 5),
-  k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS r FROM d) SELECT root, node, depth FROM k WHERE r <= 50""", "depends_on")
-def _(t):
-    e = t.depends_on().select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(1).alias("weight")).distinct()
-    roots = t.depends_on().select(F.explode(F.array("src", "dst")).alias("root")).where("root < 5").distinct()
-    return graph.network(e, roots, 1)
-
-
 # ---------------------------------------------------------------- search
 
 BM25_SQL = """WITH tok AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
@@ -296,14 +272,14 @@ def _(t):
 
 
 @query("search_entities", """WITH docs AS (SELECT 'part' AS label, p_partkey AS id, p_name AS text FROM part UNION ALL SELECT 'customer', c_custkey, c_mktsegment FROM customer), tok AS (SELECT label, id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM docs),
-  len AS (SELECT label, id, len(w) AS n FROM tok), st AS (SELECT label, count(*) AS docs, sum(n) AS total FROM len GROUP BY 1), q(query, term) AS (VALUES (1, 'red'), (1, 'widget'), (2, 'machinery'), (3, 'ring'), (3, 'building')),
+  len AS (SELECT label, id, len(w) AS n FROM tok), st AS (SELECT label, count(*) AS docs, sum(n) AS total FROM len GROUP BY 1), words AS (SELECT p_name AS query FROM part UNION SELECT c_mktsegment FROM customer), q AS (SELECT DISTINCT query, unnest(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM words),
   post AS (SELECT label, id, term, count(*) AS tf FROM (SELECT label, id, unnest(w) AS term FROM tok) GROUP BY ALL), df AS (SELECT label, term, count(*) AS df FROM post GROUP BY ALL),
   part AS (SELECT query, label, id, round(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * n * docs / total)), 9)::DECIMAL(20, 9) AS p FROM post JOIN q USING (term) JOIN df USING (label, term) JOIN len USING (label, id) JOIN st USING (label)),
   sc AS (SELECT query, label, id, round(sum(p)::DOUBLE, 6) AS score FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, id) AS k FROM sc WHERE score > 0.05)
   SELECT query, label, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, label, id) AS k2 FROM r WHERE k <= 10) WHERE k2 <= 12""")
 def _(t):
     texts = t.raw("part").select(F.lit("part").alias("label"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text")).union(t.raw("customer").select(F.lit("customer"), "c_custkey", "c_mktsegment"))
-    q = t.spark.createDataFrame([(1, "red widget"), (2, "Machinery"), (3, "ring BUILDING")], "query int, text string")
+    q = texts.select(F.col("text").alias("query"), "text").distinct()
     return search.Index.build(texts).search(q, 10, 0.05, 12)
 
 
@@ -504,22 +480,7 @@ def _(t):
     return portfolio.activity(t.commits(), sessions(t), F.lit("1999-01-01").cast("timestamp_ntz"))
 
 
-@query("stale_projects", "SELECT s_suppkey AS project, coalesce(DATE '2001-01-01' - last::DATE, 30) AS inactive_days FROM supplier LEFT JOIN (SELECT project, max(date) AS last FROM commits WHERE project % 3 > 0 AND date < TIMESTAMP '2000-12-01' GROUP BY 1) ON project = s_suppkey WHERE last IS NULL OR last < TIMESTAMP '2001-01-01' - INTERVAL 30 DAY", "commits")
-def _(t):
-    return portfolio.stale(projects(t), t.commits().where("project % 3 > 0 and date < timestamp_ntz'2000-12-01'"), F.lit("2001-01-01").cast("timestamp_ntz"))
-
-
-IMPACT_SQL = """WITH h1 AS (SELECT DISTINCT src AS root, dst AS node FROM depends_on WHERE src < 8), h2 AS (SELECT DISTINCT root, dst AS node FROM h1 JOIN depends_on ON src = node), d AS (SELECT root, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM h1 UNION ALL SELECT *, 2 FROM h2) WHERE root <> node GROUP BY 1, 2),
-  u AS (SELECT DISTINCT dst AS root, src AS node FROM depends_on WHERE dst < 8), x AS (SELECT root, node, depth, 'downstream' AS kind FROM d UNION ALL SELECT root, node, 1, 'dependent' FROM u ANTI JOIN d USING (root, node))
-  SELECT root, node, kind, depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, kind, node) AS r FROM x) WHERE r <= 50"""
-
-
-@query("cross_project_impact", IMPACT_SQL, "depends_on")
-def _(t):
-    return portfolio.cross_project_impact(t.depends_on(), projects(t).where("project < 8").withColumnRenamed("project", "root"), 2)
-
-
-@query("shared_packages", "WITH o AS (SELECT DISTINCT project, dep FROM uses), n AS (SELECT dep, count(*) AS users FROM o GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100) SELECT x.project AS a, y.project AS b, count(*) AS shared, max(users) AS users, CASE WHEN max(users) >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM o x JOIN o y ON x.dep = y.dep AND x.project < y.project JOIN n ON n.dep = x.dep GROUP BY 1, 2", "uses")
+@query("shared_packages", "WITH o AS (SELECT DISTINCT project, dep FROM uses), n AS (SELECT dep, count(*) AS users FROM o GROUP BY 1 HAVING count(*) >= 2) SELECT x.project AS a, y.project AS b, count(*) AS shared, max(users) AS users, CASE WHEN max(users) >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM o x JOIN o y ON x.dep = y.dep AND x.project < y.project JOIN n ON n.dep = x.dep GROUP BY 1, 2", "uses")
 def _(t):
     return portfolio.shared_packages(t.uses())
 
@@ -675,7 +636,10 @@ def _(t):
     return maintain.archive_due(e, at("2001-06-01"), 100, 40)
 
 
-@query("themes", None)
+THEME_ROUND = "v{n} AS (SELECT w.src AS node, theme, sum(weight) AS v FROM w JOIN l{m} ON dst = l{m}.node GROUP BY ALL), l{n} AS MATERIALIZED (SELECT node, theme FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY v DESC, theme) AS r FROM v{n}) WHERE r = 1)"
+
+
+@query("themes", f"WITH w AS MATERIALIZED (SELECT a AS src, b AS dst, weight FROM assoc WHERE weight >= 2 UNION ALL SELECT b, a, weight FROM assoc WHERE weight >= 2), l0 AS (SELECT DISTINCT src AS node, src AS theme FROM w), {THEME_ROUND.format(n=1, m=0)}, {THEME_ROUND.format(n=2, m=1)} SELECT node, theme FROM l2", "mentions", "assoc")
 def _(t):
     return maintain.themes(t.assoc(), 2)
 
@@ -711,16 +675,8 @@ def _(t):
     return recall.context_packet(q, idx, touches(t), a, typed_edges(t), "2024-01-01 00:00:00", None, budget=150)["evidence"].select("query", "activity", "ts")
 
 
-@query("people_context", """SELECT 'q' || c.c_custkey AS query, a.person, a.kind AS container, count(*) AS n, max(a.ts) AS latest FROM activities a JOIN customer c ON c.c_custkey = a.person WHERE c.c_custkey < 30 GROUP BY ALL""", "activities")
-def _(t):
-    p = t.raw("customer").where("c_custkey < 30").select(F.lit("p").alias("label"), F.col("c_custkey").alias("id"), F.regexp_extract("c_name", "#(.*)", 1).alias("text"))
-    q = p.select(F.concat(F.lit("q"), "id").alias("query"), "text")
-    a = t.activities().select("person", F.col("kind").alias("container"), "ts")
-    return recall.people_context(q, search.Index.build(p), a)
-
-
 # ---------------------------------------------------------------- whole key sets
-# The queries of the same names without _all keep their stated subsets of keys, as their SQL does.
+# Each is registered under its plain name too.
 
 
 def all_seeds(t: Tables) -> DataFrame:
@@ -738,7 +694,7 @@ def _(t):
 
 @query("activated_subgraph_all", f"{ALL_SPREAD_SQL}, n AS (SELECT cue, entity FROM k WHERE r <= 50) SELECT x.cue, a, b, weight FROM assoc JOIN n x ON a = x.entity JOIN n y ON b = y.entity AND x.cue = y.cue", "mentions", "assoc", "entities")
 def _(t):
-    e = t.assoc().cache()
+    e = t.assoc()
     return graph.induced(e, graph.spread_activation(e, all_seeds(t)))
 
 
@@ -767,3 +723,7 @@ def _(t):
     q = p.select(F.concat(F.lit("q"), "id").alias("query"), "text")
     a = t.activities().select("person", F.col("kind").alias("container"), "ts")
     return recall.people_context(q, search.Index.build(p), a)
+
+
+for _name in [n.removesuffix("_all") for n in QUERIES if n.endswith("_all")]:
+    QUERIES[_name], SQL[_name] = QUERIES[_name + "_all"], SQL[_name + "_all"]

@@ -118,6 +118,7 @@ VIEWS = {
 def sql(body: str, *names: str) -> str:
     """A query over the named views (assoc brings mentions)."""
     names = list(dict.fromkeys((["mentions"] if "assoc" in names else []) + list(names)))
-    head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    # joins that are read several times are made once
+    head = ", ".join(f"{n} AS {'MATERIALIZED ' if n in ('mentions', 'assoc') else ''}({VIEWS[n]})" for n in names)
     body = body.strip()
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

@@ -195,3 +195,26 @@ def test_budget_prefix_is_longest(spark, lengths, budget, n):
 def test_every_query_runs(spark):
     for name, q in catalogue.QUERIES.items():
         assert q(spark, "/root/testdata/sf0.001").columns, name
+
+
+def test_passes_are_isolated_and_timed(spark):
+    slow = lambda: spark.range(0, 40, 1, 40).select(F.expr("java_method('java.lang.Thread', 'sleep', 2000L)")).collect()
+    out = maintain.run_passes(["slow", "no", "bad", "good"], {"slow": slow, "bad": lambda: 1 / 0, "good": lambda: 3}, timeout=1.0, spark=spark)
+    assert [(x["pass"], x["ok"]) for x in out] == [("slow", False), ("no", False), ("bad", False), ("good", True)]
+    assert "timed out" in out[0]["error"] and spark.range(5).count() == 5
+
+
+def test_access_folding_is_the_fold(spark):
+    import random
+
+    r = random.Random(4)
+    log = [(r.randrange(60), r.randrange(6), r.choice([0.1, 0.3, 0.4, 0.5, 0.9])) for _ in range(300)]
+    atoms = [(i, ["cold", "warm", "hot"][i % 3]) for i in range(70)]
+    want = {}
+    for i, tier in atoms:
+        level = ["cold", "warm", "hot"].index(tier)
+        for _, w in sorted((ts, w) for a, ts, w in log if a == i):
+            level = 1 if level == 0 and w >= 0.3 else 2 if level == 1 and w >= 0.5 else level
+        want[i] = ["cold", "warm", "hot"][level]
+    got = recall.fold_accesses(spark.createDataFrame(atoms, "atom int, tier string"), spark.createDataFrame(log, "atom int, ts int, weight double"))
+    assert {x.atom: x.tier for x in got.collect()} == want
