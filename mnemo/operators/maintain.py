@@ -99,6 +99,14 @@ def tier_changes(atoms: DataFrame, new_tier: Column) -> DataFrame:
     return b.join(a, "tier", "full").fillna(0).withColumn("delta", F.col("after") - F.col("before"))
 
 
+def _watch(spark: SparkSession, group: str, timeout: float, done: threading.Event, late: threading.Event) -> None:
+    """Cancels a group's jobs from a time on, those too that only start later."""
+    if not done.wait(timeout):
+        late.set()
+        while not done.wait(0.5):
+            spark.sparkContext.cancelJobGroup(group)
+
+
 def run_passes(names: list[str], registry: dict[str, Callable], timeout: float | None = None, spark: SparkSession | None = None, **config) -> list[dict]:
     """Runs named passes one after another; an unknown, failing or (given a session) late pass is reported and
     the rest go on. After `timeout` seconds a pass's Spark jobs are cancelled, so it ends with an error."""
@@ -107,19 +115,19 @@ def run_passes(names: list[str], registry: dict[str, Callable], timeout: float |
         if name not in registry:
             out.append({"pass": name, "ok": False, "error": "unknown pass"})
             continue
-        timer, late = None, threading.Event()
+        done, late = threading.Event(), threading.Event()
         if spark is not None and timeout is not None:
-            spark.sparkContext.addJobTag(f"pass-{name}")
-            timer = threading.Timer(timeout, lambda tag=f"pass-{name}", late=late: (late.set(), spark.sparkContext.cancelJobsWithTag(tag)))
-            timer.start()
+            spark.sparkContext.setJobGroup(f"pass-{name}", f"maintenance pass {name}", True)
+            threading.Thread(target=_watch, args=(spark, f"pass-{name}", timeout, done, late), daemon=True).start()
         try:
             out.append({"pass": name, "ok": True, "stats": registry[name](**config)})
         except Exception as e:  # noqa: BLE001  isolation of passes is the contract
             out.append({"pass": name, "ok": False, "error": f"timed out after {timeout} s" if late.is_set() else str(e)[:300]})
         finally:
-            if timer is not None:
-                timer.cancel()
-                spark.sparkContext.removeJobTag(f"pass-{name}")
+            done.set()
+            if spark is not None and timeout is not None:
+                for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                    spark.sparkContext.setLocalProperty(k, None)
     return out
 
 
