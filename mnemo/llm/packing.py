@@ -3,7 +3,7 @@
 A piece of n tokens costs LINEAR * n + QUADRATIC * n * n (matrix work plus attention). Full-length
 pieces of long documents make sequences of their own; the rest is assigned by descending cost to the
 lowest-cost sequence with room for all of it, and cut only where no sequence has. The number of
-sequences is the least possible, so at most one sequence a batch is not full.
+sequences is the least possible, so at most one sequence of a call is not full.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from mnemo.llm.tokens import encoder, with_end
+from mnemo.llm.tokens import encoder, slices, with_end
 
 CAPACITY, END = 1024, 0
 #: Cost of a token and of a pair of tokens; their ratio is that of a model 2048 wide.
@@ -108,7 +108,7 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 def pack_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length.
 
-    Tasks pack batch by batch what they read, so no token is shuffled; sequence_id is (partition << 40)
+    Tasks pack what they read in runs of some megabytes of text, so no token is shuffled; sequence_id is (partition << 40)
     plus a count. Whole texts are encoded; null and empty texts are documents of the one end id;
     repeated rows and null ids are documents of their own; an empty table gives no rows; other columns
     are not read.
@@ -116,7 +116,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, base = encoder(vocabulary).encode, TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in slices(batches):
             ids, counts = with_end(*encode(b.column("text")), END)
             pieces = pack(counts.tolist())
             if not pieces:

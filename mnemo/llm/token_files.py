@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.llm.common import broadcast_if_small, saved
-from mnemo.llm.tokens import encoder, with_end
+from mnemo.llm.tokens import encoder, slices, with_end
 
 END = 2
 #: Ids of a block; blocks coded side by side, at most; ids of a segment before it is closed.
@@ -341,9 +341,7 @@ def write_ids(docs: DataFrame, vocabulary: str | None = None, end: int = END) ->
             row = {"part": part, "segment": segment, "doc_ids": list(names), "lengths": own, "n_ids": len(ids), "crc32": zlib.crc32(ids.astype("<u4").tobytes()), "ranks": ranks, "blocks": blocks}
             return pa.RecordBatch.from_pylist([row], _FILE)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             part, ids_of = b.column("part")[0].as_py(), b.column("doc_id")
             ids, counts = with_end(*encode(b.column("text")), end)
             done, first, ends = 0, 0, np.cumsum(counts)

@@ -17,9 +17,10 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks whose ids are remembered in a worker, at most, and the bytes of one.
-REMEMBERED, LONGEST = 1_500_000, 64
-#: Bytes of texts that are cut and numbered together, about; one longer text goes alone.
-TOGETHER = 4_000_000
+REMEMBERED, LONGEST = 400_000, 64
+#: Bytes of texts that are cut and numbered together, and that a task encodes at a time, about; one longer
+#: text goes alone. They bound what a worker holds beside its batch.
+TOGETHER, SLICE = 4_000_000, 8_000_000
 
 
 def _marked(*parts: Iterable[int]) -> np.ndarray:
@@ -170,15 +171,33 @@ class Encoder:
 
 def _groups(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes and offsets of runs of texts of about TOGETHER bytes."""
-    wide = pa.types.is_large_string(texts.type)
-    off = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    raw, at = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8), 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(off, off[at] + TOGETHER, side="right")) - 1)
+    raw, off = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8), _offsets(texts)
+    for at, end in _bounds(off, TOGETHER):
         yield raw[off[at] : off[end]], off[at : end + 1] - off[at]
+
+
+def _offsets(texts: pa.Array) -> np.ndarray:
+    wide = pa.types.is_large_string(texts.type)
+    return np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
+def _bounds(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield at, end
         at = end
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about SLICE bytes of text each."""
+    for b in batches:
+        if b.num_rows:
+            for at, end in _bounds(_offsets(b.column(column)), SLICE):
+                yield b.slice(at, end - at)
+        pa.default_memory_pool().release_unused()
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with one more id at the end of each text."""
     return np.insert(ids, np.cumsum(counts), end).astype(np.uint32, copy=False), counts + 1

@@ -56,6 +56,10 @@ def test_groups_and_long_chunks_give_the_same_ids(monkeypatch):
     for together, remembered in ((1, 5), (3000, 100), (8_000_000, 1_000_000)):
         monkeypatch.setattr(tokens, "TOGETHER", together)
         monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        monkeypatch.setattr(tokens, "SLICE", together)
+        batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(range(len(rows)))], names=["text", "i"])
+        cut = [*tokens.slices([batch.slice(2), batch.slice(0, 0), batch])]
+        assert [i for b in cut for i in b.column("i").to_pylist()] == [*range(2, len(rows)), *range(len(rows))]
         e = tokens.Encoder(public_tokenizers.path(VOCABULARY))
         assert e.encode(pa.array(rows).slice(1))[0].tolist() == [i for x in rows[1:] for i in t.encode(x or "", add_special_tokens=False).ids]
         assert e.encode(pa.array(rows, pa.large_string()))[0].tolist() == want
