@@ -20,7 +20,7 @@ VOCABULARY = "byte_bpe_50k.json"
 REMEMBERED, LONGEST = 400_000, 64
 #: Bytes of texts that are cut and numbered together, and that a task encodes at a time, about; one longer
 #: text goes alone. They bound what a worker holds beside its batch.
-TOGETHER, SLICE = 4_000_000, 8_000_000
+TOGETHER, SLICE = 2_000_000, 4_000_000
 
 
 def _marked(*parts: Iterable[int]) -> np.ndarray:
