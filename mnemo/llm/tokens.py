@@ -36,6 +36,9 @@ _LETTER = _marked(range(65, 91), range(97, 123))
 #: First bytes of characters that are no white space (the others may be).
 _SURE = _marked(range(33, 256)) & ~_marked([0x7F, 0xC2, 0xE1, 0xE2, 0xE3])
 _MAYBE = _WHITE | _POINT
+#: The character that a byte-level vocabulary writes for each byte: visible Latin-1 as it is, the others from U+0100.
+_AS_IS = _VISIBLE | _marked(range(0xA1, 0x100)) & ~_marked([0xAD])
+_WRITTEN = np.where(_AS_IS, np.arange(256), 255 + np.cumsum(~_AS_IS)).astype("<u2")
 
 
 def edges(raw: np.ndarray, offsets: np.ndarray, sure: np.ndarray = _SURE) -> np.ndarray:
@@ -83,6 +86,8 @@ class Encoder:
         for token, i in every.items():
             self.n_bytes[i] = len(token) if token in own else len(token.encode())
         # a special token ends the text before it, and so a run of white space that no cut may part
+        self.words = self.tokenizer.model.tokenize
+        self.spelled = not any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.sure = _SURE & ~_marked([t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.forget()
 
@@ -92,15 +97,48 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Which chunks are a word alone, or one after a single white byte: ASCII letters and U+00C0 to U+00FF
+        but for two signs."""
+        lead = raw == 0xC3
+        lead[:-1] &= (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        letter = _LETTER[raw] | lead
+        letter[1:] |= lead[:-1]
+        other = np.concatenate([[0], np.cumsum(~letter, dtype=np.int32)])
+        first = off[:-1]
+        size = np.diff(off)
+        return (size > 0) & (other[off[1:]] - other[np.minimum(first + 1, off[1:])] == 0) & (letter[first] | _WHITE[raw[first]] & (size > 1))
+
+    def _spelled(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for words, which are one piece each (a white byte but a space is a piece of its
+        own), so that they need no search for pieces and go to the vocabulary's model as they are."""
+        text, ends = _WRITTEN[raw].tobytes().decode("utf-16-le"), np.cumsum(size)
+        starts = ends - size
+        apart = starts[_WHITE[raw[starts]] & (raw[starts] != 32)] + 1
+        cut = np.sort(np.concatenate([starts, apart]))
+        words, ids, n = self.words, [], []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(text)], strict=True):
+            own = words(text[a:b])
+            ids += [t.id for t in own]
+            n.append(len(own))
+        return np.array(ids, dtype=np.uint32), np.add.reduceat(np.array(n, dtype=np.int64), np.searchsorted(cut, starts))
+
     def _learned(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for each chunk. Chunks of a space and visible ASCII go to the tokenizer in one
-        text, since pieces begin where they do; its ids are cut where the chunks' bytes end."""
+        """Ids and their number for each chunk. Words are spelled. Other chunks of a space and visible ASCII go to
+        the tokenizer in one text, since pieces begin where they do; its ids are cut where the chunks' bytes end."""
         raw, off = np.frombuffer(chunks.buffers()[2] or b"", dtype=np.uint8), np.frombuffer(chunks.buffers()[1], dtype=np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
         size = np.diff(off)
-        whole = (size > 1) & (size <= LONGEST)
+        short = (size > 1) & (size <= LONGEST)
+        whole, word = short.copy(), np.zeros(len(chunks), dtype=bool)
+        if self.spelled and short.any():
+            word = short & self._words(raw[off[0] : off[-1]], off - off[0])
         whole[whole] = (raw[off[:-1][whole]] == 32) & _VISIBLE[raw[off[:-1][whole] + 1]] & ~_WHITE[raw[off[1:][whole] - 1]]
+        whole &= ~word
         counts, parts = np.zeros(len(chunks), dtype=np.int64), [np.zeros(0, np.uint32)]
-        joined, single = np.flatnonzero(whole), np.flatnonzero(~whole)
+        spelled, joined, single = np.flatnonzero(word), np.flatnonzero(whole), np.flatnonzero(~(whole | word))
+        if len(spelled):
+            ids, counts[spelled] = self._spelled(raw[taken(off[spelled], size[spelled])], size[spelled])
+            parts.append(ids)
         if len(joined):
             text = raw[taken(off[joined], size[joined])].tobytes().decode()
             ids = self._encoded([text])[0]
@@ -111,7 +149,7 @@ class Encoder:
             found = self._encoded([c.decode() for c in chunks.take(pa.array(single)).to_pylist()])
             counts[single] = [len(x) for x in found]
             parts.extend(found)
-        ids, order = np.concatenate(parts), np.concatenate([joined, single])
+        ids, order = np.concatenate(parts), np.concatenate([spelled, joined, single])
         starts = np.zeros(len(chunks), dtype=np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order]
         return ids[taken(starts, counts)], counts
