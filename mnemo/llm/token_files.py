@@ -35,12 +35,10 @@ SEGMENT = BLOCK * LANES
 #: Bits of a lane's order-1 and order-2 tables, of a probability, and steps between updates of the class counts.
 SLOT_BITS, T_BITS, EVERY = 7, 12, 32
 T = 1 << T_BITS
-#: Ranks that orders 1 and 2 can name.
-GUESSED = 1 << 14
 U = np.uint64
-#: Cumulative probabilities that an outcome pulls to.
-_GOAL = np.array([[T - 2, T - 1], [1, T - 1], [1, 2]], np.int16).view(np.int32).ravel()
-_PLAIN = ((1 << np.arange(32, dtype=np.int64)) - 1).astype(np.uint32)
+#: Cumulative probabilities that an outcome pulls to, and the steps from one outcome to the next.
+_GOALS = np.array([[T - 2, T - 1], [1, T - 1], [1, 2]], np.int16).view(np.int32).ravel()
+_GOAL, _TO_1, _TO_2 = _GOALS[0], _GOALS[1] - _GOALS[0], _GOALS[2] - _GOALS[1]
 
 
 class Model:
@@ -50,7 +48,7 @@ class Model:
     def __init__(self, n: int, classes: int):
         self.n, self.stride, self.k = n, n, classes
         self.lane = np.arange(n, dtype=np.int64)
-        # entries: a rank and how often in a row it was right (0 to 3); only ranks that fit are guessed
+        # entries: the low 14 bits of a rank and how often in a row it was right (0 to 3); greater ranks are never right
         self.two, self.one = np.zeros(n << SLOT_BITS, np.uint16), np.zeros(n << SLOT_BITS, np.uint16)
         even = int(np.array([T // 8, T // 4], np.int16).view(np.int32)[0])
         self.a, self.b = np.full(n << 7, even, np.int32), np.full(n << 7, even, np.int32)
@@ -103,18 +101,18 @@ class Model:
         wide = (self.flat[at + self.n] - low - T).astype(np.int32)
         return (start << T_BITS) + size * (low * miss), size * (wide * miss + T)
 
-    def learn(self, out: np.ndarray, miss: np.ndarray, x: np.ndarray, cls: np.ndarray) -> None:
+    def learn(self, not2: np.ndarray, miss: np.ndarray, x: np.ndarray, cls: np.ndarray) -> None:
         w = self.weight
         w += (self.lead - (miss << 1) * self.lead) >> 5
         np.minimum(np.maximum(w, 8, out=w), 248, out=w)
-        goal = _GOAL[out].view(np.int16)
+        goal = (_GOAL + not2 * _TO_1 + miss * _TO_2).view(np.int16)
         for table, at, p in ((self.a, self.ia, self.pa), (self.b, self.ib, self.pb)):
             p = p.view(np.int16)
             table[at] = (p + ((goal - p) >> 4)).view(np.int32)
-        named = (x << 2) * (x < GUESSED)
+        named = x << 2
         self.two[self.s2] = named | ((np.minimum(self.t2, 2) + 1) * (self.g2 == x))
         self.one[self.s1] = named | ((np.minimum(self.t1, 2) + 1) * (self.g1 == x))
-        self.past = ((self.past << 2) | out) & 15
+        self.past = ((self.past << 2) | (not2 + miss)) & 15
         self.x2, self.x1 = self.x1, x.view(np.uint32)
         self.seen[self.n_seen] = cls
         self.n_seen += 1
@@ -162,7 +160,8 @@ class Writer:
     def finish(self) -> list[np.ndarray]:
         for _ in range(3):
             self._emit(np.arange(self.n))
-        return [w[:e] for w, e in zip(np.ascontiguousarray(self.out.T), (self.at // self.n).tolist(), strict=True)]
+        sizes = (self.at // self.n).tolist()
+        return [w[:e] for w, e in zip(np.ascontiguousarray(self.out[: max(sizes)].T), sizes, strict=True)]
 
 
 class Reader:
@@ -193,9 +192,10 @@ class Reader:
             i = i[r < U(1 << 32)]
 
 
-def classes_of(n: int) -> np.ndarray:
-    """The class of each of n ranks: rank + 1 lies in [2**class, 2**(class + 1))."""
-    return (np.frexp(np.arange(1, n + 1, dtype=np.float64))[1] - 1).astype(np.int32)
+def classes_of(ranks: np.ndarray) -> np.ndarray:
+    """The class of each rank: rank + 1 lies in [2**class, 2**(class + 1)). It is the exponent of the number in
+    binary floating point, exact for the ranks of a segment, which are under 2**24."""
+    return ((ranks + np.int32(1)).astype(np.float32).view(np.int32) >> 23) - 127
 
 
 def _packed(values: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
@@ -217,27 +217,27 @@ def _lanes(lengths: np.ndarray, t: int) -> int:
     return len(lengths) - (t >= lengths[-1])
 
 
-def _encoded(ranks: np.ndarray, lengths: np.ndarray, classes: np.ndarray) -> list[bytes]:
-    """Blocks of one group, from their ranks: a row a block."""
+def _encoded(ranks: np.ndarray, lengths: np.ndarray, k: int) -> list[bytes]:
+    """Blocks of one group, from their ranks, of k classes: a row a block."""
     n, steps = ranks.shape
-    ranks, k = np.ascontiguousarray(ranks.T), int(classes[-1]) + 1
+    ranks = np.ascontiguousarray(ranks.T)
     m, w, missed = Model(n, k), Writer(n, steps * 3 + 8), np.zeros((steps, n), bool)
     for t in range(steps):
         live = _lanes(lengths, t)
         if live < m.n:
             m.shrink(live)
         x = ranks[t, :live]
-        cls = classes[x]
+        cls = classes_of(x)
         m.guess()
         not2 = x != m.g2
         missed[t, :live] = both = not2 & (x != m.g1)
         not2, miss = not2.astype(np.int32), both.astype(np.int32)
         w.put(*m.within(*m.bounds(not2, miss), cls, miss))
-        m.learn(not2 + miss, miss, x, cls)
+        m.learn(not2, miss, x, cls)
     out, words = [], w.finish()
     for at in range(0, n, 512):  # in parts that a cache holds
         own = np.ascontiguousarray(ranks[:, at : at + 512].T)
-        out += _packed(own + 1, classes[own] * np.ascontiguousarray(missed[:, at : at + 512].T))
+        out += _packed(own + 1, classes_of(own) * np.ascontiguousarray(missed[:, at : at + 512].T))
     coded = []
     for size, own, plain in zip(lengths.tolist(), words, out, strict=True):
         body = size.to_bytes(4, "little") + len(own).to_bytes(4, "little") + own.astype("<u2").tobytes() + plain.tobytes()
@@ -258,26 +258,26 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
     order = np.argsort(-count, kind="stable")
     rank = np.zeros(len(named) if place is not ids else int(named[-1]) + 1, np.int32)
     rank[order if place is not ids else named[order]] = np.arange(len(named), dtype=np.int32)
-    ranks, classes, coded = rank[place], classes_of(len(named)), []
+    ranks, k, coded = rank[place], len(named).bit_length(), []
     for at in range(0, len(ids), BLOCK * LANES):
         own = ranks[at : at + BLOCK * LANES]
         width = min(BLOCK, len(own))
         n = -(-len(own) // width)
         lengths = np.full(n, width)
         lengths[-1] = len(own) - width * (n - 1)
-        coded += _encoded(np.pad(own, (0, n * width - len(own))).reshape(n, width), lengths, classes)
+        coded += _encoded(np.pad(own, (0, n * width - len(own))).reshape(n, width), lengths, k)
     return named[order].astype("<u4").tobytes(), coded
 
 
-def _decoded(blocks: list[np.ndarray], lengths: np.ndarray, words: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def _decoded(blocks: list[np.ndarray], lengths: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
     n, steps = len(blocks), int(lengths[0])
     coder = np.zeros((n, int(words.max()) + 4), np.uint16)
     plain = np.zeros((n, max(len(b) - w for b, w in zip(blocks, words.tolist(), strict=True)) + 4), np.uint16)
-    for k, (b, w) in enumerate(zip(blocks, words.tolist(), strict=True)):
-        coder[k, :w] = b[:w]
-        plain[k, : len(b) - w] = b[w:]
+    for i, (b, w) in enumerate(zip(blocks, words.tolist(), strict=True)):
+        coder[i, :w] = b[:w]
+        plain[i, : len(b) - w] = b[w:]
     both = np.ascontiguousarray((plain[:, :-1].astype(np.uint32) | plain[:, 1:].astype(np.uint32) << np.uint32(16)).T).ravel()
-    m, c, at = Model(n, int(classes[-1]) + 1), Reader(coder), np.zeros(n, np.int32)
+    m, c, at = Model(n, k), Reader(coder), np.zeros(n, np.int32)
     ranks = np.zeros((steps, n), np.int32)
     for t in range(steps):
         live = _lanes(lengths, t)
@@ -293,11 +293,12 @@ def _decoded(blocks: list[np.ndarray], lengths: np.ndarray, words: np.ndarray, c
         cls = (m.cum[1:-1] <= inner).view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int32)
         c.take(*m.within(start, size, cls, miss))
         bits = cls * miss
-        low = (both[(at >> 4) * n + m.lane] >> (at & 15).view(np.uint32)) & _PLAIN[bits]
+        top = 1 << bits
+        low = (both[(at >> 4) * n + m.lane] >> (at & 15).view(np.uint32)).view(np.int32) & (top - 1)
         at += bits
         hit = m.g2 + (m.g1 - m.g2) * not2
-        x = hit + ((low.view(np.int32) | (1 << cls)) - 1 - hit) * miss
-        m.learn(not2 + miss, miss, x, classes[x])
+        x = hit + (low + top - 1 - hit) * miss
+        m.learn(not2, miss, x, classes_of(x))
         ranks[t, :live] = x
     return np.ascontiguousarray(ranks.T).ravel()[: int(lengths.sum())]
 
@@ -310,13 +311,13 @@ def decode_ids(ranks: bytes, coded: list[bytes]) -> np.ndarray:
     if not coded:
         return np.zeros(0, np.uint32)
     named = np.frombuffer(ranks, "<u4")
-    classes, heads = classes_of(len(named)), np.array([np.frombuffer(b, "<u4", 2, 4) for b in coded], dtype=np.int64)
+    heads = np.array([np.frombuffer(b, "<u4", 2, 4) for b in coded], dtype=np.int64)
     out, at = [], 0
     while at < len(coded):  # groups of equal lengths, of which only the last block may be shorter
         end = at + 1
         while end < len(coded) and end - at < LANES and heads[end - 1, 0] == heads[at, 0] >= heads[end, 0]:
             end += 1
-        out.append(_decoded([np.frombuffer(b, "<u2", offset=12) for b in coded[at:end]], heads[at:end, 0], heads[at:end, 1], classes))
+        out.append(_decoded([np.frombuffer(b, "<u2", offset=12) for b in coded[at:end]], heads[at:end, 0], heads[at:end, 1], len(named).bit_length()))
         at = end
     return named[np.concatenate(out)]
 
