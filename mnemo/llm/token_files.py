@@ -33,7 +33,7 @@ END = 2
 BLOCK, LANES = 512, 8192
 SEGMENT = BLOCK * LANES
 #: Bits of a lane's order-1 and order-2 tables, of a probability, and steps between updates of the class counts.
-SLOT_BITS, T_BITS, EVERY = 7, 12, 32
+SLOT_BITS, T_BITS, EVERY = 6, 12, 64
 T = 1 << T_BITS
 U = np.uint64
 #: Cumulative probabilities that an outcome pulls to, and the steps from one outcome to the next.
