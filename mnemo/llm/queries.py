@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemo.llm import decontamination, matroska, minhash_dedup, packing, secrets, sharding, suffix_dedup, token_files, toxicity, warc
+from mnemo.llm import centroids, decontamination, fingerprints, matroska, minhash_dedup, packing, prefix_trie, secrets, sharding, suffix_dedup, token_files, toxicity, warc
 from mnemo.llm.common import scratch_path, table
 
 QUERIES: dict = {}
@@ -70,3 +70,18 @@ def op3(spark, sf_dir):
 @query("op4_token_files")
 def op4(spark, sf_dir):
     return token_files.through_files(table(spark, sf_dir, "documents"))
+
+
+@query("op11_centroids", centroids.SQL)
+def op11(spark, sf_dir):
+    return centroids.describe(spark, table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_fingerprints")
+def op12(spark, sf_dir):
+    return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie", prefix_trie.SQL)
+def op13(spark, sf_dir):
+    return prefix_trie.describe(table(spark, sf_dir, "conversations"))
