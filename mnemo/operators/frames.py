@@ -8,21 +8,26 @@ import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Written to the folder all executors see and read back: cuts lineage. Only a session in one process
-    (tests) gets a local one where none is set."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors see. Only a session in one process (tests) gets a local
+    folder where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="mnemo-")
         spark.sparkContext.setCheckpointDir(found)
-    path = f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """Written to the shared folder and read back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,11 +6,13 @@ each, so a hub costs its degree once a hop; small sides broadcast by Spark's own
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions.text import saturation
-from mnemo.operators.frames import between, clamp, top, within_budget
+from mnemo.operators.frames import between, clamp, saved, top, within_budget
 
 
 def recent_activity(activities: DataFrame, persons: DataFrame, containers: DataFrame, start, end, topics: DataFrame | None = None, limit: int | None = None, budget: int | None = None, by: list | None = None) -> DataFrame:
@@ -46,15 +48,69 @@ def overview(edges: DataFrame, roots: DataFrame, most: int = 500) -> DataFrame:
     return neighborhood(edges, top(roots, ["label"], ["root"], most).select("root"), "both").select(F.least("root", "neighbour").alias("source"), "kind", F.greatest("root", "neighbour").alias("target")).distinct()
 
 
-def reach(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
-    """(root, node, depth): nodes within 1..hops steps along src -> dst, each at its least depth."""
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct()
-    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
-    front = seen
-    for h in range(1, hops + 1):
-        front = front.join(step, "node").select("root", F.col("_next").alias("node")).distinct().withColumn("depth", F.lit(h))
-        seen = seen.union(front)
-    return seen.groupBy("root", "node").agg(F.min("depth").alias("depth")).where("depth > 0")
+#: Neighbours of a block of an adjacency list; nodes of a frontier that the first test of a pair looks at, and the factor to the next.
+BLOCK, LOOK, GROWTH = 1000, 8, 8
+
+
+class Adjacency:
+    """Distinct steps src -> dst, saved once, a hub's dealt over blocks of BLOCK so that no task meets a whole hub.
+
+    steps: (src, block, dst); degrees: (src, degree, blocks)."""
+
+    def __init__(self, edges: DataFrame):
+        step = saved(edges.select("src", "dst").distinct(), "steps")
+        self.degrees = saved(step.groupBy("src").agg(F.count("*").alias("degree")).withColumn("blocks", F.ceil(F.col("degree") / BLOCK).cast("int")), "degrees")
+        block = F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int")
+        self.steps = step.join(self.degrees.where("blocks > 1").select("src", "blocks"), "src", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("src", block.alias("block"), "dst")
+
+    def next(self, front: DataFrame) -> DataFrame:
+        """(root, node) one step on from front (root, node), distinct."""
+        at = front.select("root", F.col("node").alias("src")).join(self.degrees.select("src", "blocks"), "src")
+        at = at.select("root", "src", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        return at.join(self.steps, ["src", "block"]).select("root", F.col("dst").alias("node")).distinct()
+
+    def meets(self, front: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The pairs (root, node) of which some front node of the root has a step to the node.
+
+        Pairs are tried with a few of the front's nodes first and the rest go on to more, so that pairs which
+        many nodes would tell cost a few looks, not the product of degrees."""
+        size = front.groupBy("root").agg(F.count("*").alias("n"))
+        look = saved(front.join(size, "root").withColumn("_u", F.pmod(F.xxhash64("node", "root"), F.lit(1 << 30)) * F.col("n") / F.lit(float(1 << 30))), "looks")
+        most = look.agg(F.max("n")).head()[0]
+        found, low, high = None, 0.0, float(LOOK)
+        while most is not None:
+            tried = pairs.join(look.where((F.col("_u") >= low) & (F.col("_u") < high)).select("root", F.col("node").alias("src")), "root")
+            hit = saved(tried.join(self.steps.select("src", F.col("dst").alias("node")), ["src", "node"], "left_semi").select("root", "node").distinct(), "met")
+            found = hit if found is None else found.union(hit)
+            if high >= most:
+                break
+            pairs = saved(pairs.join(hit, ["root", "node"], "left_anti"), "unmet")
+            low, high = high, high * GROWTH
+        return pairs.limit(0) if found is None else found
+
+
+def walk(adjacency: Adjacency, roots: DataFrame, hops: int, enough: int | None = None) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """(depth, front, seen) by levels: front (root, node) is what a root first reaches at that depth, seen (root,
+    node, depth) all so far, the root itself at 0. A node is expanded once a root. With `enough`, a root
+    that has so many nodes below it is not expanded further."""
+    front = saved(roots.select("root", F.col("root").alias("node")).distinct(), "front")
+    seen = front.withColumn("depth", F.lit(0))
+    for depth in range(1, hops + 1):
+        if enough is not None:
+            full = seen.where("depth > 0").groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+            front = front.join(full, "root", "left_anti")
+        front = saved(adjacency.next(front).join(seen.select("root", "node"), ["root", "node"], "left_anti"), "front")
+        seen = seen.union(front.withColumn("depth", F.lit(depth)))
+        yield depth, front, seen
+
+
+def reach(edges: DataFrame, roots: DataFrame, hops: int, enough: int | None = None) -> DataFrame:
+    """(root, node, depth): nodes within 1..hops steps along src -> dst, each at its least depth. Nulls are no
+    nodes. With `enough`, levels after a root's first so many nodes are left out, its full levels are whole."""
+    seen = None
+    for _, _, seen in walk(Adjacency(edges.where("src is not null and dst is not null")), roots.where("root is not null"), hops, enough):
+        pass
+    return seen.where("depth > 0")
 
 
 def timeline(edges: DataFrame, roots: DataFrame, activities: DataFrame, hops: int = 2, start=None, end=None) -> DataFrame:
@@ -105,16 +161,17 @@ def episode_sizes(episodes: DataFrame, links: DataFrame) -> DataFrame:
 def spread_activation(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.5, top_k: int = 50, digits: int = 9) -> DataFrame:
     """(cue, entity, activation): an undirected spread that keeps the strongest way in.
 
-    edges: a < b with weight. A hop h adds score * w/(w+3) * decay**h from every node reached so far in
+    edges: a < b with weight, made and saved once for all hops. A hop h adds score * w/(w+3) * decay**h from every node reached so far in
     the hop before; activation is the greatest of all contributions. Each hop is one join on the
     frontier and one map-side combined max; scores are rounded so that ties order alike everywhere.
     """
-    ways = both_ways(edges)
+    ways = saved(both_ways(edges), "ways")
     score = seeds.groupBy("cue", "entity").agg(F.max("activation").alias("activation"))
     front = score
     for h in range(1, clamp(hops, 1, 2) + 1):
         gain = F.round(F.col("activation") * saturation(F.col("weight")) * decay**h, digits)
         reached = front.join(ways, front["entity"] == ways["src"]).select("cue", F.col("dst").alias("entity"), gain.alias("activation")).groupBy("cue", "entity").agg(F.max("activation").alias("activation"))
+        reached = saved(reached, "reached")
         score = score.union(reached).groupBy("cue", "entity").agg(F.max("activation").alias("activation"))
         front = score.join(reached.select("cue", "entity"), ["cue", "entity"], "left_semi")
     return top(score, ["cue"], [F.desc("activation"), "entity"], top_k)
@@ -142,20 +199,45 @@ def place_match(candidates: DataFrame, mentions: DataFrame, atoms: DataFrame) ->
 
 def impact(edges: DataFrame, roots: DataFrame, depth: int = 2, most: int = 50) -> DataFrame:
     """(root, node, kind, depth): what roots reach downstream within depth 1..4, and their direct dependents;
-    a node found both ways is downstream."""
-    down = reach(edges, roots, clamp(depth, 1, 4)).where("root <> node").withColumn("kind", F.lit("downstream"))
-    up = edges.join(roots.select(F.col("root").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("root"), F.col("src").alias("node"), F.lit(1).alias("depth"), F.lit("dependent").alias("kind")).distinct().where("root <> node")
-    first = down.unionByName(up).groupBy("root", "node").agg(F.max_by(F.struct("kind", "depth"), "kind").alias("x")).select("root", "node", "x.*")
-    return top(first, ["root"], ["depth", "kind", "node"], most)
+    a node found both ways is downstream. By depth, kind and node, at most `most` a root.
+
+    A root with `most` nodes on its first levels is not walked further: nothing deeper can enter the cut.
+    Only its dependents matter then, since one that is also reached later is downstream and not a
+    dependent; they are told by looking for any step into them."""
+    adjacency = Adjacency(edges.where("src is not null and dst is not null and src <> dst"))
+    roots = roots.select("root").where("root is not null").distinct()
+    up = adjacency.steps.select(F.col("dst").alias("root"), F.col("src").alias("node")).join(roots, "root", "left_semi")
+    pending, deep, seen = saved(up, "dependents"), clamp(depth, 1, 4), None
+    for d, front, seen in walk(adjacency, roots, deep, most):
+        pending = saved(pending.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "pending")
+        if d < deep:
+            full = seen.where("depth > 0").groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+            asked = pending.join(full, "root", "left_semi")
+            for later in range(d + 1, deep + 1):  # of roots that are not walked on
+                at = front if later == d + 1 else saved(adjacency.next(at.join(asked.select("root").distinct(), "root", "left_semi")), "at")
+                told = adjacency.meets(at.join(asked.select("root").distinct(), "root", "left_semi"), asked)
+                pending = saved(pending.join(told, ["root", "node"], "left_anti"), "pending")
+                asked = pending.join(full, "root", "left_semi")
+    down = seen.where("depth > 0").select("root", "node", "depth", F.lit("downstream").alias("kind"))
+    found = down.unionByName(pending.select("root", "node", F.lit(1).alias("depth"), F.lit("dependent").alias("kind")))
+    return top(found, ["root"], ["depth", "kind", "node"], most).select("root", "node", "kind", "depth")
 
 
 def network(edges: DataFrame, roots: DataFrame, depth: int = 1, most: int = 50) -> DataFrame:
-    """(root, node, depth) within depth 1..2 of undirected edges, the root first, at most `most` nodes."""
-    w = both_ways(edges)
-    near = reach(w, roots, clamp(depth, 1, 2)).where("root <> node")
+    """(root, node, depth) within depth 1..2 of undirected edges, the root first, at most `most` nodes. A root that
+    has enough neighbours is not walked further."""
+    near = reach(both_ways(edges), roots, clamp(depth, 1, 2), most - 1)
     return top(near.union(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()), ["root"], ["depth", "node"], most)
 
 
+def network_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(root, a, b, weight): edges a < b with both ends among a root's network (root, node). A network is cut to a
+    few nodes, so its pairs are few whatever the degrees: they are looked up, hubs are not expanded."""
+    n = saved(nodes.select("root", "node"), "network")
+    pairs = n.select("root", F.col("node").alias("a")).join(n.select("root", F.col("node").alias("b")), "root").where("a < b")
+    return pairs.join(edges.select("a", "b", "weight"), ["a", "b"]).select("root", "a", "b", "weight")
+
+
 def entity_detail(edges: DataFrame, mentions: DataFrame, atoms: DataFrame, wanted: DataFrame, n: int = 15) -> DataFrame:
     """A tagged union a wanted entity: its strongest associations and its newest mentioning atoms."""
     strong = top(both_ways(edges).join(wanted.select(F.col("entity").alias("src")), "src", "left_semi"), ["src"], [F.desc("weight"), "dst"], n, "rank").select(F.col("src").alias("entity"), F.lit("association").alias("what"), F.col("dst").cast("long").alias("other"), F.col("weight").cast("long").alias("value"), "rank")

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.functions.text import dot
 from mnemo.operators.frames import saved, top
 from mnemo.operators.search import nearest
+from mnemo.operators.vectors import VectorIndex, near_copies  # noqa: F401  near_copies is the pass over all atoms
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -142,11 +142,7 @@ def reinforced(pairs: DataFrame, atoms: DataFrame, days: int = 30) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, queries: DataFrame, least: float = 0.92) -> DataFrame:
     """(a, b, similarity): stated query vectors against all, each pair once from its larger id."""
-    q = queries.select(F.col("id").alias("a"), F.col("vector").alias("_q"))
-    n = q.count()
-    q = F.broadcast(q) if n <= 10_000 else q
-    x = vectors.join(q, F.col("id") < F.col("a")).select("a", F.col("id").alias("b"), F.round(dot(F.col("vector"), F.col("_q")), 5).alias("similarity"))
-    return x.where(F.col("similarity") >= least)
+    return VectorIndex.build(vectors).within(queries.withColumnRenamed("id", "query"), least, 5).select(F.col("query").alias("a"), F.col("id").alias("b"), "similarity")
 
 
 def summaries_due(mentions: DataFrame, atoms: DataFrame, least_atoms: int = 5) -> DataFrame:
@@ -183,7 +179,8 @@ def themes(edges: DataFrame, rounds: int = 3, least_weight: int = 2) -> DataFram
 
 
 def resolver_candidates(names: DataFrame, entities: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """(mention, entity) from aliases and, given mention and entity vectors, from similarity."""
+    """(mention, entity) from aliases and, given mention and entity vectors, from similarity. resolve.candidates
+    merges all four indexes."""
     al = entities.select("entity", F.explode("aliases").alias("alias"))
     out = names.join(al, F.lower("name") == F.lower("alias")).select("mention", "entity")
     return out if vectors is None else out.union(nearest(vectors, names.select(F.col("mention").alias("query"), "vector"), 10, 0.4).select("query", "id")).distinct()

@@ -7,17 +7,34 @@ from pyspark.sql import functions as F
 
 from mnemo.functions.text import health_label, health_score
 from mnemo.operators import graph
-from mnemo.operators.frames import top
+from mnemo.operators.frames import saved, top
 
 cross_project_impact = graph.impact
 
 
 def dependency_graph(uses: DataFrame) -> DataFrame:
-    """(dep, users, projects, versions, mismatch): who uses a package in which version."""
+    """(dep, users, projects, versions, mismatch): who uses a package in which version, as one text a package. For
+    packages of very many users take dependency_counts and dependency_members."""
     one = F.concat_ws("@", "project", "version")
     return uses.groupBy("dep").agg(F.count_distinct("project").alias("users"), F.array_join(F.array_sort(F.collect_set(one)), ",").alias("projects"), F.count_distinct(F.nullif("version", F.lit(""))).alias("versions")).withColumn("mismatch", F.col("versions") > 1)
 
 
+def dependency_counts(uses: DataFrame) -> DataFrame:
+    """(dep, users, versions, mismatch) of each package: counts only, combined before the shuffle."""
+    by = uses.groupBy("dep", "project", "version").agg(F.lit(1).alias("one"))
+    users = by.groupBy("dep", "project").agg(F.lit(1).alias("one")).groupBy("dep").agg(F.count("*").alias("users"))
+    versions = by.where("version <> ''").groupBy("dep", "version").agg(F.lit(1).alias("one")).groupBy("dep").agg(F.count("*").alias("versions"))
+    return users.join(versions, "dep", "left").select("dep", "users", F.coalesce("versions", F.lit(0)).alias("versions"), (F.coalesce("versions", F.lit(0)) > 1).alias("mismatch"))
+
+
+def dependency_members(uses: DataFrame) -> DataFrame:
+    """(dep, project, version, newest, outdated): a row a user and version, with the package's greatest version. One
+    row a use, however hot the package."""
+    newest = uses.groupBy("dep").agg(F.max("version").alias("newest"))
+    rows = uses.select("dep", "project", "version").distinct()
+    return rows.join(newest, "dep").withColumn("outdated", F.col("version") < F.col("newest"))
+
+
 def health(projects: DataFrame, commits: DataFrame, uses: DataFrame, sessions: DataFrame, branches: DataFrame, as_of: Column) -> DataFrame:
     """One row a project: inputs, score and label. A dependency is stale in a project where another
     project uses a greater version. Four pre-aggregated joins, no fan-out."""
@@ -73,6 +90,22 @@ def shared_packages(uses: DataFrame, notable: DataFrame | None = None, block: in
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("users").alias("users")).withColumn("confidence", F.when(F.col("users") >= 3, "high").otherwise("medium"))
 
 
+def package_groups(uses: DataFrame, notable: DataFrame | None = None, block: int = 1000) -> dict[str, DataFrame]:
+    """The relations of shared_packages without its square: `pairs` (a, b, shared, users, confidence) of projects
+    that share packages of at most `block` users, exact, and `members` (dep, head, project, users, confidence) of larger
+    packages, each user with the least as head. Two projects are related if they are a pair or members of one
+    package. Output is linear in members for hot packages and at most block times the uses for others."""
+    own = uses.select("project", "dep").distinct()
+    own = own if notable is None else own.join(notable, "dep", "left_semi")
+    size = saved(own.groupBy("dep").agg(F.count("*").alias("users"), F.min("project").alias("head")).where("users >= 2"), "packages")
+    sure = F.when(F.col("users") >= 3, "high").otherwise("medium").alias("confidence")
+    small = own.join(size.where(F.col("users") <= block), "dep")
+    a, b = small.select("dep", "users", F.col("project").alias("a")), small.select("dep", F.col("project").alias("b"))
+    pairs = a.join(b, "dep").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("users").alias("users"))
+    members = own.join(size.where(F.col("users") > block), "dep").select("dep", "head", "project", "users", sure)
+    return {"pairs": pairs.select("a", "b", "shared", "users", sure), "members": members}
+
+
 def same_org(projects: DataFrame) -> DataFrame:
     """Pairs a < b whose remote URL has the same owner: each project with the least of its owner's, so an
     owner with many projects makes a star, not all pairs."""
@@ -81,11 +114,29 @@ def same_org(projects: DataFrame) -> DataFrame:
     return o.join(head, "org").where("a <> project").select("a", F.col("project").alias("b"), "org")
 
 
+def ancestors(path: Column) -> Column:
+    """A path and every folder above it, as text: /a/b gives /a/b and /a. A trailing slash does not count."""
+    clean = F.regexp_replace(path, "/+$", "")
+    parts = F.split(clean, "/")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.filter(F.coalesce(steps, F.array().cast("array<string>")), lambda p: p != "")
+
+
+def resolved_path(base: Column, path: Column) -> Column:
+    """A path, relative ones below base, without empty, `.` and `..` steps."""
+    parts = F.split(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat_ws("/", base, path)), "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", up(done)).otherwise(F.array_append(done, x))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
 def local_references(manifests: DataFrame, projects: DataFrame) -> DataFrame:
-    """(project, target): dependencies on a local path inside another project's folder."""
-    m = manifests.where(F.col("version").rlike(r"^(file:|link:|\.{0,2}/)")).select("project", F.regexp_replace("version", "^(file:|link:)", "").alias("_p"))
-    p = projects.select(F.col("project").alias("target"), F.col("path").alias("_t"))
-    return m.join(p, (F.col("_p") == F.col("_t")) | F.startswith(F.col("_p"), F.concat("_t", F.lit("/")))).where("project <> target").select("project", "target").distinct()
+    """(project, target): dependencies on a local path inside another project's folder; relative paths start at
+    the project's own. Each path meets the projects at itself and its ancestors by equality."""
+    p = projects.select(F.col("project").alias("target"), F.regexp_replace("path", "/+$", "").alias("_p"))
+    m = manifests.where(F.col("version").rlike(r"^(file:|link:|\.{0,2}/)")).join(p.select(F.col("target").alias("project"), F.col("_p").alias("_base")), "project", "left")
+    m = m.select("project", F.explode(ancestors(resolved_path(F.col("_base"), F.regexp_replace("version", "^(file:|link:)", "")))).alias("_p"))
+    return m.join(p, "_p").where("project <> target").select("project", "target").distinct()
 
 
 def relations(*kinds: DataFrame) -> DataFrame:
@@ -98,9 +149,19 @@ def relations(*kinds: DataFrame) -> DataFrame:
 
 
 def match_project(sessions: DataFrame, projects: DataFrame) -> DataFrame:
-    """(session, project): the longest project path that starts or is started by the session's folder."""
-    hit = sessions.join(projects.select("project", F.col("path").alias("_p")), F.startswith(F.col("dir"), F.col("_p")) | F.startswith(F.col("_p"), F.col("dir")))
-    return hit.groupBy("session").agg(F.max_by("project", F.struct(F.length("_p"), "project")).alias("project"))
+    """(session, project): the project with the longest path that holds or is held by the session's folder, of
+    equal ones the greatest. Folders hold each other by whole names (/w/1 does not hold /w/10).
+
+    A path meets the folders above it by equality, both ways round. Distinct folders are compared, and of the
+    projects inside a folder only the longest path goes on, before sessions are joined."""
+    folder = F.regexp_replace("dir", "/+$", "")
+    dirs = sessions.select(folder.alias("dir")).where("dir <> ''").distinct()
+    p = projects.select("project", F.regexp_replace("path", "/+$", "").alias("path")).where("path <> ''")
+    best = F.max(F.struct(F.length("path").alias("n"), "project")).alias("best")
+    above = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("path")).join(p, "path").groupBy("dir").agg(best)
+    inside = p.select("project", "path", F.explode(ancestors(F.col("path"))).alias("dir")).groupBy("dir").agg(best).join(dirs, "dir", "left_semi")
+    one = above.unionByName(inside).groupBy("dir").agg(F.max("best").alias("best"))
+    return sessions.select("session", folder.alias("dir")).join(one, "dir").select("session", "best.project")
 
 
 def report(projects: DataFrame, uses: DataFrame, edges: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.functions.text import fact_sentence, recall_recency, salience_weight, snippet, tier_weight
+from mnemo.functions.text import access_saturation, fact_sentence, recall_recency, salience_weight, snippet, tier_weight
 from mnemo.operators import graph, search
-from mnemo.operators.frames import between, clamp, only, top, within_budget
+from mnemo.operators.frames import between, clamp, only, saved, top, within_budget
 
 
 def tier(created: Column, accesses: Column, as_of: Column) -> Column:
@@ -20,17 +20,19 @@ def working_memory(atoms: DataFrame, scope: list, order: str = "last_accessed",
     return top(atoms, scope, [F.desc_nulls_last(order) if newest else F.asc_nulls_last(order), "atom"], clamp(limit, 1, 50))
 
 
-def associate(cues: DataFrame, entities: DataFrame, edges: DataFrame, mentions: DataFrame, atoms: DataFrame, as_of: Column, limit: int = 30, n_seeds: int = 5, n_spread: int = 30, seeds: DataFrame | None = None) -> DataFrame:
+def associate(cues: DataFrame, entities: DataFrame, edges: DataFrame, mentions: DataFrame, atoms: DataFrame, as_of: Column, limit: int = 30, n_seeds: int = 5, n_spread: int = 30, seeds: DataFrame | None = None, index: search.Index | None = None, vectors: DataFrame | None = None, saturate: bool = False) -> DataFrame:
     """(cue, atom, score, matches): cue -> seeds -> two-hop spread -> atoms that mention what is active.
 
     score = sum(prominence * activation) * recency * salience * tier; atoms carry created_at, salience,
-    tier. All cues run in one plan.
+    tier. All cues run in one plan. A text index of entity names and vectors (cue, entity, similarity) add
+    to the seeds; with saturate the score is damped by access_count, so that atoms that are read often do not
+    stay in front for that alone.
     """
-    s = seeds if seeds is not None else search.seeds(entities, cues, n_seeds)
+    s = seeds if seeds is not None else search.seeds(entities, cues, n_seeds, index, vectors)
     active = graph.spread_activation(edges, s.withColumnRenamed("confidence", "activation"), 2, 0.5, n_spread)
     part = F.round(F.coalesce(F.col("prominence").cast("double"), F.lit(0.5)) * F.col("activation"), 9).cast("decimal(20,9)")
     raw = mentions.join(active, "entity").groupBy("cue", "atom").agg(F.sum(part).cast("double").alias("raw"), F.count_distinct("entity").alias("matches"))
-    scored = raw.join(atoms, "atom").withColumn("score", F.round(F.col("raw") * recall_recency(as_of, F.col("created_at")) * salience_weight(F.col("salience")) * tier_weight(F.col("tier")), 6))
+    scored = raw.join(atoms, "atom").withColumn("score", F.round(F.col("raw") * recall_recency(as_of, F.col("created_at")) * salience_weight(F.col("salience")) * tier_weight(F.col("tier")) * (access_saturation(F.coalesce("access_count", F.lit(0))) if saturate else F.lit(1.0)), 6))
     return top(scored, ["cue"], [F.desc("score"), "atom"], clamp(limit, 1, 30)).select("cue", "atom", "score", "matches")
 
 
@@ -86,7 +88,7 @@ def context_packet(queries: DataFrame, index: search.Index, touches: DataFrame,
 
     touches: (activity, label, node) with nodes named as the index names ids; activities: (activity, ts, snippet).
     """
-    anchors = index.search(queries, n_anchors, least, n_anchors).cache()
+    anchors = saved(index.search(queries, n_anchors, least, n_anchors), "anchors")
     roots = anchors.select(F.col("id").alias("node"), "label").distinct()
     rel = graph.related(touches, roots)
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("paths")).alias("p"), "other"))), lambda x: x["other"].cast("string"))
@@ -117,17 +119,30 @@ def log_of_kinds(activities: DataFrame, kinds: list, start, end, by: list, limit
     return within_budget(between(activities, "ts", start, end).where(F.col("kind").isin(kinds)), by, [F.desc("ts"), "source_id"], "snippet", budget, limit)
 
 
+def change_summary(activities: DataFrame, repo: str, start, end, kinds: list, impacts: DataFrame | None = None, snippet_chars: int = 300, limit: int = 20, budget: int = 8000, processes: int = 5) -> DataFrame:
+    """The newest changes of each repository with snippets cut to some characters, within a budget a repository; with
+    impacts (change, process, hits) also the processes that a change reaches most, as rows: (repo, source_id,
+    ts, snippet, process, hits), null where none is known. Hits of a change and process are added up."""
+    x = activities.withColumn("snippet", snippet(F.col("snippet"), snippet_chars)).withColumnRenamed(repo, "repo")
+    new = log_of_kinds(x, kinds, start, end, ["repo"], limit, budget).select("repo", "source_id", "ts", "snippet")
+    if impacts is None:
+        return new.withColumn("process", F.lit(None).cast("string")).withColumn("hits", F.lit(None).cast("long"))
+    sums = impacts.join(new.select(F.col("source_id").alias("change")), "change", "left_semi").groupBy("change", "process").agg(F.sum("hits").alias("hits"))
+    best = top(sums, ["change"], [F.desc("hits"), "process"], processes)
+    return new.join(best, F.col("source_id") == F.col("change"), "left").drop("change")
+
+
 def hits_by(impacts: DataFrame, name: str, n: int = 15) -> DataFrame:
     return impacts.groupBy(name).agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), name).limit(n)
 
 
 def across_instances(run, tables: dict, **args) -> DataFrame:
-    """The same query on each instance's tables, unioned with a column instance; a failing one is left out."""
+    """The same query on each instance's tables, unioned with a column instance; a failing one is left out. Each is
+    run and saved by itself, so that errors of its tasks are isolated too, not only those of its plan."""
     out = None
     for name, t in tables.items():
         try:
-            one = run(t, **args).withColumn("instance", F.lit(name))
-            one.schema
+            one = saved(run(t, **args), "instance").withColumn("instance", F.lit(name))
         except Exception:  # noqa: BLE001  partial results are the contract of a fan-out
             continue
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
@@ -156,12 +171,12 @@ def answer(requests: DataFrame, by_type: dict) -> DataFrame:
 
 
 def collected(sources: dict) -> tuple[DataFrame | None, dict[str, str]]:
-    """The union of what several readers give, and the errors of those that failed."""
+    """The union of what several readers give, and the errors of those that failed, in their plan or when they ran:
+    what each gives is saved before it is united."""
     out, errors = None, {}
     for name, read in sources.items():
         try:
-            one = read()
-            one.schema
+            one = saved(read(), "source")
         except Exception as e:  # noqa: BLE001  one failing source must not stop the others
             errors[name] = str(e)[:300]
             continue

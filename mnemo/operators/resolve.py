@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
 from mnemo.operators.frames import top
+from mnemo.operators.search import Index
+from mnemo.operators.vectors import VectorIndex
 from mnemo.plans.spec import GENERAL, GraphSpec
 
 
@@ -23,6 +25,35 @@ def link_persons(persons: DataFrame, manual: DataFrame | None = None) -> DataFra
     return out.distinct()
 
 
+def candidates(names: DataFrame, entities: DataFrame, index: Index | None = None, vectors: VectorIndex | None = None, mention_vectors: DataFrame | None = None, n: int = 10) -> DataFrame:
+    """(mention, entity, weight): up to n entities that each name (mention, name, type) may mean, from four indexes.
+
+    entities: (entity, name[, aliases, last_seen]). Equal names, whatever their case and type, weigh 1, aliases
+    .9, text matches up to .8 in proportion to the name's best score, vectors from .4 their similarity; the
+    greatest weight of an entity counts. Names are looked up once each, however many mentions they have,
+    and entities of one name are cut to the n last seen before they meet mentions, so a name that a third of
+    all entities bear gives each mention n rows. A missing name or vector finds nothing."""
+    low = F.lower("name").alias("text")
+    texts = names.where("name is not null").select(low).distinct()
+    seen = F.col("last_seen") if "last_seen" in entities.columns else F.lit(0)
+    order = [F.desc_nulls_last("seen"), "entity"]
+    same = top(entities.select(low, "entity", seen.alias("seen")), ["text"], order, n)
+    found = same.join(texts, "text", "left_semi").select("text", "entity", F.lit(1.0).alias("weight"))
+    if "aliases" in entities.columns:
+        other = top(entities.select(F.explode("aliases").alias("name"), "entity", seen.alias("seen")).select(low, "entity", "seen").distinct(), ["text"], order, n)
+        found = found.union(other.join(texts, "text", "left_semi").select("text", "entity", F.lit(0.9)))
+    if index is not None:
+        hit = index.search(texts.select(F.col("text").alias("query"), "text"), n)
+        best = hit.groupBy("query").agg(F.max("score").alias("best"))
+        found = found.union(hit.join(best, "query").select("query", F.col("id").alias("entity"), F.round(0.8 * F.col("score") / F.col("best"), 6)))
+    few = top(found.groupBy("text", "entity").agg(F.max("weight").alias("weight")), ["text"], [F.desc("weight"), "entity"], n)
+    out = names.where("name is not null").select("mention", low).join(few, "text").select("mention", "entity", "weight")
+    if vectors is not None:
+        near = vectors.search(mention_vectors.select(F.col("mention").alias("query"), "vector"), n, 0.4, same="keep")
+        out = out.union(near.select("query", "id", "similarity"))
+    return top(out.groupBy("mention", "entity").agg(F.max("weight").alias("weight")), ["mention"], [F.desc("weight"), "entity"], n)
+
+
 def fit(pairs: DataFrame, spec: GraphSpec, as_of: Column) -> DataFrame:
     """pairs: mention, name, type, entity, entity_name, entity_type, last_seen, overlap, place."""
     parts = {

@@ -4,45 +4,154 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.functions.text import cosine, dot, terms
-from mnemo.operators.frames import top
+from mnemo.functions.text import terms
+from mnemo.operators.frames import latest, saved, scratch, top
+from mnemo.operators.store import Store, _ddl
+from mnemo.operators.vectors import BLOCK, VectorIndex
 
 K1, B = 1.2, 0.75
 
 
+#: Buckets of terms, and documents of a block, on the average.
+BUCKETS, BLOCK_DOCS = 32, 1024
+#: Blocks that a query scores first, to learn what its k-th best is at least.
+FIRST = 2
+
+
 class Index:
-    """(label, id, term, tf), document lengths and collection statistics; append-only by document."""
+    """A saved text index in segments: an update adds one of new and changed documents and rewrites nothing.
+
+    postings: (label, segment, block, term, docs, most_tf, least_n, hits array of (id, tf, n)), a row a term and
+    block of documents, in folders by bucket of terms; documents: (label, id, segment, hash, n); sizes: (label,
+    docs, total) of each segment, with what it replaces counted back. most_tf and least_n bound any score in
+    the block whatever the collection's averages become. A search reads the buckets of its terms, first
+    without the hits, and then the hits of blocks that may still reach a query's k-th best."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame):
-        self.postings, self.lengths = postings, lengths
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = Store(spark, path)
+        self.spark, self.pinned = spark, self.store.manifest()
 
     @staticmethod
-    def build(texts: DataFrame) -> Index:
-        """texts: (label, id, text), several rows a document allowed (one a column)."""
-        t = texts.select("label", "id", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term"))
-        postings = t.groupBy("label", "id", "term").agg(F.count("*").alias("tf"))
-        return Index(postings, texts.select("label", "id", F.size(terms(F.coalesce("text", F.lit("")))).alias("n")).groupBy("label", "id").agg(F.sum("n").alias("n")))
+    def build(texts: DataFrame, path: str | None = None) -> Index:
+        """texts: (label, id, text), several rows a document allowed (one a column). Null texts are empty. The
+        first build decides the type of ids. Without a path the index is a scratch table."""
+        index = Index(texts.sparkSession, path or scratch(texts.sparkSession, "index"))
+        index.update(texts)
+        return index
+
+    def update(self, texts: DataFrame) -> int | None:
+        """Adds documents that are new or whose text changed; others are neither tokenised nor written. Returns
+        the number of the segment, None if nothing changed."""
+        manifest = self.store.manifest()
+        whole = texts.select("label", "id", F.coalesce("text", F.lit("")).alias("text"))
+        if _repeated(whole):
+            whole = whole.groupBy("label", "id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+        new = whole.withColumn("hash", F.xxhash64("text"))
+        segment, old = 1 + len(manifest["tables"].get("sizes", {"parts": {}})["parts"].get("0", [])), None
+        if "documents" in manifest["tables"]:
+            old = self._live(manifest)
+            new = new.join(old.select("label", "id", "hash"), ["label", "id", "hash"], "left_anti")
+        n = new.count()
+        if not n and manifest["tables"]:
+            return None
+        blocks = max(1, -(-n // BLOCK_DOCS))
+        block = F.pmod(F.xxhash64("label", F.col("id").cast("string")), F.lit(blocks)).cast("int")
+        doc = ["label", "block", "id"]
+        tok = new.select("label", block.alias("block"), "id", "hash", terms(F.col("text")).alias("t")).withColumn("n", F.size("t").cast("long"))
+        tok = tok if blocks == 1 else tok.repartition("label", "block")  # all that follows is grouped inside these
+        tf = tok.select(*doc, "n", F.explode("t").alias("term")).groupBy(*doc, "n", "term").agg(F.count("*").alias("tf"))
+        hits = F.sort_array(F.collect_list(F.struct("id", "tf", "n")))
+        post = tf.groupBy("label", "block", "term").agg(F.count("*").alias("docs"), F.max("tf").alias("most_tf"), F.min("n").alias("least_n"), hits.alias("hits"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("_bucket")
+        post = post.select("label", F.lit(segment).alias("segment"), "block", "term", "docs", "most_tf", "least_n", "hits", bucket).repartition("_bucket").sortWithinPartitions("_bucket", "label", "term", "block")
+        docs = tok.select("label", "id", F.lit(segment).alias("segment"), "hash", "n")
+        staged = {"postings": (post.drop("_bucket"), self.store.stage(post, bucketed=True)), "documents": (docs, self.store.stage(docs))}
+        written = self.spark.read.schema(docs.schema).parquet(f"{self.store.path}/{staged['documents'][1]['0'][0]}")
+        sizes = written.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+        replaced = False
+        if old is not None:
+            gone = old.join(written.select("label", "id"), ["label", "id"], "left_semi")
+            replaced = bool(gone.limit(1).count())
+            sizes = sizes.union(gone.groupBy("label").agg((-F.count("*")).alias("docs"), (-F.sum("n")).alias("total")))
+        staged["sizes"] = (sizes, self.store.stage(sizes))
+        for name, (df, parts) in staged.items():
+            known = manifest["tables"].setdefault(name, {"schema": _ddl(df), "parts": {}})
+            for b, folders in parts.items():
+                known["parts"][b] = known["parts"].get(b, []) + folders
+        counts = manifest.setdefault("blocks", [])
+        counts.append(blocks)
+        manifest["replaced"] = manifest.get("replaced", False) or replaced
+        self.store.publish(manifest)
+        self.pinned = self.store.manifest()
+        return segment
+
+    def _live(self, manifest: dict) -> DataFrame:
+        """The newest row of each document."""
+        docs = self.store.read("documents", manifest)
+        return latest(docs, ["label", "id"], ["segment"]) if len(manifest["blocks"]) > 1 else docs
 
     def search(self, queries: DataFrame, k: int = 10, least: float = 0.0, overall: int | None = None, digits: int = 6) -> DataFrame:
         """queries (query, text) to (query, label, id, score): BM25 with the top k of each label over `least`,
-        then the top `overall` of each query. Only postings of query terms leave the index."""
+        then the top `overall` of each query. Equal scores are ordered by id."""
+        m = self.pinned
+        if "postings" not in m["tables"]:
+            raise ValueError("the index is empty: build it first")
         q = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-        hit = self.postings.join(q.select("term").distinct(), "term", "left_semi")
-        stats = self.lengths.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-        df = hit.groupBy("label", "term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        norm = F.col("tf") + K1 * (1 - B + B * F.col("n") * F.col("docs") / F.col("total"))
-        part = F.round(idf * F.col("tf") * (K1 + 1) / norm, 9).cast("decimal(20,9)")
-        parts = hit.join(self.lengths, ["label", "id"]).join(F.broadcast(stats), "label").join(df, ["label", "term"]).select("term", "label", "id", part.alias("part"))
-        score = F.round(F.sum("part").cast("double"), digits)
-        found = q.join(parts, "term").groupBy("query", "label", "id").agg(score.alias("score")).where(F.col("score") > least)
-        order = [F.desc("score"), "id"]
-        ranked = top(found, ["query", "label"], order, k)
+        wanted = q.select("term").distinct()
+        buckets = [r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+        post = self.store.read("postings", m, buckets)
+        sizes = self.store.read("sizes", m).groupBy("label").agg(F.sum("docs").alias("all_docs"), F.sum("total").alias("total"))
+        dead = self._dead(m) if m["replaced"] else None
+        heads = post.drop("hits").join(wanted, "term", "left_semi")
+        df = heads.groupBy("label", "term").agg(F.sum("docs").alias("df"))
+        if dead is not None:  # replaced documents still stand in old blocks
+            lost = self._hits(post.join(wanted, "term", "left_semi")).join(dead, ["label", "id", "segment"], "left_semi").groupBy("label", "term").agg((-F.count("*")).alias("df"))
+            df = df.union(lost).groupBy("label", "term").agg(F.sum("df").alias("df"))
+        idf = F.log(1 + (F.col("all_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = df.where("df > 0").join(sizes, "label").select("label", "term", idf.alias("idf"), "all_docs", "total")
+        gain = lambda tf, n: F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n * F.col("all_docs") / F.col("total")))
+        part = F.round(gain(F.col("tf"), F.col("n")), 9).cast("decimal(20,9)")
+        order, place = [F.desc("score"), "id"], ["label", "segment", "block"]
+
+        def scored(pairs: DataFrame | None) -> DataFrame:
+            """Scores of all documents, or of those in (query, label, segment, block); each hit is weighed once."""
+            some = post.join(wanted, "term", "left_semi") if pairs is None else post.join(pairs.join(q, "query").select(*place, "term").distinct(), [*place, "term"], "left_semi")
+            hits = self._hits(some)
+            hits = hits if dead is None else hits.join(dead, ["label", "id", "segment"], "left_anti")
+            parts = hits.join(weight, ["label", "term"]).select(*place, "term", "id", part.alias("part"))
+            asked = q.join(parts, "term") if pairs is None else pairs.join(q, "query").join(parts, [*place, "term"])
+            found = asked.groupBy("query", "label", "id").agg(F.round(F.sum("part").cast("double"), digits).alias("score"))
+            return top(found.where(F.col("score") > least), ["query", "label"], order, k)
+
+        if sum(m["blocks"]) <= FIRST:
+            ranked = scored(None)
+        else:
+            best = heads.join(weight, ["label", "term"]).select(*place, "term", (gain(F.col("most_tf"), F.col("least_n")) + 2e-9).alias("best"))
+            bound = saved(q.join(best, "term").groupBy("query", *place).agg(F.sum("best").alias("best")), "bounds")
+            first = saved(top(bound, ["query", "label"], [F.desc("best"), "segment", "block"], FIRST), "first")
+            early = saved(scored(first.select("query", *place)), "early")
+            kth = early.groupBy("query", "label").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+            rest = bound.join(first.select("query", *place), ["query", *place], "left_anti").join(kth, ["query", "label"], "left")
+            rest = rest.where(F.coalesce("kth", F.lit(float(least))) <= F.col("best") + 10.0**-digits).select("query", *place)
+            ranked = top(early.union(scored(saved(rest, "rest"))), ["query", "label"], order, k)
         return ranked if overall is None else top(ranked, ["query"], [F.desc("score"), "label", "id"], overall)
 
+    @staticmethod
+    def _hits(post: DataFrame) -> DataFrame:
+        return post.select("label", "segment", "block", "term", F.explode("hits").alias("h")).select("label", "segment", "block", "term", "h.*")
+
+    def _dead(self, m: dict) -> DataFrame:
+        docs = self.store.read("documents", m)
+        last = docs.groupBy("label", "id").agg(F.max("segment").alias("last"), F.count("*").alias("c")).where("c > 1").drop("c")
+        return docs.join(last, ["label", "id"]).where("segment < last").select("label", "id", "segment")
+
+
+def _repeated(texts: DataFrame) -> bool:
+    return bool(texts.groupBy("label", "id").count().where("count > 1").limit(1).count())
+
 
 def by_exact_name(entities: DataFrame, cues: DataFrame) -> DataFrame:
     """(cue, entity): equal names, the least id where several match."""
@@ -53,12 +162,48 @@ def by_name_ci(entities: DataFrame, cues: DataFrame) -> DataFrame:
     return cues.select("cue", F.lower("text").alias("_n")).join(entities, F.lower("name") == F.col("_n")).select("cue", "entity")
 
 
-def by_partial_name(entities: DataFrame, cues: DataFrame, least: int = 2) -> DataFrame:
-    """Names that contain the cue. Distinct lower-case names are compared, not entities."""
-    c = cues.where(F.length("text") >= least).select("cue", F.lower("text").alias("_c"))
-    names = entities.select(F.lower("name").alias("_n")).distinct()
-    hit = names.join(c, F.contains(F.col("_n"), F.col("_c"))).select("cue", "_n")
-    return hit.join(entities.select("entity", F.lower("name").alias("_n")), "_n").select("cue", "entity")
+#: Longest grams of names.
+GRAM = 3
+
+
+def _grams(c: Column, q: int) -> Column:
+    """All runs of q characters."""
+    return F.when(F.length(c) >= q, F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(c, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+
+
+class NameGrams:
+    """Postings of the runs of up to GRAM characters of the distinct lower-case names, saved once for many lookups.
+
+    postings: (gram, name); counts: (gram, names)."""
+
+    def __init__(self, entities: DataFrame, least: int = 2):
+        self.least = least
+        names = entities.where("name is not null").select(F.lower("name").alias("name")).distinct()
+        runs = F.array_distinct(F.flatten(F.array(*[_grams(F.col("name"), q) for q in range(min(least, GRAM), GRAM + 1)])))
+        self.postings = saved(names.select(F.explode(runs).alias("gram"), "name"), "grams")
+        self.counts = self.postings.groupBy("gram").agg(F.count("*").alias("names"))
+
+    def containing(self, parts: DataFrame) -> DataFrame:
+        """(part, name): lower-case names that contain each part (a column part, lower-case and distinct).
+
+        A part is looked up by its rarest gram only, and what that finds is compared; a gram that no name has
+        ends the lookup. Parts shorter than `least` find nothing."""
+        parts = parts.where(F.length("part") >= self.least)
+        grams = _grams(F.col("part"), GRAM)
+        for q in range(GRAM - 1, 0, -1):
+            grams = F.when(F.length("part") == q, F.array("part")).otherwise(grams)
+        asked = parts.select("part", F.explode(F.array_distinct(grams)).alias("gram")).join(self.counts, "gram", "left")
+        rarest = asked.groupBy("part").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("g")).where("g.names > 0").select("part", "g.gram")
+        return rarest.join(self.postings, "gram").where(F.contains("name", "part")).select("part", "name")
+
+
+def by_partial_name(entities: DataFrame, cues: DataFrame, least: int = 2, grams: NameGrams | None = None) -> DataFrame:
+    """(cue, entity): entities whose name contains the cue, whatever its case. Distinct texts meet distinct names
+    by their rarest gram; several texts a cue give an entity once each."""
+    grams = grams or NameGrams(entities, least)
+    texts = cues.where(F.length("text") >= least).select("cue", F.lower("text").alias("part"))
+    hit = grams.containing(texts.select("part").distinct())
+    return texts.join(hit, "part").join(entities.select("entity", F.lower("name").alias("name")), "name").select("cue", "entity")
 
 
 def seeds(entities: DataFrame, cues: DataFrame, n: int = 5, index: Index | None = None, vectors: DataFrame | None = None) -> DataFrame:
@@ -69,7 +214,8 @@ def seeds(entities: DataFrame, cues: DataFrame, n: int = 5, index: Index | None
     """
     words = cues.select("cue", F.explode(F.array_distinct(F.filter(terms(F.col("text")), lambda t: F.length(t) >= 3))).alias("text"))
     found = by_exact_name(entities, cues).withColumn("confidence", F.lit(1.0))
-    for df, p in ((by_name_ci(entities, cues), 1.0), (by_name_ci(entities, words), 0.85), (by_partial_name(entities, cues), 0.7), (by_partial_name(entities, words), 0.6)):
+    grams = NameGrams(entities)
+    for df, p in ((by_name_ci(entities, cues), 1.0), (by_name_ci(entities, words), 0.85), (by_partial_name(entities, cues, grams=grams), 0.7), (by_partial_name(entities, words, grams=grams), 0.6)):
         found = found.unionByName(df.withColumn("confidence", F.lit(p)))
     if index is not None:
         found = found.unionByName(index.search(cues.withColumnRenamed("cue", "query"), n).select(F.col("query").alias("cue"), F.col("id").alias("entity"), F.lit(1.0).alias("confidence")))
@@ -78,22 +224,10 @@ def seeds(entities: DataFrame, cues: DataFrame, n: int = 5, index: Index | None
     return top(found.groupBy("cue", "entity").agg(F.max("confidence").alias("confidence")), ["cue"], [F.desc("confidence"), "entity"], n)
 
 
-def nearest(items: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0, unit: bool = True, digits: int = 6, bound: int = 10_000) -> DataFrame:
-    """(query, id, similarity): the k most similar items (id, vector) of each query (query, vector).
-
-    Every query meets every item, in one pass over the items: the query set is stated by the caller and
-    broadcast while its count is under `bound`, else dealt in blocks of that size, one pass each.
-    """
-    sim = F.round((dot if unit else cosine)(F.col("vector"), F.col("_q")), digits)
-    n = queries.count()
-    q = queries.select("query", F.col("vector").alias("_q"))
-    blocks = [q] if n <= bound else [q.where(F.pmod(F.xxhash64("query"), F.lit(-(-n // bound))) == i) for i in range(-(-n // bound))]
-    out = None
-    for b in blocks:
-        one = items.join(F.broadcast(b), F.col("id") != F.col("query")).select("query", "id", sim.alias("similarity")).where(F.col("similarity") >= least)
-        one = top(one, ["query"], [F.desc("similarity"), "id"], k)
-        out = one if out is None else out.union(one)
-    return out
+def nearest(items: DataFrame, queries: DataFrame, k: int = 10, least: float = -1e300, unit: bool = True, digits: int = 6, bound: int = BLOCK) -> DataFrame:
+    """(query, id, similarity): the k most similar items (id, vector) of each query (query, vector), by inverted
+    lists that are built here; searches that share items should build a VectorIndex once. bound: rows of a block."""
+    return VectorIndex.build(items, unit, block=bound).search(queries, k, least, digits)
 
 
 def embed_missing(texts: DataFrame, cache: DataFrame, model: Callable) -> DataFrame:

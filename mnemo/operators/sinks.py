@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions.text import content_id
 from mnemo.operators.frames import upsert_edges, upsert_nodes
+from mnemo.operators.store import Store
 
 
 def write_atoms(new: DataFrame, as_of: Column) -> dict[str, DataFrame]:
@@ -21,6 +24,12 @@ def write_atoms(new: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     }
 
 
+def publish_atoms(store: Store, new: DataFrame, as_of: Column, batch: str | None = None, stage: Callable | None = None) -> int | None:
+    """Atoms, episode links, supersedes and jobs of one write, visible together or not at all; a batch that is
+    already there changes nothing. The new rows are read once a table."""
+    return store.append(write_atoms(new, as_of), batch, stage)
+
+
 def mark_superseded(atoms: DataFrame, supersedes: DataFrame) -> DataFrame:
     """superseded_by from the latest edge of each prior atom."""
     last = supersedes.groupBy(F.col("prior").alias("_p")).agg(F.max_by("atom", F.struct("created_at", "atom")).alias("_by"))

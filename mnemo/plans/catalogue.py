@@ -536,6 +536,22 @@ def _(t):
     return maintain.near_duplicates(v, v.where("id % 50 = 0"), 0.4)
 
 
+@query(
+    "reinforced_by_vectors",
+    """WITH x AS (SELECT vec_id AS id, embedding AS v, o_orderdate AS ts FROM embeddings JOIN orders ON o_orderkey = vec_id), c AS (SELECT v, min(id) AS k FROM x GROUP BY v),
+    a AS (SELECT id, k, {'ts': ts, 'id': id} AS pt, floor(epoch_us(ts) / 2592000000000)::BIGINT AS w FROM x JOIN c USING (v)), e AS (SELECT k, w, min(pt) AS f, max(pt) AS l FROM a GROUP BY ALL),
+    p AS (SELECT x.k, y.k AS o, round(list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS s FROM c x JOIN c y ON x.k <> y.k),
+    b AS (SELECT * FROM p WHERE s > 0.3 UNION ALL SELECT k, k, 1.0 FROM c),
+    g AS (SELECT least(i.f, j.f) AS a, greatest(i.f, j.f) AS b, s FROM b JOIN e i USING (k) JOIN e j ON j.k = o AND j.w = i.w WHERE b.k < o
+      UNION ALL SELECT i.l, j.f, s FROM b JOIN e i USING (k) JOIN e j ON j.k = o AND j.w = i.w + 1)
+    SELECT e.f.id AS older, id AS newer, 1.0::DOUBLE AS similarity FROM a JOIN e USING (k, w) WHERE id <> e.f.id
+    UNION ALL SELECT g.a.id, g.b.id, s FROM g WHERE epoch_us(g.b.ts) - epoch_us(g.a.ts) <= 2592000000000""",
+)
+def _(t):
+    v = t.raw("embeddings").join(t.raw("orders").select(F.col("o_orderkey").alias("vec_id"), F.col("o_orderdate").alias("ts")), "vec_id")
+    return maintain.near_copies(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "ts"), 0.3)
+
+
 # ---------------------------------------------------------------- views, writes, episodes, rates
 
 
@@ -705,6 +721,19 @@ def _(t):
     return graph.network(e, projects(t).withColumnRenamed("project", "root"), 1)
 
 
+@query(
+    "supplier_network_edges",
+    """WITH w AS (SELECT src, dst FROM depends_on UNION SELECT dst, src FROM depends_on), d AS (SELECT src AS root, dst AS node, 1 AS depth FROM w UNION ALL SELECT s_suppkey, s_suppkey, 0 FROM supplier),
+    k AS (SELECT root, node FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS r FROM d) WHERE r <= 50), e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS weight FROM depends_on GROUP BY ALL)
+    SELECT x.root, a, b, weight FROM k x JOIN k y ON x.root = y.root AND x.node < y.node JOIN e ON a = x.node AND b = y.node""",
+    "depends_on",
+)
+def _(t):
+    e = t.depends_on().groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("weight"))
+    e = frames.saved(e, "edges")
+    return graph.network_edges(e, graph.network(e, projects(t).withColumnRenamed("project", "root"), 1))
+
+
 @query("stale_projects_all", "SELECT s_suppkey AS project, coalesce(DATE '2001-01-01' - last::DATE, 30) AS inactive_days FROM supplier LEFT JOIN (SELECT project, max(date) AS last FROM commits GROUP BY 1) ON project = s_suppkey WHERE last IS NULL OR last < TIMESTAMP '2001-01-01' - INTERVAL 30 DAY", "commits")
 def _(t):
     return portfolio.stale(projects(t), t.commits(), at(AS_OF_ORDERS))

@@ -23,13 +23,20 @@ ENVELOPE = "id string, kind string, source string, target string, timestamp time
 
 
 def lines(spark: SparkSession, path: str, schema: str, since: Column | None = None, modified_after: str | None = None) -> DataFrame:
-    """JSON lines of a declared schema; lines that do not parse are dropped; files by time of change."""
+    """JSON lines of a declared schema; lines that do not parse are dropped here and told by `damaged`; files by
+    time of change."""
     r = spark.read.schema(schema).option("mode", "DROPMALFORMED")
     r = r.option("modifiedAfter", modified_after) if modified_after else r
     out = r.json(path)
     return out if since is None else out.where(since)
 
 
+def damaged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line): what `lines` drops, so that it can be counted and kept in a table beside the good rows."""
+    x = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return x.select("*", F.col("_metadata.file_name").alias("file")).where("_corrupt_record is not null").select("file", F.col("_corrupt_record").alias("line"))
+
+
 def chat(spark, path, oldest: str | None = None):
     return lines(spark, path, CHAT, None if oldest is None else F.col("ts").try_cast("double") > float(oldest))
 
@@ -104,14 +111,15 @@ def session_metrics(s: DataFrame) -> DataFrame:
     return s.select("session", F.substring(F.element_at("user_texts", 1), 1, 200).alias("summary"), F.size(paths).alias("files"), minutes.alias("minutes"), F.coalesce("slug", last_part(F.col("cwd"))).alias("project"))
 
 
-def commits(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
-    """Exported logs `sha|author|date|message` with an indented stat line after each commit: the newest
-    `most` of each file. A commit and its stats meet by the commit's sha carried on both lines' number."""
+def commits(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Exported logs `sha|author|date|message` with an indented stat line after each commit: all of them, or the
+    newest `most` of each file. A commit and its stats meet by the commit's sha carried on both lines' number."""
     raw = spark.read.text(path, lineSep="\n\n").select(F.col("_metadata.file_name").alias("repo"), F.trim("value").alias("v"))
     p = F.split(F.regexp_extract("v", r"^([^\n]*)", 1), r"\|", 4)
     stat = lambda pattern: F.coalesce(F.regexp_extract("v", pattern, 1).try_cast("int"), F.lit(0))
     x = raw.select("repo", F.get(p, 0).alias("sha"), F.get(p, 1).alias("author"), F.try_to_timestamp(F.get(p, 2)).alias("date"), F.get(p, 3).alias("message"), stat(r"(\d+) files? changed").alias("files_changed"), stat(r"(\d+) insertions?").alias("insertions"), stat(r"(\d+) deletions?").alias("deletions"))
-    return top(x.where((F.length("sha") >= 7) & F.col("date").isNotNull()), ["repo"], [F.desc("date"), "sha"], most)
+    found = x.where((F.length("sha") >= 7) & F.col("date").isNotNull())
+    return found if most is None else top(found, ["repo"], [F.desc("date"), "sha"], most)
 
 
 def branches(spark: SparkSession, path: str, default: str = "main") -> DataFrame:

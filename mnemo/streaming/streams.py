@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemo.operators.frames import upsert_nodes
+from mnemo.operators.store import Store
 from mnemo.sources.readers import ENVELOPE
 
 
@@ -35,6 +36,18 @@ def ingest(stream: DataFrame, table: str, keys: list[str], checkpoint: str, tran
     return q
 
 
+def ingest_touched(stream: DataFrame, store: Store, table: str, keys: list[str], checkpoint: str, transform: Callable = lambda d: d, buckets: int = 64):
+    """Runs to the end of what has landed, upserting each batch into a table of a store: only the buckets of keys
+    that a batch touches are read and rewritten. A batch that is tried again changes nothing."""
+
+    def upsert(batch: DataFrame, n: int) -> None:
+        store.upsert(table, transform(batch), keys, n, buckets)
+
+    q = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def event_log(spark: SparkSession, path: str) -> DataFrame:
     """The event log as a stream of envelopes; log files must be closed (rolled) when they land."""
     return landing(spark, path, ENVELOPE)
@@ -110,6 +123,87 @@ def batch_episodes(events: DataFrame) -> DataFrame:
     return x.groupBy("instance", "cwd", "number").agg(F.count_if(F.col("kind") != "close").alias("messages"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.max(F.col("kind") == "close").alias("closed"))
 
 
+JOB = "atom string, status string, attempts long, next_at timestamp, changed_at timestamp, error string"
+_JOB_STATE = "status string, attempts long, next_at long, changed_at long, claimed_at long, error string"
+#: Attempts before a job is given up, seconds of the first wait, seconds after which a claim without an end is stale.
+MOST_ATTEMPTS, WAIT, STALE = 5, 2, 300
+
+
+def job_step(job: tuple | None, kind: str, at: int, error: str | None = None) -> tuple:
+    """A job (status, attempts, next_at, changed_at, claimed_at, error) after an event at a time in microseconds.
+
+    enqueue starts a job unless one is open; claim counts an attempt; done ends it; failed puts it back with
+    a wait that doubles with each attempt, or after MOST_ATTEMPTS gives it up (`failed`); stale puts an
+    unfinished claim back at once. A claim of what is not queued, and an end of what is not claimed, change nothing."""
+    status, attempts, next_at, changed, claimed, said = job or (None, 0, None, None, None, None)
+    if status == "in_progress" and kind in ("claim", "enqueue") and at >= claimed + STALE * 1_000_000:
+        status, attempts, next_at, changed, claimed, said = job_step(job, "stale", claimed + STALE * 1_000_000)
+    if kind == "enqueue" and status in (None, "done"):
+        return "queued", 0, at, at, None, None
+    if kind == "claim" and status == "queued" and at >= next_at:
+        return "in_progress", attempts + 1, None, at, at, None
+    if kind == "done" and status == "in_progress":
+        return "done", attempts, None, at, None, None
+    if kind == "failed" and status == "in_progress":
+        if attempts >= MOST_ATTEMPTS:
+            return "failed", attempts, None, at, None, error
+        return "queued", attempts, at + WAIT * 1_000_000 * 2 ** (attempts - 1), at, None, error
+    if kind == "stale" and status == "in_progress":
+        return "queued", attempts, at, at, None, "stale claim"
+    return status, attempts, next_at, changed, claimed, said
+
+
+def _jobs(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    job = tuple(state.get) if state.exists else None
+    before = job
+    if state.hasTimedOut:
+        job = job_step(job, "stale", job[4] + STALE * 1_000_000)
+    else:
+        rows = pd.concat(list(frames)).sort_values("timestamp", kind="stable")
+        for kind, at, error in zip(rows["kind"], rows["timestamp"], rows["error"], strict=True):
+            job = job_step(job, kind, int(at.value // 1000), error)
+    if job is not None and job[0] == "in_progress":
+        late = (job[4] + STALE * 1_000_000) // 1000
+        if late > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(late)
+        else:
+            job = job_step(job, "stale", job[4] + STALE * 1_000_000)
+    if job is None or job[0] is None or job == before:
+        return
+    state.update(job)
+    f = pd.DataFrame([(*key, *job[:4], job[5])], columns=[c.split()[0] for c in JOB.split(", ")])
+    for c in ("next_at", "changed_at"):
+        f[c] = pd.to_datetime(f[c], unit="us")
+    yield f
+
+
+def job_states(events: DataFrame, late: str = "1 minute") -> DataFrame:
+    """The state of each atom's extraction job after each batch of events (atom, kind, timestamp, error): rows JOB in
+    update mode. State is one row an atom; a claim has a timer by event time."""
+    return events.withWatermark("timestamp", late).groupBy("atom").applyInPandasWithState(_jobs, JOB, _JOB_STATE, "update", "EventTimeTimeout")
+
+
+def work_queue(events: DataFrame, store: Store, checkpoint: str, late: str = "1 minute"):
+    """Runs to the end of what has landed and writes attempts, next times and given-up jobs back: tables `jobs` and
+    `dead_letters` of a store change together, a batch once."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows = batch.persist()
+        try:
+            store.upserts({"jobs": (rows, ["atom"]), "dead_letters": (rows.where("status = 'failed'"), ["atom"])}, n)
+        finally:
+            rows.unpersist()
+
+    q = job_states(events, late).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def claimable(jobs: DataFrame, as_of, n: int = 100) -> DataFrame:
+    """The first n queued jobs that are due, oldest first."""
+    return jobs.where("status = 'queued'").where(F.col("next_at") <= F.lit(as_of).cast("timestamp")).orderBy("next_at", "atom").limit(n)
+
+
 def cascade(batch: DataFrame, own: str, parent: str, instance: str) -> None:
     """A child's atoms into its own table and its parent's: there with their episode as a foreign one only."""
     batch.write.mode("append").parquet(own)

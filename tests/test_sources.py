@@ -94,3 +94,12 @@ def test_logs_and_manifests(spark, tmp_path):
     assert {(p.project, p.language, p.framework) for p in R.projects(spark, str(m), {"next": "Next.js", "react": "React"}, deps).collect()} == {("web", "TypeScript", "React"), ("api", "Python", None)}
     (tmp_path / "l.json").write_text('[{"canonical": "person:ann", "aliases": ["a:1", "b:2"]}]')
     assert R.manual_links(spark, str(tmp_path / "l.json")).count() == 2
+
+
+def test_damaged_lines_and_all_commits(spark, tmp_path):
+    p = put(tmp_path / "c.json", [{"type": "message", "user": "U1", "text": "a", "ts": "1"}, "{broken", "not json"])
+    assert R.lines(spark, p, R.CHAT).count() == 1
+    assert [(r.file, r.line) for r in R.damaged(spark, p, R.CHAT).orderBy("line").collect()] == [("c.json", "not json"), ("c.json", "{broken")]
+    (tmp_path / "repo.log").write_text("\n\n".join(f"{i:07d}|ann|2024-01-02 10:00:{i % 60:02d}|m" for i in range(700)))
+    assert R.commits(spark, str(tmp_path / "repo.log")).count() == 700
+    assert R.commits(spark, str(tmp_path / "repo.log"), 500).count() == 500
