@@ -21,7 +21,7 @@ FRAME, LACE, BLOCKS, RATE = 192, 8, 32, 8000
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOCTYPE, DOCTYPE_VERSION, SCALE, ENTRY, NUMBER, UID, KIND, CODEC, DURATION = 0x4282, 0x4287, 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE, GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE, GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 
@@ -89,13 +89,13 @@ _MASTER = {SEGMENT, CLUSTER, CUES, POINT, POSITIONS, GROUP, INFO, TRACKS, ENTRY,
 _WHOLE = {NUMBER: "number", KIND: "kind", DURATION: "duration", CHANNELS: "channels", DEPTH: "depth"}
 
 
-def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, list[dict]]:
-    """Packets (track, timestamp in ms, byte offset, length, key frame), cues (time, track, byte offset of
+def parse(data: bytes, unit: int = 1_000_000) -> tuple[list[tuple], list[tuple], int, list[dict]]:
+    """Packets (track, timestamp in units of so many ns, byte offset, length, key frame), cues (time, track, byte offset of
     the cluster), the number of clusters, and tracks (number, kind, codec, rate, channels, depth, duration of
     a frame in ns). Frames of a lace follow each other by their track's frame duration; without one they
-    share their block's timestamp. Raises ValueError on damaged structure."""
+    share their block's timestamp. A block in a group is a key frame if the group refers to no other block. Raises ValueError on damaged structure."""
     packets, cues, tracks, clusters, scale, base, time, segment, cue = [], [], [], 0, 1_000_000, 0, 0, 0, {}
-    lasts = {}
+    lasts, group, refers = {}, 0, False
     at, end = 0, len(data)
     first, _, _ = _vint(data, 0, True) if data else (0, 0, 0)
     if first != EBML:
@@ -113,6 +113,11 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, list[dict]]:
             clusters += 1
         elif i == ENTRY:
             tracks.append({})
+        elif i == GROUP:
+            group, refers = len(packets), False
+        elif i == REFERENCE:  # before or behind the group's block
+            refers = True
+            packets[group:] = [(*p[:4], False) for p in packets[group:]]
         if i in _MASTER:
             continue
         if i in (SIMPLE, BLOCK):
@@ -144,7 +149,7 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, list[dict]]:
                 raise ValueError("a lace does not fill its block")
             lasts = lasts or {t.get("number"): t.get("duration", 0) for t in tracks}
             for k, s in enumerate(sizes):
-                packets.append((track, (time * scale + k * lasts.get(track, 0)) // 1_000_000, p, s, bool(flags & 0x80) or i == BLOCK))
+                packets.append((track, (time * scale + k * lasts.get(track, 0)) // unit, p, s, bool(flags & 0x80) if i == SIMPLE else not refers))
                 p += s
         elif tracks and i in _WHOLE:
             tracks[-1][_WHOLE[i]] = int.from_bytes(data[at : at + n], "big")
@@ -159,7 +164,7 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, list[dict]]:
         elif i in (CUE_TIME, CUE_TRACK):
             cue[i] = int.from_bytes(data[at : at + n], "big")
         elif i == CUE_CLUSTER:
-            cues.append((cue.get(CUE_TIME, 0) * scale // 1_000_000, cue.get(CUE_TRACK, 0), segment + int.from_bytes(data[at : at + n], "big")))
+            cues.append((cue.get(CUE_TIME, 0) * scale // unit, cue.get(CUE_TRACK, 0), segment + int.from_bytes(data[at : at + n], "big")))
         at += n
     return packets, cues, clusters, tracks
 
@@ -194,6 +199,37 @@ def packet_table(media: DataFrame) -> DataFrame:
     return _table(media, PACKETS, lambda m: parse(m)[0])
 
 
+PACKET_DIGESTS = "doc_id long, packet int, track int, timestamp_ns long, byte_offset long, length int, keyframe boolean, packet_sha256 string"
+
+
+def packet_digests(media: DataFrame) -> DataFrame:
+    """The packet table with places, exact timestamps and the digest of each packet's bytes; the same rules."""
+
+    def rows_of(m: bytes) -> list[tuple]:
+        return [(k, *p, hashlib.sha256(m[p[2] : p[2] + p[3]]).hexdigest()) for k, p in enumerate(parse(m, 1)[0])]
+
+    return _table(media, PACKET_DIGESTS, rows_of)
+
+
+def damaged(media: DataFrame) -> DataFrame:
+    """(doc_id, error) of media that cannot be parsed and so have no rows in the tables; null and empty ones are not damaged."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for i, m in zip(f["doc_id"].array, f["media"], strict=True):
+                try:
+                    if m:
+                        parse(m)
+                except (ValueError, IndexError, struct.error) as e:
+                    out.append((None if pd.isna(i) else i, str(e)))
+            bad = pd.DataFrame(out, columns=["doc_id", "error"])
+            bad["doc_id"] = bad["doc_id"].astype("Int64")
+            yield bad
+
+    return media.select("doc_id", "media").mapInPandas(rows, "doc_id long, error string")
+
+
 def track_table(media: DataFrame) -> DataFrame:
     """A row a track of each media column, with the same rules."""
     return _table(media, TRACK_FIELDS, lambda m: [tuple(t.get(k) for k in ("number", "kind", "codec", "rate", "channels", "depth", "duration")) for t in parse(m)[3]])

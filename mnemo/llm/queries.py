@@ -50,6 +50,11 @@ def op10(spark, sf_dir):
     return matroska.describe(matroska.to_media(table(spark, sf_dir, "documents")))
 
 
+@query("media_packets")
+def media_packets(spark, sf_dir):
+    return matroska.packet_digests(matroska.to_media(table(spark, sf_dir, "documents")))
+
+
 @query("op7_warc", warc.SQL)
 def op7(spark, sf_dir):
     path = scratch_path(spark, "warc")

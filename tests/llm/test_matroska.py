@@ -42,6 +42,18 @@ def test_damage():
         m.parse(m.write(b" " * 384)[:-300])
 
 
+def test_key_frames_of_groups():
+    def group(*parts):
+        return m.element(m.GROUP, b"".join(parts))
+
+    block, refers = m.element(m.BLOCK, b"\x81\x00\x01\x00ab"), m.element(m.REFERENCE, b"\xff")
+    head = m.element(m.EBML, m.element(m.DOCTYPE, b"matroska"))
+    simple = [m.element(m.SIMPLE, b"\x81\x00\x02" + bytes([f]) + b"c") for f in (0x80, 0)]
+    data = head + m.element(m.SEGMENT, m.number(m.SCALE, 1_000_001) + m.element(m.CLUSTER, m.number(m.TIMESTAMP, 3) + group(block) + group(block, refers) + group(refers, block) + b"".join(simple)))
+    assert [p[4] for p in m.parse(data)[0]] == [True, False, False, True, False]
+    assert [p[1] for p in m.parse(data, 1)[0]] == [4 * 1_000_001] * 3 + [5 * 1_000_001] * 2
+
+
 def test_table(spark):
     rows = [(1, "é" * 100, 5), (2, None, 5), (3, "", 5), (3, "", 5), (None, "x" * 100_000, 5)]
     media = m.to_media(spark.createDataFrame(rows, "doc_id long, text string, media int"))
@@ -52,6 +64,10 @@ def test_table(spark):
     assert m.packet_table(media).count() == 2 + 1 + 1 + 1 + 521
     assert {(r.codec, r.rate, r.depth) for r in m.track_table(media).collect()} == {("A_PCM/INT/LIT", 8000.0, 8)} and m.track_table(media).count() == 5
     damaged = spark.createDataFrame([(1, b"RIFF", 0), (2, None, 0), (3, b"", 0)], "doc_id long, media binary, track int")
+    assert [(r.doc_id, r.error) for r in m.damaged(damaged).collect()] == [(1, "not an EBML file")] and m.damaged(media).count() == 0
+    digests = {(r.doc_id, r.packet): r for r in m.packet_digests(media.where("doc_id in (1, 2)")).collect()}
+    assert [digests[k].packet_sha256 for k in ((1, 0), (1, 1), (2, 0))] == [hashlib.sha256(x).hexdigest() for x in (want[:192], want[192:], b" " * 192)]
+    assert (len(digests), digests[1, 1].timestamp_ns, digests[1, 1].keyframe) == (3, 24_000_000, True)
     assert m.packet_table(damaged).count() == 0 and m.track_table(damaged).count() == 0
     for i, text, _ in rows:  # every column against a plain computation
         raw = (text or "").encode()
