@@ -154,13 +154,14 @@ class _Groups:
 
 
 def _sides(f: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
-    """For each row of the left block: its place, and the places of survivors of the right block in other
-    components. A block against itself looks at each pair once."""
-    left, right = np.flatnonzero(f["side"] != 1), np.flatnonzero(f["side"] != 0)
-    sig, label, alone = _matrix(f["sig"]), f["label"].to_numpy(), (f["side"] == 2).all()
-    for k, i in enumerate(left):
-        at = right[k + 1 :] if alone else right
-        at = at[label[at] != label[i]]
+    """For each stranger of the left block: its place, and the places of survivors of the right block in other
+    components. Two strangers are looked at once, from the lesser."""
+    left, right = np.flatnonzero(f["left"]), np.flatnonzero(~f["left"])
+    if not len(left) or not len(right):
+        return
+    sig, label, doc, strange = _matrix(f["sig"]), f["label"].to_numpy(), f["doc"].to_numpy(), f["strange"].to_numpy()
+    for i in left:
+        at = right[(label[right] != label[i]) & (~strange[right] | (doc[right] > doc[i]))]
         yield i, at[passes(np.broadcast_to(sig[i], (len(at), BANDS * ROWS)), sig[at])]
 
 
@@ -196,14 +197,21 @@ def _settle(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def in_blocks(rows: DataFrame, group: str, size: str) -> DataFrame:
-    """Rows of a group dealt to every pair i <= j of its blocks of BLOCK rows: side 0 is block i, 1 block j, 2 both."""
-    k = F.ceil(F.col(size) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("k")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    x = rows.withColumn("k", k).withColumn("own", own).select("*", other)
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return x.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side")).drop("k", "own", "other", size)
+def in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (group, doc, label) of groups dealt to pairs (i, j) of blocks of BLOCK rows: block i of the group's
+    strangers, with left set, meets block j of all its members.
+
+    Strangers are the members outside the component that the most members belong to; pairs inside it need no
+    look. So rows are copied once for each block of the other side: m members with s strangers make
+    2 * m * s / BLOCK rows, not m * m / BLOCK, and few strangers of a large family cost little."""
+    sizes = rows.groupBy(group, "label").agg(F.count("*").alias("n")).groupBy(group).agg(F.sum("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n"))
+    sizes = saved(sizes.select(group, "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"), F.ceil((F.col("m") - F.col("n")) / BLOCK).cast("int").alias("ks")), "sizes")
+    x = rows.join(sizes, group).withColumn("strange", F.col("label") != F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("doc", F.lit(7)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strangers = x.where("strange").select("*", block("ks").alias("i"), every("k").alias("j"), F.lit(True).alias("left"))
+    members = x.where("ks > 0").select("*", every("ks").alias("i"), block("k").alias("j"), F.lit(False).alias("left"))
+    return strangers.unionByName(members).drop("main", "k", "ks")
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,19 +275,18 @@ def _across(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFr
     a family are then compared block by block. Every pair that shares a bucket and survives the Bayesian
     test is in one family, so no such link is lost.
     """
-    named = members.join(labels.toDF("doc", "label"), "doc", "left").select("bucket", "doc", "members", F.coalesce("label", "doc").alias("label"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("doc").alias("d"), F.first("members").alias("m")).where("low < high")
+    named = members.join(labels.toDF("doc", "label"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+    split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("doc").alias("d"), F.count("*").alias("m")).where("low < high")
     # buckets with the same members need one look only
     one = split.groupBy("x", "m", "d").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = named.join(one, "bucket").join(sigs, "doc")
-    suspects = saved(in_blocks(rows, "bucket", "members").groupBy("bucket", "i", "j").applyInPandas(_suspects, "a long, label_a long, b long, label_b long"), "suspects")
+    rows = saved(named.join(one, "bucket"), "split")
+    suspects = saved(in_blocks(rows, "bucket").join(sigs, "doc").groupBy("bucket", "i", "j").applyInPandas(_suspects, "a long, label_a long, b long, label_b long"), "suspects")
     family = components(suspects.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), "family").toDF("label", "family")
     named = suspects.select(F.col("a").alias("doc"), F.col("label_a").alias("label")).union(suspects.select("b", "label_b")).distinct().join(family, "label")
     named = saved(named, "families")
-    sizes = named.groupBy("family").agg(F.count("*").alias("size"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(named.select("doc").hint("merge"), "doc", "left_semi")
     sets = texts.mapInPandas(_sets, "doc long, shingles array<long>")
-    rows = in_blocks(named.join(sizes, "family"), "family", "size").join(sigs, "doc").join(sets, "doc")
+    rows = in_blocks(named, "family").join(sigs, "doc").join(sets, "doc")
     return saved(rows.groupBy("family", "i", "j").applyInPandas(_settle, "a long, b long"), "links")
 
 
