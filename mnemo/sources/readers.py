@@ -33,8 +33,9 @@ def lines(spark: SparkSession, path: str, schema: str, since: Column | None = No
 
 def damaged(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(file, line): what `lines` drops, so that it can be counted and kept in a table beside the good rows."""
-    x = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return x.select("*", F.col("_metadata.file_name").alias("file")).where("_corrupt_record is not null").select("file", F.col("_corrupt_record").alias("line"))
+    x = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+    parsed = F.from_json("line", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return x.where(parsed["_corrupt_record"].isNotNull())
 
 
 def chat(spark, path, oldest: str | None = None):
