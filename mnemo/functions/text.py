@@ -184,6 +184,19 @@ def is_ulid(c: Column) -> Column:
     return c.rlike("^[0-9A-HJKMNP-TV-Z]{26}$")
 
 
+#: The digits of ids.
+ULID_DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def ulid(ts: Column, seed: Column) -> Column:
+    """An id of 26 digits: 48 bits of the time in milliseconds, then 80 bits of the seed's hash, so ids sort by time
+    and a retried task makes the same ones."""
+    digit = lambda n, shift: F.substring(F.lit(ULID_DIGITS), (F.shiftright(n, shift).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    bits = lambda at: F.conv(F.substring(F.sha2(seed, 256), at, 10), 16, 10).cast("long")
+    ms = F.unix_millis(ts.cast("timestamp"))
+    return F.concat(*[digit(ms, 5 * i) for i in range(9, -1, -1)], *[digit(bits(at), 5 * i) for at in (1, 11) for i in range(7, -1, -1)])
+
+
 def round2(c: Column) -> Column:
     return F.round(c, 2)
 

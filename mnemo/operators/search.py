@@ -240,4 +240,4 @@ def supersedes_target(cues: DataFrame, atoms: DataFrame, least: float = 0.55) ->
     """(query, id): a cue that is an id passes through, else its most similar atom from `least` on."""
     ids = cues.where(F.col("text").rlike("^[0-9A-HJKMNP-TV-Z]{26}$")).select("query", F.col("text").alias("id"))
     rest = cues.where(~F.col("text").rlike("^[0-9A-HJKMNP-TV-Z]{26}$"))
-    return ids.union(nearest(atoms, rest, 1, least).select("query", "id"))
+    return ids.union(nearest(atoms, rest, 1, least).select("query", F.col("id").cast("string").alias("id")))

@@ -103,10 +103,10 @@ def typed_edges(t: Tables) -> DataFrame:
     return a.select(p, F.lit("DID").alias("kind"), F.concat(F.lit("kind:"), "kind").alias("dst")).union(a.where("topic is not null").select(p, F.lit("ABOUT").alias("kind"), F.concat(F.lit("topic:"), "topic").alias("dst")))
 
 
-@query("neighborhood", f"WITH {EDGES_SQL}, x AS (SELECT DISTINCT dst AS root, kind, src AS neighbour FROM edges WHERE kind = 'ABOUT') SELECT root, kind, neighbour FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY kind, neighbour) AS r FROM x) WHERE r <= 40", "activities")
+@query("neighborhood", f"WITH {EDGES_SQL}, x AS (SELECT DISTINCT dst AS root, kind, src AS neighbour FROM edges) SELECT root, kind, neighbour FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY kind, neighbour) AS r FROM x) WHERE r <= 40", "activities")
 def _(t):
     e = typed_edges(t)
-    return graph.neighborhood(e, e.select(F.col("dst").alias("root")), "in", ["ABOUT"])
+    return graph.neighborhood(e, e.select(F.col("dst").alias("root")), "in")
 
 
 @query("graph_overview", f"WITH {EDGES_SQL}, r AS (SELECT dst AS root FROM (SELECT DISTINCT dst FROM edges WHERE kind = 'DID')), x AS (SELECT DISTINCT dst AS root, kind, src AS neighbour FROM edges WHERE dst IN (SELECT root FROM r)), y AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY kind, neighbour) AS n FROM x) SELECT DISTINCT least(root, neighbour) AS source, kind, greatest(root, neighbour) AS target FROM y WHERE n <= 40", "activities")
@@ -222,9 +222,9 @@ def _(t):
     return graph.entity_detail(t.assoc(), t.mentions(), t.atoms(), t.entities())
 
 
-@query("atom_detail", "SELECT atom, created_at, salience, kind, cwd, (SELECT string_agg(entity || ':' || prominence, ',' ORDER BY prominence DESC, entity) FROM mentions m WHERE m.atom = a.atom) AS mentions FROM atoms a WHERE kind = 'P'", "atoms", "mentions")
+@query("atom_detail", "SELECT atom, created_at, salience, kind, cwd, (SELECT string_agg(entity || ':' || prominence, ',' ORDER BY prominence DESC, entity) FROM mentions m WHERE m.atom = a.atom) AS mentions FROM atoms a", "atoms", "mentions")
 def _(t):
-    return graph.atom_detail(t.mentions(), t.atoms(), t.atoms().where("kind = 'P'").select("atom"))
+    return graph.atom_detail(t.mentions(), t.atoms(), t.atoms().select("atom"))
 
 
 @query("context_overlap", """WITH ways AS (SELECT a AS src, b AS dst FROM assoc UNION ALL SELECT b, a FROM assoc), cand AS (SELECT DISTINCT name AS mention, type, entity FROM entities),
@@ -410,9 +410,9 @@ def _(t):
     return clinical.labs(t.labs(), None, ["click", "error"], "2024-01-05", "2024-01-09")
 
 
-@query("encounter_detail", "WITH e AS (SELECT o_orderkey AS encounter, o_custkey AS patient FROM orders WHERE o_orderstatus = 'P') SELECT e.*, (SELECT string_agg(DISTINCT condition, ',' ORDER BY condition) FROM diagnoses d WHERE d.encounter = e.encounter) AS conditions, (SELECT string_agg(DISTINCT drug, ',' ORDER BY drug) FROM prescriptions p WHERE p.encounter = e.encounter) AS drugs FROM e", *CLIN)
+@query("encounter_detail", "WITH e AS (SELECT o_orderkey AS encounter, o_custkey AS patient FROM orders) SELECT e.*, (SELECT string_agg(DISTINCT condition, ',' ORDER BY condition) FROM diagnoses d WHERE d.encounter = e.encounter) AS conditions, (SELECT string_agg(DISTINCT drug, ',' ORDER BY drug) FROM prescriptions p WHERE p.encounter = e.encounter) AS drugs FROM e", *CLIN)
 def _(t):
-    o = t.raw("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("encounter"), F.col("o_custkey").alias("patient"))
+    o = t.raw("orders").select(F.col("o_orderkey").alias("encounter"), F.col("o_custkey").alias("patient"))
     return clinical.encounter_detail(o, o.select("encounter"), {"conditions": (t.diagnoses(), F.col("condition")), "drugs": (t.prescriptions(), F.col("drug"))})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.functions import text as T
 from mnemo.operators import portfolio, recall, resolve, search
 from mnemo.operators.vectors import VectorIndex
 from mnemo.plans.catalogue import CUES_SQL, SEEDS_SQL, SPREAD_SQL, TIER_SQL, at, cues, query, scored_atoms
@@ -104,6 +105,40 @@ def _(t):
     return recall.associate(c, e, t.assoc(), t.mentions(), atoms, at(AS_OF_ORDERS, "timestamp"), index=index, vectors=near, saturate=True)
 
 
+def ulid_sql(ts: str, seed: str) -> str:
+    digit = lambda n, i: f"substr('{T.ULID_DIGITS}', ((({n}) >> {5 * i}) & 31)::INT + 1, 1)"
+    parts = [digit(f"epoch_ms({ts})", i) for i in range(9, -1, -1)]
+    parts += [digit(f"('0x' || substr(sha256({seed}), {at_}, 10))::BIGINT", i) for at_ in (1, 11) for i in range(7, -1, -1)]
+    return " || ".join(parts)
+
+
+@query("ulids", f"SELECT o_orderkey AS atom, {ulid_sql('o_orderdate', 'o_orderkey::VARCHAR')} AS id FROM orders")
+def _(t):
+    return t.raw("orders").select(F.col("o_orderkey").alias("atom"), T.ulid(F.col("o_orderdate"), F.col("o_orderkey").cast("string")).alias("id"))
+
+
+@query(
+    "supersedes_targets",
+    f"""WITH c AS (SELECT vec_id AS query, CASE WHEN vec_id % 2 = 0 THEN {ulid_sql("TIMESTAMP '2024-01-01'", "vec_id::VARCHAR")} ELSE 'about ' || vec_id END AS text, embedding FROM embeddings WHERE vec_id % 50 IN (0, 25)),
+    s AS (SELECT query, vec_id AS id, {DOT.format(a="c.embedding", b="e.embedding", digits=6)} AS similarity FROM c, embeddings e WHERE query % 2 = 1 AND query <> vec_id)
+    SELECT query, text AS id FROM c WHERE query % 2 = 0 UNION ALL SELECT query, id::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS r FROM s WHERE similarity >= 0.3) WHERE r = 1""",
+)
+def _(t):
+    """Cues that are ids pass through, others name their most similar atom."""
+    v = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    told = F.when(F.col("id") % 2 == 0, T.ulid(F.lit("2024-01-01").cast("timestamp"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("about "), "id"))
+    cue = v.where("id % 50 in (0, 25)").select(F.col("id").alias("query"), told.alias("text"), "vector")
+    return search.supersedes_target(cue, v, 0.3).select("query", F.col("id").cast("string").alias("id"))
+
+
+@query("embeddings_missing", "SELECT DISTINCT sha256(text) AS hash, length(text) AS vector FROM conversations WHERE text NOT IN (SELECT text FROM conversations WHERE turn = 0)")
+def _(t):
+    """Texts that a cache of first turns lacks, each once; their length stands for a model."""
+    c = t.raw("conversations")
+    cache = c.where("turn = 0").select(F.sha2("text", 256).alias("hash"))
+    return search.embed_missing(c, cache, F.length)
+
+
 # ---------------------------------------------------------------- packages and paths
 
 

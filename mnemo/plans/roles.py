@@ -77,8 +77,8 @@ class Tables:
         """Mentions of suppliers: entity, domain (region), event (order), role, trend (part type), date."""
         li = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_shipdate", "l_returnflag")
         s = self.raw("supplier").select("s_suppkey", "s_name", "s_nationkey")
-        n = self.raw("nation").select("n_nationkey", "n_regionkey").join(F.broadcast(self.raw("region").select("r_regionkey", "r_name")), F.col("n_regionkey") == F.col("r_regionkey"))
-        s = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+        n = self.raw("nation").select("n_nationkey", "n_regionkey").join(self.raw("region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
+        s = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
         p = self.raw("part").select("p_partkey", "p_type")
         return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("s_name").alias("entity"), F.col("r_name").alias("domain"), F.col("l_orderkey").alias("event"), F.col("l_returnflag").alias("role"), F.col("p_type").alias("trend"), F.col("l_shipdate").alias("date"))
 
