@@ -16,19 +16,19 @@ K1, B = 1.2, 0.75
 
 
 #: Buckets of terms, and documents of a block, on the average.
-BUCKETS, BLOCK_DOCS = 32, 1024
-#: Blocks that a query scores first, to learn what its k-th best is at least.
-FIRST = 2
+BUCKETS, BLOCK_DOCS = 32, 128
+#: Blocks that a query scores first, to learn what its k-th best is at least, and blocks that are scored whole.
+FIRST, FEW = 4, 256
 
 
 class Index:
     """A saved text index in segments: an update adds one of new and changed documents and rewrites nothing.
 
-    postings: (label, segment, block, term, docs, most_tf, least_n, hits array of (id, tf, n)), a row a term and
-    block of documents, in folders by bucket of terms; documents: (label, id, segment, hash, n); sizes: (label,
-    docs, total) of each segment, with what it replaces counted back. most_tf and least_n bound any score in
-    the block whatever the collection's averages become. A search reads the buckets of its terms, first
-    without the hits, and then the hits of blocks that may still reach a query's k-th best."""
+    postings: (label, segment, block, term, id, tf, n) and, for segments of more than FEW blocks, heads: (label,
+    segment, block, term, docs, most_tf, least_n), a row a term and block of documents, both in folders by
+    bucket of terms; documents: (label, id, segment, hash); sizes: (label, docs, total) of each segment, with what it replaces counted back. most_tf and
+    least_n bound any score in the block whatever the collection's averages become. A search reads the
+    buckets of its terms: first heads, then the postings of blocks that may still reach a query's k-th best."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.store = Store(spark, path)
@@ -59,30 +59,35 @@ class Index:
             return None
         blocks = max(1, -(-n // BLOCK_DOCS))
         block = F.pmod(F.xxhash64("label", F.col("id").cast("string")), F.lit(blocks)).cast("int")
-        doc = ["label", "block", "id"]
-        tok = new.select("label", block.alias("block"), "id", "hash", terms(F.col("text")).alias("t")).withColumn("n", F.size("t").cast("long"))
-        tok = tok if blocks == 1 else tok.repartition("label", "block")  # all that follows is grouped inside these
-        tf = tok.select(*doc, "n", F.explode("t").alias("term")).groupBy(*doc, "n", "term").agg(F.count("*").alias("tf"))
-        hits = F.sort_array(F.collect_list(F.struct("id", "tf", "n")))
-        post = tf.groupBy("label", "block", "term").agg(F.count("*").alias("docs"), F.max("tf").alias("most_tf"), F.min("n").alias("least_n"), hits.alias("hits"))
+        tok = new.select("label", block.alias("block"), "id", "text").repartition("block")  # all that follows is grouped inside blocks
+        tok = tok.select("label", "block", "id", terms(F.col("text")).alias("t")).select("label", "block", "id", F.size("t").cast("long").alias("n"), F.explode("t").alias("term"))
+        tf = tok.groupBy("label", "block", "id", "n", "term").agg(F.count("*").alias("tf"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("_bucket")
-        post = post.select("label", F.lit(segment).alias("segment"), "block", "term", "docs", "most_tf", "least_n", "hits", bucket).repartition("_bucket").sortWithinPartitions("_bucket", "label", "term", "block")
-        docs = tok.select("label", "id", F.lit(segment).alias("segment"), "hash", "n")
-        staged = {"postings": (post.drop("_bucket"), self.store.stage(post, bucketed=True)), "documents": (docs, self.store.stage(docs))}
-        written = self.spark.read.schema(docs.schema).parquet(f"{self.store.path}/{staged['documents'][1]['0'][0]}")
-        sizes = written.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+        post = tf.select("label", F.lit(segment).alias("segment"), "block", "term", "id", "tf", "n", bucket).repartition("_bucket").sortWithinPartitions("_bucket", "label", "term", "block")
+        post_parts = self.store.stage(post, bucketed=True)
+        written = self.store.open(post.drop("_bucket"), post_parts)
+        staged = {"postings": (post.drop("_bucket"), post_parts)}
+        if blocks > FEW:
+            heads = _heads(written)
+            staged["heads"] = (heads, self.store.stage(heads.select("*", bucket).repartition("_bucket").sortWithinPartitions("_bucket", "label", "term"), bucketed=True))
+        docs = new.select("label", "id", F.lit(segment).alias("segment"), "hash")
+        staged["documents"] = (docs, self.store.stage(docs))
+        known = self.store.open(docs, staged["documents"][1])
+        total = written.groupBy("label").agg(F.sum("tf").alias("total"))
+        sizes = known.groupBy("label").agg(F.count("*").alias("docs")).join(total, "label", "left").fillna(0, ["total"])
         replaced = False
         if old is not None:
-            gone = old.join(written.select("label", "id"), ["label", "id"], "left_semi")
+            gone = old.join(known.select("label", "id"), ["label", "id"], "left_semi").select("label", "id", "segment")
             replaced = bool(gone.limit(1).count())
-            sizes = sizes.union(gone.groupBy("label").agg((-F.count("*")).alias("docs"), (-F.sum("n")).alias("total")))
+            if replaced:
+                lost = self.store.read("postings", manifest).join(gone, ["label", "id", "segment"], "left_semi").groupBy("label").agg((-F.sum("tf")).alias("total"))
+                sizes = sizes.union(gone.groupBy("label").agg((-F.count("*")).alias("docs")).join(lost, "label", "left").fillna(0, ["total"]))
         staged["sizes"] = (sizes, self.store.stage(sizes))
         for name, (df, parts) in staged.items():
-            known = manifest["tables"].setdefault(name, {"schema": _ddl(df), "parts": {}})
+            table = manifest["tables"].setdefault(name, {"schema": _ddl(df), "parts": {}})
             for b, folders in parts.items():
-                known["parts"][b] = known["parts"].get(b, []) + folders
-        counts = manifest.setdefault("blocks", [])
-        counts.append(blocks)
+                table["parts"][b] = table["parts"].get(b, []) + folders
+        manifest.setdefault("blocks", []).append(blocks)
         manifest["replaced"] = manifest.get("replaced", False) or replaced
         self.store.publish(manifest)
         self.pinned = self.store.manifest()
@@ -105,28 +110,29 @@ class Index:
         post = self.store.read("postings", m, buckets)
         sizes = self.store.read("sizes", m).groupBy("label").agg(F.sum("docs").alias("all_docs"), F.sum("total").alias("total"))
         dead = self._dead(m) if m["replaced"] else None
-        heads = post.drop("hits").join(wanted, "term", "left_semi")
-        df = heads.groupBy("label", "term").agg(F.sum("docs").alias("df"))
+        few = sum(m["blocks"]) <= FEW  # nothing to gain by bounds
+        heads = None if few else self._all_heads(m, buckets, post).join(wanted, "term", "left_semi")
+        df = post.join(wanted, "term", "left_semi").groupBy("label", "term").agg(F.count("*").alias("df")) if few else heads.groupBy("label", "term").agg(F.sum("docs").alias("df"))
         if dead is not None:  # replaced documents still stand in old blocks
-            lost = self._hits(post.join(wanted, "term", "left_semi")).join(dead, ["label", "id", "segment"], "left_semi").groupBy("label", "term").agg((-F.count("*")).alias("df"))
+            lost = post.join(wanted, "term", "left_semi").join(dead, ["label", "id", "segment"], "left_semi").groupBy("label", "term").agg((-F.count("*")).alias("df"))
             df = df.union(lost).groupBy("label", "term").agg(F.sum("df").alias("df"))
         idf = F.log(1 + (F.col("all_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = df.where("df > 0").join(sizes, "label").select("label", "term", idf.alias("idf"), "all_docs", "total")
+        weight = weight if few else saved(weight, "weights")
         gain = lambda tf, n: F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n * F.col("all_docs") / F.col("total")))
-        part = F.round(gain(F.col("tf"), F.col("n")), 9).cast("decimal(20,9)")
+        part = F.floor(gain(F.col("tf"), F.col("n")) * 1e9 + 0.5)  # whole billionths: sums do not depend on order
         order, place = [F.desc("score"), "id"], ["label", "segment", "block"]
 
         def scored(pairs: DataFrame | None) -> DataFrame:
             """Scores of all documents, or of those in (query, label, segment, block); each hit is weighed once."""
-            some = post.join(wanted, "term", "left_semi") if pairs is None else post.join(pairs.join(q, "query").select(*place, "term").distinct(), [*place, "term"], "left_semi")
-            hits = self._hits(some)
+            hits = post.join(wanted, "term", "left_semi") if pairs is None else post.join(pairs.select(*place).distinct(), place, "left_semi")
             hits = hits if dead is None else hits.join(dead, ["label", "id", "segment"], "left_anti")
             parts = hits.join(weight, ["label", "term"]).select(*place, "term", "id", part.alias("part"))
             asked = q.join(parts, "term") if pairs is None else pairs.join(q, "query").join(parts, [*place, "term"])
-            found = asked.groupBy("query", "label", "id").agg(F.round(F.sum("part").cast("double"), digits).alias("score"))
+            found = asked.groupBy("query", "label", "id").agg((F.floor(F.sum("part") / 1e9 * 10.0**digits + 0.5) / 10.0**digits).alias("score"))
             return top(found.where(F.col("score") > least), ["query", "label"], order, k)
 
-        if sum(m["blocks"]) <= FIRST:
+        if few:
             ranked = scored(None)
         else:
             best = heads.join(weight, ["label", "term"]).select(*place, "term", (gain(F.col("most_tf"), F.col("least_n")) + 2e-9).alias("best"))
@@ -139,9 +145,11 @@ class Index:
             ranked = top(early.union(scored(saved(rest, "rest"))), ["query", "label"], order, k)
         return ranked if overall is None else top(ranked, ["query"], [F.desc("score"), "label", "id"], overall)
 
-    @staticmethod
-    def _hits(post: DataFrame) -> DataFrame:
-        return post.select("label", "segment", "block", "term", F.explode("hits").alias("h")).select("label", "segment", "block", "term", "h.*")
+    def _all_heads(self, m: dict, buckets: list, post: DataFrame) -> DataFrame:
+        """Heads of all segments; those of small segments, which have none saved, are made from their postings."""
+        small = [i + 1 for i, n in enumerate(m["blocks"]) if n <= FEW]
+        made = _heads(post.where(F.col("segment").isin(small)))
+        return self.store.read("heads", m, buckets).unionByName(made) if "heads" in m["tables"] else made
 
     def _dead(self, m: dict) -> DataFrame:
         docs = self.store.read("documents", m)
@@ -149,6 +157,10 @@ class Index:
         return docs.join(last, ["label", "id"]).where("segment < last").select("label", "id", "segment")
 
 
+def _heads(post: DataFrame) -> DataFrame:
+    return post.groupBy("label", "segment", "block", "term").agg(F.count("*").alias("docs"), F.max("tf").alias("most_tf"), F.min("n").alias("least_n"))
+
+
 def _repeated(texts: DataFrame) -> bool:
     return bool(texts.groupBy("label", "id").count().where("count > 1").limit(1).count())
 

@@ -107,6 +107,11 @@ class Store:
         names = [s.getPath().getName() for s in self._files.listStatus(self._path(f"{self.path}/{folder}")) if s.isDirectory()]
         return {n.split("=")[1]: [f"{folder}/{n}"] for n in names if n.startswith("_bucket=")}
 
+    def open(self, like: DataFrame, parts: dict[str, list[str]]) -> DataFrame:
+        """What was staged, before it is published."""
+        folders = [f"{self.path}/{f}" for fs in parts.values() for f in fs]
+        return self.spark.read.schema(_ddl(like)).parquet(*folders) if folders else self.spark.createDataFrame([], _ddl(like))
+
     def append(self, tables: dict[str, DataFrame], batch: str | None = None, stage: Callable | None = None) -> int | None:
         """Rows for several tables that become visible together. A batch name that is already there changes nothing."""
         manifest = self.manifest()

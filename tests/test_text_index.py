@@ -35,6 +35,7 @@ def texts(spark, docs):
 
 def test_blocks_segments_and_replaced_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(search, "FEW", 4)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(60)]
     weights = [1 / (i + 1) for i in range(60)]
@@ -50,6 +51,7 @@ def test_blocks_segments_and_replaced_documents(spark, tmp_path, monkeypatch):
     changed = {7: "w1 w2 w59", 8: "w3", 400: "w1 w1 w58"}
     docs2 = [(i, changed.get(i, t)) for i, t in docs] + [(400, changed[400])]
     old_reader = search.Index(spark, str(tmp_path / "i"))
+    monkeypatch.setattr(search, "FEW", 3)
     index.update(texts(spark, docs2))
     assert index.update(texts(spark, docs2)) is None
     assert files < {f for fs in index.pinned["tables"]["postings"]["parts"].values() for f in fs}
