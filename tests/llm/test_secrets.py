@@ -1,5 +1,9 @@
 import hashlib
 import random
+import re
+
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from mnemo.llm import secrets as s
 
@@ -34,3 +38,28 @@ def test_little_or_nothing(spark):
     assert s.scan(docs).count() == 0 and s.redact(docs).count() == 0
     one = spark.createDataFrame([(1, "id ab12cd34ef56 x", "a")], "doc_id long, text string, score string")
     assert s.scan(one).first().score == 0.5
+
+
+def test_scores_against_a_plain_scan(spark):
+    """Findings, labels and features made row by row outside Spark, and the same forest asked for each of them."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    known = s.dictionary(docs)
+    assert set(known) == {w for _, text, *_ in rows for w in re.findall("[a-z]{3,12}", text.lower())}
+    plain = []
+    for i, text, source, _ in rows:
+        own = [(a, b, name, told) for a, b, name, told in s.assigned_values(text)]
+        own += [(m.start(), m.end(), None, False) for m in s.FINDING.finditer(text) if not any(a < m.end() and m.start() < b for a, b, *_ in own)]
+        for a, b, name, told in own:
+            left = s.BEFORE.search(text[: a if name is None else name])
+            before, assigned = left[1], name is not None or bool(left[2])
+            plain.append((i, a, b - a, s.rule_label(text[a:b], before, assigned, told), s.features(text[a:b], before, assigned, s.NEXT.search(text[b:])[1], source, set(known))))
+    found = s.findings(docs, known)
+    got = {(r.doc_id, r.start, r.length): (r.labelled, r.features) for r in found.collect()}
+    assert got == {(i, a, n): (label, f) for i, a, n, label, f in plain}
+    sure = found.where("labelled >= 0").select(F.col("labelled").alias("label"), "features", F.xxhash64("doc_id", "version", "start").alias("key"))
+    forest = s.train(sure)
+    out = {(r.doc_id, r.start): r for r in s.scan(docs).collect()}
+    for i, a, _, _, f in plain[:40]:
+        p = forest.predictProbability(Vectors.dense(f))[1]
+        assert abs(out[i, a].score - p) < 1e-9 and out[i, a].secret == (p >= 0.5)

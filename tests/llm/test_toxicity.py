@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from mnemo.llm import toxicity as t
@@ -40,3 +42,25 @@ def test_empty_tables(spark):
     assert t.score(d, t.train(d, lab)).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert t.score(one, t.train(one, lab)).first().predicted == 0
+
+
+def test_scores_against_a_plain_noisy_or(spark):
+    """Every document's score from the model's weights, by splitting and multiplying in plain Python."""
+    docs, labels = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string, label int")
+    model = t.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    weight = {w: float(model.weights[i]) for w, i in model.index.items()}
+    assert weight
+
+    def brute(text):
+        clean = 1 - model.leak
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            known = {w for w in re.findall(r"[^\W\d_]+", sentence.lower()) if w in weight}
+            if known:
+                clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weight[w] for w in known))))
+        return 1 - clean
+
+    texts = {i: text for i, text, *_ in docs}
+    out = t.score(d, model).collect()
+    assert len(out) == len(docs)
+    assert all(abs(r.score - brute(texts[r.doc_id])) < 1e-9 and r.predicted == (r.score >= 0.5) for r in out)
