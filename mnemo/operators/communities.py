@@ -13,28 +13,28 @@ from pyspark.sql import functions as F
 
 from mnemo.operators.frames import saved
 
-ROUNDS, LEVELS = 12, 6
+ROUNDS, LEVELS = 8, 4
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
     """Of undirected edges (a, b, weight), loops allowed, under labels (node, theme)."""
-    at = edges.join(labels.toDF("a", "ta"), "a").join(labels.toDF("b", "tb"), "b")
+    named = labels.select("node", "theme")
+    at = edges.join(named.toDF("a", "ta"), "a").join(named.toDF("b", "tb"), "b")
     ends = at.select(F.explode(F.array(F.struct(F.col("ta").alias("t")), F.struct(F.col("tb").alias("t")))).alias("e"), "weight", (F.col("ta") == F.col("tb")).alias("inside"))
     sums = ends.groupBy("e.t").agg(F.sum("weight").cast("double").alias("all"), F.sum(F.when(F.col("inside"), F.col("weight")).otherwise(0)).cast("double").alias("inside"))
     x = sums.agg(F.sum("all").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("all") * F.col("all")).alias("squares")).head()
     return x.inside / x.m2 - x.squares / x.m2**2 if x.m2 else 0.0
 
 
-def _level(edges: DataFrame, nodes: DataFrame, m2: float, rounds: int) -> tuple[DataFrame, bool]:
+def _level(edges: DataFrame, m2: float, rounds: int) -> tuple[DataFrame, bool]:
     """Labels (node, theme) after moves on one level, and whether anything moved for good."""
     loop = F.col("a") == F.col("b")
     ways = saved(edges.where(~loop).select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "weight").select("e.*", F.col("weight").cast("double").alias("weight")), "ways")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("weight").cast("double").alias("w"))
     degree = saved(ends.groupBy("node").agg(F.sum("w").alias("degree")), "degrees")
-    labels = nodes.select("node", F.col("node").alias("theme"))
-    best, moved, idle = modularity(edges, labels), False, 0
+    now = degree.select("node", F.col("node").alias("theme"), "degree")
+    best, moved, idle = modularity(edges, now), False, 0
     for r in range(rounds):
-        now = saved(labels.join(degree, "node"), "labels")
         size = now.groupBy("theme").agg(F.sum("degree").alias("size"))
         link = ways.join(now.select(F.col("node").alias("dst"), "theme"), "dst").groupBy(F.col("src").alias("node"), "theme").agg(F.sum("weight").alias("links"))
         own = now.select("node", F.col("theme").alias("own"), "degree")
@@ -42,17 +42,17 @@ def _level(edges: DataFrame, nodes: DataFrame, m2: float, rounds: int) -> tuple[
         cand = cand.join(size, "theme").join(own, "node")
         rest = F.col("size") - F.when(F.col("theme") == F.col("own"), F.col("degree")).otherwise(0.0)
         gain = F.col("links") * m2 - F.col("degree") * rest
-        to = cand.withColumn("gain", gain).groupBy("node").agg(F.max(F.struct("gain", (F.col("theme") == F.col("own")).alias("stay"), (-F.col("theme")).alias("low"), "theme")).alias("x"), F.first("own").alias("own"))
+        to = cand.withColumn("gain", gain).groupBy("node").agg(F.max(F.struct("gain", (F.col("theme") == F.col("own")).alias("stay"), (-F.col("theme")).alias("low"), "theme")).alias("x"), F.first("own").alias("own"), F.first("degree").alias("degree"))
         turn = F.pmod(F.crc32(F.concat_ws(":", "node", F.lit(r // 2)).cast("binary")) + r, F.lit(2)) == 0
-        new = saved(to.select("node", F.when(turn, F.col("x.theme")).otherwise(F.col("own")).alias("theme")), "moves")
+        new = saved(to.select("node", F.when(turn, F.col("x.theme")).otherwise(F.col("own")).alias("theme"), "degree"), "moves")
         q = modularity(edges, new)
         if q > best + 1e-9:
-            labels, best, moved, idle = new, q, True, 0
+            now, best, moved, idle = new, q, True, 0
         else:
             idle += 1
             if idle == 2:  # neither half gains
                 break
-    return labels, moved
+    return now.select("node", "theme"), moved
 
 
 def communities(edges: DataFrame, least_weight: int = 1, rounds: int = ROUNDS, levels: int = LEVELS) -> DataFrame:
@@ -66,7 +66,7 @@ def communities(edges: DataFrame, least_weight: int = 1, rounds: int = ROUNDS, l
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     whole = saved(nodes.select("node", F.col("node").alias("theme")), "themes")
     for _ in range(levels if m2 else 0):
-        labels, moved = _level(e, e.select(F.explode(F.array("a", "b")).alias("node")).distinct(), m2, rounds)
+        labels, moved = _level(e, m2, rounds)
         if not moved:
             break
         whole = saved(whole.join(labels.toDF("theme", "to"), "theme").select("node", F.col("to").alias("theme")), "themes")

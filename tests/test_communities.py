@@ -2,7 +2,7 @@ import random
 import zlib
 
 from mnemo.operators import maintain
-from mnemo.operators.communities import communities, modularity
+from mnemo.operators.communities import LEVELS, ROUNDS, communities, modularity
 
 
 def brute_q(edges, label):
@@ -15,7 +15,7 @@ def brute_q(edges, label):
     return inside / m2 - sum(t * t for t in total.values()) / m2**2
 
 
-def plain(edges, rounds=12, levels=6):
+def plain(edges, rounds=ROUNDS, levels=LEVELS):
     e = {}
     for a, b, w in edges:
         k = (min(a, b), max(a, b))
