@@ -67,7 +67,7 @@ class VectorIndex:
 
     @staticmethod
     def build(items: DataFrame, unit: bool = True, k: int | None = None, block: int = BLOCK) -> VectorIndex:
-        """Null vectors and those of another length than the sample's first are left out; unit False compares
+        """Null vectors and those of another length than most of the sample are left out; unit False compares
         by cosine, which makes unit vectors of all but zero ones. A pair of blocks has block * block products at most."""
         vectors = items.select("id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & ~F.exists("vector", lambda v: v.isNull()))
         sample = vectors.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(SAMPLE).toPandas()
@@ -75,9 +75,10 @@ class VectorIndex:
         schema = f"id {id_type}, vector array<double>, list int, along double, across double"
         if not len(sample):
             return VectorIndex(items.sparkSession.createDataFrame([], schema + ", block int"), np.zeros((0, 0)), np.zeros((0, 4)), unit, block)
-        dim = len(sample["vector"].iloc[0])
+        dim = int(sample["vector"].map(len).mode()[0])
         x = _rows(sample["vector"][sample["vector"].map(len) == dim])
-        centres = fit_centres(x, k or max(1, min(LISTS, int(len(x) ** 0.5) // 2)))
+        n = len(sample) if len(sample) < SAMPLE else vectors.count()
+        centres = fit_centres(x, min(len(x), k or max(1, min(LISTS, int(n**0.5) // 8))))
 
         def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -171,19 +172,19 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, k: int = 10, least: float = -1e300, digits: int = 6, same: str = "skip") -> DataFrame:
         """(query, id, similarity): the k most similar rows of each query (query, vector), ties to the least id."""
-        asked = saved(self._ready(queries, least), "queries")
-        order = [F.desc("similarity"), "id"]
-        near = saved(top(self._compare(self._probes(asked, PROBES), k, digits, same), ["query"], order, k), "near")
+        asked, order = self._ready(queries, least), [F.desc("similarity"), "id"]
         if len(self.centres) <= PROBES:
-            return near
+            return top(self._compare(self._probes(asked, PROBES), k, digits, same), ["query"], order, k)
+        asked = saved(asked, "queries")
+        near = saved(top(self._compare(self._probes(asked, PROBES), k, digits, same), ["query"], order, k), "near")
         kth = near.groupBy("query").agg(F.min("similarity").alias("s"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
         rest = asked.join(kth, "query", "left").select("query", "vector", F.coalesce("s", "floor").alias("floor"))
         return top(near.union(self._compare(self._probes(rest, None), k, digits, same)), ["query"], order, k)
 
     def within(self, queries: DataFrame, least: float, digits: int = 6, same: str = "below") -> DataFrame:
         """(query, id, similarity): all rows of at least that similarity; by default each pair once, from its larger id."""
-        asked = saved(self._ready(queries, least), "queries")
-        lists = self._probes(asked, PROBES).where("true") if len(self.centres) <= PROBES else self._probes(asked, PROBES).union(self._probes(asked, None))
+        asked = self._ready(queries, least)
+        lists = self._probes(asked, PROBES) if len(self.centres) <= PROBES else self._probes(asked, PROBES).union(self._probes(asked, None))
         return self._compare(lists, None, digits, same)
 
 
