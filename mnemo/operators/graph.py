@@ -165,13 +165,12 @@ def spread_activation(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay:
     the hop before; activation is the greatest of all contributions. Each hop is one join on the
     frontier and one map-side combined max; scores are rounded so that ties order alike everywhere.
     """
-    ways = saved(both_ways(edges), "ways")
+    ways = both_ways(saved(edges.select("a", "b", "weight"), "edges"))
     score = seeds.groupBy("cue", "entity").agg(F.max("activation").alias("activation"))
     front = score
     for h in range(1, clamp(hops, 1, 2) + 1):
         gain = F.round(F.col("activation") * saturation(F.col("weight")) * decay**h, digits)
         reached = front.join(ways, front["entity"] == ways["src"]).select("cue", F.col("dst").alias("entity"), gain.alias("activation")).groupBy("cue", "entity").agg(F.max("activation").alias("activation"))
-        reached = saved(reached, "reached")
         score = score.union(reached).groupBy("cue", "entity").agg(F.max("activation").alias("activation"))
         front = score.join(reached.select("cue", "entity"), ["cue", "entity"], "left_semi")
     return top(score, ["cue"], [F.desc("activation"), "entity"], top_k)
