@@ -16,12 +16,14 @@ from mnemo.sources import normalize
 
 
 def batch(t: Tables) -> dict[str, DataFrame]:
-    """Orders as chat records of two channels that answer the order with the last digit cut off."""
-    key, day = F.col("o_orderkey").cast("string"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("string")
+    """Orders as chat records of two channels that answer the order with the last digit cut off. A message is
+    written as many microseconds after its order's date as the key says, seconds before the point and six digits after it."""
+    key, million = F.col("o_orderkey").cast("string"), F.lit(1_000_000)
+    second = (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.floor(F.col("o_orderkey") / million)).cast("string")
     o = t.raw("orders")
     first = o.select((F.col("o_orderkey") * 10).alias("k"), F.col("o_orderdate").alias("first"))
     text = F.concat(F.lit("#Team"), F.col("o_custkey") % 5, F.lit(" <@U"), F.col("o_custkey") % 7, F.lit("> "), key)
-    c = o.select(F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("user"), text.alias("text"), F.concat(day, F.lit("."), F.lpad(key, 6, "0")).alias("ts"), F.lit("message").alias("type"), F.lit(None).cast("string").alias("thread_ts"), F.lit(None).cast("string").alias("subtype"), F.lit(None).cast("string").alias("bot_id"), (F.col("o_orderkey") % 2).alias("channel"))
+    c = o.select(F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("user"), text.alias("text"), F.concat(second, F.lit("."), F.lpad((F.col("o_orderkey") % million).cast("string"), 6, "0")).alias("ts"), F.lit("message").alias("type"), F.lit(None).cast("string").alias("thread_ts"), F.lit(None).cast("string").alias("subtype"), F.lit(None).cast("string").alias("bot_id"), (F.col("o_orderkey") % 2).alias("channel"))
     one = normalize.chat(c.where("channel = 0"), "even").unionByName(normalize.chat(c.where("channel = 1"), "odd"))
     return normalize.graph_tables(one)
 
@@ -29,8 +31,11 @@ def batch(t: Tables) -> dict[str, DataFrame]:
 BATCH = """WITH r AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS ch, 'u' || (o_custkey % 50) AS u, epoch(o_orderdate)::BIGINT || '.' || lpad(o_orderkey::VARCHAR, 6, '0') AS stamp, o_orderdate + to_microseconds(o_orderkey) AS ts, 'team' || (o_custkey % 5) AS tag, 'U' || (o_custkey % 7) AS who, '#Team' || (o_custkey % 5) || ' <@U' || (o_custkey % 7) || '> ' || o_orderkey AS text FROM orders),
   a AS (SELECT *, ch || ':' || stamp AS sid FROM r)"""
 
+#: The same with stamps of keys of any length: whole seconds go before the point.
+STAMPED = BATCH.replace("epoch(o_orderdate)::BIGINT || '.' || lpad(o_orderkey::VARCHAR, 6, '0')", "(epoch(o_orderdate)::BIGINT + o_orderkey // 1000000) || '.' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0')")
 
-@query("batch_activities", f"{BATCH} SELECT sid AS source_id, ts, 'message' AS kind, text AS snippet FROM a")
+
+@query("batch_activities", f"{STAMPED} SELECT sid AS source_id, ts, 'message' AS kind, text AS snippet FROM a")
 def _(t):
     return batch(t)["activities"].select("source_id", ntz("timestamp").alias("ts"), "kind", "snippet")
 
