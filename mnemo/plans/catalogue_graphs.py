@@ -60,7 +60,7 @@ def _(t):
     return batch(t)["accounts"].select("source", "account_id", "linked_person_key")
 
 
-@query("batch_from_person", f"{BATCH} SELECT sid AS source_id, 'slack:' || u AS person_key FROM a")
+@query("batch_from_person", f"{STAMPED} SELECT sid AS source_id, 'slack:' || u AS person_key FROM a")
 def _(t):
     return batch(t)["from_person"].select("sid.source_id", "person_key")
 
