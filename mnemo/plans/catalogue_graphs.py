@@ -91,7 +91,7 @@ def _(t):
     return batch(t)["owns"].select("account_id", "sid.source_id")
 
 
-@query("batch_identifies", f"{BATCH} SELECT 'slack:' || u AS person_key, u AS account_id, min(ts) AS first_seen FROM a GROUP BY ALL")
+@query("batch_identifies", f"{STAMPED} SELECT 'slack:' || u AS person_key, u AS account_id, min(ts) AS first_seen FROM a GROUP BY ALL")
 def _(t):
     return batch(t)["identifies"].select("person_key", "account_id", ntz("first_seen").alias("first_seen"))
 
