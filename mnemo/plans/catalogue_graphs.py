@@ -65,7 +65,7 @@ def _(t):
     return batch(t)["from_person"].select("sid.source_id", "person_key")
 
 
-@query("batch_in_container", f"{BATCH} SELECT sid AS source_id, ch AS container_id FROM a")
+@query("batch_in_container", f"{STAMPED} SELECT sid AS source_id, ch AS container_id FROM a")
 def _(t):
     return batch(t)["in_container"].select("sid.source_id", "container_id")
 
