@@ -70,7 +70,7 @@ def _(t):
     return batch(t)["in_container"].select("sid.source_id", "container_id")
 
 
-@query("batch_mentions", f"{BATCH} SELECT sid AS source_id, tag AS name FROM a")
+@query("batch_mentions", f"{STAMPED} SELECT sid AS source_id, tag AS name FROM a")
 def _(t):
     return batch(t)["mentions"].select("sid.source_id", "name")
 
