@@ -75,7 +75,7 @@ def _(t):
     return batch(t)["mentions"].select("sid.source_id", "name")
 
 
-@query("batch_mentions_person", f"{BATCH} SELECT sid AS source_id, who AS mention FROM a")
+@query("batch_mentions_person", f"{STAMPED} SELECT sid AS source_id, who AS mention FROM a")
 def _(t):
     return batch(t)["mentions_person"].select("sid.source_id", "mention")
 
