@@ -86,7 +86,7 @@ def _(t):
     return normalize.graph_tables(normalize.pull_comment(x, "repo"))["replies_to"].select("sid.source_id", F.col("parent.source_id").alias("parent"))
 
 
-@query("batch_owns", f"{BATCH} SELECT u AS account_id, sid AS source_id FROM a")
+@query("batch_owns", f"{STAMPED} SELECT u AS account_id, sid AS source_id FROM a")
 def _(t):
     return batch(t)["owns"].select("account_id", "sid.source_id")
 

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-NAMED = ["batch_activities", "batch_from_person", "batch_identifies", "batch_in_container", "batch_mentions", "batch_mentions_person"]
+NAMED = ["batch_activities", "batch_from_person", "batch_identifies", "batch_in_container", "batch_mentions", "batch_mentions_person", "batch_owns"]
 KEYS = [7, 123_456, 1_000_000, 1_000_001, 10_000_000, 12_345_678, 123_456_780]
 
 
