@@ -104,9 +104,10 @@ def compare(found: DataFrame, a: Column | None = None, b: Column | None = None)
 def adherence(prescriptions: DataFrame, as_of: Column) -> DataFrame:
     """(patient, drug, fills, gaps, gap_days, days_covered, span_days, ratio, label) of refill intervals.
 
-    A gap is counted where an interval ended before the next start; an open interval covers up to as_of.
+    A gap is counted where an interval ended before the next start; an open interval covers up to as_of. Of lines
+    that are alike but for their end, the one that ends first comes first, an open one last.
     """
-    w = Window.partitionBy("patient", "drug").orderBy("start", "encounter", "line")
+    w = Window.partitionBy("patient", "drug").orderBy("start", "encounter", "line", F.asc_nulls_last("stop"))
     x = prescriptions.withColumn("next", F.lead("start").over(w))
     gap = F.when(F.col("stop").isNotNull() & (F.col("next") > F.col("stop")), F.datediff("next", "stop")).otherwise(0)
     covered = F.greatest(F.lit(0), F.datediff(F.coalesce("stop", as_of), "start"))
