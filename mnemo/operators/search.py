@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 BUCKETS, BLOCK_DOCS = 32, 128
 #: Blocks that a query scores first, to learn what its k-th best is at least, and blocks that are scored whole.
 FIRST, FEW = 4, 256
+#: A term that more queries ask for is scored once a set of such terms, if a set has so many queries on the average.
+COMMON, SHARING = 1_000, 8
 
 
 class Index:
@@ -132,7 +134,12 @@ class Index:
             found = asked.groupBy("query", "label", "id").agg((F.floor(F.sum("part") / 1e9 * 10.0**digits + 0.5) / 10.0**digits).alias("score"))
             return top(found.where(F.col("score") > least), ["query", "label"], order, k)
 
-        if few:
+        shared = _shared(q)
+        if shared is not None:
+            hits = post.join(wanted, "term", "left_semi")
+            hits = hits if dead is None else hits.join(dead, ["label", "id", "segment"], "left_anti")
+            ranked = _by_sets(q, *shared, hits.join(weight, ["label", "term"]).select("label", "id", "term", part.alias("part")), k, least, digits)
+        elif few:
             ranked = scored(None)
         else:
             best = heads.join(weight, ["label", "term"]).select(*place, "term", (gain(F.col("most_tf"), F.col("least_n")) + 2e-9).alias("best"))
@@ -157,6 +164,36 @@ class Index:
         return docs.join(last, ["label", "id"]).where("segment < last").select("label", "id", "segment")
 
 
+def _shared(q: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Terms that more than COMMON queries ask for and each query's set of them (query, terms), if a set has SHARING
+    queries or more on the average."""
+    common = q.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("term")
+    if not common.limit(1).count():
+        return None
+    common = saved(common, "common")
+    sets = saved(q.join(common, "term").groupBy("query").agg(F.array_sort(F.collect_list("term")).alias("terms")), "sets")
+    n = sets.agg(F.count("*").alias("queries"), F.count_distinct("terms").alias("sets")).head()
+    return (common, sets) if n.sets * SHARING <= n.queries else None
+
+
+def _by_sets(q: DataFrame, common: DataFrame, sets: DataFrame, parts: DataFrame, k: int, least: float, digits: int) -> DataFrame:
+    """(query, label, id, score) of q (query, term) on parts (label, id, term, part), k best a query and label.
+
+    A set of common terms is scored once for all queries that share it. A query's best are among the k best of
+    its set and the documents that its other terms find: what is not found by those scores no more than k of
+    the set that come before it."""
+    score = lambda c: (F.floor(c / 1e9 * 10.0**digits + 0.5) / 10.0**digits).alias("score")
+    order, doc = [F.desc("score"), "id"], ["label", "id"]
+    each = sets.select("terms").distinct().select("terms", F.explode("terms").alias("term"))
+    base = saved(each.join(parts, "term").groupBy("terms", *doc).agg(F.sum("part").alias("base")), "bases")
+    best = top(base.select("terms", *doc, score(F.col("base"))).where(F.col("score") > least), ["terms", "label"], order, k)
+    own = q.join(common, "term", "left_anti").join(parts, "term").groupBy("query", *doc).agg(F.sum("part").alias("part"))
+    own = own.join(sets, "query", "left").join(base, ["terms", *doc], "left")
+    found = sets.join(best, "terms").select("query", *doc, "score").union(own.select("query", *doc, score(F.col("part") + F.coalesce("base", F.lit(0)))))
+    found = found.groupBy("query", *doc).agg(F.max("score").alias("score"))
+    return top(found.where(F.col("score") > least), ["query", "label"], order, k)
+
+
 def _heads(post: DataFrame) -> DataFrame:
     return post.groupBy("label", "segment", "block", "term").agg(F.count("*").alias("docs"), F.max("tf").alias("most_tf"), F.min("n").alias("least_n"))
 

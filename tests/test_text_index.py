@@ -73,3 +73,16 @@ def test_several_columns_of_a_document(spark):
     t = spark.createDataFrame([("d", 1, "a b"), ("d", 1, "b c"), ("e", 1, "b")], "label string, id long, text string")
     out = search.Index.build(t).search(spark.createDataFrame([(1, "b")], "query long, text string"), 3).collect()
     assert sorted((r.label, r.id) for r in out) == [("d", 1), ("e", 1)]
+
+
+def test_terms_of_all_queries_are_scored_once_a_set(spark, monkeypatch):
+    monkeypatch.setattr(search, "COMMON", 10)
+    rng = random.Random(7)
+    docs = [(i, rng.choice(["supplier", "supplier of", "supplier of supplier", "of"]) + f" n{rng.randrange(60)}") for i in range(80)]
+    queries = sorted({(t, t) for _, t in docs} | {("supplier", "supplier"), ("n3", "n3")})
+    index = search.Index.build(texts(spark, docs))
+    made = []
+    monkeypatch.setattr(search, "_by_sets", lambda *a, f=search._by_sets: made.append(1) or f(*a))
+    got = index.search(spark.createDataFrame(queries, "query string, text string"), 3)
+    near(rows_of(got), brute(docs, queries, 3))
+    assert made  # before, each query met each document of its common terms
