@@ -262,10 +262,14 @@ def seeds(entities: DataFrame, cues: DataFrame, n: int = 5, index: Index | None
     .6; vectors (cue, entity, similarity) from .4 at their similarity. Tokens have three letters or more.
     """
     words = cues.select("cue", F.explode(F.array_distinct(F.filter(terms(F.col("text")), lambda t: F.length(t) >= 3))).alias("text"))
-    found = by_exact_name(entities, cues).withColumn("confidence", F.lit(1.0))
-    grams = NameGrams(entities)
-    for df, p in ((by_name_ci(entities, cues), 1.0), (by_name_ci(entities, words), 0.85), (by_partial_name(entities, cues, grams=grams), 0.7), (by_partial_name(entities, words, grams=grams), 0.6)):
-        found = found.unionByName(df.withColumn("confidence", F.lit(p)))
+    first = top(entities.where("name is not null").select(F.lower("name").alias("name"), "entity").distinct(), ["name"], ["entity"], n)  # equal names weigh alike: no other can be among n
+    known, grams, named = first.select("name").distinct(), NameGrams(entities), None
+    for texts, whole, part in ((cues, 1.0, 0.7), (words, 0.85, 0.6)):
+        low = texts.select("cue", F.lower("text").alias("part")).where("part is not null").distinct()
+        same = low.select("cue", F.col("part").alias("name")).join(known, "name", "left_semi").select("cue", "name", F.lit(whole).alias("confidence"))
+        held = low.join(grams.containing(low.select("part").distinct()), "part").select("cue", "name", F.lit(part).alias("confidence"))
+        named = same.unionByName(held) if named is None else named.unionByName(same).unionByName(held)
+    found = named.groupBy("cue", "name").agg(F.max("confidence").alias("confidence")).join(first, "name").select("cue", "entity", "confidence")
     if index is not None:
         found = found.unionByName(index.search(cues.withColumnRenamed("cue", "query"), n).select(F.col("query").alias("cue"), F.col("id").alias("entity"), F.lit(1.0).alias("confidence")))
     if vectors is not None:
