@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemo.functions.text import access_saturation, fact_sentence, recall_recency, salience_weight, snippet, tier_weight
 from mnemo.operators import graph, search
-from mnemo.operators.frames import between, clamp, only, saved, top, within_budget
+from mnemo.operators.frames import between, clamp, dealt, only, saved, top, within_budget
 
 
 def tier(created: Column, accesses: Column, as_of: Column) -> Column:
@@ -77,10 +77,11 @@ def co_retrieval(accesses: DataFrame, mentions: DataFrame) -> DataFrame:
     return m.select("atom", F.col("entity").alias("a"), "n").join(m.select("atom", F.col("entity").alias("b")), "atom").where("a < b").groupBy("a", "b").agg(F.sum("n").alias("weight"))
 
 
-def bump(edges: DataFrame, more: DataFrame) -> DataFrame:
-    """Associations with weights added, pairs in canonical order, self pairs dropped."""
+def bump(edges: DataFrame, more: DataFrame, rows: int | None = None) -> DataFrame:
+    """Associations with weights added, pairs in canonical order, self pairs dropped. Dealt as for so many rows, if
+    that is given."""
     both = edges.select("a", "b", "weight").union(more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight"))
-    return both.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    return dealt(both, rows, "a", "b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
 def context_packet(queries: DataFrame, index: search.Index, touches: DataFrame, activities: DataFrame, edges: DataFrame, start=None, end=None, n_anchors: int = 5, least: float = 0.3, limit: int = 20, budget: int = 8000) -> dict[str, DataFrame]:

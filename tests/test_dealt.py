@@ -2,7 +2,7 @@
 
 import pytest
 
-from mnemo.operators import frames
+from mnemo.operators import frames, recall
 from mnemo.plans.roles import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +18,11 @@ def test_mentions(tables):
     lines = tables.raw("lineitem").count()
     assert tables.mentions().rdd.getNumPartitions() >= lines // 500
     assert tables.mentions().count() == tables.raw("lineitem").select("l_orderkey", "l_partkey").distinct().count()
+
+
+def test_associations(tables):
+    lines = tables.raw("lineitem").count()
+    assert tables.assoc().rdd.getNumPartitions() >= 2 * lines // 500
+    out = recall.bump(tables.assoc(), tables.assoc(), 2 * lines)
+    assert out.rdd.getNumPartitions() >= 2 * lines // 500
+    assert out.agg({"weight": "sum"}).head()[0] == 2 * tables.assoc().agg({"weight": "sum"}).head()[0]
