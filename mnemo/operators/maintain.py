@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.operators.frames import saved, top
+from mnemo.operators.frames import dealt, saved, top
 from mnemo.operators.search import nearest
 from mnemo.operators.vectors import VectorIndex, near_copies  # noqa: F401  near_copies is the pass over all atoms
 
@@ -145,11 +145,12 @@ def near_duplicates(vectors: DataFrame, queries: DataFrame, least: float = 0.92)
     return VectorIndex.build(vectors).within(queries.withColumnRenamed("id", "query"), least, 5).select(F.col("query").alias("a"), F.col("id").alias("b"), "similarity")
 
 
-def summaries_due(mentions: DataFrame, atoms: DataFrame, least_atoms: int = 5) -> DataFrame:
-    """(week, a, b, atoms): entity pairs that at least five atoms of a week share; pairs within an atom only."""
+def summaries_due(mentions: DataFrame, atoms: DataFrame, least_atoms: int = 5, pairs: int | None = None) -> DataFrame:
+    """(week, a, b, atoms): entity pairs that at least five atoms of a week share; pairs within an atom only. They
+    are dealt as for so many pairs, if that is given."""
     m = mentions.select("atom", "entity").distinct().join(atoms.select("atom", F.date_trunc("week", "created_at").alias("week")), "atom")
     p = m.select("atom", "week", F.col("entity").alias("a")).join(m.select("atom", F.col("entity").alias("b")), "atom").where("a < b")
-    return p.groupBy("week", "a", "b").agg(F.count("*").alias("atoms")).where(F.col("atoms") >= least_atoms)
+    return dealt(p.select("week", "a", "b"), pairs, "a", "b").groupBy("week", "a", "b").agg(F.count("*").alias("atoms")).where(F.col("atoms") >= least_atoms)
 
 
 def summarizes(mentions: DataFrame, atoms: DataFrame, due: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from mnemo.operators import frames, recall
+from mnemo.operators import frames, maintain, recall
 from mnemo.plans.roles import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +26,9 @@ def test_associations(tables):
     out = recall.bump(tables.assoc(), tables.assoc(), 2 * lines)
     assert out.rdd.getNumPartitions() >= 2 * lines // 500
     assert out.agg({"weight": "sum"}).head()[0] == 2 * tables.assoc().agg({"weight": "sum"}).head()[0]
+
+
+def test_summaries(tables):
+    out = maintain.summaries_due(tables.mentions(), tables.atoms(), 1, tables.pairs())
+    assert out.rdd.getNumPartitions() >= tables.pairs() // 500
+    assert out.agg({"atoms": "sum"}).head()[0] == tables.assoc().agg({"weight": "sum"}).head()[0]
