@@ -73,3 +73,14 @@ def test_network_with_its_edges(spark):
             inside += [(r, a, b, w) for (a, b), w in pairs.items() if a in keep and b in keep]
         assert got == sorted(want)
         assert sorted(tuple(r) for r in graph.network_edges(e, nodes).collect()) == sorted(inside)
+
+
+def test_impact_looks_move_lists_and_lone_steps_meet_once(spark):
+    rng = random.Random(9)
+    edges = [(a, b) for a in range(60) for b in range(60) if a != b and rng.random() < 0.3]
+    a, roots = graph.Adjacency(frame(spark, edges)), spark.createDataFrame([(r,) for r in range(0, 60, 2)], "root long")
+    have = set(edges)
+    assert {tuple(r) for r in a.lone(roots).collect()} == {(b, x) for x, b in have if b % 2 == 0 and (b, x) not in have}
+    left = {tuple(r) for r in a.unmet(a.first(roots), a.lone(roots)).collect()}
+    assert left == {(b, x) for x, b in have if b % 2 == 0 and (b, x) not in have and not any((b, m) in have and (m, x) in have for m in range(60))}
+    assert a.lists.count() == len({x for x, _ in have})  # a row a node, not a step
