@@ -2,7 +2,7 @@
 
 import pytest
 
-from mnemo.operators import frames, maintain, recall
+from mnemo.operators import frames, graph, maintain, portfolio, recall
 from mnemo.plans.roles import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +32,10 @@ def test_summaries(tables):
     out = maintain.summaries_due(tables.mentions(), tables.atoms(), 1, tables.pairs())
     assert out.rdd.getNumPartitions() >= tables.pairs() // 500
     assert out.agg({"atoms": "sum"}).head()[0] == tables.assoc().agg({"weight": "sum"}).head()[0]
+
+
+def test_entity_detail(tables):
+    e, m, a = tables.assoc(), tables.mentions(), tables.atoms()
+    out = graph.entity_detail(e, m, a, tables.entities(), pairs=tables.pairs(), lines=tables.lines())
+    assert out.rdd.getNumPartitions() >= (2 * tables.pairs() + tables.lines()) // 500
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in graph.entity_detail(e, m, a, tables.entities()).collect()}
