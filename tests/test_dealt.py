@@ -39,3 +39,10 @@ def test_entity_detail(tables):
     out = graph.entity_detail(e, m, a, tables.entities(), pairs=tables.pairs(), lines=tables.lines())
     assert out.rdd.getNumPartitions() >= (2 * tables.pairs() + tables.lines()) // 500
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in graph.entity_detail(e, m, a, tables.entities()).collect()}
+
+
+def test_shared_packages(tables):
+    out = portfolio.shared_packages(tables.uses())
+    rows = tables.uses().select("project", "dep").distinct().groupBy("dep").count().selectExpr("sum(count * (count - 1) div 2)").head()[0]
+    assert out.rdd.getNumPartitions() >= rows // 500
+    assert out.agg({"shared": "sum"}).head()[0] == rows
