@@ -90,3 +90,15 @@ def test_near_copies_keep_every_link(spark):
             if abs(ts[i] - ts[j]) <= dt.timedelta(days=30) and round(float(vec[i] @ vec[j]), 5) > 0.92:
                 assert top(i) == top(j)
     assert len(out) < 5 * len(ts)
+
+
+def test_a_query_moves_once_a_shelf_and_not_once_a_list(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16))  # without clusters no list is cut
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = list(enumerate(x))
+    index = VectorIndex.build(frame(spark, rows), k=30, block=100)
+    probes = index._probes(index._ready(frame(spark, rows, "query"), -9.0))
+    assert len(index.centres) == 30 and probes.count() <= 5 * len(rows)
+    assert rows_of(index.search(frame(spark, rows, "query"), 7)) == brute(rows, rows, 7)
+    assert rows_of(index.search(frame(spark, rows, "query"), 300, 0.3)) == brute(rows, rows, 300, 0.3)
