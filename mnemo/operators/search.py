@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ BUCKETS, BLOCK_DOCS = 32, 128
 FIRST, FEW = 4, 256
 #: A term that more queries ask for is scored once a set of such terms, if a set has so many queries on the average.
 COMMON, SHARING = 1_000, 8
+#: Documents that a task of search_once holds, on the average, and (query, document) cells that it sums at once.
+CHUNK_DOCS, CELLS = 2_048, 1 << 17
 
 
 class Index:
@@ -48,10 +52,7 @@ class Index:
         """Adds documents that are new or whose text changed; others are neither tokenised nor written. Returns
         the number of the segment, None if nothing changed."""
         manifest = self.store.manifest()
-        whole = texts.select("label", "id", F.coalesce("text", F.lit("")).alias("text"))
-        if _repeated(whole):
-            whole = whole.groupBy("label", "id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
-        new = whole.withColumn("hash", F.xxhash64("text"))
+        new = _whole(texts).withColumn("hash", F.xxhash64("text"))
         segment, old = 1 + len(manifest["tables"].get("sizes", {"parts": {}})["parts"].get("0", [])), None
         if "documents" in manifest["tables"]:
             old = self._live(manifest)
@@ -202,6 +203,79 @@ def _repeated(texts: DataFrame) -> bool:
     return bool(texts.groupBy("label", "id").count().where("count > 1").limit(1).count())
 
 
+def _whole(texts: DataFrame) -> DataFrame:
+    """One text a document; null texts are empty."""
+    whole = texts.select("label", "id", F.coalesce("text", F.lit("")).alias("text"))
+    if _repeated(whole):
+        whole = whole.groupBy("label", "id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    return whole
+
+
+def search_once(texts: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, digits: int = 6) -> DataFrame:
+    """(query, label, id, score): what Index.build(texts).search(queries, k, least) gives, for texts that are searched
+    only this once. Nothing is indexed: every text is tokenised, and only postings of asked terms are kept.
+
+    Documents are dealt over chunks; a chunk's postings meet all queries and give the k best of each query. Queries are
+    copied to every chunk, so for very many of them an Index is better."""
+    asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    q = saved(asked, "asked")
+    wanted = saved(q.select("term").union(q.sparkSession.range(1).select(F.lit("").alias("term"))).distinct(), "wanted")  # no term is empty: a row a document, for sizes
+    whole = _whole(texts)
+    docs = whole.count()
+    chunks = max(1, -(-docs // CHUNK_DOCS), min(-(-docs // BLOCK_DOCS), q.sparkSession.sparkContext.defaultParallelism))
+    chunk = F.pmod(F.xxhash64("label", F.col("id").cast("string")), F.lit(chunks)).cast("int").alias("chunk")
+    tok = whole.select("label", chunk, "id", "text").repartition(chunks, "chunk").select("label", "chunk", "id", terms(F.col("text")).alias("t"))
+    tok = tok.select("label", "chunk", "id", F.size("t").cast("long").alias("n"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    post = saved(tok.join(wanted, "term", "left_semi").groupBy("label", "chunk", "id", "n", "term").agg(F.count("*").alias("tf")), "postings")
+    sizes = post.where("term = ''").groupBy("label").agg(F.count("*").alias("all_docs"), F.sum("n").alias("total"))
+    post = post.where("term <> ''")
+    idf = F.log(1 + (F.col("all_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = saved(post.groupBy("label", "term").agg(F.count("*").alias("df")).join(sizes, "label").select("label", "term", idf.alias("idf"), "all_docs", "total"), "weights")
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") * F.col("all_docs") / F.col("total")))
+    parts = post.join(weight, ["label", "term"]).select("label", "chunk", "id", "term", F.floor(gain * 1e9 + 0.5).alias("part")).repartition(chunks, "label", "chunk")
+    places = weight.select("label").distinct().select("label", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    told = q.crossJoin(places).repartition(chunks, "label", "chunk")
+    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *parts.schema]}
+
+    def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = [_best_of(p, q, k, least, digits)] if len(p) and len(q) else []
+        return found[0] if found else pd.DataFrame({"query": q["query"][:0], "label": p["label"][:0], "id": p["id"][:0], "score": np.zeros(0)})
+
+    ranked = parts.groupBy("label", "chunk").cogroup(told.groupBy("label", "chunk")).applyInPandas(best, f"query {kinds['query']}, label string, id {kinds['id']}, score double")
+    return top(ranked, ["query", "label"], [F.desc("score"), "id"], k)
+
+
+def _best_of(p: pd.DataFrame, q: pd.DataFrame, k: int, least: float, digits: int) -> pd.DataFrame:
+    """The k best of one chunk: p (label, id, term, part) of one label, q (query, term). Parts are whole billionths, whose sums
+    are exact in double."""
+    ids, doc = np.unique(p["id"].to_numpy(), return_inverse=True)
+    code, names = pd.factorize(p["term"])
+    order = np.argsort(code, kind="stable")
+    doc, part, count = doc[order], p["part"].to_numpy()[order].astype(np.float64), np.bincount(code, minlength=len(names))
+    start = np.cumsum(count) - count
+    asks, who = np.unique(q["query"].to_numpy(), return_inverse=True)
+    term = pd.Index(names).get_indexer(q["term"])
+    who, term = who[term >= 0], term[term >= 0]
+    step, out = max(1, CELLS // len(ids)), []
+    for low in range(0, len(asks), step):
+        own = (who >= low) & (who < low + step)
+        w, t = who[own] - low, term[own]
+        n, rows = count[t], min(step, len(asks) - low)
+        at = np.arange(n.sum()) + np.repeat(start[t] - (np.cumsum(n) - n), n)  # places of all postings of the terms
+        cell = np.repeat(w, n) * len(ids) + doc[at]
+        total = np.bincount(cell, part[at], rows * len(ids)).reshape(rows, -1)
+        hit = total > 0 if least >= 0 else np.bincount(cell, minlength=rows * len(ids)).reshape(rows, -1) > 0
+        score = np.where(hit, np.floor(total / 1e9 * 10.0**digits + 0.5) / 10.0**digits, -np.inf)
+        hit &= score > least
+        if len(ids) > k:
+            hit &= score >= np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
+        row, col = np.nonzero(hit)
+        out.append(pd.DataFrame({"query": asks[row + low], "id": ids[col], "score": score[row, col], "row": row + low}))
+    found = pd.concat(out).sort_values(["row", "score", "id"], ascending=[True, False, True], kind="stable")
+    found = found[found.groupby("row").cumcount() < k]
+    return found.assign(label=p["label"].iloc[0])[["query", "label", "id", "score"]]
+
+
 def by_exact_name(entities: DataFrame, cues: DataFrame) -> DataFrame:
     """(cue, entity): equal names, the least id where several match."""
     return cues.join(entities, F.col("text") == F.col("name")).groupBy("cue").agg(F.min("entity").alias("entity"))

@@ -86,3 +86,30 @@ def test_terms_of_all_queries_are_scored_once_a_set(spark, monkeypatch):
     got = index.search(spark.createDataFrame(queries, "query string, text string"), 3)
     near(rows_of(got), brute(docs, queries, 3))
     assert made  # before, each query met each document of its common terms
+
+
+def test_one_search_equals_the_rule_and_saves_no_index(spark, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK_DOCS", 30)
+    monkeypatch.setattr(search, "CELLS", 200)
+    monkeypatch.setattr(search.Index, "update", lambda *a: 1 / 0)  # before, the query wrote postings of all terms
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, weights, k=rng.randrange(1, 25)))) for i in range(260)] + [(300, None), (301, ""), (302, "w0"), (303, "w0")]
+    queries = [(q, " ".join(rng.choices(words, weights, k=5))) for q in range(30)] + [(98, "w0"), (99, "unknown")]
+    q = spark.createDataFrame(queries, "query long, text string")
+    near(rows_of(search.search_once(texts(spark, docs), q, 6)), brute(docs, queries, 6))
+    two = texts(spark, docs).union(texts(spark, docs[:50]).replace("d", "e", ["label"])).union(texts(spark, [(7, "w39 w39")]))
+    got = search.search_once(two, q, 300)
+    whole = [(i, f"{t} w39 w39" if i == 7 else t) for i, t in docs]
+    near(rows_of(got.where("label = 'd'")), brute(whole, queries, 300))
+    near(rows_of(got.where("label = 'e'")), brute(docs[:50], queries, 300))
+    assert search.search_once(texts(spark, []), q).collect() == []
+    assert search.search_once(texts(spark, docs), q.limit(0)).collect() == []
+
+
+def test_registered_search_makes_no_postings_of_terms_that_are_not_asked(spark, monkeypatch):
+    from mnemo.plans import catalogue
+
+    monkeypatch.setattr(search.Index, "build", lambda *a: 1 / 0)
+    assert catalogue.QUERIES["bm25_search"](spark, "/root/testdata/sf0.001").count() > 0
