@@ -55,11 +55,13 @@ def _level(edges: DataFrame, m2: float, rounds: int) -> tuple[DataFrame, bool]:
     return now.select("node", "theme"), moved
 
 
-def communities(edges: DataFrame, least_weight: int = 1, rounds: int = ROUNDS, levels: int = LEVELS) -> DataFrame:
+def communities(edges: DataFrame, least_weight: int = 1, rounds: int = ROUNDS, levels: int = LEVELS, once: bool = False) -> DataFrame:
     """(node, theme) of undirected edges (a, b, weight) with whole-number nodes; a theme is named by its least node.
 
     Weights are summed for repeated edges; edges under least_weight and nulls are left out; ties go to the
-    own community, then to the least. A round shuffles edges by node; state is in tables."""
+    own community, then to the least. A round shuffles edges by node; state is in tables. once: no pair is repeated,
+    either way round, so weak edges are left out before edges are shuffled and grouped, which hardly combines them."""
+    edges = edges.where(F.col("weight") >= least_weight) if once else edges
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     e = saved(edges.where("a is not null and b is not null").groupBy(low, high).agg(F.sum("weight").alias("weight")).where(F.col("weight") >= least_weight), "edges")
     m2 = float(2 * (e.agg(F.sum("weight")).head()[0] or 0))

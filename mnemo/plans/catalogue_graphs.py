@@ -210,4 +210,4 @@ def _(t):
 @query("theme_communities")
 def _(t):
     """Themes of entities by modularity over associations of weight 2 and more."""
-    return communities(t.assoc(), 2)
+    return communities(t.assoc(), 2, once=True)

@@ -91,3 +91,15 @@ def test_two_cliques_and_nothing(spark):
     assert {r.node: r.theme for r in communities(frame(spark, edges)).collect()} == {x: x - x % 10 for k in (0, 10) for x in range(k, k + 5)}
     assert communities(frame(spark, [])).collect() == []
     assert {r.node: r.theme for r in communities(frame(spark, [(4, 4, 3), (7, 4, 1), (None, 7, 1)])).collect()}.keys() == {4, 7}
+
+
+def test_weak_edges_of_pairs_named_once_are_not_grouped(spark, monkeypatch):
+    from mnemo.plans import catalogue, catalogue_graphs
+
+    edges = frame(spark, [(1, 2, 1), (2, 1, 1), (3, 4, 2)])
+    assert {r.node for r in communities(edges, 2).collect()} == {1, 2, 3, 4}
+    assert {r.node for r in communities(edges, 2, once=True).collect()} == {3, 4}  # left out before sums are made
+    told = []
+    monkeypatch.setattr(catalogue_graphs, "communities", lambda edges, least, **how: told.append(how) or edges)
+    pairs = catalogue.QUERIES["theme_communities"](spark, "/root/testdata/sf0.001")
+    assert told == [{"once": True}] and pairs.where("a >= b").count() == 0 and pairs.groupBy("a", "b").count().where("count > 1").count() == 0
