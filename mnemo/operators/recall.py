@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,21 @@ def working_memory(atoms: DataFrame, scope: list, order: str = "last_accessed",
     return top(atoms, scope, [F.desc_nulls_last(order) if newest else F.asc_nulls_last(order), "atom"], clamp(limit, 1, 50))
 
 
-def associate(cues: DataFrame, entities: DataFrame, edges: DataFrame, mentions: DataFrame, atoms: DataFrame, as_of: Column, limit: int = 30, n_seeds: int = 5, n_spread: int = 30, seeds: DataFrame | None = None, index: search.Index | None = None, vectors: DataFrame | None = None, saturate: bool = False) -> DataFrame:
+def associate(cues: DataFrame, entities: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], mentions: DataFrame, atoms: DataFrame | Callable[[DataFrame], DataFrame], as_of: Column, limit: int = 30, n_seeds: int = 5, n_spread: int = 30, seeds: DataFrame | None = None, index: search.Index | DataFrame | None = None, vectors: DataFrame | None = None, saturate: bool = False) -> DataFrame:
     """(cue, atom, score, matches): cue -> seeds -> two-hop spread -> atoms that mention what is active.
 
     score = sum(prominence * activation) * recency * salience * tier; atoms carry created_at, salience,
-    tier. All cues run in one plan. A text index of entity names and vectors (cue, entity, similarity) add
-    to the seeds; with saturate the score is damped by access_count, so that atoms that are read often do not
-    stay in front for that alone.
+    tier. Cues meet few entities and atoms of large tables, so edges may be a function (see spread_activation) and so
+    may atoms, of distinct keys (atom); mentions are cut to active entities before they are grouped or joined.
+    A text index of entity names, or the names (label, id, text) if they are searched only this once, and vectors
+    (cue, entity, similarity) add to the seeds; with saturate the score is damped by access_count, so that atoms
+    that are read often do not stay in front for that alone.
     """
     s = seeds if seeds is not None else search.seeds(entities, cues, n_seeds, index, vectors)
-    active = graph.spread_activation(edges, s.withColumnRenamed("confidence", "activation"), 2, 0.5, n_spread)
+    active = saved(graph.spread_activation(edges, s.withColumnRenamed("confidence", "activation"), 2, 0.5, n_spread), "active")
     part = F.round(F.coalesce(F.col("prominence").cast("double"), F.lit(0.5)) * F.col("activation"), 9).cast("decimal(20,9)")
-    raw = mentions.join(active, "entity").groupBy("cue", "atom").agg(F.sum(part).cast("double").alias("raw"), F.count_distinct("entity").alias("matches"))
-    scored = raw.join(atoms, "atom").withColumn("score", F.round(F.col("raw") * recall_recency(as_of, F.col("created_at")) * salience_weight(F.col("salience")) * tier_weight(F.col("tier")) * (access_saturation(F.coalesce("access_count", F.lit(0))) if saturate else F.lit(1.0)), 6))
+    raw = saved(only(mentions, active, "entity").join(active, "entity").groupBy("cue", "atom").agg(F.sum(part).cast("double").alias("raw"), F.count_distinct("entity").alias("matches")), "raw")
+    scored = raw.join(atoms if isinstance(atoms, DataFrame) else atoms(raw.select("atom").distinct()), "atom").withColumn("score", F.round(F.col("raw") * recall_recency(as_of, F.col("created_at")) * salience_weight(F.col("salience")) * tier_weight(F.col("tier")) * (access_saturation(F.coalesce("access_count", F.lit(0))) if saturate else F.lit(1.0)), 6))
     return top(scored, ["cue"], [F.desc("score"), "atom"], clamp(limit, 1, 30)).select("cue", "atom", "score", "matches")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mnemo.functions.text import terms
 from mnemo.operators.frames import latest, saved, scratch, top
 from mnemo.operators.store import Store, _ddl
-from mnemo.operators.vectors import BLOCK, VectorIndex
+from mnemo.operators.vectors import BLOCK, TILE, VectorIndex
 
 K1, B = 1.2, 0.75
 
@@ -23,6 +23,8 @@ BUCKETS, BLOCK_DOCS = 32, 128
 FIRST, FEW = 4, 256
 #: A term that more queries ask for is scored once a set of such terms, if a set has so many queries on the average.
 COMMON, SHARING = 1_000, 8
+#: Vectors that ask at most, for which no lists are fitted: to deal all items into lists costs more than to compare them.
+FEW_QUERIES = 1_000
 #: Documents that a task of search_once holds, on the average, and (query, document) cells that it sums at once.
 CHUNK_DOCS, CELLS = 2_048, 1 << 17
 
@@ -211,26 +213,35 @@ def _whole(texts: DataFrame) -> DataFrame:
     return whole
 
 
-def search_once(texts: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, digits: int = 6) -> DataFrame:
+def search_once(texts: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, digits: int = 6, equal: bool = False) -> DataFrame:
     """(query, label, id, score): what Index.build(texts).search(queries, k, least) gives, for texts that are searched
     only this once. Nothing is indexed: every text is tokenised, and only postings of asked terms are kept.
 
     Documents are dealt over chunks; a chunk's postings meet all queries and give the k best of each query. Queries are
-    copied to every chunk, so for very many of them an Index is better."""
+    copied to every chunk, so for very many of them an Index is better.
+
+    equal: many texts are equal, so that each is searched once, under its least id, and counted as often as it stands.
+    Equal texts score alike, so a query's k best are among the k least ids of its k best texts."""
     asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     q = saved(asked, "asked")
     wanted = saved(q.select("term").union(q.sparkSession.range(1).select(F.lit("").alias("term"))).distinct(), "wanted")  # no term is empty: a row a document, for sizes
-    whole = _whole(texts)
+    whole, firsts = _whole(texts), None
+    if equal:
+        firsts = saved(top(whole, ["label", "text"], ["id"], k, "r"), "firsts")
+        copies = whole.groupBy("label", "text").agg(F.count("*").alias("copies"))
+        whole = saved(firsts.where("r = 1").join(copies, ["label", "text"]).select("label", "id", "text", "copies"), "texts")
+    else:
+        whole = whole.withColumn("copies", F.lit(1).cast("long"))
     docs = whole.count()
     chunks = max(1, -(-docs // CHUNK_DOCS), min(-(-docs // BLOCK_DOCS), q.sparkSession.sparkContext.defaultParallelism))
     chunk = F.pmod(F.xxhash64("label", F.col("id").cast("string")), F.lit(chunks)).cast("int").alias("chunk")
-    tok = whole.select("label", chunk, "id", "text").repartition(chunks, "chunk").select("label", "chunk", "id", terms(F.col("text")).alias("t"))
-    tok = tok.select("label", "chunk", "id", F.size("t").cast("long").alias("n"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
-    post = saved(tok.join(wanted, "term", "left_semi").groupBy("label", "chunk", "id", "n", "term").agg(F.count("*").alias("tf")), "postings")
-    sizes = post.where("term = ''").groupBy("label").agg(F.count("*").alias("all_docs"), F.sum("n").alias("total"))
+    tok = whole.select("label", chunk, "id", "copies", "text").repartition(chunks, "chunk").select("label", "chunk", "id", "copies", terms(F.col("text")).alias("t"))
+    tok = tok.select("label", "chunk", "id", "copies", F.size("t").cast("long").alias("n"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    post = saved(tok.join(wanted, "term", "left_semi").groupBy("label", "chunk", "id", "copies", "n", "term").agg(F.count("*").alias("tf")), "postings")
+    sizes = post.where("term = ''").groupBy("label").agg(F.sum("copies").alias("all_docs"), F.sum(F.col("n") * F.col("copies")).alias("total"))
     post = post.where("term <> ''")
     idf = F.log(1 + (F.col("all_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = saved(post.groupBy("label", "term").agg(F.count("*").alias("df")).join(sizes, "label").select("label", "term", idf.alias("idf"), "all_docs", "total"), "weights")
+    weight = saved(post.groupBy("label", "term").agg(F.sum("copies").alias("df")).join(sizes, "label").select("label", "term", idf.alias("idf"), "all_docs", "total"), "weights")
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") * F.col("all_docs") / F.col("total")))
     parts = post.join(weight, ["label", "term"]).select("label", "chunk", "id", "term", F.floor(gain * 1e9 + 0.5).alias("part")).repartition(chunks, "label", "chunk")
     places = weight.select("label").distinct().select("label", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
@@ -242,7 +253,12 @@ def search_once(texts: DataFrame, queries: DataFrame, k: int = 10, least: float
         return found[0] if found else pd.DataFrame({"query": q["query"][:0], "label": p["label"][:0], "id": p["id"][:0], "score": np.zeros(0)})
 
     ranked = parts.groupBy("label", "chunk").cogroup(told.groupBy("label", "chunk")).applyInPandas(best, f"query {kinds['query']}, label string, id {kinds['id']}, score double")
-    return top(ranked, ["query", "label"], [F.desc("score"), "id"], k)
+    ranked = top(ranked, ["query", "label"], [F.desc("score"), "id"], k)
+    if not equal:
+        return ranked
+    own = whole.select("label", "text", F.col("id").alias("least")).join(firsts.select("label", "text", "id"), ["label", "text"])
+    found = ranked.withColumnRenamed("id", "least").join(own, ["label", "least"]).select("query", "label", "id", "score")
+    return top(found, ["query", "label"], [F.desc("score"), "id"], k)
 
 
 def _best_of(p: pd.DataFrame, q: pd.DataFrame, k: int, least: float, digits: int) -> pd.DataFrame:
@@ -329,10 +345,10 @@ def by_partial_name(entities: DataFrame, cues: DataFrame, least: int = 2, grams:
     return texts.join(hit, "part").join(entities.select("entity", F.lower("name").alias("name")), "name").select("cue", "entity")
 
 
-def seeds(entities: DataFrame, cues: DataFrame, n: int = 5, index: Index | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def seeds(entities: DataFrame, cues: DataFrame, n: int = 5, index: Index | DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(cue, entity, confidence): the best of six lookups, the first n of each cue.
 
-    Text index, exact and case-insensitive names 1.0; a token as a name .85; a part .7; a token as a part
+    Text index (or texts (label, id, text) to search once), exact and case-insensitive names 1.0; a token as a name .85; a part .7; a token as a part
     .6; vectors (cue, entity, similarity) from .4 at their similarity. Tokens have three letters or more.
     """
     words = cues.select("cue", F.explode(F.array_distinct(F.filter(terms(F.col("text")), lambda t: F.length(t) >= 3))).alias("text"))
@@ -345,7 +361,9 @@ def seeds(entities: DataFrame, cues: DataFrame, n: int = 5, index: Index | None
         named = same.unionByName(held) if named is None else named.unionByName(same).unionByName(held)
     found = named.groupBy("cue", "name").agg(F.max("confidence").alias("confidence")).join(first, "name").select("cue", "entity", "confidence")
     if index is not None:
-        found = found.unionByName(index.search(cues.withColumnRenamed("cue", "query"), n).select(F.col("query").alias("cue"), F.col("id").alias("entity"), F.lit(1.0).alias("confidence")))
+        asked = cues.withColumnRenamed("cue", "query")
+        hits = search_once(index, asked, n, equal=True) if isinstance(index, DataFrame) else index.search(asked, n)
+        found = found.unionByName(hits.select(F.col("query").alias("cue"), F.col("id").alias("entity"), F.lit(1.0).alias("confidence")))
     if vectors is not None:
         found = found.unionByName(vectors.where("similarity >= 0.4").select("cue", "entity", F.col("similarity").alias("confidence")))
     return top(found.groupBy("cue", "entity").agg(F.max("confidence").alias("confidence")), ["cue"], [F.desc("confidence"), "entity"], n)
@@ -353,7 +371,11 @@ def seeds(entities: DataFrame, cues: DataFrame, n: int = 5, index: Index | None
 
 def nearest(items: DataFrame, queries: DataFrame, k: int = 10, least: float = -1e300, unit: bool = True, digits: int = 6, bound: int = BLOCK) -> DataFrame:
     """(query, id, similarity): the k most similar items (id, vector) of each query (query, vector), by inverted
-    lists that are built here; searches that share items should build a VectorIndex once. bound: rows of a block."""
+    lists that are built here, or without lists for few queries; searches that share items should build a VectorIndex
+    once. bound: rows of a block."""
+    queries = saved(queries, "queries")
+    if unit and queries.count() <= FEW_QUERIES:
+        return VectorIndex.plain(items, min(bound, TILE)).search(queries, k, least, digits)
     return VectorIndex.build(items, unit, block=bound).search(queries, k, least, digits)
 
 

@@ -47,3 +47,19 @@ def test_edges_are_not_made_if_seeds_fill_every_cut(spark):
     seeds = spark.range(20).select((F.col("id") % 2).alias("cue"), F.col("id").alias("entity"), F.lit(1.0).alias("activation"))
     got = graph.spread_activation(edges, seeds, 2, 0.5, 4)
     assert sorted((r.cue, r.entity) for r in got.collect()) == [(0, 0), (0, 2), (0, 4), (0, 6), (1, 1), (1, 3), (1, 5), (1, 7)]
+
+
+@pytest.mark.parametrize("k,least", [(3, 1.0), (12, 0.2), (60, 0.01)])
+def test_a_function_is_asked_for_the_ways_of_what_goes_on(spark, k, least):
+    rng = random.Random(100 + k)
+    edges = [(a, b, rng.randrange(1, 9)) for a in range(50) for b in range(a + 1, 50) if rng.random() < 0.12]
+    seeds = [(c, rng.randrange(50), rng.choice([least, 1.0, 0.6])) for c in range(3) for _ in range(1 + 3 * c)]
+    ways, asked = graph.both_ways(spark.createDataFrame(edges, "a long, b long, weight long")), []
+
+    def of(nodes):
+        asked.append({r.entity for r in nodes.collect()})
+        return ways.join(nodes.withColumnRenamed("entity", "src"), "src", "left_semi")
+
+    got = graph.spread_activation(of, spark.createDataFrame(seeds, "cue long, entity long, activation double"), 2, 0.5, k)
+    assert sorted((r.cue, r.entity, round(r.activation, 9)) for r in got.collect()) == brute(edges, seeds, 2, k)
+    assert asked[0] <= {e for _, e, _ in seeds}

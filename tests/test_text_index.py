@@ -113,3 +113,20 @@ def test_registered_search_makes_no_postings_of_terms_that_are_not_asked(spark,
 
     monkeypatch.setattr(search.Index, "build", lambda *a: 1 / 0)
     assert catalogue.QUERIES["bm25_search"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(9)]
+    names = [" ".join(rng.choices(words, k=rng.randrange(1, 4))) for _ in range(25)]
+    docs = [(i, rng.choice([*names, None, ""])) for i in rng.sample(range(2000), 600)] + [(3000, "w1 w1 w1 w1"), (3001, "only this")]
+    queries = [(q, " ".join(rng.choices(words, k=2))) for q in range(20)] + [(98, "this"), (99, "unknown")]
+    q, kept = spark.createDataFrame(queries, "query long, text string"), []
+    monkeypatch.setattr(search, "saved", lambda df, tag, f=search.saved: kept.append((tag, f(df, tag))) or kept[-1][1])
+    two = texts(spark, docs).union(texts(spark, docs[:70]).replace("d", "e", ["label"]))
+    for k in (1, 4, 300):
+        got = search.search_once(two, q, k, equal=True)
+        near(rows_of(got.where("label = 'd'")), brute(docs, queries, k))
+        near(rows_of(got.where("label = 'e'")), brute(docs[:70], queries, k))
+        assert dict(kept)["postings"].where("term = '' and label = 'd'").count() == len({t or "" for _, t in docs})  # before: a row a document
+    assert search.search_once(texts(spark, []), q, equal=True).collect() == []

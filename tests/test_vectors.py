@@ -102,3 +102,22 @@ def test_a_query_moves_once_a_shelf_and_not_once_a_list(spark):
     assert len(index.centres) == 30 and probes.count() <= 5 * len(rows)
     assert rows_of(index.search(frame(spark, rows, "query"), 7)) == brute(rows, rows, 7)
     assert rows_of(index.search(frame(spark, rows, "query"), 300, 0.3)) == brute(rows, rows, 300, 0.3)
+
+
+def test_few_queries_meet_all_rows_without_lists(spark, monkeypatch):
+    from mnemo.operators import search
+
+    monkeypatch.setattr(V, "fit_centres", lambda *a: 1 / 0)  # before, lists were fitted and all rows dealt for any query
+    rng = np.random.default_rng(8)
+    x = clustered(rng, 300)
+    rows = list(enumerate(x)) + [(1000 + i, x[3]) for i in range(60)] + [(2000, 7 * x[5]), (2001, 0 * x[5]), (2002, -x[3])]
+    odd = spark.createDataFrame([(900, None), (901, [1.0, 2.0]), (902, [None] * 16), (903, [float("nan")] * 16)], "id long, vector array<float>")
+    queries = [r for r in rows if r[0] % 20 == 0] + [rows[-2]]
+    asked = frame(spark, queries, "query").union(odd)
+    for bound in (40, V.BLOCK):
+        assert rows_of(search.nearest(frame(spark, rows).union(odd), asked, 5, bound=bound)) == brute(rows, queries, 5)
+    assert rows_of(search.nearest(frame(spark, rows), asked, 5, 0.4)) == brute(rows, queries, 5, 0.4)
+    assert search.nearest(odd.limit(0), asked).collect() == search.nearest(odd.where("id = 900"), asked).collect() == []
+    monkeypatch.setattr(search, "FEW_QUERIES", 3)
+    monkeypatch.setattr(V, "fit_centres", lambda x, k: np.eye(k, x.shape[1]))
+    assert rows_of(search.nearest(frame(spark, rows), asked, 5)) == brute(rows, queries, 5)
