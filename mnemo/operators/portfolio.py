@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions.text import health_label, health_score
-from mnemo.operators import graph
-from mnemo.operators.frames import dealt, saved, top
+from mnemo.operators import graph, grid
+from mnemo.operators.frames import saved, top
 
 cross_project_impact = graph.impact
 
@@ -75,21 +75,15 @@ def notable_name(name: Column) -> Column:
     return name.startswith("@") | name.contains("sdk") | name.contains("client") | name.contains("api")
 
 
-def shared_packages(uses: DataFrame, notable: DataFrame | None = None, block: int = 1000) -> DataFrame:
+def shared_packages(uses: DataFrame, notable: DataFrame | None = None, block: int | None = None, rows: int | None = None) -> DataFrame:
     """Project pairs a < b that share notable packages: shared count and confidence (high from three users
     of one package). Notable are given packages, by default all. Every pair of a package's users is given,
-    so a package of n users makes n * (n - 1) / 2; one of more than `block` users is dealt by blocks of
-    them, each of which meets all its users. Pairs of several packages hardly combine where they are made, so
-    they are dealt by pair over tasks of bounded rows."""
-    own = uses.select("project", "dep").distinct()
-    n = own.groupBy("dep").agg(F.count("*").alias("users")).where("users >= 2")
-    n = saved(n if notable is None else n.join(notable, "dep", "left_semi"), "packages")
-    rows = n.agg(F.sum(F.expr("users * (users - 1) div 2"))).head()[0]
-    x = own.join(n, "dep").withColumn("blocks", F.ceil(F.col("users") / F.lit(int(block))))
-    a = x.select("dep", "users", F.pmod(F.xxhash64("project"), "blocks").alias("block"), F.col("project").alias("a"))
-    b = x.select("dep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("project").alias("b"))
-    pairs = dealt(a.join(b, ["dep", "block"]).where("a < b").select("a", "b", "users"), rows, "a", "b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("users").alias("users")).withColumn("confidence", F.when(F.col("users") >= 3, "high").otherwise("medium"))
+    so a package of n users makes n * (n - 1) / 2. Pairs are not shuffled: a grid of groups of projects (at most
+    `block` in one, if given) makes them where both are. Uses may repeat; about how many there are can be given."""
+    own = uses.select(F.col("dep").alias("set"), F.col("project").alias("member"))
+    own = own if notable is None else own.join(notable.select(F.col("dep").alias("set")), "set", "left_semi")
+    pairs = grid.shared_pairs(own, own.count() if rows is None else rows, block)
+    return pairs.withColumn("confidence", F.when(F.col("users") >= 3, "high").otherwise("medium"))
 
 
 def package_groups(uses: DataFrame, notable: DataFrame | None = None, block: int = 1000) -> dict[str, DataFrame]:
