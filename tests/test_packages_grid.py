@@ -5,12 +5,12 @@ from tests.test_grid import brute_pairs
 
 
 def shuffled(spark, work):
-    """(result, rows that the work's stages put into shuffles)."""
+    """(result, rows that the work's stages put into shuffles and saved tables)."""
     store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
 
     def stages():
         found = store.stageList(None, False, False, none, None)
-        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() + s.outputRecords() for s in (found.apply(i) for i in range(found.size()))}
 
     before, out = stages(), work()
     return out, sum(n for k, n in stages().items() if k not in before)
